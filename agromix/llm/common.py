@@ -66,7 +66,8 @@ def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, rows: str, spr
     hot, cold = named(right.filter(F.col(rows) >= least), "hot"), named(right.filter(F.col(rows) < least), "cold")
     out = left.join(F.broadcast(hot), F.col(key) == F.col(f"_hot_{key}"), "left")
     kind = right.schema[key].dataType.simpleString()
-    own = F.concat(F.lit("\u0001"), F.coalesce(F.col(spread).cast("string"), F.lit(""))).cast("binary" if kind == "binary" else "string")
+    # should such a key equal a true one, the row found there is not used, so no result depends on it
+    own = F.xxhash64(spread) if kind == "bigint" else F.concat(F.lit("\u0001"), F.coalesce(F.col(spread).cast("string"), F.lit(""))).cast(kind)
     out = out.withColumn("_key", F.when(F.col("_hot"), own).otherwise(F.col(key)))
     out = out.join(cold.hint("shuffle_hash"), F.col("_key") == F.col(f"_cold_{key}"), "left")
     return out.select(*left.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in values))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from agromix.llm.exact_dedup import exact_dedup
 from agromix.llm.line_dedup import line_dedup
+from agromix.llm.near_dedup import near_classes
 from agromix.llm.packing import pack
 from agromix.llm.rules import BASE, quality_rules
+from agromix.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from agromix.llm.warc import read_warc, write_warc
 from agromix.sources.tables import table
 
@@ -22,6 +24,12 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -31,6 +39,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_classes(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
     return found.select("doc_id", *BASE, "base_failed", "kept")
@@ -44,8 +56,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
