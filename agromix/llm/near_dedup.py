@@ -68,8 +68,8 @@ def _word_hashes(body: np.ndarray) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
-    """Hashes of the text's shingles in order, each mixed with its occurrence: no two are equal."""
+def shingles(text: bytes, k: int = WORDS, labelled: bool = True) -> np.ndarray:
+    """Hashes of the text's shingles in order; labelled: each mixed with its occurrence, so that no two are equal."""
     body = np.frombuffer(text, dtype=np.uint8)
     if len(body) <= SEGMENT:
         words = _word_hashes(body)
@@ -89,6 +89,8 @@ def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     for j in range(min(k, len(words))):
         out = _mix(out + words[j : j + n] + np.uint64(j + 1))
+    if not labelled:
+        return out
     order = np.argsort(out, kind="stable")
     ranked = out[order]
     new = np.concatenate(([True], ranked[1:] != ranked[:-1]))

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agromix.llm.exact_dedup import exact_dedup
+from agromix.llm.licenses import scan_licenses
 from agromix.llm.line_dedup import line_dedup
 from agromix.llm.near_dedup import near_classes
 from agromix.llm.packing import pack
+from agromix.llm.pieces import decode, encode_nbest
 from agromix.llm.rules import BASE, quality_rules
+from agromix.llm.token_counts import count_tokens, token_files, write_token_files
 from agromix.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from agromix.llm.warc import read_warc, write_warc
 from agromix.sources.tables import table
@@ -24,6 +27,16 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    written = write_token_files(table(spark, folder, "documents"))
+    counted = count_tokens(token_files(written))
+    return counted.join(written, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "ordinal")
+
+
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
@@ -39,6 +52,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    best, second = F.col("nbest")[0], F.get("nbest", F.lit(1))
+    digest = lambda ids: F.xxhash64(ids)
+    rows = encode_nbest(docs).select("doc_id", F.size("nbest").alias("n_best"), F.size(best["ids"]).cast("long").alias("n_pieces"), best["score"].alias("score"), second["score"].alias("second_score"), digest(best["ids"]).alias("ids_hash"), digest(second["ids"]).alias("second_hash"), best["ids"].alias("ids"))
+    return decode(rows).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_classes(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -56,9 +77,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,

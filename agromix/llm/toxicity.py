@@ -3,7 +3,7 @@
 Voters are words (lexicon) and beginnings of words (patterns) that set toxic training documents apart. Each votes or
 abstains. The generative model holds, for every voter, how often it votes on toxic and on clean documents; expectation
 maximisation estimates these without looking at labels other than as one more, noisy voter. Correlations of voters
-given the class, measured under the posterior, divide the weight of voters that say the same. A logistic regression
+given the class, measured under the posterior, divide the weight of voters that vote together. A logistic regression
 over mined words and beginnings learns the posterior labels and scores every whole text.
 
 The fit uses at most ``bound`` labelled rows, taken by a hash of the identifier; scoring reads every document. Null
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import log2
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,7 @@ def marks(word: str) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """Shares of toxic and clean documents that each voter votes on, and the log-odds its vote adds after discounting."""
+    """Shares of toxic and clean documents that each voter votes on, their prior, and correlations of voters among toxic documents."""
 
     prior: float
     on_toxic: np.ndarray
@@ -55,9 +56,9 @@ class LabelModel:
     overlap: np.ndarray
 
     def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None, trust: float = 0.95) -> np.ndarray:
-        yes = np.log(self.on_toxic / self.on_clean) / self.overlap
-        no = np.log((1 - self.on_toxic) / (1 - self.on_clean)) / self.overlap
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ yes + (1 - votes) @ no
+        weights = np.log(self.on_toxic / self.on_clean)
+        together = np.maximum(votes @ self.overlap, 1)  # of each voter: those that vote with it, as far as they say the same
+        odds = np.log(self.prior / (1 - self.prior)) + (votes / together) @ weights
         if gold is not None:
             odds = odds + np.where(gold > 0, 1.0, -1.0) * np.log(trust / (1 - trust))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -66,42 +67,44 @@ class LabelModel:
 def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> LabelModel:
     """Expectation maximisation over votes (n x k, 0 or 1); ``gold`` is a voter whose accuracy is estimated too."""
     n, k = votes.shape
-    p, trust, overlap = np.where(gold > 0, 0.9, 0.1 * gold.mean()), 0.95, np.ones(k)
-    model = LabelModel(0.1, np.full(k, 0.5), np.full(k, 0.1), overlap)
+    p, trust, overlap = np.where(gold > 0, 0.9, 0.1 * gold.mean()), 0.95, np.eye(k)
     for _ in range(rounds):
         toxic = p.sum()
-        model = LabelModel(float(np.clip(toxic / n, 1e-4, 1 - 1e-4)), (p @ votes + 0.5) / (toxic + 1), ((1 - p) @ votes + 0.05) / (n - toxic + 1), overlap)
+        model = LabelModel(float(np.clip(toxic / n, 1e-4, 1 - 1e-4)), (p @ votes + 0.5) / (toxic + 1), ((1 - p) @ votes + 0.5) / (n - toxic + 1), overlap)
         trust = float(np.clip((p * gold + (1 - p) * (1 - gold)).mean(), 0.6, 0.99))
         centred = (votes - model.on_toxic) * np.sqrt(p)[:, None]
         covariance = centred.T @ centred / max(toxic, 1)
         scale = np.sqrt(np.clip(np.diag(covariance), 1e-9, None))
         overlap = np.clip(covariance / scale / scale[:, None], 0, 1)
         np.fill_diagonal(overlap, 1)
-        overlap = np.where(overlap > 0.1, overlap, 0).sum(axis=0) + 1e-9
-        overlap = np.maximum(overlap, 1)
-        p = LabelModel(model.prior, model.on_toxic, model.on_clean, overlap).posterior(votes, gold, trust)
-    return LabelModel(model.prior, model.on_toxic, model.on_clean, overlap)
+        overlap[overlap < 0.1] = 0
+        model = LabelModel(model.prior, model.on_toxic, model.on_clean, overlap)
+        p = model.posterior(votes, gold, trust)
+    return model
 
 
 @dataclass
 class ToxicityModel:
     bias: float = -30.0
+    length: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
     voters: list[str] = field(default_factory=list)
     label_model: LabelModel | None = None
 
 
-def _found(text: str, known: dict, memo: dict) -> set:
-    """Indexes of the known marks of a text; what a word gives is remembered, within bounds."""
-    out: set = set()
-    for word in set(text.lower().split()):
+def _found(text: str, known: dict, memo: dict) -> tuple[dict[int, float], float]:
+    """log2(1 + count) of the known marks of a text by index, and log2(1 + words); what a word gives is remembered, within bounds."""
+    out: dict = {}
+    n = 0
+    for word, count in Counter(text.lower().split()).items():
+        n += count
         if (got := memo.get(word)) is None:
             got = tuple(known[m] for m in marks(word) if m in known)
             if len(memo) < 300_000 and len(word) < 64:
                 memo[word] = got
-        if got:
-            out.update(got)
-    return out
+        for i in got:
+            out[i] = out.get(i, 0) + count
+    return {i: log2(1 + out[i]) for i in sorted(out)}, log2(1 + n)
 
 
 def _count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +129,13 @@ def _find_marks(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, memo = {m: i for i, m in enumerate(names)}, {}
         for batch in batches:
-            got = [sorted(_found(t.as_py(), known, memo)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1)], names=["marks", "label"])
+            got = [_found(t.as_py(), known, memo) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([list(x) for x, _ in got], pa.list_(pa.int32())), pa.array([list(x.values()) for x, _ in got], pa.list_(pa.float64())), pa.array([x for _, x in got], pa.float64()), batch.column(1)], names=["marks", "counts", "length", "label"])
 
     return run
 
 
-def _regress(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def _regress(rows: np.ndarray, target: np.ndarray, ridge: float = 0.2, rounds: int = 12) -> np.ndarray:
     """Logistic regression on soft targets by Newton steps; the last column is the bias and isn't shrunk."""
     beta, shrink = np.zeros(rows.shape[1]), np.append(np.full(rows.shape[1] - 1, ridge), 1e-6)
     for _ in range(rounds):
@@ -143,7 +146,7 @@ def _regress(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, rounds: i
     return beta
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, n_marks: int = 400, n_voters: int = 60, least: int = 8) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, n_marks: int = 400, n_voters: int = 60, least: int = 8, least_ratio: float = 12.0) -> ToxicityModel:
     """Fits on at most about ``bound`` labelled rows that are not held out (a hash of the identifier takes them)."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     total = known.count()
@@ -162,7 +165,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     n = float(toxic + clean)
     ratio = term(F.col("a"), both * (toxic / n)) + term(F.col("b"), both * (clean / n)) + term(toxic - F.col("a"), (n - both) * (toxic / n)) + term(clean - F.col("b"), (n - both) * (clean / n))
-    best = counted.withColumn("ratio", ratio).orderBy(F.desc("ratio"), "mark").limit(4 * n_marks).collect()
+    best = counted.withColumn("ratio", ratio).filter(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "mark").limit(4 * n_marks).collect()
     chosen: list = []
     for r in best:  # of a word and its beginnings, or of nested beginnings, the one that tells most is taken
         stem = r["mark"].lstrip("^")
@@ -172,30 +175,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             break
     names = [f"^{s}" if up else s for s, up in chosen]
     rate = {r["mark"]: ((r["a"] + 0.5) / (toxic + 1)) / ((r["b"] + 0.5) / (clean + 1)) for r in best}
-    voters = [i for i, m in enumerate(names) if rate[m] >= 3][:n_voters]
-    got = rows.mapInArrow(_find_marks(names), "marks array<int>, label int").collect()
-    matrix = np.zeros((len(got), len(names) + 1))
+    voters = [i for i, m in enumerate(names) if rate[m] >= 8][:n_voters]
+    got = rows.mapInArrow(_find_marks(names), "marks array<int>, counts array<double>, length double, label int").collect()
+    matrix = np.zeros((len(got), len(names) + 2))
     matrix[:, -1] = 1
     for i, r in enumerate(got):
-        matrix[i, r["marks"]] = 1
+        matrix[i, r["marks"]] = r["counts"]
+        matrix[i, -2] = r["length"]
+    votes = (matrix[:, voters] > 0).astype(float)
     gold = np.array([float(r["label"]) for r in got])
     if not voters:
         target, model = gold, None
     else:
-        model = fit_label_model(matrix[:, voters], gold)
-        target = model.posterior(matrix[:, voters], gold, 0.9)
+        model = fit_label_model(votes, gold)
+        target = model.posterior(votes, gold, 0.9)
     beta = _regress(matrix, target)
-    return ToxicityModel(float(beta[-1]), dict(zip(names, map(float, beta[:-1]), strict=True)), [names[i] for i in voters], model)
+    return ToxicityModel(float(beta[-1]), float(beta[-2]), dict(zip(names, map(float, beta[:-2]), strict=True)), [names[i] for i in voters], model)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from a score of 0.5)."""
-    names, weights, bias = list(model.weights), np.array([*model.weights.values(), 0.0]), model.bias
+    names, weights, bias, length = list(model.weights), list(model.weights.values()), model.bias, model.length
     known, memo = {m: i for i, m in enumerate(names)}, {}  # every task gets its own memo
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        odds = [bias + sum(weights[i] for i in sorted(_found(t, known, memo))) for t in texts]
+        found = [_found(t, known, memo) for t in texts]
+        odds = [bias + length * n + sum(weights[i] * x for i, x in got.items()) for got, n in found]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=float), -30, 30))))
 
     out = docs.withColumn("score", score(text_of(text_col)))
