@@ -19,20 +19,25 @@ __all__ = ["ORACLE_SQL", "STAGES", "run"]
 ORACLE_SQL = None
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """Identifier and text beside all columns in one, so that no extra column meets what an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+    return score_toxicity(_own(docs), model).filter("predicted = 0").select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that the decision list rejects go."""
-    return quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(*docs.columns)
+    return quality_rules(_own(docs), table(spark, sf_dir, "labels")).filter("kept").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest identifier stays."""
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    return exact_dedup(_own(docs)).filter("kept").select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
