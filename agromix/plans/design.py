@@ -151,6 +151,13 @@ def _shift(entries: Column, by: int) -> Column:
     return F.transform(entries, lambda e: F.struct((e["i"] + by).cast("int").alias("i"), e["v"].alias("v")))
 
 
+def _bare(term):
+    """The effect inside isc() and vsc()."""
+    while isinstance(term, Call) and term.name in ("isc", "isr", "vsc", "vsr", "vs"):
+        term = term.args[-1]
+    return term
+
+
 def _product(outer: Column, inner: Column, width: int) -> Column:
     """Entries of the row-wise Kronecker product of two sets of entries, the second ``width`` wide."""
     return F.flatten(F.transform(outer, lambda e: F.transform(inner, lambda m: F.struct((e["i"] * width + m["i"]).cast("int").alias("i"), (e["v"] * m["v"]).alias("v")))))
@@ -198,7 +205,7 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
         if isinstance(t, Call) and t.name in ("vsc", "vsr", "vs"):
             *inner, main = t.args
             gu = str(t.named["Gu"]) if "Gu" in t.named else None
-            main = main.args[0] if isinstance(main, Call) and main.name in ("isc", "isr") else main
+            main = _bare(main)
             found = [_structure(encoder, c) for c in inner]
         elif isinstance(t, Call) and t.name == "covc":
             if len(t.args) != 2:
@@ -208,7 +215,7 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
             main, found = t, []
         kernel_levels, kernel = dense(kernels[gu]) if gu else (None, None)
         if isinstance(main, Call) and main.name == "covc":
-            sides = [x.args[0] if isinstance(x, Call) and x.name in ("isc", "vsc", "isr") else x for x in main.args]
+            sides = [_bare(x) for x in main.args]
             gu = next((str(x.named["Gu"]) for x in main.args if isinstance(x, Call) and "Gu" in x.named), None)
             kernel_levels, kernel = dense(kernels[gu]) if gu else (None, None)
             union = sorted({x for s in sides for x in encoder._levels(F.col(str(s)).cast("string"), str(s))} | set(kernel_levels or ()))

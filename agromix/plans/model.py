@@ -14,6 +14,7 @@ from agromix.functions.numeric import chi2_sf, f_sf
 from agromix.operators.records import na_policy
 from agromix.plans.design import Design, Gram, build_design, gram_of
 from agromix.plans.formula import Call, Interaction, Name, parse_formula, parse_terms
+from agromix.plans.multitrait import MultiFit, fit_traits
 from agromix.plans.reml import Fit, fit_reml
 
 __all__ = ["Model", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
@@ -191,6 +192,8 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
     formula = parse_formula(fixed)
     if len(formula.responses) != 1:
         raise ValueError("one response; mmer() takes several")
+    if formula.responses[0] not in df.columns:
+        raise ValueError(f"no column {formula.responses[0]}")
     terms = parse_terms(random)[0] if random else ()
     level = None
     for t in parse_terms(rcov)[0] if rcov else ():
@@ -213,23 +216,26 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
     return Model(df.sparkSession, formula.responses[0], design, gram, fit_reml(design, gram, theta, codes, residual, fixed_residual, iterations, em_only=em_only))
 
 
-def mmer(df: DataFrame, fixed: str, random: str | None = None, **options) -> Model:
-    """Several responses, cbind(y1, y2) ~ ..., as one stacked model: every fixed term by trait, random terms unstructured over traits.
+def mmer(df: DataFrame, fixed: str, random: str | None = None, stacked: bool = False, **options):
+    """Several responses, cbind(y1, y2) ~ ...; with one response this is mmec().
 
-    Traits are stacked with ``unpivot`` into columns trait and value; the random term t becomes vsc(usc(trait), isc(t)),
-    and residual variances differ by trait. With one response this is mmec().
+    fit_traits() estimates unstructured covariances of the traits for every random effect and the residual, from records
+    that have all traits. ``stacked`` takes records that lack some: traits are unpivoted into columns trait and value, the
+    random term t becomes vsc(usc(trait), isc(t)), and residuals differ by trait but are independent between traits.
     """
     formula = parse_formula(fixed)
     if len(formula.responses) == 1:
         return mmec(df, fixed, random, **options)
+    if not stacked:
+        return fit_traits(df, fixed, random, **options)
     keep = [c for c in df.columns if c not in formula.responses]
     long = df.select(*keep, *(F.col(r).cast("double").alias(r) for r in formula.responses)).unpivot(keep, list(formula.responses), "trait", "value")
     by_trait = ["trait", *(str(Interaction((Name("trait"), *(t.parts if isinstance(t, Interaction) else (t,))))) for t in formula.terms)]
-    stacked = [t if isinstance(t, Call) else f"vsc(usc(trait), isc({t}))" for t in (parse_terms(random)[0] if random else ())]
-    return mmec(long, f"value ~ 0 + {' + '.join(by_trait)}", "~ " + " + ".join(map(str, stacked)) if stacked else None, "~ vsc(dsc(trait), isc(units))", **options)
+    terms = [t if isinstance(t, Call) else f"vsc(usc(trait), isc({t}))" for t in (parse_terms(random)[0] if random else ())]
+    return mmec(long, f"value ~ 0 + {' + '.join(by_trait)}", "~ " + " + ".join(map(str, terms)) if terms else None, "~ vsc(dsc(trait), isc(units))", **options)
 
 
-def mmer_pairs(df: DataFrame, traits: Sequence[str], fixed: str = "1", random: str | None = None, **options) -> dict[tuple[str, str], Model]:
+def mmer_pairs(df: DataFrame, traits: Sequence[str], fixed: str = "1", random: str | None = None, **options) -> dict[tuple[str, str], MultiFit]:
     """All two-trait models."""
     return {(a, b): mmer(df, f"cbind({a}, {b}) ~ {fixed}", random, **options) for i, a in enumerate(traits) for b in traits[i + 1 :]}
 
