@@ -3,8 +3,9 @@
 The lattice of a text has an edge for every piece that matches, scored as in the model; a character without a piece has
 an edge of its byte pieces. Forward Viterbi gives each position the best score from the start; these are exact
 heuristics for an A-star search from the end, which therefore takes paths off its queue best first. No piece holds a
-word's end before a blank, so the lattice falls apart at blanks: each word's best paths are searched once and kept in
-a bounded memo, and a text's n best combine them: only the n - 1 words with the cheapest second choice can matter.
+word's end before a blank, so the lattice falls apart at blanks and a text's n best combine those of its words: only the
+n - 1 words with the cheapest second choice can matter, and only these are searched. The others need their best path
+and what the second would lose, which are kept in a bounded memo.
 
 Equal scores are ordered by the search, the same each time. Null text counts as empty and has one empty segmentation.
 Rows that repeat, or have a null identifier, are segmented each. Other columns are not read. Long texts stay whole.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,32 +49,19 @@ class Pieces:
         names = [(table.id_to_piece(i), i) for i in range(table.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for p, i in names if table.is_byte(i)}
         self.score = {p: (i, table.get_score(i)) for p, i in names if not (table.is_byte(i) or table.is_control(i) or table.is_unknown(i) or table.is_unused(i))}
-        self.prefixes = {p[:n] for p in self.score for n in range(1, len(p) + 1)}
+        self.table: dict = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score  # beginnings of pieces, and pieces
         self.lost = min(s for _, s in self.score.values() if s > -1e8) - 10
         self.surface = [b"" if table.is_control(i) else bytes([int(p[3:5], 16)]) if table.is_byte(i) else p.replace(SPACE, " ").encode() for p, i in names]
         self.memo: dict = {}
 
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a word: (score, ids), best first."""
-        size, score, prefixes = len(word), self.score, self.prefixes
-        best = [-1e300] * (size + 1)
-        best[0] = 0.0
-        ending: list[list] = [[] for _ in range(size + 1)]  # edges by their end: (start, ids, score)
-        for i in range(size):
-            here, j, known = best[i], i + 1, False
-            while j <= size and (piece := word[i:j]) in prefixes:
-                if (found := score.get(piece)) is not None:
-                    known = known or j == i + 1
-                    ending[j].append((i, found[0], found[1]))
-                    if here + found[1] > best[j]:
-                        best[j] = here + found[1]
-                j += 1
-            if not known:
-                ids = tuple(self.bytes[b] for b in word[i].encode())
-                cost = self.lost * len(ids)
-                ending[i + 1].append((i, ids, cost))
-                if here + cost > best[i + 1]:
-                    best[i + 1] = here + cost
+        size, edges = len(word), self._lattice(word)
+        best, ending = [0.0] + [-1e300] * size, [[] for _ in range(size + 1)]
+        for start, end, ids, cost in edges:
+            ending[end].append((start, ids, cost))
+            if best[start] + cost > best[end]:
+                best[end] = best[start] + cost
         # queue: (-(score from the start at best + score of the tail), position, order, score of the tail, tail)
         queue, order, out = [(-best[size], size, 0, 0.0, None)], 0, []
         while queue and len(out) < n:
@@ -89,13 +78,59 @@ class Pieces:
                 heapq.heappush(queue, (-(best[start] + cost + tail_score), start, order, cost + tail_score, (ids, tail)))
         return out
 
-    def word(self, word: str, n: int) -> tuple:
-        """(best score, best ids as bytes, loss of the second, all n) of a word, kept within bounds."""
-        if (found := self.memo.get(word)) is None:
-            all_ = [(s, np.array(ids, dtype="<i4").tobytes()) for s, ids in self.search(word, n)]
-            found = (*all_[0], all_[0][0] - all_[1][0] if len(all_) > 1 else None, all_)
-            if len(self.memo) < MEMO and len(word) < 64:
-                self.memo[word] = found
+    def _lattice(self, word: str) -> list[tuple]:
+        """Edges (start, end, id or byte ids, score), by start: a piece each, or bytes for a character without one."""
+        table, out, size, none = self.table, [], len(word), 0
+        for i in range(size):
+            j = i + 1
+            first = found = table.get(word[i:j], none)
+            while found != none:
+                if found is not None:
+                    out.append((i, j, found[0], found[1]))
+                j += 1
+                if j > size:
+                    break
+                found = table.get(word[i:j], none)
+            if not first:
+                ids = tuple([self.bytes[b] for b in word[i].encode()])
+                out.append((i, i + 1, ids, self.lost * len(ids)))
+        return out
+
+    def word(self, word: str) -> tuple[float, bytes, float | None]:
+        """(best score, its ids as 32-bit integers, what the second best loses or None if there is none), kept within bounds.
+
+        The second best path has an edge off the best one, so its loss is the least over such edges of the best path
+        through them: forward plus backward Viterbi scores. Which words need more than that is known only for a text.
+        """
+        if (kept := self.memo.get(word)) is not None:
+            return kept
+        edges, size = self._lattice(word), len(word)
+        best, back = [0.0] + [-1e300] * size, [None] * (size + 1)
+        for edge in edges:
+            total = best[edge[0]] + edge[3]
+            if total > best[edge[1]]:
+                best[edge[1]], back[edge[1]] = total, edge
+        path, at = [], size
+        while at:
+            path.append(back[at])
+            at = back[at][0]
+        tail, second, top = [-1e300] * size + [0.0], -1e301, best[size]
+        for edge in reversed(edges):
+            start, end, _, cost = edge
+            total = cost + tail[end]
+            if total > tail[start]:
+                tail[start] = total
+            if best[start] + total > second and edge not in path:
+                second = best[start] + total
+        ids: list = []
+        for edge in reversed(path):
+            if isinstance(edge[2], tuple):
+                ids += edge[2]
+            else:
+                ids.append(edge[2])
+        found = (top, array("i", ids).tobytes(), top - second if second > -1e300 else None)
+        if len(self.memo) < MEMO and size < 64:
+            self.memo[word] = found
         return found
 
     def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
@@ -104,23 +139,23 @@ class Pieces:
             return [(0.0, b"")]
         text = SPACE + text.replace(" ", SPACE)
         words = RUN.findall(text) if SPACE * 2 in text or text[-1] == SPACE else [SPACE + x for x in text[1:].split(SPACE)]
-        memo, found = self.memo, []
-        for w in words:
-            found.append(memo.get(w) or self.word(w, n))
+        known, word = self.memo.get, self.word
+        found = [known(w) or word(w) for w in words]
         ids = [x[1] for x in found]
         total = sum(x[0] for x in found)
         out = [(total, b"".join(ids))]
         if n > 1:
             turns = heapq.nsmallest(n - 1, ((x[2], i) for i, x in enumerate(found) if x[2] is not None))
             choices: list[tuple[float, tuple]] = [(0.0, ())]
+            others: dict = {}
             for _, i in turns:
-                best, all_ = found[i][0], found[i][3]
+                best, all_ = found[i][0], others.setdefault(i, self.search(words[i], n))
                 more = [(loss + best - s, (*swaps, (i, k)) if k else swaps) for loss, swaps in choices for k, (s, _) in enumerate(all_)]
                 choices = sorted(more)[:n]
             for loss, swaps in choices[1:]:
                 other = list(ids)
                 for i, k in swaps:
-                    other[i] = found[i][3][k][1]
+                    other[i] = array("i", others[i][k][1]).tobytes()
                 out.append((total - loss, b"".join(other)))
         return out
 
