@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["Margin", "bspline_basis", "margin", "spatial_design", "tensor_bases"]
+__all__ = ["Margin", "bspline_basis", "margin", "spatial_design", "spatial_terms", "tensor_bases"]
 
 
 def bspline_basis(x: np.ndarray, low: float, high: float, segments: int, degree: int) -> np.ndarray:
@@ -95,3 +95,9 @@ def spatial_design(df: DataFrame, x_col: str, y_col: str, segments: tuple[int, i
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{p}` array<double>" for p in parts)])
     out = rows.mapInArrow(_evaluate(x, y, parts, len(df.columns)), schema)
     return out.withColumnsRenamed({p: p.replace(".", "_") for p in parts})
+
+
+def spatial_terms(at: str | None = None) -> tuple[str, str]:
+    """Fixed and random formula parts for the columns of spatial_design(): five variance components, by level of ``at`` if given."""
+    wrap = (lambda x: f"vsc(dsc({at}), isc(basis({x})))") if at else (lambda x: f"vsc(isc(basis({x})))")
+    return "basis(base)", " + ".join(wrap(x) for x in ("fC", "fR", "fC_R", "C_fR", "fC_fR"))

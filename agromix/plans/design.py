@@ -119,6 +119,15 @@ class _Encoder:
             made = legendre(self.df, x, n)
             self.df = made.withColumnsRenamed({f"leg{k}": f"{tag}{k}" for k in range(n + 1)})
             return F.array(*(F.struct(F.lit(k).alias("i"), F.col(f"{tag}{k}").alias("v")) for k in range(n + 1))), [f"leg{k}" for k in range(n + 1)]
+        if isinstance(term, Call) and term.name == "basis":  # an array column, one coefficient for each place
+            self.numeric = True
+            name = str(term.args[0])
+            if name not in self.df.columns:
+                raise ValueError(f"no column {name}")
+            width = self.df.agg(F.max(F.size(name))).first()[0] or 0
+            if width > MAX_ORDER:
+                raise ValueError(f"{name} has over {MAX_ORDER} columns")
+            return F.transform(F.col(name).cast("array<double>"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))), [f"{name}{k + 1}" for k in range(width)]
         if isinstance(term, Call) and term.name in ("rrc", "redmm"):
             self.numeric = True
             x, loads = str(term.args[0]), self.covariances[str(term.args[1])]

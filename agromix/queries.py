@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from agromix.functions.numeric import legendre, logspace
 from agromix.operators import kernels, markers, matrices, ranking, records, scan, spatial
+from agromix.plans import structures
 from agromix.plans.model import lrt, mmec, mmer, two_stage, vpredict
 from agromix.sources.tables import table
+from agromix.streaming.sums import moments
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -460,3 +462,52 @@ def spatial_bases(spark, folder):
 @query()
 def simulated_correlations(spark, folder):
     return kernels.sim_ge_correlation(spark, 12, 3)
+
+
+@query()
+def spatial_model(spark, folder):
+    """Tensor splines over a grid of parts: two fixed surfaces and five variance components."""
+    grid = table(spark, folder, "part").select("p_retailprice", F.floor(F.col("p_partkey") / 50).alias("r"), (F.col("p_partkey") % 50).alias("c"))
+    base, random = spatial.spatial_terms()
+    return mmec(spatial.spatial_design(grid, "r", "c", (4, 4)), f"p_retailprice ~ {base}", f"~ {random}", iterations=20).summary().select("component", "var_comp")
+
+
+@query()
+def reduced_rank_model(spark, folder):
+    """Supplier groups by return flag: loadings of the flags from the table of means, then a factor model."""
+    rows = table(spark, folder, "lineitem").select("l_extendedprice", "l_returnflag", (F.col("l_suppkey") % 25).cast("string").alias("g"))
+    means = records.level_table(rows, "g", "l_returnflag", "l_extendedprice")
+    loads = structures.reduced_rank(means, "g", "l_returnflag", "mean", 1)
+    return mmec(rows, "l_extendedprice ~ l_returnflag", "~ vsc(isc(rrc(l_returnflag, G)))", covariances={"G": loads}, iterations=20).summary().select("component", "var_comp")
+
+
+@query()
+def reduced_kernel_model(spark, folder):
+    """GBLUP through 20 leading components of the additive kernel."""
+    loads = structures.reduced_loadings(kernels.a_matrix(dosages(spark, folder)), 20)
+    rows = cells(spark, folder).select(F.col("pos").cast("string").alias("id"), (F.col("v") + 0.01 * F.col("pos")).alias("y"))
+    return mmec(rows, "y ~ 1", "~ vsc(isc(redmm(id, M)))", covariances={"M": loads}, iterations=30).summary().select("component", "var_comp")
+
+
+@query("WITH t AS (SELECT n_nationkey AS i FROM nation) SELECT CAST(count(*) AS DOUBLE) AS trace FROM t")
+def matrix_trace(spark, folder):
+    return matrices.trace(kernels.cs(table(spark, folder, "nation"), "n_name", 0.3))
+
+
+@query(LEVELS + "SELECT row, col, round((0.3 ** lag) * (CASE WHEN lag = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END), 6) AS value FROM l")
+def hadamard_product(spark, folder):
+    nation = table(spark, folder, "nation")
+    return matrices.hadamard(kernels.ar1(nation, "n_name", 0.3), kernels.cs(nation, "n_name", 0.5))
+
+
+@query("SELECT c.c_nationkey, round(sum(o_totalprice), 2) AS sum_y, count(*) AS n, round(sum(o_totalprice * o_totalprice) / 1e6, 2) AS sum_yy FROM orders JOIN customer c ON o_custkey = c_custkey GROUP BY 1", digits=2)
+def group_moments(spark, folder):
+    """What a stream would keep up to date for a one-way model."""
+    rows = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return moments(rows, ["c_nationkey"], "o_totalprice").withColumn("sum_yy", F.col("sum_yy") / 1e6)
+
+
+@query("WITH z AS (SELECT 'P' || CAST(pos AS VARCHAR) AS a, v + 0.01 * pos AS y FROM (" + LONG.removeprefix("cells AS (").removesuffix(")") + ")), g AS (SELECT a, count(*) AS n, avg(y) AS m, var_samp(y) AS s FROM z GROUP BY 1), q AS (SELECT max(n) AS n, max(n) * var_samp(m) AS msa, avg(s) AS mse, count(*) AS k, avg(m) AS mu FROM g) SELECT a AS level, round(greatest(0, 1 - mse / msa) * (m - mu), 6) + 0.0 AS blup FROM g, q")
+def blup_balanced(spark, folder):
+    rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), (F.col("v") + 0.01 * F.col("pos")).alias("y"))
+    return mmec(rows, "y ~ 1", "~ place").blups().select("level", "blup")

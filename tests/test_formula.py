@@ -73,3 +73,14 @@ def test_splines():
     assert np.allclose(span @ np.linalg.lstsq(span, b, rcond=None)[0], b, atol=1e-8)
     made = tensor_bases(m, margin(0, 5, 4), x, np.linspace(0, 5, 41))
     assert [made[p].shape[1] for p in ("base", "fC", "fR", "fC.R", "C.fR", "fC.fR")] == [3, 8, 5, 8, 5, 40]
+
+
+def test_structures():
+    from agromix.plans.structures import fcm, fixm, transform_constraints, unsm, vector_to_symmetric
+
+    assert unsm(2).tolist() == [[1, 2], [2, 1]] and len(unsm(2, 3)) == 3
+    assert (fixm(3) == 3).all() and fcm([1, 0, 1]).tolist() == [[1, 0], [0, 0], [0, 1]]
+    assert vector_to_symmetric([1, 2, 3, 4, 5, 6]).tolist() == [[1, 2, 4], [2, 3, 5], [4, 5, 6]]
+    assert transform_constraints({"a": np.array([[0, 2], [3, 1]])}, 1)["a"].tolist() == [[0, 1], [1, 1]]
+    with pytest.raises(ValueError):
+        vector_to_symmetric([1, 2])
