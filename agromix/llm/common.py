@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["HOT_SHARE", "apart", "local_uri", "materialise", "open_input", "open_output", "scratch", "skew_safe_lookup", "text_of"]
+__all__ = ["HOT_SHARE", "apart", "hidden", "local_uri", "materialise", "open_input", "open_output", "scratch", "skew_safe_lookup", "text_of"]
 
 #: A key counts as hot when it holds at least this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1024
@@ -47,9 +47,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hidden(df: DataFrame) -> list[Column]:
+    """All columns under names of their places, so that none meets the names an operator uses; unused ones are pruned."""
+    return [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(df.columns)]
+
+
 def apart(df: DataFrame, *made: str) -> list[Column]:
-    """The columns of ``_row`` (all of ``df`` in one struct) but for names that an operator makes itself, in any case."""
-    return [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in {m.lower() for m in made}]
+    """The columns that hidden() renamed, but for names that an operator makes itself, in any case."""
+    return [F.col(f"_own_{i}").alias(c) for i, c in enumerate(df.columns) if c.lower() not in {m.lower() for m in made}]
 
 
 def text_of(name: str = "text") -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import apart, materialise, skew_safe_lookup, text_of
+from agromix.llm.common import apart, hidden, materialise, skew_safe_lookup, text_of
 
 __all__ = ["RadixTrie", "classes", "exact_dedup"]
 
@@ -200,7 +200,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with text_sha256, keep_id, group_size and kept (names in use are overwritten)."""
     found = classes(docs, id_col, text_col, keep, budget).select(F.hex("sha").alias("_sha"), F.col("best").alias("_best"), F.col("n").alias("_n"))
     sha: Column = F.sha2(text_of(text_col).cast("binary"), 256)
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.upper(sha).alias("_sha"))
+    own = docs.select(*hidden(docs), F.col(id_col).cast("long").alias("_id"), F.upper(sha).alias("_sha"))
     out = skew_safe_lookup(own, materialise(found), "_sha", "_n", "_id")
     made = [F.col("_best").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_id").eqNullSafe(F.col("_best")).alias("kept"), F.lower("_sha").alias("text_sha256")]
     return out.select(*apart(docs, "keep_id", "group_size", "kept", "text_sha256"), *made)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agromix.llm.common import HOT_SHARE, apart, materialise, text_of
+from agromix.llm.common import HOT_SHARE, apart, hidden, materialise, text_of
 
 __all__ = ["drop_bitmaps", "line_dedup", "line_key"]
 
@@ -55,14 +55,14 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """``docs`` with n_lines, n_dropped, keep_bitmap (null: all stay) and kept_text (columns so named are replaced)."""
     bitmaps = drop_bitmaps(docs, id_col, text_col, min_chars).withColumnRenamed("id", "_id").withColumnRenamed("bitmap", "keep_bitmap")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_own"), text_of(text_col).alias("_text"))
-    out = rows.join(bitmaps.hint("shuffle_hash"), F.col("_own") == F.col("_id"), "left").withColumn("_lines", F.split("_text", "\n", -1))
+    rows = docs.select(*hidden(docs), F.col(id_col).alias("_doc"), F.col(text_col).alias("_body"))
+    out = rows.join(bitmaps.hint("shuffle_hash"), F.col("_doc") == F.col("_id"), "left").withColumn("_lines", F.split(text_of("_body"), "\n", -1))
     # lines are zipped with the bits of all words in order; array_join leaves out what became null
     word = lambda w: F.coalesce(F.element_at(F.map_from_entries("keep_bitmap"), w), F.lit(-1).cast("long"))
     bits = lambda x: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("shiftright", x, b).bitwiseAND(F.lit(1)) == 1)
     dense = F.transform(F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / 64).cast("int")), word)
     stays = F.array_join(F.zip_with("_lines", F.flatten(F.transform(dense, bits)), lambda line, keep: F.when(keep, line)), "\n")
-    kept = F.when(F.col("keep_bitmap").isNull(), F.col("_text")).otherwise(stays)
+    kept = F.when(F.col("keep_bitmap").isNull(), text_of("_body")).otherwise(stays)
     dropped = F.coalesce(F.aggregate("keep_bitmap", F.lit(0).cast("long"), lambda a, x: a + 64 - F.bit_count(x["keep"])), F.lit(0).cast("long"))
     made = [F.size("_lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.col("keep_bitmap"), kept.alias("kept_text")]
     return out.select(*apart(docs, "n_lines", "n_dropped", "keep_bitmap", "kept_text"), *made)

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import apart, materialise, text_of
+from agromix.llm.common import apart, hidden, materialise, text_of
 
 __all__ = ["BASE", "FEATURES", "Condition", "Rule", "base_statistics", "features", "learn_rules", "quality_rules", "verdict"]
 
@@ -175,7 +175,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     # written first: a filter on base_failed would be pushed down as its whole definition, window arrays and all
     trained = materialise(trained.select(*(f"f_{f}" for f in FEATURES), "base_failed", "good", "grow"))
     rules = learn_rules(trained.filter(~F.col("base_failed")))
-    out = features(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text")), "_text")
+    out = features(docs.select(*hidden(docs), F.col(text_col).alias("_text")), "_text")
     # the last term is always true; being non-deterministic, it keeps filters on kept above the features' definitions
     kept = ~F.col("base_failed") & verdict(rules) & (F.monotonically_increasing_id() >= 0)
     return out.select(*apart(docs, *BASE, "base_failed", "kept"), *BASE, "base_failed", kept.alias("kept"))
