@@ -9,9 +9,9 @@ longest increasing run of matched places, and the threshold bounds how far apart
 
 A pair of threshold similarity shares a band's key with probability of about 0.5, so twelve bands miss one in 5000.
 Equal texts are one class from the start (by SHA-256). Buckets are worked off by pivots: each text in a bucket is
-verified against one member or two, classes are joined, and buckets within one class are finished. When few pairs of
-texts of different classes are left, all of them are verified: no candidate pair stays open unless its texts already
-share a class. Hot buckets and hot pivots are dealt out by salts, and hot classes by a bounded broadcast.
+verified against one member, then two others drawn by hash, classes are joined, and buckets within one class are done.
+In the buckets that are left all texts of different classes are compared, block by block: no candidate pair stays open
+unless its texts already share a class. Hot buckets and hot pivots are dealt out by salts, and hot classes by a bounded broadcast.
 
 Null text counts as empty. Texts without words are near duplicates of equal texts only. Rows with a null identifier are
 returned with a null class and take no part. Rows that repeat an identifier are one document and share the text. Other
@@ -185,8 +185,31 @@ def _aligned(edges: DataFrame, texts: DataFrame, held: int = 256) -> DataFrame:
     return materialise(dealt.mapInArrow(_verify, "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b), root being the component's smallest node, by alternating stars."""
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, n: int | None = None, few: int = 1 << 14) -> DataFrame:
+    """(node, root) for the nodes of ``edges`` (a, b), root being the component's smallest node.
+
+    Up to ``few`` edges (``n`` or counted) one task does, by union-find; more are worked off by alternating stars.
+    """
+    if (edges.count() if n is None else n) <= few:
+        return materialise(edges.filter("a <> b").select("a", "b").coalesce(1).mapInArrow(_union_find, "node long, root long"))
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was, is_ = None, state(now)
@@ -199,62 +222,132 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = materialise(small.filter("u <> v").distinct())
         was, is_ = is_, state(now)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select("v", "v").distinct())
+    return materialise(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select("v", "v").distinct()))
+
+
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels (rep, cls), of those that are not their class's smallest, after ``found`` (a, b) linked classes."""
+    n, ends = found.count(), found
+    for side in ("a", "b") if labels is not None else ():
+        ends = ends.join(labels.select(F.col("rep").alias(side), F.col("cls").alias(f"c{side}")), side, "left").withColumn(side, F.coalesce(f"c{side}", side)).drop(f"c{side}")
+    roots = components(ends, n)
+    moved = roots.filter("node <> root").select(F.col("node").alias("rep"), F.col("root").alias("cls"))
+    if labels is None:
+        return materialise(moved)
+    onward = labels.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("rep", F.coalesce("root", "cls").alias("cls"))
+    return materialise(onward.unionAll(moved))
+
+
+def _block_edges(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """Edges that join classes among texts (block, id, class, body) of two blocks, or of one.
+
+    Shingles of all texts in common are counted exactly for all pairs by products of 0/1 matrices; that bounds any
+    alignment from above, so only pairs over the threshold are aligned, and only while their classes differ.
+    """
+    blocks, ids, classes = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(3))
+    found = [shingles(r[3]) for r in rows]
+    sizes = np.array([len(x) for x in found], dtype=np.float64)
+    keys = np.array([order_minhash(x) if len(x) else np.full(BANDS, i, np.uint64) for i, x in enumerate(found)])
+    values, inverse, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(counts > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    owner = np.repeat(np.arange(len(rows)), sizes.astype(int))
+    where = place[inverse]
+    owner, where = owner[where >= 0], where[where >= 0]
+    order = np.argsort(where, kind="stable")
+    owner, where = owner[order], where[order]
+    common = np.zeros((len(rows), len(rows)), dtype=np.float32)
+    for low in range(0, len(shared), 8192):
+        part = slice(*np.searchsorted(where, (low, low + 8192)))
+        m = np.zeros((len(rows), min(8192, len(shared) - low)), dtype=np.float32)
+        m[owner[part], where[part] - low] = 1
+        common += m @ m.T
+    one, out, parent = blocks.min() == blocks.max(), [], {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        both = sizes + sizes[i]
+        good = (common[i] >= SIMILARITY * (both - common[i]) - 1e-6) & (classes != classes[i]) & (keys == keys[i]).any(axis=1)
+        for j in np.flatnonzero(good):
+            if (j > i if one else blocks[i] < blocks[j]) and root(classes[i]) != root(classes[j]) and alignment(found[i], found[j]):
+                out.append((int(ids[i]), int(ids[j])))
+                parent[root(classes[i])] = root(classes[j])
+    return out
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 6) -> DataFrame:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (root, i, j): gives the edges of each pair of blocks."""
+    at, held = None, []
+
+    def edges() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1 and (found := _block_edges(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        held.clear()
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "block", "id", "cls")]
+        for r, i, j, block, one, cls, text in zip(*columns, batch.column("text").cast(pa.binary()), strict=True):
+            if (r, i, j) != at:
+                yield from edges()
+                at = (r, i, j)
+            held.append((block, one, cls, text.as_py()))
+    yield from edges()
+
+
+def _rest(members: DataFrame, texts: DataFrame, held: int = 256) -> DataFrame:
+    """Edges (a, b) among all texts of different classes in the same open bucket, as far as they join classes.
+
+    Open buckets that touch form a pool. In a pool, texts outside its largest class meet each other and those of that
+    class; they are dealt to blocks of about ``held`` and a task compares two blocks, so a text travels once for each
+    block it meets, pools of one block being the rule.
+    """
+    pools = components(materialise(members.select(F.col("rep").alias("a"), F.col("low.rep").alias("b")).distinct())).select(F.col("node").alias("id"), "root")
+    own = members.select(F.col("rep").alias("id"), "cls").distinct()
+    placed = materialise(own.join(pools, "id"))
+    per = placed.groupBy("root", "cls").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum("n").alias("n"), F.max("n").alias("n_major"), F.max_by("cls", F.struct("n", "cls")).alias("major"))
+    minor_blocks = F.ceil((F.col("n") - F.col("n_major")) / held)
+    per = materialise(per.filter("n > n_major").select("root", "n", "major", minor_blocks.cast("int").alias("minors"), F.ceil(F.col("n_major") / held).cast("int").alias("majors")))
+    dealt = skew_safe_lookup(placed, per, "root", "n", "id").filter("n is not null")
+    draw = F.xxhash64("id", F.lit(7))
+    is_major = F.col("cls") == F.col("major")
+    block = F.when(is_major, F.col("minors") + F.pmod(draw, F.col("majors"))).otherwise(F.pmod(draw, F.col("minors"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    meets = F.when(is_major, F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
+    dealt = dealt.join(texts, "id").select("root", "block", "id", "cls", "text", F.explode(meets).alias("other"))
+    dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "cls", "text")
+    return materialise(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_blocks, "a long, b long"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """A row (id, class_id, group_size, kept) for each document; class_id is the smallest identifier of its class."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sketched = materialise(rows.filter("id is not null").mapInArrow(_sketch, "id long, sha binary, size int, keys array<long>"))
-    texts_of = sketched.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    texts_of = materialise(texts_of)
+    texts_of = materialise(sketched.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     exploded = texts_of.select("rep", "size", F.explode("keys").alias("key"))
-    sizes = exploded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "size")).alias("first")).filter("m > 1")
-    members = skew_safe_lookup(exploded, materialise(sizes), "key", "m", "rep").filter("m is not null")
-    members = materialise(members)
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(rows.join(wanted.hint("shuffle_hash"), "id"))
+    sizes = exploded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "size")).alias("low")).filter("m > 1")
+    members = materialise(skew_safe_lookup(exploded, materialise(sizes), "key", "m", "rep").filter("m is not null"))
+    texts = materialise(rows.join(members.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id"))
     near = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b)
-    labels = materialise(wanted.select(F.col("id").alias("rep"), F.col("id").alias("cls")))
-
-    def joined(edges: DataFrame) -> DataFrame:
-        """Labels after classes that ``edges`` link became one."""
-        ends = edges.join(labels.select(F.col("rep").alias("a"), F.col("cls").alias("ca")), "a").join(labels.select(F.col("rep").alias("b"), F.col("cls").alias("cb")), "b")
-        roots = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("cls"), "root")
-        return materialise(labels.join(roots, "cls", "left").select("rep", F.coalesce("root", "cls").alias("cls")))
-
-    tested = []
-    edges = members.filter(F.col("rep") != F.col("first.rep")).filter(near(F.col("size"), F.col("first.size"))).select(F.col("rep").alias("x"), F.col("first.rep").alias("p"), "m")
-    for round_ in range(most_rounds + 1):
-        edges = materialise(edges)
-        if edges.isEmpty():
-            break
-        tested.append(edges.select("x", "p"))
-        labels = joined(_aligned(edges, texts))
-        marked = members.join(labels, "rep").select("key", "rep", "size", "cls")
-        per_class = marked.groupBy("key", "cls").agg(F.count("*").alias("s"), F.min(F.struct("rep", "size")).alias("one"))
-        open_ = per_class.groupBy("key").agg(F.sum("s").alias("m"), (F.sum("s") * F.sum("s") - F.sum(F.col("s") * F.col("s"))).alias("pairs"), F.min(F.struct("cls", "one")).alias("low"), F.max(F.struct("cls", "one")).alias("high")).filter("pairs > 0")
-        open_ = materialise(open_)
-        left = open_.agg(F.sum("m"), F.sum("pairs")).first()
-        if not left[0]:
+    pivoted = lambda df, end: df.filter(F.col("rep") != F.col(f"{end}.rep")).filter(near(F.col("size"), F.col(f"{end}.size"))).select(F.col("rep").alias("x"), F.col(f"{end}.rep").alias("p"), "m")
+    edges, labels = pivoted(members, "low"), None
+    for round_ in range(rounds + 1):
+        labels = _joined(labels, _aligned(edges, texts))
+        # only buckets that still hold two classes go on; each round draws two pivots of theirs by hash
+        members = materialise(members.select("key", "rep", "size").join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("cls", "rep").alias("cls")))
+        drawn = F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), "cls", "rep", "size")
+        open_ = members.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.min(drawn).alias("low"), F.max(drawn).alias("high")).filter("c0 <> c1").drop("c0", "c1")
+        members = materialise(skew_safe_lookup(members, materialise(open_), "key", "m", "rep").filter("m is not null"))
+        if members.isEmpty():
             break
-        known = reduce(DataFrame.unionAll, tested)
-        known = known.unionAll(known.select(F.col("p").alias("x"), F.col("x").alias("p")))
-        last = left[1] <= 8 * left[0] or round_ == most_rounds - 1
-        here = materialise(skew_safe_lookup(marked, open_, "key", "m", "rep").filter("m is not null"))
-        if last:
-            a, b = (here.select("key", *(F.col(c).alias(f"{t}_{c}") for c in ("rep", "size", "cls")), *(["m"] if t == "a" else [])) for t in "ab")
-            pairs = a.join(b, "key").filter((F.col("a_cls") != F.col("b_cls")) & (F.col("a_rep") < F.col("b_rep")) & near(F.col("a_size"), F.col("b_size")))
-            edges = pairs.select(F.col("b_rep").alias("x"), F.col("a_rep").alias("p"), "m").distinct()
+        if round_ == rounds:
+            labels = _joined(labels, _rest(members, texts))
         else:
-            ends = [here.filter(F.col("cls") != F.col(f"{e}.cls")).filter(near(F.col("size"), F.col(f"{e}.one.size"))).select(F.col("rep").alias("x"), F.col(f"{e}.one.rep").alias("p"), "m") for e in ("low", "high")]
-            edges = ends[0].unionAll(ends[1])
-        edges = edges.join(known.distinct(), ["x", "p"], "left_anti")
-        if last:
-            edges = materialise(edges)
-            if not edges.isEmpty():
-                labels = joined(_aligned(edges, texts))
-            break
+            edges = reduce(DataFrame.unionAll, [pivoted(members.filter(F.col("cls") != F.col(f"{end}.cls")), end) for end in ("low", "high")])
     classed = texts_of.select("sha", "rep", "n").join(labels, "rep", "left").select("sha", "n", F.coalesce("cls", "rep").alias("cls"))
     totals = classed.groupBy("cls").agg(F.sum("n").alias("group_size"))
     classed = materialise(classed.join(totals, "cls").select("sha", "n", "cls", "group_size"))
