@@ -17,7 +17,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from agromix.llm.common import text_of
 
 __all__ = ["Pieces", "decode", "encode_nbest", "model_file"]
 
-MEMO = 300_000
+MEMO = 250_000
 SPACE = "▁"
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -48,12 +48,24 @@ class Pieces:
         table = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [(table.id_to_piece(i), i) for i in range(table.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for p, i in names if table.is_byte(i)}
-        self.score = {p: (i, table.get_score(i)) for p, i in names if not (table.is_byte(i) or table.is_control(i) or table.is_unknown(i) or table.is_unused(i))}
-        self.table: dict = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score  # beginnings of pieces, and pieces
-        self.lost = min(s for _, s in self.score.values() if s > -1e8) - 10
         self.surface = [b"" if table.is_control(i) else bytes([int(p[3:5], 16)]) if table.is_byte(i) else p.replace(SPACE, " ").encode() for p, i in names]
+        self.scored = [(p, i, table.get_score(i)) for p, i in names if not (table.is_byte(i) or table.is_control(i) or table.is_unknown(i) or table.is_unused(i))]
         self.memo: dict = {}
 
+    @cached_property
+    def score(self) -> dict[str, tuple[int, float]]:
+        return {p: (i, s) for p, i, s in self.scored}
+
+    @cached_property
+    def lost(self) -> float:
+        """The score of each byte of a character without a piece."""
+        return min(s for _, _, s in self.scored if s > -1e8) - 10
+
+    @cached_property
+    def table(self) -> dict:
+        """Beginnings of pieces, and pieces: what a search walks. Decoding alone never builds it."""
+        return {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
+
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a word: (score, ids), best first."""
         size, edges = len(word), self._lattice(word)
@@ -160,7 +172,7 @@ class Pieces:
         return out
 
     def text(self, ids) -> str:
-        out = b"".join([self.surface[i] for i in ids])
+        out = b"".join(map(self.surface.__getitem__, ids))
         return out[1:].decode("utf-8", "replace") if out[:1] == b" " else out.decode("utf-8", "replace")
 
 
@@ -178,8 +190,8 @@ def _encoder(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 found = [pieces.nbest(t.as_py(), n) for t in batch.column(1)]
                 flat = [x for f in found for x in f]
                 inner = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), _lists([b for _, b in flat])], names=["score", "ids"])
@@ -198,9 +210,11 @@ def encode_nbest(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col:
 def _decoder(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in batches:
-            texts = pa.array([None if x is None else pieces.text(x) for x in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=["text" if i == at else x for i, x in enumerate(batch.schema.names)])
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 200):  # ids become Python numbers for a few texts at a time
+                batch = whole.slice(begin, 200)
+                texts = pa.array([pieces.text(x.values.to_pylist()) if x.is_valid else None for x in batch.column(at)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=["text" if i == at else x for i, x in enumerate(batch.schema.names)])
 
     return run
 
