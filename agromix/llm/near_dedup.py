@@ -69,7 +69,7 @@ def _word_hashes(body: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: bytes, k: int = WORDS, labelled: bool = True) -> np.ndarray:
-    """Hashes of the text's shingles in order; labelled: each mixed with its occurrence, so that no two are equal."""
+    """Hashes of the text's shingles in order; labelled: each but the first of its kind mixed with its occurrence, so that no two are equal."""
     body = np.frombuffer(text, dtype=np.uint8)
     if len(body) <= SEGMENT:
         words = _word_hashes(body)
@@ -98,7 +98,7 @@ def shingles(text: bytes, k: int = WORDS, labelled: bool = True) -> np.ndarray:
         place = np.arange(n)
         occurrence = np.empty(n, dtype=np.uint64)
         occurrence[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-        out = _mix(out + occurrence * ODD)
+        out = np.where(occurrence > 0, _mix(out + occurrence * ODD), out)
     return out
 
 

@@ -304,6 +304,37 @@ def test_near_classes(spark, rounds):
         assert r["kept"] == (r["id"] == r["class_id"])
 
 
+def one_repeats(rng, n):
+    """A text without a repeated shingle, and near copies of it that repeat some."""
+    base = words(rng, n, 1_000_000).split()
+    at = rng.randrange(n // 2)
+    doubled = base[: at + 6] + base[at : at + 6] + base[at + 6 :]
+    cut = doubled[:at] + doubled[at + 6 :]
+    thrice = base[: at + 6] + 2 * base[at : at + 6] + base[at + 6 :]
+    return [" ".join(x) for x in (base, doubled, thrice, [*cut[:-1], "edit"])]
+
+
+def test_alignment_where_one_text_repeats_a_shingle():
+    rng = random.Random(16)
+    for n in (60, 90, 200, 400):
+        texts = one_repeats(rng, n)
+        found = [shingles(x.encode()) for x in texts]
+        assert [len(np.unique(x)) for x in found] == [len(x) for x in found]
+        assert [len(x) - len(set(g for g, _ in brute_shingles(t))) > 0 for x, t in zip(found, texts)] == [False, True, True, False]
+        for i in range(4):
+            for j in range(4):
+                expected = brute_similarity(texts[i], texts[j])
+                assert alignment(found[i], found[j]) == pytest.approx(expected if expected >= 0.8 else 0.0)
+                assert n < 200 or (expected > 0.8 and (order_minhash(found[i]) == order_minhash(found[j])).any())
+
+
+def test_near_classes_where_one_text_repeats_a_shingle(spark):
+    rng = random.Random(17)
+    rows = [(4 * g + k, text) for g in range(10) for k, text in enumerate(one_repeats(rng, 300))]
+    got = near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["id"]: (r["class_id"], r["group_size"]) for r in got} == {i: (i // 4 * 4, 4) for i, _ in rows}
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_components(spark, few):
     edges = [(1, 2), (3, 2), (4, 3), (10, 11), (12, 11), (12, 13), (20, 20), *((100 + i, 101 + i) for i in range(40))]
