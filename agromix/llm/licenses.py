@@ -5,7 +5,8 @@ classes by size: a class holds those with up to S shingles, S a power of two, an
 every S, so any notice lies whole in one of them. A band is one minimum. A window that holds 80 % of a template's
 shingles has a similarity of at least 0.4 S / (2 S + 0.1 S) = 0.19 with it, so 64 bands miss it with a probability of
 0.81 ** 64, one in 700,000. Windows with none of any template's shingles share no minimum with one and aren't hashed.
-What the bands retrieve is verified by exact containment of shingles.
+What the bands retrieve is verified by exact containment of shingles. Notices of a template that was found are counted
+over the whole text: one ends where the template's shingles stop coming in its order, so adjacent ones are told apart.
 
 Null and empty texts hold no notice. Rows that repeat, or have a null identifier, are scanned each. Other columns aren't
 read. Templates of under five words are refused.
@@ -13,6 +14,7 @@ read. Templates of under five words are refused.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,23 +51,74 @@ def _minima(some: np.ndarray) -> np.ndarray:
     return _mix(some[None, :] ^ SEEDS).min(axis=1)
 
 
-def template_index(templates: dict[str, str]) -> tuple[np.ndarray, dict[int, list[tuple[str, np.ndarray, np.ndarray]]]]:
-    """All shingles of the templates, sorted, and by size class (name, shingles, minima)."""
+def template_index(templates: dict[str, str]) -> tuple[np.ndarray, dict[int, list[tuple[str, np.ndarray, np.ndarray]]], dict[str, np.ndarray]]:
+    """All shingles of the templates, sorted; by size class (name, shingles, minima); and each template's in its own order."""
     classes: dict[int, list] = {}
+    in_order = {}
     for name, text in templates.items():
         if len(text.encode().translate(WORD).split()) < 5:
             raise ValueError(f"template {name} has fewer than five words")
-        own = np.unique(_shingles(text))
+        in_order[name] = _shingles(text)
+        own = np.unique(in_order[name])
         classes.setdefault(1 << (len(own) - 1).bit_length(), []).append((name, own, _minima(own)))
-    return np.unique(np.concatenate([x[1] for c in classes.values() for x in c])), classes
+    return np.unique(np.concatenate([x[1] for c in classes.values() for x in c])), classes, in_order
+
+
+def _notices(s: np.ndarray, template: np.ndarray, most: int, containment: float) -> list[tuple[float, int, int]]:
+    """(share, first and last shingle) of notices that lie apart, each within ``most`` shingles, from the left.
+
+    A notice is there once its part of the template's shingles is; it goes on as long as these come in the template's order.
+    """
+    kinds = np.unique(template)
+    places = np.flatnonzero(np.isin(s, kinds))
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(template.tolist()):
+        at.setdefault(x, []).append(i)
+    hits = list(zip(places.tolist(), s[places].tolist(), strict=True))
+    out, low, i, held = [], 0, 0, Counter()
+
+    def drop_first() -> None:
+        nonlocal low
+        held[hits[low][1]] -= 1
+        if not held[hits[low][1]]:
+            del held[hits[low][1]]
+        low += 1
+
+    while i < len(hits):
+        place, x = hits[i]
+        held[x] += 1
+        while place - hits[low][0] >= most:
+            drop_first()
+        i += 1
+        if len(held) / len(kinds) < containment:
+            continue
+        last = _onward([y for _, y in hits[low:i]], at)
+        while i < len(hits) and hits[i][0] - hits[low][0] < most and (more := next((k for k in at[hits[i][1]] if k > last), None)) is not None:
+            last = more
+            held[hits[i][1]] += 1
+            i += 1
+        while held[hits[low][1]] > 1 and len(at[hits[low][1]]) < held[hits[low][1]]:
+            drop_first()
+        out.append((len(held) / len(kinds), hits[low][0], hits[i - 1][0]))
+        low = i
+        held.clear()
+    return out
+
+
+def _onward(found: list[int], at: dict[int, list[int]]) -> int:
+    """The template's place that ``found`` has come to, starting over where the order breaks."""
+    last = -1
+    for x in found:
+        last = next((k for k in at[x] if k > last), at[x][0])
+    return last
 
 
 def scan_text(text: str, index, containment: float = 0.8) -> list[tuple[str, float, int, int, int]]:
-    """(template, containment, first word, words, notices) of the best notice of each template; notices: how many lie apart."""
-    known, classes = index
+    """(template, containment, first word, words, notices) of the best notice of each template; notices: how many there are."""
+    known, classes, of_text = index
     s = _shingles(text)
     hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s)
-    found: dict[str, list] = {}
+    found: dict[str, tuple] = {}
     if not len(hits):
         return []
     for size, templates in classes.items():
@@ -81,15 +134,12 @@ def scan_text(text: str, index, containment: float = 0.8) -> list[tuple[str, flo
                 places = np.flatnonzero(np.isin(window, own)) + w * size
                 share = len(np.unique(s[places])) / len(own)
                 if share >= containment:
-                    found.setdefault(name, []).append((share, int(places[0]), int(places[-1])))
+                    found.setdefault(name, (of_text[name], size, []))[2].append((share, int(places[0]), int(places[-1])))
     out = []
-    for name, spans in found.items():
-        best = max(spans, key=lambda x: (x[0], -(x[2] - x[1]), -x[1]))
-        apart, last = 0, -1
-        for _, first, end in sorted(spans, key=lambda x: x[2]):
-            if first > last:
-                apart, last = apart + 1, end
-        out.append((name, best[0], best[1], best[2] - best[1] + 5, apart))
+    for name, (own, size, spans) in found.items():
+        apart = _notices(s, own, 2 * size, containment)
+        best = max(apart + spans, key=lambda x: (x[0], -(x[2] - x[1]), -x[1]))
+        out.append((name, best[0], best[1], best[2] - best[1] + 5, len(apart)))
     return sorted(out)
 
 

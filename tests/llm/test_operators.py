@@ -502,3 +502,16 @@ def test_lookup_with_hot_keys(spark):
 def test_statistics_keep_their_rows(docs):
     assert base_statistics(docs.select("doc_id", "text")).count() == docs.count()
     assert classes(docs).count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+def test_license_notices_close_together_are_counted_each():
+    index = template_index(NOTICES)
+    for name, text in NOTICES.items():
+        n = len(re.findall(r"[A-Za-z0-9]+", text))
+        for copies in (1, 2, 3, 12, 40):
+            for between in (" ", " and then ", "\n" + "other words stand here " * 40):
+                found = {x[0]: x for x in scan_text("Before it. " + between.join([text] * copies) + " After it.", index)}
+                assert found[name] == (name, 1.0, 2, n, copies)
+    gpl = NOTICES["GPL-3.0"]
+    part = " ".join(gpl.split()[6:])
+    assert {x[0]: x for x in scan_text(f"{part} {gpl} {gpl}", index)}["GPL-3.0"][1:] == (1.0, 6, 12, 2)
