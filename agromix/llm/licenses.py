@@ -9,7 +9,7 @@ What the bands retrieve is verified by exact containment of shingles. Notices of
 over the whole text: one ends where the template's shingles stop coming in its order, so adjacent ones are told apart.
 
 Null and empty texts hold no notice. Rows that repeat, or have a null identifier, are scanned each. Other columns aren't
-read. Templates of under five words are refused.
+read. Templates of under five words are refused; what is shorter is a phrase, which is matched word for word.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from agromix.llm.common import text_of
 from agromix.llm.near_dedup import ODD, _mix, shingles
 
-__all__ = ["NOTICES", "scan_licenses", "scan_text", "template_index"]
+__all__ = ["NOTICES", "PHRASES", "TEXTS", "phrase_index", "scan_licenses", "scan_phrases", "scan_text", "template_index"]
 
 #: Short notices as licensors ask for them.
 NOTICES = {
@@ -38,13 +38,56 @@ NOTICES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
 }
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+_BSD = 'Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. '
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+#: Licence bodies and headers as they stand in files.
+TEXTS = {
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
+    "BSD-text": _BSD + _AS_IS,
+    "GPL-header": _GNU,
+    "LGPL-header": _GNU.replace("GNU General", "GNU Lesser General"),
+    "AGPL-header": _GNU.replace("GNU General", "GNU Affero General"),
+    "GNU-document": "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+}
+SPDX = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")
+#: Matched word by word, whatever their length.
+PHRASES = {"All-rights-reserved": "All rights reserved."} | {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
 BANDS = 64
 WORD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 SEEDS = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * ODD)[:, None]
 
 
+def _body(text: str) -> bytes:
+    return text.encode().translate(WORD)
+
+
 def _shingles(text: str) -> np.ndarray:
-    return shingles(text.encode().translate(WORD), labelled=False)
+    return shingles(_body(text), labelled=False)
+
+
+def phrase_index(phrases: dict[str, str]) -> list[tuple[str, int, int, bytes]]:
+    """(name, number of words, the shingle of them all, the longest word) of each phrase."""
+    split = {name: _body(text).split() for name, text in phrases.items()}
+    return [(name, len(w), int(shingles(b" ".join(w), len(w), labelled=False)[0]), max(w, key=len)) for name, w in split.items()]
+
+
+def scan_phrases(text: str, index: list[tuple[str, int, int, bytes]]) -> list[tuple[str, float, int, int, int]]:
+    """As scan_text, of phrases that stand in the text word for word."""
+    body, out = _body(text), []
+    present = {word: word in body for word in {x[3] for x in index}}
+    found: dict[int, np.ndarray] = {}
+    for name, n, whole, word in index:
+        if not present[word]:
+            continue
+        if n not in found:
+            found[n] = shingles(body, n, labelled=False)
+        if len(places := np.flatnonzero(found[n] == np.uint64(whole))):
+            out.append((name, 1.0, int(places[0]), n, len(places)))
+    return out
 
 
 def _minima(some: np.ndarray) -> np.ndarray:
@@ -143,19 +186,22 @@ def scan_text(text: str, index, containment: float = 0.8) -> list[tuple[str, flo
     return sorted(out)
 
 
-def _scan(templates: dict[str, str], containment: float):
+def _scan(templates: dict[str, str], phrases: dict[str, str], containment: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = template_index(templates)
+        index, exact = template_index(templates), phrase_index(phrases)
+        scan = lambda text: scan_text(text, index, containment) + scan_phrases(text, exact)
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            rows = [(one, *x) for one, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in scan_text(text.as_py(), index, containment)]
+            rows = [(one, *x) for one, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in scan(text.as_py())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "license", "containment", "first_word", "n_words", "n_notices"])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
-    """A row for each document and template with a notice of at least ``containment``."""
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, phrases: dict[str, str] | None = None) -> DataFrame:
+    """A row for each document and template with a notice of at least ``containment``, or phrase. Both are the module's if neither is given."""
+    if not templates and not phrases:
+        templates, phrases = NOTICES | TEXTS, PHRASES
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_scan(templates or NOTICES, containment), "doc_id long, license string, containment double, first_word long, n_words long, n_notices long")
+    return rows.mapInArrow(_scan(templates or NOTICES, phrases or {}, containment), "doc_id long, license string, containment double, first_word long, n_words long, n_notices long")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from agromix.llm.common import skew_safe_lookup
 from agromix.llm.exact_dedup import RadixTrie, classes, exact_dedup
-from agromix.llm.licenses import NOTICES, scan_licenses, scan_text, template_index
+from agromix.llm.licenses import NOTICES, PHRASES, TEXTS, scan_licenses, scan_text, template_index
 from agromix.llm.line_dedup import line_dedup
 from agromix.llm.near_dedup import alignment, components, near_classes, order_minhash, shingles
 from agromix.llm.packing import CapacityTree, best_fit, close_windows, pack
@@ -515,3 +515,19 @@ def test_license_notices_close_together_are_counted_each():
     gpl = NOTICES["GPL-3.0"]
     part = " ".join(gpl.split()[6:])
     assert {x[0]: x for x in scan_text(f"{part} {gpl} {gpl}", index)}["GPL-3.0"][1:] == (1.0, 6, 12, 2)
+
+
+def test_license_bodies_and_phrases(spark, folder):
+    names = [*TEXTS, *PHRASES]
+    rows = [(i, f"Some words before.\n{(TEXTS | PHRASES)[x]}\nAnd words after.") for i, x in enumerate(names)]
+    rows += [(900, "all  RIGHTS\nreserved"), (901, "all rights are reserved"), (902, "All rights"), (903, "x All rights reserved. All rights reserved."), (904, "SPDX-License-Identifier: CC-BY-SA-4.0")]
+    got = defaultdict(dict)
+    for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]][r["license"]] = (r["containment"], r["first_word"], r["n_words"], r["n_notices"])
+    for i, x in enumerate(names):
+        assert got[i][x] == (1.0, 3, len(re.findall(r"[A-Za-z0-9]+", (TEXTS | PHRASES)[x])), 1)
+    assert got[900] == {"All-rights-reserved": (1.0, 0, 3, 1)} and got[903] == {"All-rights-reserved": (1.0, 1, 3, 2)}
+    assert 901 not in got and 902 not in got and set(got[904]) == {"SPDX-CC-BY-SA-4.0"}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    expected = {r["doc_id"] for r in docs.select("doc_id", "text").collect() if re.search(r"(?<![a-z0-9\x80-\U0010ffff])all[^a-z0-9\x80-\U0010ffff]+rights[^a-z0-9\x80-\U0010ffff]+reserved(?![a-z0-9\x80-\U0010ffff])", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))}
+    assert {r["doc_id"] for r in scan_licenses(docs).filter("license = 'All-rights-reserved'").collect()} == expected
