@@ -15,6 +15,7 @@ from agromix.llm.packing import pack
 from agromix.llm.pieces import decode, encode_nbest
 from agromix.llm.rules import BASE, quality_rules
 from agromix.llm.token_counts import count_tokens, token_files, write_token_files
+from agromix.llm.tokens import SEPARATOR
 from agromix.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from agromix.llm.warc import read_warc, write_warc
 from agromix.sources.tables import table
@@ -28,8 +29,8 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    written = write_token_files(table(spark, folder, "documents"))
-    counted = count_tokens(token_files(written))
+    written = write_token_files(table(spark, folder, "documents"), end=SEPARATOR)
+    counted = count_tokens(token_files(written), end=SEPARATOR)
     return counted.join(written, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "ordinal")
 
 

@@ -31,7 +31,7 @@ def _writer(folder: str, path: str, end: int):
             n = 0
             for batch in batches:
                 for text in batch.column(1):
-                    ids = np.frombuffer(encode_bytes(text.as_py(), path), dtype="<u4")
+                    ids = np.frombuffer(encode_bytes(text.as_py(), path, end != END_OF_TEXT), dtype="<u4")
                     out.write(ids.astype("<u2").tobytes() + end.to_bytes(2, "little"))
                 if batch.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array([uri] * batch.num_rows), pa.array(range(n, n + batch.num_rows), pa.int64()), batch.column(0)], names=["file", "ordinal", "doc_id"])
@@ -41,7 +41,10 @@ def _writer(folder: str, path: str, end: int):
 
 
 def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end: int = END_OF_TEXT, folder: str | None = None) -> DataFrame:
-    """Writes 16-bit token files, one a task, each document followed by ``end``; returns (file, ordinal, doc_id)."""
+    """Writes 16-bit token files, one a task, each document followed by ``end``; returns (file, ordinal, doc_id).
+
+    Where ``end`` is END_OF_TEXT, the literal of that token in a text is spelled in pieces, as it would end the document.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return materialise(rows.mapInArrow(_writer(folder or scratch(docs.sparkSession), path or rank_file(), end), "file string, ordinal long, doc_id long"))
 

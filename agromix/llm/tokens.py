@@ -12,10 +12,13 @@ from functools import lru_cache
 
 import numpy as np
 
-__all__ = ["END_OF_TEXT", "encode_bytes", "rank_file"]
+__all__ = ["ADDED", "END_OF_TEXT", "SEPARATOR", "encode_bytes", "rank_file"]
 
-#: The identifier that no text yields.
+#: The identifier of the added token, which a text yields only where it holds its literal.
 END_OF_TEXT = 50256
+ADDED = "<|endoftext|>"
+#: Above the vocabulary, within 16 bits: no text yields it.
+SEPARATOR = 65535
 #: Bound on memorised words, for each Python worker.
 MEMO = 400_000
 
@@ -50,12 +53,17 @@ def _tables(path: str):
     return encoding, _Memo(encoding), re.compile(r"\s\s|\s\Z")
 
 
-def encode_bytes(text: str, path: str) -> bytes:
+def encode_bytes(text: str, path: str, added: bool = True) -> bytes:
     """The text's identifiers as little-endian unsigned 32-bit integers.
 
+    As in the library, the added token's literal is one identifier and parts what stands before and after it; without
+    ``added`` it is spelled in pieces like any other text.
+
     The pattern that splits texts before merging always parts a word from what precedes the blank before it, as long as
     no two white-space characters touch. Such texts are cut at blanks and each word is looked up; others go whole.
     """
+    if added and ADDED in text:
+        return END_OF_TEXT.to_bytes(4, "little").join(encode_bytes(x, path) for x in text.split(ADDED))
     encoding, memo, touching = _tables(path)
     if not text or touching.search(text) or text[0].isspace():
         return np.array(encoding.encode_ordinary(text), dtype="<u4").tobytes()

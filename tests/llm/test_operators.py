@@ -20,7 +20,7 @@ from agromix.llm.packing import CapacityTree, best_fit, close_windows, pack
 from agromix.llm.pieces import Pieces, decode, encode_nbest, model_file
 from agromix.llm.rules import base_statistics, quality_rules
 from agromix.llm.token_counts import count_tokens, token_files, write_token_files
-from agromix.llm.tokens import encode_bytes, rank_file
+from agromix.llm.tokens import SEPARATOR, encode_bytes, rank_file
 from agromix.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from agromix.llm.warc import parse_record, read_warc, record_bytes, write_warc
 
@@ -531,3 +531,28 @@ def test_license_bodies_and_phrases(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     expected = {r["doc_id"] for r in docs.select("doc_id", "text").collect() if re.search(r"(?<![a-z0-9\x80-\U0010ffff])all[^a-z0-9\x80-\U0010ffff]+rights[^a-z0-9\x80-\U0010ffff]+reserved(?![a-z0-9\x80-\U0010ffff])", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))}
     assert {r["doc_id"] for r in scan_licenses(docs).filter("license = 'All-rights-reserved'").collect()} == expected
+
+
+def test_added_token_in_texts(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from agromix.llm.queries import QUERIES
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [e, f"a {e} b", f"a{e}b", f"{e}{e} x  y", f"one two\n{e}", "<|endoftext |>", f"é {e}é ", f" {e} ", "plain words"]
+    expected = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(x.count(50256) for x in expected) == sum(x.count(e) for x in texts)
+    for text, ids in zip(texts, expected, strict=True):
+        assert np.frombuffer(encode_bytes(text, rank_file()), "<u4").tolist() == ids
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op2_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(x) for i, x in enumerate(expected)}
+    for r in QUERIES["op6_packing"](spark, str(tmp_path)).collect():
+        ids = np.array([*expected[r["doc_id"]], 0], dtype="<u4")
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+    for end in (50256, SEPARATOR):
+        written = write_token_files(frame, end=end)
+        assert count_tokens(token_files(written), end=end).count() == len(texts)
