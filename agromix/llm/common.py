@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -15,16 +16,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["HOT_SHARE", "apart", "hidden", "local_uri", "materialise", "open_input", "open_output", "scratch", "skew_safe_lookup", "text_of"]
+__all__ = ["HOT_SHARE", "apart", "bounded_batches", "hidden", "local_uri", "mapped", "materialise", "open_input", "open_output", "scratch", "skew_safe_lookup", "text_of"]
 
 #: A key counts as hot when it holds at least this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1024
+#: Bytes of an Arrow batch, but for a single row that is longer.
+BATCH = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), one of this process's own is set."""
+    """A new folder below ``spark.checkpoint.dir``; unset, one of this process's own in local mode (tests), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="agromix-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -47,6 +53,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` in batches of BATCH bytes.
+
+    Batches are bounded by 10,000 rows or 64 MB otherwise, and each is held several times over on its way. The setting is
+    the session's; a smaller one stays.
+    """
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)i?b?", spark.conf.get(BATCH_SETTING).strip().lower()).groups()
+    if not 0 < int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit] <= BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def hidden(df: DataFrame) -> list[Column]:
     """All columns under names of their places, so that none meets the names an operator uses; unused ones are pruned."""
     return [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(df.columns)]

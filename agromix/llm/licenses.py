@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import text_of
+from agromix.llm.common import mapped, text_of
 from agromix.llm.near_dedup import ODD, _mix, shingles
 
 __all__ = ["NOTICES", "PHRASES", "TEXTS", "phrase_index", "scan_licenses", "scan_phrases", "scan_text", "template_index"]
@@ -204,4 +204,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     if not templates and not phrases:
         templates, phrases = NOTICES | TEXTS, PHRASES
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_scan(templates or NOTICES, phrases or {}, containment), "doc_id long, license string, containment double, first_word long, n_words long, n_notices long")
+    return mapped(rows, _scan(templates or NOTICES, phrases or {}, containment), "doc_id long, license string, containment double, first_word long, n_words long, n_notices long")

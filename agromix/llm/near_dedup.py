@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import materialise, skew_safe_lookup, text_of
+from agromix.llm.common import mapped, materialise, skew_safe_lookup, text_of
 
 __all__ = ["alignment", "components", "near_classes", "order_minhash", "shingles"]
 
@@ -182,7 +182,7 @@ def _aligned(edges: DataFrame, texts: DataFrame, held: int = 256) -> DataFrame:
     others = edges.select("x", "p", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt")).join(texts, F.col("x") == F.col("id")).select("p", "salt", "x", "text")
     pivots = edges.groupBy("p").agg(F.max(salts).alias("salts")).join(texts, F.col("p") == F.col("id")).select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "text")
     dealt = others.unionByName(pivots).repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("x").asc_nulls_first())
-    return materialise(dealt.mapInArrow(_verify, "a long, b long"))
+    return materialise(mapped(dealt, _verify, "a long, b long"))
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def components(edges: DataFrame, n: int | None = None, few: int = 1 << 14) -> Da
     Up to ``few`` edges (``n`` or counted) one task does, by union-find; more are worked off by alternating stars.
     """
     if (edges.count() if n is None else n) <= few:
-        return materialise(edges.filter("a <> b").select("a", "b").coalesce(1).mapInArrow(_union_find, "node long, root long"))
+        return materialise(mapped(edges.filter("a <> b").select("a", "b").coalesce(1), _union_find, "node long, root long"))
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was, is_ = None, state(now)
@@ -320,13 +320,13 @@ def _rest(members: DataFrame, texts: DataFrame, held: int = 256) -> DataFrame:
     meets = F.when(is_major, F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
     dealt = dealt.join(texts, "id").select("root", "block", "id", "cls", "text", F.explode(meets).alias("other"))
     dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "cls", "text")
-    return materialise(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_blocks, "a long, b long"))
+    return materialise(mapped(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), _blocks, "a long, b long"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """A row (id, class_id, group_size, kept) for each document; class_id is the smallest identifier of its class."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    sketched = materialise(rows.filter("id is not null").mapInArrow(_sketch, "id long, sha binary, size int, keys array<long>"))
+    sketched = materialise(mapped(rows.filter("id is not null"), _sketch, "id long, sha binary, size int, keys array<long>"))
     texts_of = materialise(sketched.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     exploded = texts_of.select("rep", "size", F.explode("keys").alias("key"))
     sizes = exploded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "size")).alias("low")).filter("m > 1")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import text_of
+from agromix.llm.common import mapped, text_of
 from agromix.llm.tokens import encode_bytes, rank_file
 
 __all__ = ["CapacityTree", "best_fit", "close_windows", "pack"]
@@ -161,4 +161,5 @@ def _packer(path: str, size: int, held_tokens: int):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, held_tokens: int = 4_000_000, path: str | None = None) -> DataFrame:
     """A row for each piece: the document, where in its identifiers the piece starts, its length and CRC-32, and its place in a sequence."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(_packer(path or rank_file(), size, held_tokens), PIECES)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return mapped(rows, _packer(path or rank_file(), size, held_tokens), PIECES)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import text_of
+from agromix.llm.common import mapped, text_of
 
 __all__ = ["Pieces", "decode", "encode_nbest", "model_file"]
 
@@ -204,7 +204,7 @@ def _encoder(path: str, n: int):
 def encode_nbest(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, nbest: array of score and ids, best first) for each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_encoder(path or model_file(), n), "doc_id long, nbest array<struct<score double, ids array<int>>>")
+    return mapped(rows, _encoder(path or model_file(), n), "doc_id long, nbest array<struct<score double, ids array<int>>>")
 
 
 def _decoder(path: str, at: int):
@@ -223,4 +223,4 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
     """``rows`` with the column of ids replaced by the text they stand for (column text). Null stays null."""
     at = rows.columns.index(ids_col)
     schema = ", ".join(f"`{'text' if c == ids_col else c}` {'string' if c == ids_col else t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(_decoder(path or model_file(), at), schema)
+    return mapped(rows, _decoder(path or model_file(), at), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agromix.llm.common import materialise, open_input, open_output, scratch, text_of
+from agromix.llm.common import mapped, materialise, open_input, open_output, scratch, text_of
 from agromix.llm.tokens import END_OF_TEXT, encode_bytes, rank_file
 
 __all__ = ["count_tokens", "token_files", "write_token_files"]
@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Where ``end`` is END_OF_TEXT, the literal of that token in a text is spelled in pieces, as it would end the document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return materialise(rows.mapInArrow(_writer(folder or scratch(docs.sparkSession), path or rank_file(), end), "file string, ordinal long, doc_id long"))
+    return materialise(mapped(rows, _writer(folder or scratch(docs.sparkSession), path or rank_file(), end), "file string, ordinal long, doc_id long"))
 
 
 def _sizes(width: int):
@@ -63,7 +63,7 @@ def _sizes(width: int):
 
 def token_files(named: DataFrame, width: int = 2) -> DataFrame:
     """(file, n_tokens) of the distinct files in column file, by their sizes."""
-    return materialise(named.select("file").distinct().mapInArrow(_sizes(width), "file string, n_tokens long"))
+    return materialise(mapped(named.select("file").distinct(), _sizes(width), "file string, n_tokens long"))
 
 
 def _scanner(end: int, width: int):
@@ -88,7 +88,7 @@ def count_tokens(files: DataFrame, end: int = END_OF_TEXT, width: int = 2, block
     begin = F.col("block") * block_tokens
     blocks = files.select("file", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block_tokens))).alias("block"))
     blocks = blocks.select("file", "block", begin.alias("begin"), F.least(F.lit(block_tokens), F.col("total") - begin).alias("n"))
-    scanned = materialise(blocks.repartition("file", "block").mapInArrow(_scanner(end, width), "file string, block long, n_ends long, last_end long, ends array<long>"))
+    scanned = materialise(mapped(blocks.repartition("file", "block"), _scanner(end, width), "file string, block long, n_ends long, last_end long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = scanned.select("file", "block", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("first"), F.coalesce(F.last("last_end", ignorenulls=True).over(before), F.lit(-1)).alias("since"))
     joined = scanned.select("file", "block", "ends").join(stitched, ["file", "block"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import materialise, text_of
+from agromix.llm.common import bounded_batches, mapped, materialise, text_of
 
 __all__ = ["LabelModel", "ToxicityModel", "fit_label_model", "fit_toxicity", "held_out", "marks", "score_toxicity"]
 
@@ -159,7 +159,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     toxic, clean = sums.get(1, 0), sums.get(0, 0)
     if not toxic or not clean:
         return ToxicityModel(bias=30.0 if toxic else -30.0)
-    counted = rows.mapInArrow(_count_marks, "mark string, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).filter(F.col("a") + F.col("b") >= least)
+    counted = mapped(rows, _count_marks, "mark string, toxic long, clean long").groupBy("mark").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).filter(F.col("a") + F.col("b") >= least)
     # log-likelihood ratio of the mark and the class, signed by the direction
     both = F.col("a") + F.col("b")
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -176,7 +176,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     names = [f"^{s}" if up else s for s, up in chosen]
     rate = {r["mark"]: ((r["a"] + 0.5) / (toxic + 1)) / ((r["b"] + 0.5) / (clean + 1)) for r in best}
     voters = [i for i, m in enumerate(names) if rate[m] >= 8][:n_voters]
-    got = rows.mapInArrow(_find_marks(names), "marks array<int>, counts array<double>, length double, label int").collect()
+    got = mapped(rows, _find_marks(names), "marks array<int>, counts array<double>, length double, label int").collect()
     matrix = np.zeros((len(got), len(names) + 2))
     matrix[:, -1] = 1
     for i, r in enumerate(got):
@@ -204,5 +204,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
         odds = [bias + length * n + sum(weights[i] * x for i, x in got.items()) for got, n in found]
         return pd.Series(1 / (1 + np.exp(-np.clip(np.array(odds, dtype=float), -30, 30))))
 
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn("score", score(text_of(text_col)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agromix.llm.common import materialise, open_input, open_output, scratch, skew_safe_lookup, text_of
+from agromix.llm.common import mapped, materialise, open_input, open_output, scratch, skew_safe_lookup, text_of
 
 __all__ = ["parse_record", "read_warc", "record_bytes", "write_warc"]
 
@@ -105,7 +105,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     found = skew_safe_lookup(rows, materialise(groups), "digest", "n", "id")
     revisit = F.coalesce(F.col("id") != F.col("first"), F.col("first").isNotNull())
     found = found.select("id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    return materialise(found.mapInArrow(_writer(folder or scratch(spark), level), INDEX))
+    return materialise(mapped(found, _writer(folder or scratch(spark), level), INDEX))
 
 
 def _reader(gap: int, most: int):
@@ -140,4 +140,4 @@ def read_warc(spark: SparkSession, index: DataFrame, stretch: int = 16 << 20, ga
     """The records that the rows of ``index`` (or those selected from it) point at, payloads verified."""
     part = F.floor(F.col("offset") / stretch)
     dealt = index.select("archive", "offset", "length", part.alias("stretch")).repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(_reader(gap, most), RECORDS)
+    return mapped(dealt, _reader(gap, most), RECORDS)

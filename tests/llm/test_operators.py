@@ -67,7 +67,8 @@ def test_radix_trie_with_and_without_eviction():
             if trie.insert(s, i) is not None:
                 away[s].append((i, 1))
             while trie.held > budget and trie.strings > 1:
-                prefix, found = trie.evict()
+                prefix, strings = trie.evict()
+                found = list(strings)
                 assert all(s.startswith(prefix) for s, _, _ in found)
                 for s_, best, n in found:
                     away[s_].append((best, n))
