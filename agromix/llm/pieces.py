@@ -1,36 +1,47 @@
 """SentencePiece encoding into the n best segmentations, and decoding.
 
-The lattice of a text has an edge for every piece that matches, scored as in the model; a character without a piece has
-an edge of its byte pieces. Forward Viterbi gives each position the best score from the start; these are exact
-heuristics for an A-star search from the end, which therefore takes paths off its queue best first. No piece holds a
-word's end before a blank, so the lattice falls apart at blanks and a text's n best combine those of its words: only the
-n - 1 words with the cheapest second choice can matter, and only these are searched. The others need their best path
-and what the second would lose, which are kept in a bounded memo.
-
-Equal scores are ordered by the search, the same each time. Null text counts as empty and has one empty segmentation.
-Rows that repeat, or have a null identifier, are segmented each. Other columns are not read. Long texts stay whole.
+The lattice of a word has an edge for every piece that matches, scored as in the model; a character without a piece has
+one edge of its byte pieces, which costs one penalty, as in the library's lattices. Forward Viterbi gives each position
+the best score from the start. These scores are exact heuristics for an A-star search from the end: a path's priority is
+what it has gathered plus the best score of its open beginning. Paths leave the queue best first, so the first is the
+best and the next n - 1 are the next best.
+
+No piece holds a word's end before a blank, so the lattice falls apart at blanks and a text's n best combine those of its
+words. The distinct words of an Arrow batch are searched once each, for two paths, many words at a time: the trie of
+pieces is walked from all positions at once, scores go forward over all words of a length, and back from the end the path
+without loss comes off the queue first, then the deviation from it that loses least. A text's second best swaps the one
+word that loses least. Only for n over 2, the n - 1 words of a text that lose least are searched further with a queue.
+
+The model's table is of BPE type: its scores are negative merge ranks, and the best path by them is often not what the
+model's merges give. encode_merged() returns the model's own encoding.
+
+Equal scores are ordered by the search, the same each time: longer pieces at the end first. Null text counts as empty and
+has one empty segmentation. Rows that repeat, or have a null identifier, are segmented each. Other columns are not read.
+Long texts stay whole; words of over LONG characters are searched one by one. An empty table gives an empty result. What
+a task holds is bounded by its Arrow batch. The character that stands for blanks counts as a blank in texts.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agromix.llm.common import mapped, text_of
 
-__all__ = ["Pieces", "decode", "encode_nbest", "model_file"]
+__all__ = ["Pieces", "Segments", "decode", "encode_merged", "encode_nbest", "model_file"]
 
-MEMO = 250_000
 SPACE = "▁"
-RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Characters of words that are searched many at a time; cells of one such block.
+LONG, CELLS = 64, 150_000
 
 
 def model_file() -> str:
@@ -39,18 +50,86 @@ def model_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` at ``starts``, one after another."""
+    before = np.cumsum(lengths) - lengths
+    return pool[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+def _offsets(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lengths)))
+
+
+@dataclass
+class Segments:
+    """Of distinct words: best score, what the second best loses (inf if there is none), both paths' ids and where they start."""
+
+    score: np.ndarray
+    loss: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+    second: np.ndarray
+    second_at: np.ndarray
+
+
+class _Trie:
+    """Beginnings of pieces as numbered states: a hash table from (state, character) to state, probed for many at once."""
+
+    def __init__(self, pieces: list[tuple[str, int, float]]):
+        step: dict[int, int] = {}
+        self.ids, self.scores = [-1], [0.0]
+        for name, one, score in pieces:
+            state = 0
+            for x in name:
+                key = state << 21 | ord(x)
+                if (state := step.get(key)) is None:
+                    state = step[key] = len(self.ids)
+                    self.ids.append(-1)
+                    self.scores.append(0.0)
+            self.ids[state], self.scores[state] = one, score
+        self.ids, self.scores = np.array(self.ids, np.int32), np.array(self.scores)
+        keys, values = np.array(list(step), np.uint64), np.array(list(step.values()), np.int32)
+        self.bits = max(10, (8 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        left, probe = np.arange(len(keys)), 0
+        while len(left):
+            slot = self._slot(keys[left], probe)
+            free = np.flatnonzero(self.values[slot] < 0)
+            slots, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.keys[slots], self.values[slots] = keys[left[placed]], values[left[placed]]
+            left = np.delete(left, placed)
+            probe += 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)) + np.uint64(probe)) & np.uint64((1 << self.bits) - 1)
+
+    def step(self, states: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The next states, -1 where no piece goes on so."""
+        keys = states.astype(np.uint64) << np.uint64(21) | characters.astype(np.uint64)
+        slot = self._slot(keys, 0)
+        out = np.where(self.keys[slot] == keys, self.values[slot], -1)
+        left, probe = np.flatnonzero((self.keys[slot] != keys) & (self.values[slot] >= 0)), 1
+        while len(left):
+            slot = self._slot(keys[left], probe)
+            hit = self.keys[slot] == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            left = left[~hit & (self.values[slot] >= 0)]
+            probe += 1
+        return out
+
+
 class Pieces:
     """The model's table of pieces and the searches over it."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        table = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = table = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [(table.id_to_piece(i), i) for i in range(table.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for p, i in names if table.is_byte(i)}
         self.surface = [b"" if table.is_control(i) else bytes([int(p[3:5], 16)]) if table.is_byte(i) else p.replace(SPACE, " ").encode() for p, i in names]
         self.scored = [(p, i, table.get_score(i)) for p, i in names if not (table.is_byte(i) or table.is_control(i) or table.is_unknown(i) or table.is_unused(i))]
-        self.memo: dict = {}
 
     @cached_property
     def score(self) -> dict[str, tuple[int, float]]:
@@ -58,16 +137,30 @@ class Pieces:
 
     @cached_property
     def lost(self) -> float:
-        """The score of each byte of a character without a piece."""
+        """The score of a character without a piece, whatever its number of bytes."""
         return min(s for _, _, s in self.scored if s > -1e8) - 10
 
     @cached_property
     def table(self) -> dict:
-        """Beginnings of pieces, and pieces: what a search walks. Decoding alone never builds it."""
+        """Beginnings of pieces, and pieces: what search() walks."""
         return {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
 
+    @cached_property
+    def trie(self) -> _Trie:
+        return _Trie([(p.replace(SPACE, " "), i, s) for p, i, s in self.scored])
+
+    @cached_property
+    def byte_ids(self) -> np.ndarray:
+        return np.array([self.bytes.get(b, 0) for b in range(256)], np.int32)
+
+    @cached_property
+    def surfaces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All surfaces in one, where each starts, and their lengths."""
+        lengths = np.array([len(x) for x in self.surface])
+        return np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(lengths) - lengths, lengths
+
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a word: (score, ids), best first."""
+        """The n best segmentations of a word (blanks as SPACE): (score, ids), best first."""
         size, edges = len(word), self._lattice(word)
         best, ending = [0.0] + [-1e300] * size, [[] for _ in range(size + 1)]
         for start, end, ids, cost in edges:
@@ -105,98 +198,247 @@ class Pieces:
                 found = table.get(word[i:j], none)
             if not first:
                 ids = tuple([self.bytes[b] for b in word[i].encode()])
-                out.append((i, i + 1, ids, self.lost * len(ids)))
+                out.append((i, i + 1, ids, self.lost))
         return out
 
-    def word(self, word: str) -> tuple[float, bytes, float | None]:
-        """(best score, its ids as 32-bit integers, what the second best loses or None if there is none), kept within bounds.
+    def _two(self, codes: np.ndarray) -> tuple:
+        """The two best paths of words of one length; codes: a row for each place, a column for each word.
 
-        The second best path has an edge off the best one, so its loss is the least over such edges of the best path
-        through them: forward plus backward Viterbi scores. Which words need more than that is known only for a text.
+        Gives the best scores, the losses, and for either path its ids and numbers of ids by word. An id under zero is a
+        character without a piece.
         """
-        if (kept := self.memo.get(word)) is not None:
-            return kept
-        edges, size = self._lattice(word), len(word)
-        best, back = [0.0] + [-1e300] * size, [None] * (size + 1)
-        for edge in edges:
-            total = best[edge[0]] + edge[3]
-            if total > best[edge[1]]:
-                best[edge[1]], back[edge[1]] = total, edge
-        path, at = [], size
-        while at:
-            path.append(back[at])
-            at = back[at][0]
-        tail, second, top = [-1e300] * size + [0.0], -1e301, best[size]
-        for edge in reversed(edges):
-            start, end, _, cost = edge
-            total = cost + tail[end]
-            if total > tail[start]:
-                tail[start] = total
-            if best[start] + total > second and edge not in path:
-                second = best[start] + total
-        ids: list = []
-        for edge in reversed(path):
-            if isinstance(edge[2], tuple):
-                ids += edge[2]
-            else:
-                ids.append(edge[2])
-        found = (top, array("i", ids).tobytes(), top - second if second > -1e300 else None)
-        if len(self.memo) < MEMO and size < 64:
-            self.memo[word] = found
-        return found
-
-    def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a whole text (fewer if there are no more): (score, ids as 32-bit integers)."""
-        if not text:
-            return [(0.0, b"")]
-        text = SPACE + text.replace(" ", SPACE)
-        words = RUN.findall(text) if SPACE * 2 in text or text[-1] == SPACE else [SPACE + x for x in text[1:].split(SPACE)]
-        known, word = self.memo.get, self.word
-        found = [known(w) or word(w) for w in words]
-        ids = [x[1] for x in found]
-        total = sum(x[0] for x in found)
-        out = [(total, b"".join(ids))]
-        if n > 1:
-            turns = heapq.nsmallest(n - 1, ((x[2], i) for i, x in enumerate(found) if x[2] is not None))
+        size, n = codes.shape
+        flat, trie = codes.ravel(), self.trie
+        at, state = np.arange(size * n), np.zeros(size * n, np.int32)
+        scores, ids = [], []
+        for length in range(1, size + 1):
+            here = int(np.searchsorted(at, (size - length + 1) * n))
+            state = trie.step(state[:here], flat[at[:here] + (length - 1) * n])
+            at, state = at[:here][state >= 0], state[state >= 0]
+            if length > 1 and not len(at):
+                break
+            end = trie.ids[state] >= 0
+            scores.append(np.full(size * n, -np.inf if length > 1 else self.lost))
+            ids.append(-1 - flat.astype(np.int32) if length == 1 else np.zeros(size * n, np.int32))
+            scores[-1][at[end]], ids[-1][at[end]] = trie.scores[state[end]], trie.ids[state[end]]
+        most, ids = len(scores), np.stack(ids)
+        used = [(x.reshape(size, n) > -np.inf).any(axis=1) for x in scores]
+        best = np.zeros((size + 1, n))
+        taken, other = np.zeros((size + 1, n), np.int16), np.zeros((size + 1, n), np.int16)
+        runner = np.full((size + 1, n), -np.inf)
+        for end in range(1, size + 1):
+            top, next_ = np.full(n, -np.inf), np.full(n, -np.inf)
+            first, second = taken[end], other[end]
+            for length in range(min(end, most), 0, -1):
+                start = end - length
+                if not used[length - 1][start]:
+                    continue
+                found = best[start] + scores[length - 1][start * n : (start + 1) * n]
+                up, between = found > top, found > next_
+                second[...] = np.where(up, first, np.where(between, length, second))
+                next_ = np.where(up, top, np.where(between, found, next_))
+                first[up] = length
+                top = np.maximum(top, found)
+            best[end], runner[end] = top, next_
+        # back from the end: the path that loses nothing leaves the queue first; every other edge into it is a deviation
+        words = np.arange(n)
+        loss, turn = np.full(n, np.inf), np.zeros(n, np.int64)
+        place = np.full(n, size)
+        while place.any():
+            lost = np.where(place > 0, best[place, words] - runner[place, words], np.inf)
+            less = lost < loss
+            loss[less], turn[less] = lost[less], place[less]
+            place = place - taken[place, words]
+        paths = [self._walk(ids, taken, None, n, size), self._walk(ids, taken, (turn, other, loss), n, size)]
+        return best[size], loss, paths
+
+    @staticmethod
+    def _walk(ids: np.ndarray, taken: np.ndarray, deviation: tuple | None, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (by word, in order) and their numbers, of the best path or of that with one deviation (none where the loss is infinite)."""
+        words, place, steps = np.arange(n), np.full(n, size), []
+        if deviation is not None:
+            turn, other, loss = deviation
+            place = np.where(np.isfinite(loss), place, 0)
+        while (place > 0).any():
+            length = taken[place, words]
+            if deviation is not None:
+                length = np.where(place == turn, other[place, words], length)
+            start = place - length
+            steps.append(np.where(place > 0, ids[np.maximum(length, 1) - 1, np.maximum(start, 0) * n + words], np.iinfo(np.int32).min))
+            place = np.where(place > 0, start, 0)
+        if not steps:
+            return np.empty(0, np.int32), np.zeros(n, np.int64)
+        table = np.stack(steps[::-1], axis=1)
+        there = table != np.iinfo(np.int32).min
+        return table[there].astype(np.int32), there.sum(axis=1)
+
+    def _with_bytes(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece replaced by the ids of their bytes."""
+        if not (ids < 0).any():
+            return ids, lengths
+        code = np.where(ids < 0, -1 - ids, 0)
+        width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        ends = np.cumsum(width)
+        owner = np.repeat(np.arange(len(ids)), width)
+        later = ends[owner] - 1 - np.arange(len(owner))  # bytes of the character after this one
+        code, width_ = code[owner], width[owner]
+        lead = np.array([0, 0x00, 0xC0, 0xE0, 0xF0])[width_]
+        value = np.where(later == width_ - 1, lead | code >> 6 * later, 0x80 | code >> 6 * later & 0x3F)
+        out = np.where(ids[owner] < 0, self.byte_ids[value], ids[owner]).astype(np.int32)
+        edges = _offsets(lengths)
+        return out, np.diff(_offsets(width)[edges])
+
+    def segment(self, words: list[str]) -> Segments:
+        """The two best segmentations of distinct words, which begin with their blanks."""
+        n = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        score, loss = np.zeros(n), np.full(n, np.inf)
+        parts: list[list] = [[], []]
+        order: list[np.ndarray] = []
+        for size in np.unique(sizes).tolist():
+            those = np.flatnonzero(sizes == size)
+            if size > LONG:
+                for i in those.tolist():
+                    found = self.search(words[i].replace(" ", SPACE), 2)
+                    score[i] = found[0][0]
+                    loss[i] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
+                    for part, path in zip(parts, [*(x for _, x in found), ()][:2], strict=True):
+                        part.append((np.array(path, np.int32), np.array([len(path)])))
+                order.append(those)
+                continue
+            step = max(1, CELLS // size)
+            for k in range(0, len(those), step):
+                some = those[k : k + step]
+                score[some], loss[some], paths = self._two(np.ascontiguousarray(codes[starts[some] + np.arange(size)[:, None]]))
+                for part, path in zip(parts, paths, strict=True):
+                    part.append(path)
+                order.append(some)
+        placed = np.concatenate(order) if order else np.empty(0, np.int64)
+        out = []
+        for part in parts:
+            ids = np.concatenate([x for x, _ in part]) if part else np.empty(0, np.int32)
+            ids, lengths = self._with_bytes(ids, np.concatenate([x for _, x in part]) if part else np.empty(0, np.int64))
+            by_word, begin = np.empty(n, np.int64), np.empty(n, np.int64)
+            by_word[placed], begin[placed] = lengths, np.cumsum(lengths) - lengths
+            out.append((gather(ids, begin, by_word), _offsets(by_word)))
+        return Segments(score, loss, *out[0], *out[1])
+
+    def encode(self, texts: pa.Array, n: int) -> pa.ListArray:
+        """The n best segmentations of each text (fewer if there are no more), best first, as structs of score and ids."""
+        column = pc.replace_substring(texts.cast(pa.string()).fill_null(""), SPACE, " ").cast(pa.binary())
+        bodies = [b" " + t if t else b"" for t in column.to_pylist()]
+        data = b"".join(bodies)
+        text_at = _offsets(np.fromiter(map(len, bodies), np.int64, len(bodies)))
+        blank = np.frombuffer(data, np.uint8) == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[text_at[:-1][np.diff(text_at) > 0]] = True
+        word_at = np.flatnonzero(begins)
+        edges = np.append(word_at, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(word_at), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        index, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+        found = self.segment(distinct)
+        first = np.searchsorted(word_at, text_at)  # of each text, its first word
+        full = np.flatnonzero(np.diff(first) > 0)
+        score = np.zeros(len(bodies))
+        losses = found.loss[index]
+        least = np.full(len(bodies), np.inf)
+        if len(full):
+            score[full] = np.add.reduceat(found.score[index], first[full])
+            least[full] = np.minimum.reduceat(losses, first[full])
+        starts, lengths = found.at[index], np.diff(found.at)[index]
+        best = self._lists(found.ids, starts, lengths, first)
+        if n < 2:
+            return self._nested([np.ones(len(bodies), np.int64)], [score], [best])
+        if n > 2:
+            return self._more(n, index, distinct, first, found, score, losses)
+        pool, shift = np.concatenate((found.ids, found.second)), len(found.ids)
+        with_two = np.isfinite(least)
+        owner = np.repeat(np.arange(len(bodies)), np.diff(first))
+        hits = np.flatnonzero((losses == least[owner]) & with_two[owner]) if len(owner) else owner
+        texts_of, where = np.unique(owner[hits], return_index=True)
+        swapped = hits[where]  # the first word of the text that loses least
+        starts[swapped], lengths[swapped] = shift + found.second_at[index[swapped]], np.diff(found.second_at)[index[swapped]]
+        lengths[~with_two[owner]] = 0
+        return self._nested([np.ones(len(bodies), np.int64), with_two.astype(np.int64)], [score, score - np.where(with_two, least, 0.0)], [best, self._lists(pool, starts, lengths, first)])
+
+    @staticmethod
+    def _lists(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(_offsets(lengths)[first].astype(np.int32), pa.array(gather(pool, starts, lengths)))
+
+    @staticmethod
+    def _nested(there: list[np.ndarray], scores: list[np.ndarray], lists: list[pa.ListArray]) -> pa.ListArray:
+        """For each text the structs of those ranks that are there."""
+        n = len(scores[0])
+        ranks = np.stack(there, axis=1)
+        order = (np.arange(len(scores))[None, :] * n + np.arange(n)[:, None])[ranks > 0]
+        inner = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)[order]), pa.concat_arrays(lists).take(pa.array(order))], names=["score", "ids"])
+        return pa.ListArray.from_arrays(_offsets(ranks.sum(axis=1)).astype(np.int32), inner)
+
+    def _more(self, n: int, index: np.ndarray, distinct: list[str], first: np.ndarray, found: Segments, score: np.ndarray, losses: np.ndarray) -> pa.ListArray:
+        """As encode(), for n over 2, text by text."""
+        out, searched = [], {}
+        ids_of = [found.ids[a:b] for a, b in zip(found.at[:-1], found.at[1:], strict=True)]
+        for text in range(len(score)):
+            a, b = int(first[text]), int(first[text + 1])
+            turns = [i for i in np.argsort(losses[a:b], kind="stable")[: n - 1].tolist() if np.isfinite(losses[a + i])]
             choices: list[tuple[float, tuple]] = [(0.0, ())]
-            others: dict = {}
-            for _, i in turns:
-                best, all_ = found[i][0], others.setdefault(i, self.search(words[i], n))
-                more = [(loss + best - s, (*swaps, (i, k)) if k else swaps) for loss, swaps in choices for k, (s, _) in enumerate(all_)]
+            for i in turns:
+                w = int(index[a + i])
+                if w not in searched:
+                    searched[w] = self.search(distinct[w].replace(" ", SPACE), n)
+                more = [(loss + searched[w][0][0] - s, (*swaps, (i, k)) if k else swaps) for loss, swaps in choices for k, (s, _) in enumerate(searched[w])]
                 choices = sorted(more)[:n]
-            for loss, swaps in choices[1:]:
-                other = list(ids)
+            rows = []
+            for loss, swaps in choices:
+                own = [ids_of[w] for w in index[a:b]]
                 for i, k in swaps:
-                    other[i] = array("i", others[i][k][1]).tobytes()
-                out.append((total - loss, b"".join(other)))
-        return out
+                    own[i] = np.array(searched[int(index[a + i])][k][1], np.int32)
+                rows.append({"score": float(score[text] - loss), "ids": np.concatenate(own) if own else np.empty(0, np.int32)})
+            out.append(rows)
+        return pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))])))
+
+    def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of one text: (score, ids as 32-bit integers)."""
+        return [(x["score"], array("i", x["ids"]).tobytes()) for x in self.encode(pa.array([text]), n)[0].as_py()]
 
     def text(self, ids) -> str:
         out = b"".join(map(self.surface.__getitem__, ids))
         return out[1:].decode("utf-8", "replace") if out[:1] == b" " else out.decode("utf-8", "replace")
 
+    def texts(self, ids: pa.ListArray) -> pa.StringArray:
+        """The texts that lists of ids stand for; null stays null. Bytes that are no UTF-8 are replaced."""
+        pool, starts, widths = self.surfaces
+        at = ids.offsets.to_numpy().astype(np.int64)
+        flat = ids.values.to_numpy()[at[0] : at[-1]]
+        ends = _offsets(widths[flat])[at - at[0]]
+        data = gather(pool, starts[flat], widths[flat])
+        blank = np.flatnonzero(np.diff(ends) > 0)
+        blank = blank[data[ends[blank]] == 32]  # the blank before a text's first word
+        keep = np.ones(len(data), bool)
+        keep[ends[blank]] = False
+        sizes = np.diff(ends)
+        sizes[blank] -= 1
+        out = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(_offsets(sizes).astype(np.int32)), pa.py_buffer(data[keep].tobytes())])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            out = pa.array([b.decode("utf-8", "replace") for b in out.cast(pa.binary(), safe=False).to_pylist()], pa.string())
+        return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string())) if ids.null_count else out
+
 
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _lists(flat: list[bytes]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat]))).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(flat), dtype="<i4")))
-
-
 def _encoder(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                found = [pieces.nbest(t.as_py(), n) for t in batch.column(1)]
-                flat = [x for f in found for x in f]
-                inner = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), _lists([b for _, b in flat])], names=["score", "ids"])
-                offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, inner)], names=["doc_id", "nbest"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pieces.encode(batch.column(1), n)], names=["doc_id", "nbest"])
 
     return run
 
@@ -207,14 +449,27 @@ def encode_nbest(docs: DataFrame, n: int = 2, id_col: str = "doc_id", text_col:
     return mapped(rows, _encoder(path or model_file(), n), "doc_id long, nbest array<struct<score double, ids array<int>>>")
 
 
+def _merger(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = _pieces(path).library
+        for batch in batches:
+            ids = [library.encode(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return run
+
+
+def encode_merged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(doc_id, ids): the library's own encoding, by the model's merges."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return mapped(rows, _merger(path or model_file()), "doc_id long, ids array<int>")
+
+
 def _decoder(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 200):  # ids become Python numbers for a few texts at a time
-                batch = whole.slice(begin, 200)
-                texts = pa.array([pieces.text(x.values.to_pylist()) if x.is_valid else None for x in batch.column(at)], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=["text" if i == at else x for i, x in enumerate(batch.schema.names)])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pieces.texts(batch.column(at)), *batch.columns[at + 1 :]], names=["text" if i == at else x for i, x in enumerate(batch.schema.names)])
 
     return run
 

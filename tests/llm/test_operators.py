@@ -388,7 +388,7 @@ def test_piece_search_against_all_segmentations():
                     walk(j, [*ids, found[0]], score + found[1])
             if not known:
                 raw = [pieces.bytes[b] for b in word[i].encode()]
-                walk(i + 1, [*ids, *raw], score + pieces.lost * len(raw))
+                walk(i + 1, [*ids, *raw], score + pieces.lost)
 
         walk(0, [], 0.0)
         return sorted(out, key=lambda x: -x[0])
