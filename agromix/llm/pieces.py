@@ -40,8 +40,8 @@ from agromix.llm.common import mapped, text_of
 __all__ = ["Pieces", "Segments", "decode", "encode_merged", "encode_nbest", "model_file"]
 
 SPACE = "▁"
-#: Characters of words that are searched many at a time; cells of one such block.
-LONG, CELLS = 64, 150_000
+#: Characters of words that are searched many at a time; cells of one such block; bytes of texts or ids worked on at once.
+LONG, CELLS, PART = 64, 100_000, 2 << 20
 
 
 def model_file() -> str:
@@ -434,10 +434,16 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, batch.num_rows * PART // max(batch.nbytes, PART))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def _encoder(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in batches:
+        for batch in (x for whole in batches for x in _parts(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pieces.encode(batch.column(1), n)], names=["doc_id", "nbest"])
 
     return run
@@ -468,7 +474,7 @@ def encode_merged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _decoder(path: str, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in batches:
+        for batch in (x for whole in batches for x in _parts(whole)):
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pieces.texts(batch.column(at)), *batch.columns[at + 1 :]], names=["text" if i == at else x for i, x in enumerate(batch.schema.names)])
 
     return run

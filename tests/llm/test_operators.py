@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from agromix.llm.licenses import NOTICES, PHRASES, TEXTS, scan_licenses, scan_te
 from agromix.llm.line_dedup import line_dedup
 from agromix.llm.near_dedup import alignment, components, near_classes, order_minhash, shingles
 from agromix.llm.packing import CapacityTree, best_fit, close_windows, pack
-from agromix.llm.pieces import Pieces, decode, encode_nbest, model_file
+from agromix.llm.pieces import Pieces, decode, encode_merged, encode_nbest, model_file
 from agromix.llm.rules import base_statistics, quality_rules
 from agromix.llm.token_counts import count_tokens, token_files, write_token_files
 from agromix.llm.tokens import SEPARATOR, encode_bytes, rank_file
@@ -406,6 +407,35 @@ def test_piece_search_against_all_segmentations():
             assert pieces.text(np.frombuffer(ids, "<i4").tolist()) == text
 
 
+def test_pieces_of_many_words_equal_those_of_the_queue():
+    pieces, rng = Pieces(model_file()), random.Random(4)
+    names = [p for p, _, _ in pieces.scored if "▁" not in p]
+    found = sorted({" " * rng.randrange(1, 3) + "".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(400)} | {" ", "   ", " ☃𝔘é\n", " " + "abc" * 40, " \x00x"})
+    got = pieces.segment(found)
+    for i, word in enumerate(found):
+        expected = pieces.search(word.replace(" ", "▁"), 2)
+        assert got.score[i] == pytest.approx(expected[0][0]) and np.isfinite(got.loss[i]) == (len(expected) > 1)
+        for ids, at, k in ((got.ids, got.at, 0), (got.second, got.second_at, 1)):
+            own = ids[at[i] : at[i + 1]].tolist()
+            assert pieces.text(own) == word[1:] if k < len(expected) else not own
+        if len(expected) > 1:
+            assert got.loss[i] == pytest.approx(expected[0][0] - expected[1][0])
+
+
+def test_pieces_and_the_library(docs, rows):
+    pieces = Pieces(model_file())
+    texts = [r[1] or "" for r in rows]
+    merged = {r["doc_id"]: r["ids"] for r in encode_merged(docs).collect()}
+    for r in rows:
+        assert merged[r[0]] == pieces.library.encode(r[1] or "")
+    ids = [pieces.library.encode(t) for t in texts] + [None, [3 + 0xFF, 300], []]
+    got = pieces.texts(pa.array(ids, pa.list_(pa.int32())).slice(2)).to_pylist()
+    assert got == [*texts[2:], None, pieces.text([3 + 0xFF, 300]), ""]
+    for text in texts[:20]:  # the best path scores at least what the merges give
+        if pieces.library.unk_id() not in (own := pieces.library.encode(text)) and not any(pieces.library.is_byte(i) for i in own):
+            assert pieces.nbest(text, 1)[0][0] >= sum(pieces.library.get_score(i) for i in own) - 1e-6
+
+
 def test_piece_round_trip(docs, rows):
     best = encode_nbest(docs, 3).select("doc_id", F.col("nbest")[0]["ids"].alias("ids"), F.size("nbest").alias("n"))
     got = Counter((r["doc_id"], r["text"]) for r in decode(best).collect())
