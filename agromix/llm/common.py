@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["HOT_SHARE", "apart", "bounded_batches", "hidden", "local_uri", "mapped", "materialise", "open_input", "open_output", "scratch", "skew_safe_lookup", "text_of"]
+__all__ = ["HOT_SHARE", "apart", "bounded_batches", "hidden", "local_uri", "mapped", "materialise", "open_input", "open_output", "scratch", "skew_safe_lookup", "tasks_for", "text_of"]
 
 #: A key counts as hot when it holds at least this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1024
@@ -69,6 +69,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH))
 
 
+def tasks_for(total: float | None, each: int, most: int = 1 << 16) -> int:
+    """How many tasks read ``total`` (bytes, rows), at ``each`` a task. Rows that only point at data are dealt by this, as Spark would merge them by their own few bytes."""
+    return int(min(max(-(-(total or 0) // each), 1), most))
+
+
 def hidden(df: DataFrame) -> list[Column]:
     """All columns under names of their places, so that none meets the names an operator uses; unused ones are pruned."""
     return [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(df.columns)]

@@ -7,7 +7,8 @@ and where that document began, and so joins documents that span blocks.
 
 A file that does not end in a separator ends in an unfinished document (complete = false). Empty files hold none. Two
 separators in a row make a document of no tokens. For the writer: null text counts as empty; rows that repeat get a
-document each; other columns are not read; an empty table gives no files.
+document each; other columns are not read; an empty table gives no files. Documents of any length are counted whole: a
+task holds one block of tokens and the separators in it. Blocks are dealt by their number, so that tasks follow the bytes.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agromix.llm.common import mapped, materialise, open_input, open_output, scratch, text_of
+from agromix.llm.common import mapped, materialise, open_input, open_output, scratch, tasks_for, text_of
 from agromix.llm.tokens import END_OF_TEXT, encode_bytes, rank_file
 
-__all__ = ["count_tokens", "token_files", "write_token_files"]
+__all__ = ["count_tokens", "dealt_blocks", "token_files", "write_token_files"]
 
 
 def _writer(folder: str, path: str, end: int):
@@ -63,7 +64,8 @@ def _sizes(width: int):
 
 def token_files(named: DataFrame, width: int = 2) -> DataFrame:
     """(file, n_tokens) of the distinct files in column file, by their sizes."""
-    return materialise(mapped(named.select("file").distinct(), _sizes(width), "file string, n_tokens long"))
+    names = materialise(named.select("file").distinct())
+    return materialise(mapped(names.repartition(tasks_for(names.count(), 256), "file"), _sizes(width), "file string, n_tokens long"))
 
 
 def _scanner(end: int, width: int):
@@ -82,13 +84,20 @@ def _scanner(end: int, width: int):
     return run
 
 
-def count_tokens(files: DataFrame, end: int = END_OF_TEXT, width: int = 2, block_tokens: int = 2 << 20) -> DataFrame:
-    """(file, ordinal, start, n_tokens, complete) for each document of ``files`` (file, n_tokens: the file's length)."""
+def dealt_blocks(files: DataFrame, block_tokens: int, a_task: int = 8) -> DataFrame:
+    """(file, block, begin, n) of ``files`` (file, n_tokens), dealt to tasks of about ``a_task`` blocks."""
     files = files.select("file", F.col("n_tokens").alias("total")).filter("total > 0")
     begin = F.col("block") * block_tokens
+    n_blocks = files.agg(F.sum(F.ceil(F.col("total") / block_tokens))).first()[0]
     blocks = files.select("file", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block_tokens))).alias("block"))
-    blocks = blocks.select("file", "block", begin.alias("begin"), F.least(F.lit(block_tokens), F.col("total") - begin).alias("n"))
-    scanned = materialise(mapped(blocks.repartition("file", "block"), _scanner(end, width), "file string, block long, n_ends long, last_end long, ends array<long>"))
+    return blocks.select("file", "block", begin.alias("begin"), F.least(F.lit(block_tokens), F.col("total") - begin).alias("n")).repartition(tasks_for(n_blocks, a_task), "file", "block")
+
+
+def count_tokens(files: DataFrame, end: int = END_OF_TEXT, width: int = 2, block_tokens: int = 2 << 20, a_task: int = 8) -> DataFrame:
+    """(file, ordinal, start, n_tokens, complete) for each document of ``files`` (file, n_tokens: the file's length)."""
+    blocks = dealt_blocks(files, block_tokens, a_task)
+    files = files.select("file", F.col("n_tokens").alias("total")).filter("total > 0")
+    scanned = materialise(mapped(blocks, _scanner(end, width), "file string, block long, n_ends long, last_end long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     stitched = scanned.select("file", "block", F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("first"), F.coalesce(F.last("last_end", ignorenulls=True).over(before), F.lit(-1)).alias("since"))
     joined = scanned.select("file", "block", "ends").join(stitched, ["file", "block"])

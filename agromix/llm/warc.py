@@ -4,10 +4,12 @@ Writing: records whose payload (of at least ``min_bytes``) equals that of a reco
 revisits without payload. Each write task streams one archive into the shared folder and returns the index: archive,
 offset, length, URL, digest. The index is a Parquet table written with the archives. Reading: the selected index rows
 are dealt out by archive and stretch of it, sorted by offset, and ranges that lie next to each other are read at once.
+The number of reading tasks follows the bytes that the rows point at, not the rows' own.
 
 Null payloads are empty, null URLs are left out of the record, line ends in URLs are percent-encoded. Rows that repeat
-the smallest identifier of equal payloads are all responses; a null identifier is larger than any other. An empty table
-gives no archives. Other columns are not read.
+the smallest identifier of equal payloads are all responses; a null identifier is larger than any other. A long payload
+is one record, held whole by the task that writes or reads it. An empty table gives no archives. Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agromix.llm.common import mapped, materialise, open_input, open_output, scratch, skew_safe_lookup, text_of
+from agromix.llm.common import mapped, materialise, open_input, open_output, scratch, skew_safe_lookup, tasks_for, text_of
 
 __all__ = ["parse_record", "read_warc", "record_bytes", "write_warc"]
 
@@ -139,5 +141,6 @@ def _reader(gap: int, most: int):
 def read_warc(spark: SparkSession, index: DataFrame, stretch: int = 16 << 20, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
     """The records that the rows of ``index`` (or those selected from it) point at, payloads verified."""
     part = F.floor(F.col("offset") / stretch)
-    dealt = index.select("archive", "offset", "length", part.alias("stretch")).repartition("archive", "stretch").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.sum("length")).first()[0]
+    dealt = index.select("archive", "offset", "length", part.alias("stretch")).repartition(tasks_for(total, stretch), "archive", "stretch").sortWithinPartitions("archive", "offset")
     return mapped(dealt, _reader(gap, most), RECORDS)

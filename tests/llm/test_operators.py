@@ -20,7 +20,7 @@ from agromix.llm.near_dedup import alignment, components, near_classes, order_mi
 from agromix.llm.packing import CapacityTree, best_fit, close_windows, pack
 from agromix.llm.pieces import Pieces, decode, encode_merged, encode_nbest, model_file
 from agromix.llm.rules import base_statistics, quality_rules
-from agromix.llm.token_counts import count_tokens, token_files, write_token_files
+from agromix.llm.token_counts import count_tokens, dealt_blocks, token_files, write_token_files
 from agromix.llm.tokens import SEPARATOR, encode_bytes, rank_file
 from agromix.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from agromix.llm.warc import parse_record, read_warc, record_bytes, write_warc
@@ -211,7 +211,9 @@ def test_warc(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     index = write_warc(pages)
     assert index.columns == ["archive", "offset", "length", "url", "digest"]
-    got = read_warc(spark, index, stretch=700, gap=10, most=900).collect()
+    read = read_warc(spark, index, stretch=700, gap=10, most=900)
+    assert read.select(F.spark_partition_id()).distinct().count() > 3  # tasks follow the bytes that the index points at
+    got = read.collect()
     assert len(got) == len(rows)
     found = Counter((r["id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in got)
     expected = Counter()
@@ -444,9 +446,10 @@ def test_piece_round_trip(docs, rows):
 
 def test_token_counts(docs, rows):
     written = write_token_files(docs)
+    assert dealt_blocks(token_files(written), 100).rdd.getNumPartitions() > 10
     for block in (7, 2 << 20):
         files = token_files(written)
-        got = count_tokens(files, block_tokens=block).join(written, ["file", "ordinal"]).collect()
+        got = count_tokens(files, block_tokens=block, a_task=20_000 if block == 7 else 8).join(written, ["file", "ordinal"]).collect()
         assert Counter((r["doc_id"], r["n_tokens"], r["complete"]) for r in got) == Counter((r[0], len(encode_bytes(r[1] or "", rank_file())) // 4, True) for r in rows)
         if block == 7:
             continue
@@ -455,7 +458,7 @@ def test_token_counts(docs, rows):
             by_file[r["file"]].append((r["start"], r["start"] + r["n_tokens"]))
         for spans in by_file.values():
             spans.sort()
-            assert spans[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
+            assert len(spans) and spans[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 def test_unfinished_and_empty_documents(spark, tmp_path):
