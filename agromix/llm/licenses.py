@@ -2,20 +2,25 @@
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, lower-cased; shingles are five words. Templates are put in
 classes by size: a class holds those with up to S shingles, S a power of two, and its windows hold 2 S shingles and start
-every S, so any notice lies whole in one of them. A band is one minimum. A window that holds 80 % of a template's
-shingles has a similarity of at least 0.4 S / (2 S + 0.1 S) = 0.19 with it, so 64 bands miss it with a probability of
-0.81 ** 64, one in 700,000. Windows with none of any template's shingles share no minimum with one and aren't hashed.
-What the bands retrieve is verified by exact containment of shingles. Notices of a template that was found are counted
+every S, so any notice lies whole in one of them. A band is one minimum of a window under one hash order; minima of
+windows come from those of blocks, each block's from two of half its size, so every shingle is hashed once a band. A
+window that holds the asked part of a template of t shingles has a similarity of at least ceil(0.8 t) / (2 S + t -
+ceil(0.8 t)) with it; a class takes as many bands as make a miss less likely than one in a million (20 to 66). What a
+band's table retrieves is verified by exact containment of shingles. Notices of a template that was found are counted
 over the whole text: one ends where the template's shingles stop coming in its order, so adjacent ones are told apart.
 
-Null and empty texts hold no notice. Rows that repeat, or have a null identifier, are scanned each. Other columns aren't
-read. Templates of under five words are refused; what is shorter is a phrase, which is matched word for word.
+Null and empty texts hold no notice. Rows that repeat, or have a null identifier, are scanned each. Of notices of one
+template that hold equal parts of it, the shortest and then the first is returned. Long texts are scanned whole, in
+chunks of shingles that overlap by a window. Other columns aren't read, whatever their names. An empty table gives no
+rows. Templates of under five words are refused; what is shorter is a phrase, which is matched word for word.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from agromix.llm.common import mapped, text_of
 from agromix.llm.near_dedup import ODD, _mix, shingles
 
-__all__ = ["NOTICES", "PHRASES", "TEXTS", "phrase_index", "scan_licenses", "scan_phrases", "scan_text", "template_index"]
+__all__ = ["NOTICES", "PHRASES", "TEXTS", "Index", "bands_for", "phrase_index", "scan_licenses", "scan_phrases", "scan_text", "scan_texts", "template_index"]
 
 #: Short notices as licensors ask for them.
 NOTICES = {
@@ -56,9 +61,9 @@ TEXTS = {
 SPDX = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")
 #: Matched word by word, whatever their length.
 PHRASES = {"All-rights-reserved": "All rights reserved."} | {f"SPDX-{x}": f"SPDX-License-Identifier: {x}" for x in SPDX}
-BANDS = 64
+#: Chance of missing a notice at the least containment; shingles of a chunk; bits of a band table's places.
+MISSED, CHUNK, PLACES = 1e-6, 8192, 14
 WORD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
-SEEDS = _mix(np.arange(1, BANDS + 1, dtype=np.uint64) * ODD)[:, None]
 
 
 def _body(text: str) -> bytes:
@@ -90,21 +95,97 @@ def scan_phrases(text: str, index: list[tuple[str, int, int, bytes]]) -> list[tu
     return out
 
 
-def _minima(some: np.ndarray) -> np.ndarray:
-    return _mix(some[None, :] ^ SEEDS).min(axis=1)
+def _seeds(n: int) -> np.ndarray:
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * ODD)[:, None]
 
 
-def template_index(templates: dict[str, str]) -> tuple[np.ndarray, dict[int, list[tuple[str, np.ndarray, np.ndarray]]], dict[str, np.ndarray]]:
-    """All shingles of the templates, sorted; by size class (name, shingles, minima); and each template's in its own order."""
-    classes: dict[int, list] = {}
+def _ranks(some: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Places of the shingles in each hash order (a row each); no two shingles share one."""
+    out = (some[None, :] ^ seeds) * ODD
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def bands_for(sizes: list[int], size: int, containment: float) -> int:
+    """Bands that find templates of ``sizes`` shingles in windows of 2 ``size`` but for a chance of MISSED."""
+    least = 1.0
+    for t in sizes:
+        part = ceil(containment * t - 1e-9)
+        least = min(least, part / (2 * size + t - part))
+    return ceil(log(MISSED) / log(1 - least)) if least < 1 else 1
+
+
+@dataclass
+class _Class:
+    """Templates of up to ``size`` shingles: names, their distinct shingles, minima by band, and the bands' tables of places."""
+
+    size: int
+    bands: int = 0
+    names: list[str] = field(default_factory=list)
+    own: list[np.ndarray] = field(default_factory=list)
+    minima: list[np.ndarray] = field(default_factory=list)
+    table: np.ndarray | None = None
+
+
+@dataclass
+class Index:
+    """Templates by size class, and each template's shingles in its own order."""
+
+    classes: dict[int, _Class]
+    in_order: dict[str, np.ndarray]
+    seeds: np.ndarray
+    containment: float
+
+
+def template_index(templates: dict[str, str], containment: float = 0.8) -> Index:
+    classes: dict[int, _Class] = {}
     in_order = {}
     for name, text in templates.items():
         if len(text.encode().translate(WORD).split()) < 5:
             raise ValueError(f"template {name} has fewer than five words")
         in_order[name] = _shingles(text)
         own = np.unique(in_order[name])
-        classes.setdefault(1 << (len(own) - 1).bit_length(), []).append((name, own, _minima(own)))
-    return np.unique(np.concatenate([x[1] for c in classes.values() for x in c])), classes, in_order
+        size = 1 << (len(own) - 1).bit_length()
+        one = classes.setdefault(size, _Class(size))
+        one.names.append(name)
+        one.own.append(own)
+    for one in classes.values():
+        one.bands = bands_for([len(x) for x in one.own], one.size, containment)
+    seeds = _seeds(max((x.bands for x in classes.values()), default=1))
+    for one in classes.values():
+        one.minima = [_ranks(x, seeds[: one.bands]).min(axis=1) for x in one.own]
+        one.table = np.zeros(one.bands << PLACES, bool)
+        for x in one.minima:
+            one.table[(x >> np.uint64(64 - PLACES)).astype(np.int64) + (np.arange(one.bands) << PLACES)] = True
+    return Index(classes, in_order, seeds, containment)
+
+
+def _retrieved(s: np.ndarray, index: Index) -> Iterator[tuple[_Class, int, int]]:
+    """(class, the template's place in it, window) where a window and a template share a minimum."""
+    most = max(index.classes)
+    chunk = max(CHUNK, 4 * most)
+    for begin in range(0, len(s), chunk):
+        part = s[begin : begin + chunk + most]
+        pad = -len(part) % most
+        blocks = np.full((len(index.seeds), len(part) + pad), ~np.uint64(0))
+        blocks[:, : len(part)] = _ranks(part, index.seeds)
+        size = 1
+        while True:
+            if (one := index.classes.get(size)) is not None:
+                own = blocks[: one.bands]
+                windows = np.minimum(own[:, :-1], own[:, 1:]) if own.shape[1] > 1 else own
+                windows = np.concatenate((windows, own[:, -1:]), axis=1) if own.shape[1] > 1 else windows
+                windows = windows[:, : chunk // size]
+                places = (windows >> np.uint64(64 - PLACES)).view(np.int64) + (np.arange(one.bands) << PLACES)[:, None]
+                some = np.flatnonzero(one.table[places].any(axis=0))
+                for k, minima in enumerate(one.minima) if len(some) else ():
+                    for w in some[(windows[:, some] == minima[:, None]).any(axis=0)].tolist():
+                        yield one, k, begin // size + w
+            if size == most:
+                break
+            size *= 2
+            blocks = np.minimum(blocks[:, 0::2], blocks[:, 1::2])
 
 
 def _notices(s: np.ndarray, template: np.ndarray, most: int, containment: float) -> list[tuple[float, int, int]]:
@@ -156,45 +237,50 @@ def _onward(found: list[int], at: dict[int, list[int]]) -> int:
     return last
 
 
-def scan_text(text: str, index, containment: float = 0.8) -> list[tuple[str, float, int, int, int]]:
-    """(template, containment, first word, words, notices) of the best notice of each template; notices: how many there are."""
-    known, classes, of_text = index
-    s = _shingles(text)
-    hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s)
-    found: dict[str, tuple] = {}
-    if not len(hits):
-        return []
-    for size, templates in classes.items():
-        at = hits // size
-        for w in np.unique(np.concatenate((at, np.maximum(at - 1, 0)))).tolist():
-            window = s[w * size : (w + 2) * size]
-            minima = None
-            for name, own, of_template in templates:
-                if minima is None:
-                    minima = _minima(window)
-                if not (minima == of_template).any():
-                    continue
-                places = np.flatnonzero(np.isin(window, own)) + w * size
-                share = len(np.unique(s[places])) / len(own)
-                if share >= containment:
-                    found.setdefault(name, (of_text[name], size, []))[2].append((share, int(places[0]), int(places[-1])))
+def scan_texts(found: list[np.ndarray], index: Index) -> list[list[tuple[str, float, int, int, int]]]:
+    """For each text, given as its shingles: (template, containment, first word, words, notices) of the best notice of each template.
+
+    The windows run over the shingles of all texts, one after another; what they retrieve is verified within each text.
+    """
+    at = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
+    spans: list[dict] = [{} for _ in found]
+    if at[-1] and index.classes:
+        s = np.concatenate(found)
+        for one, k, w in _retrieved(s, index):
+            low, high = w * one.size, min((w + 2) * one.size, len(s))
+            for t in range(int(np.searchsorted(at, low, side="right")) - 1, int(np.searchsorted(at, high, side="left"))):
+                begin, end = max(low, int(at[t])), min(high, int(at[t + 1]))
+                places = np.flatnonzero(np.isin(s[begin:end], one.own[k])) + begin
+                share = len(np.unique(s[places])) / len(one.own[k])
+                if share >= index.containment:
+                    spans[t].setdefault(one.names[k], (one.size, []))[1].append((share, int(places[0] - at[t]), int(places[-1] - at[t])))
     out = []
-    for name, (own, size, spans) in found.items():
-        apart = _notices(s, own, 2 * size, containment)
-        best = max(apart + spans, key=lambda x: (x[0], -(x[2] - x[1]), -x[1]))
-        out.append((name, best[0], best[1], best[2] - best[1] + 5, len(apart)))
-    return sorted(out)
+    for own, by_name in zip(found, spans, strict=True):
+        rows = []
+        for name, (size, windows) in by_name.items():
+            apart = _notices(own, index.in_order[name], 2 * size, index.containment)
+            best = max(apart + windows, key=lambda x: (x[0], -(x[2] - x[1]), -x[1]))
+            rows.append((name, best[0], best[1], best[2] - best[1] + 5, len(apart)))
+        out.append(sorted(rows))
+    return out
+
+
+def scan_text(text: str, index: Index) -> list[tuple[str, float, int, int, int]]:
+    return scan_texts([_shingles(text)], index)[0]
 
 
 def _scan(templates: dict[str, str], phrases: dict[str, str], containment: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, exact = template_index(templates), phrase_index(phrases)
-        scan = lambda text: scan_text(text, index, containment) + scan_phrases(text, exact)
+        index, exact = template_index(templates, containment), phrase_index(phrases)
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-        for batch in batches:
-            rows = [(one, *x) for one, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in scan(text.as_py())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "license", "containment", "first_word", "n_words", "n_notices"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 200):
+                batch = whole.slice(k, 200)
+                texts = [t.as_py() for t in batch.column(1)]
+                found = scan_texts([_shingles(t) for t in texts], index)
+                rows = [(one, *x) for one, text, some in zip(batch.column(0).to_pylist(), texts, found, strict=True) for x in some + scan_phrases(text, exact)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "license", "containment", "first_word", "n_words", "n_notices"])
 
     return run
 
