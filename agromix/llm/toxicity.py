@@ -1,15 +1,17 @@
 """Toxicity by weak supervision: many voters, a generative model of them, a linear classifier on its posteriors.
 
-Voters are words (lexicon) and beginnings of words (patterns) that set toxic training documents apart. Each votes or
-abstains. The generative model holds, for every voter, how often it votes on toxic and on clean documents; expectation
-maximisation estimates these without looking at labels other than as one more, noisy voter. Correlations of voters
-given the class, measured under the posterior, divide the weight of voters that vote together. A logistic regression
-over mined words and beginnings learns the posterior labels and scores every whole text.
+Voters are words (lexicon) and beginnings of words (patterns) that set toxic training documents apart, or clean ones. Each
+votes for its class or abstains. The generative model holds, for every voter, how often it votes on toxic and on clean
+documents; expectation maximisation estimates these. The given label is one more voter, which may err: its accuracy is
+estimated with the others', and by that it counts. Correlations of voters given the class they vote for, measured under
+the posterior, divide the weight of voters that vote together. A logistic regression over mined words and beginnings
+learns the posterior labels and scores every whole text.
 
 The fit uses at most ``bound`` labelled rows, taken by a hash of the identifier; scoring reads every document. Null
 text counts as empty and scores as a text without any known word. Rows with a null identifier or label don't train; a
-label given twice counts once (the larger). With labels of one kind only, or none, all scores are that share (0 if
-none). Rows that repeat are scored alike. Other columns pass through, but score and predicted are overwritten.
+label given twice counts once (the larger), and so does a text that several labelled rows hold. With labels of one kind only, or none, all scores are that share (0 if
+none). Rows that repeat are scored alike; marks that tell equally much are taken in the order of their names. Long texts
+are read whole, one at a time. Other columns pass through, but score and predicted are overwritten.
 """
 
 from __future__ import annotations
@@ -48,38 +50,47 @@ def marks(word: str) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """Shares of toxic and clean documents that each voter votes on, their prior, and correlations of voters among toxic documents."""
+    """Shares of toxic and clean documents that each voter votes on, their prior, correlations of voters in the class they vote for, and the label's accuracy."""
 
     prior: float
     on_toxic: np.ndarray
     on_clean: np.ndarray
     overlap: np.ndarray
+    trust: float = 0.95
 
-    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None, trust: float = 0.95) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
         weights = np.log(self.on_toxic / self.on_clean)
         together = np.maximum(votes @ self.overlap, 1)  # of each voter: those that vote with it, as far as they say the same
         odds = np.log(self.prior / (1 - self.prior)) + (votes / together) @ weights
         if gold is not None:
-            odds = odds + np.where(gold > 0, 1.0, -1.0) * np.log(trust / (1 - trust))
+            odds = odds + np.where(gold > 0, 1.0, -1.0) * np.log(self.trust / (1 - self.trust))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> LabelModel:
-    """Expectation maximisation over votes (n x k, 0 or 1); ``gold`` is a voter whose accuracy is estimated too."""
+def fit_label_model(votes: np.ndarray, gold: np.ndarray, for_toxic: np.ndarray, rounds: int = 25) -> LabelModel:
+    """Expectation maximisation over votes (n x k, 0 or 1) for toxic or, where ``for_toxic`` is false, for clean; ``gold`` is a voter too.
+
+    It starts from the balance of all votes, the label's being one of them.
+    """
     n, k = votes.shape
-    p, trust, overlap = np.where(gold > 0, 0.9, 0.1 * gold.mean()), 0.95, np.eye(k)
+    balance = votes @ np.where(for_toxic, 1.0, -1.0) + np.where(gold > 0, 1.0, -1.0)
+    p, overlap, trust = 1 / (1 + np.exp(-2 * balance)), np.eye(k), 0.95
     for _ in range(rounds):
         toxic = p.sum()
-        model = LabelModel(float(np.clip(toxic / n, 1e-4, 1 - 1e-4)), (p @ votes + 0.5) / (toxic + 1), ((1 - p) @ votes + 0.5) / (n - toxic + 1), overlap)
+        on_toxic, on_clean = (p @ votes + 0.5) / (toxic + 1), ((1 - p) @ votes + 0.5) / (n - toxic + 1)
         trust = float(np.clip((p * gold + (1 - p) * (1 - gold)).mean(), 0.6, 0.99))
-        centred = (votes - model.on_toxic) * np.sqrt(p)[:, None]
-        covariance = centred.T @ centred / max(toxic, 1)
-        scale = np.sqrt(np.clip(np.diag(covariance), 1e-9, None))
-        overlap = np.clip(covariance / scale / scale[:, None], 0, 1)
-        np.fill_diagonal(overlap, 1)
-        overlap[overlap < 0.1] = 0
-        model = LabelModel(model.prior, model.on_toxic, model.on_clean, overlap)
-        p = model.posterior(votes, gold, trust)
+        overlap = np.eye(k)
+        for side, weight, share in ((for_toxic, p, on_toxic), (~for_toxic, 1 - p, on_clean)):
+            own = np.flatnonzero(side)
+            centred = (votes[:, own] - share[own]) * np.sqrt(weight)[:, None]
+            covariance = centred.T @ centred / max(weight.sum(), 1)
+            scale = np.sqrt(np.clip(np.diag(covariance), 1e-9, None))
+            found = np.clip(covariance / scale / scale[:, None], 0, 1)
+            found[found < 0.1] = 0
+            np.fill_diagonal(found, 1)
+            overlap[np.ix_(own, own)] = found
+        model = LabelModel(float(np.clip(toxic / n, 1e-4, 1 - 1e-4)), on_toxic, on_clean, overlap, trust)
+        p = model.posterior(votes, gold)
     return model
 
 
@@ -146,15 +157,19 @@ def _regress(rows: np.ndarray, target: np.ndarray, ridge: float = 0.2, rounds: i
     return beta
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, n_marks: int = 400, n_voters: int = 60, least: int = 8, least_ratio: float = 12.0) -> ToxicityModel:
-    """Fits on at most about ``bound`` labelled rows that are not held out (a hash of the identifier takes them)."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, n_marks: int = 400, n_voters: int = 60, least: int = 8, least_ratio: float = 28.0) -> ToxicityModel:
+    """Fits on at most about ``bound`` labelled rows that are not held out (a hash of the identifier takes them).
+
+    ``least_ratio`` is the least likelihood ratio statistic of a mark: 28 comes by chance once in ten million marks.
+    """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     total = known.count()
     if total > bound:
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(bound / total * (1 << 30)))
     # the broadcast holds about ``bound`` pairs of numbers, whatever the corpus
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(known), "_id").select("text", "label")
-    rows = materialise(rows)
+    # copies of a text are one case: else what is rare would look telling by its copies
+    rows = materialise(rows.groupBy("text").agg(F.max("label").alias("label")))
     sums = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sums.get(1, 0), sums.get(0, 0)
     if not toxic or not clean:
@@ -175,7 +190,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             break
     names = [f"^{s}" if up else s for s, up in chosen]
     rate = {r["mark"]: ((r["a"] + 0.5) / (toxic + 1)) / ((r["b"] + 0.5) / (clean + 1)) for r in best}
-    voters = [i for i, m in enumerate(names) if rate[m] >= 8][:n_voters]
+    toxic_voters = [i for i, m in enumerate(names) if rate[m] >= 8][:n_voters]
+    voters = toxic_voters + [i for i, m in enumerate(names) if rate[m] <= 1 / 8][:n_voters]
     got = mapped(rows, _find_marks(names), "marks array<int>, counts array<double>, length double, label int").collect()
     matrix = np.zeros((len(got), len(names) + 2))
     matrix[:, -1] = 1
@@ -187,8 +203,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not voters:
         target, model = gold, None
     else:
-        model = fit_label_model(votes, gold)
-        target = model.posterior(votes, gold, 0.9)
+        model = fit_label_model(votes, gold, np.arange(len(voters)) < len(toxic_voters))
+        target = model.posterior(votes, gold)
     beta = _regress(matrix, target)
     return ToxicityModel(float(beta[-1]), float(beta[-2]), dict(zip(names, map(float, beta[:-2]), strict=True)), [names[i] for i in voters], model)
 
