@@ -15,7 +15,7 @@ unless its texts already share a class. Hot buckets and hot pivots are dealt out
 
 Null text counts as empty. Texts without words are near duplicates of equal texts only. Rows with a null identifier are
 returned with a null class and take no part. Rows that repeat an identifier are one document and share the text. Other
-columns aren't read. An empty table gives an empty result.
+columns aren't read, whatever their names. Long texts are hashed and aligned whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -206,7 +206,8 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, n: int | None = None, few: int = 1 << 14) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b), root being the component's smallest node.
 
-    Up to ``few`` edges (``n`` or counted) one task does, by union-find; more are worked off by alternating stars.
+    Up to ``few`` edges (``n`` or counted) one task does, by union-find; more are worked off by alternating stars. Nodes
+    with a large share of the edges are joined by broadcast.
     """
     if (edges.count() if n is None else n) <= few:
         return materialise(mapped(edges.filter("a <> b").select("a", "b").coalesce(1), _union_find, "node long, root long"))
@@ -215,11 +216,11 @@ def components(edges: DataFrame, n: int | None = None, few: int = 1 << 14) -> Da
     was, is_ = None, state(now)
     while was != is_:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = skew_safe_lookup(both.filter("v > u"), least, "u", "n", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = skew_safe_lookup(large, least, "u", "n", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = materialise(small.filter("u <> v").distinct())
         was, is_ = is_, state(now)
     return materialise(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select("v", "v").distinct()))
@@ -304,11 +305,16 @@ def _rest(members: DataFrame, texts: DataFrame, held: int = 256) -> DataFrame:
 
     Open buckets that touch form a pool. In a pool, texts outside its largest class meet each other and those of that
     class; they are dealt to blocks of about ``held`` and a task compares two blocks, so a text travels once for each
-    block it meets, pools of one block being the rule.
+    block it meets, pools of one block being the rule. Pools of more than four blocks are worked bucket by bucket, as
+    most of their pairs share none.
     """
     pools = components(materialise(members.select(F.col("rep").alias("a"), F.col("low.rep").alias("b")).distinct())).select(F.col("node").alias("id"), "root")
-    own = members.select(F.col("rep").alias("id"), "cls").distinct()
-    placed = materialise(own.join(pools, "id"))
+    own = members.select(F.col("rep").alias("id"), "cls").distinct().join(pools, "id")
+    sizes = materialise(own.groupBy("root").agg(F.count("*").alias("n_pool")))
+    placed = materialise(skew_safe_lookup(own, sizes, "root", "n_pool", "id"))
+    wide = placed.filter(F.col("n_pool") > 4 * held).select("id", "cls")
+    by_bucket = members.select("key", F.col("rep").alias("id")).join(wide, "id").select("id", "cls", F.xxhash64("key").alias("root"))
+    placed = materialise(placed.filter(F.col("n_pool") <= 4 * held).select("id", "cls", "root").unionByName(by_bucket))
     per = placed.groupBy("root", "cls").agg(F.count("*").alias("n")).groupBy("root").agg(F.sum("n").alias("n"), F.max("n").alias("n_major"), F.max_by("cls", F.struct("n", "cls")).alias("major"))
     minor_blocks = F.ceil((F.col("n") - F.col("n_major")) / held)
     per = materialise(per.filter("n > n_major").select("root", "n", "major", minor_blocks.cast("int").alias("minors"), F.ceil(F.col("n_major") / held).cast("int").alias("majors")))
@@ -323,8 +329,11 @@ def _rest(members: DataFrame, texts: DataFrame, held: int = 256) -> DataFrame:
     return materialise(mapped(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), _blocks, "a long, b long"))
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
-    """A row (id, class_id, group_size, kept) for each document; class_id is the smallest identifier of its class."""
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, held: int = 256) -> DataFrame:
+    """A row (id, class_id, group_size, kept) for each document; class_id is the smallest identifier of its class.
+
+    ``rounds`` pivots are tried before all pairs of open buckets are; ``held`` texts make a block of those.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sketched = materialise(mapped(rows.filter("id is not null"), _sketch, "id long, sha binary, size int, keys array<long>"))
     texts_of = materialise(sketched.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
@@ -345,7 +354,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if members.isEmpty():
             break
         if round_ == rounds:
-            labels = _joined(labels, _rest(members, texts))
+            labels = _joined(labels, _rest(members, texts, held))
         else:
             edges = reduce(DataFrame.unionAll, [pivoted(members.filter(F.col("cls") != F.col(f"{end}.cls")), end) for end in ("low", "high")])
     classed = texts_of.select("sha", "rep", "n").join(labels, "rep", "left").select("sha", "n", F.coalesce("cls", "rep").alias("cls"))

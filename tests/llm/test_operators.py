@@ -271,8 +271,8 @@ def test_alignment_is_the_longest_common_subsequence():
     assert (order_minhash(shingles(b"a b c d e f g h i")) == order_minhash(shingles(b"A B c d e f g h I"))).all()
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_near_classes(spark, rounds):
+@pytest.mark.parametrize(("rounds", "held"), [(0, 256), (0, 4), (1, 256)])
+def test_near_classes(spark, rounds, held):
     rng = random.Random(7)
     texts = {}
     chain = words(rng, 120, 100_000).split()
@@ -287,7 +287,10 @@ def test_near_classes(spark, rounds):
                 copy[rng.randrange(len(copy))] = "edit"
             texts[len(texts)] = " ".join(copy)
     texts |= {500: None, 501: "", 502: "a b", 503: "A  b", 504: texts[0], 505: " "}
-    frame = spark.createDataFrame([*texts.items(), (None, "nobody"), (504, texts[0])], "doc_id long, text string").repartition(4)
+    long = words(rng, 30_000, 1_000_000)
+    texts |= {506: long, 507: long + " end"}
+    rows = [(one, text, 1, "k", "r") for one, text in [*texts.items(), (None, "nobody"), (504, texts[0])]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id int, keys string, rep string").repartition(4)
     parent = {i: i for i in texts}
 
     def root(x):
@@ -298,10 +301,11 @@ def test_near_classes(spark, rounds):
     keys = sorted(texts)
     for i in keys:
         for j in keys:
-            if i < j and ((texts[i] or "") == (texts[j] or "") or brute_similarity(texts[i], texts[j]) >= 0.8):
+            if i < j < 506 and ((texts[i] or "") == (texts[j] or "") or brute_similarity(texts[i], texts[j]) >= 0.8):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    got = near_classes(frame, rounds=rounds).collect()
+    parent[507] = 506
+    got = near_classes(frame, rounds=rounds, held=held).collect()
     assert len(got) == len(texts) + 2
     for r in got:
         assert r["class_id"] == (None if r["id"] is None else root(r["id"]))
