@@ -1,17 +1,22 @@
 """Design matrices as columns of sparse entries, and their distributed cross-products.
 
 Each record carries an array of (index, value) pairs, one or a few for each term. Levels get their index by a broadcast
-join with the term's dictionary, which is bounded by MAX_ORDER and checked. W' R^-1 W is a grouped sum over the pairs of
-a record's entries, kept apart by residual level, so one Spark job serves a whole fit; designs without numeric
-covariates are first collapsed to distinct rows. Only these sums, coefficients squared at most, come to the driver.
+join with the term's dictionary, which is bounded by MAX_ORDER and checked; one job finds the dictionaries of all terms.
+W' R^-1 W is kept apart by residual level, so one Spark job serves a whole fit. A few covariates alone are plain sums of
+products; designs without covariates are first collapsed to distinct rows; others are summed by blocks of records in
+each task. Only these sums, coefficients squared at most, come to the driver.
+
+In names of interactions, levels are joined by colons; colons and backslashes within a level get a backslash before them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -19,7 +24,10 @@ from pyspark.sql.types import NumericType
 from agromix.operators.matrices import MAX_ORDER, dense
 from agromix.plans.formula import Call, Interaction, Name
 
-__all__ = ["Design", "Gram", "RandomTerm", "build_design", "gram_of"]
+__all__ = ["Design", "Gram", "RandomTerm", "build_design", "gram_of", "split_level"]
+
+#: Bytes of cross-products on the driver; covariates that are summed as plain columns; widest dense block of a task.
+DRIVER_BYTES, PLAIN, DENSE = 4 << 30, 16, 512
 
 ENTRY = "array<struct<i:int,v:double>>"
 STRUCTURES = {"isc", "dsc", "usc", "csc", "atc", "isr", "dsr", "usr", "csr", "atr"}
@@ -58,6 +66,7 @@ class Design:
     random: list[RandomTerm]
     levels: list[str]
     numeric: bool
+    plain: list[Column] | None = None
 
     @property
     def width(self) -> int:
@@ -73,18 +82,63 @@ class Gram:
     log_weights: dict[str, float]
 
 
+def _joined(names: list[str]) -> Column:
+    """The level of an interaction, null where a factor is."""
+    keys = [F.col(n).cast("string") for n in names]
+    if len(keys) == 1:
+        return keys[0]
+    escaped = [F.regexp_replace(k, r"([:\\])", r"\\$1") for k in keys]
+    return F.when(F.forall(F.array(*keys), lambda x: x.isNotNull()), F.concat_ws(":", *escaped))
+
+
+def split_level(name: str) -> list[str]:
+    """The levels that the name of an interaction's level joins."""
+    return [re.sub(r"\\(.)", r"\1", x) for x in re.findall(r"(?:[^:\\]|\\.)+|(?<=:)(?=:|$)|^(?=:)", name)]
+
+
 class _Encoder:
     """Adds to a DataFrame, for each request, a column of entries within one effect; collects the names of its columns."""
 
     def __init__(self, df: DataFrame, covariances: dict):
         self.df, self.covariances, self.made, self.numeric = df, covariances, 0, False
+        self.known: dict[str, list[str]] = {}
+        self.plain: list[Column] | None = []  # the value of each coefficient, as long as none is a factor's
 
     def _is_numeric(self, name: str) -> bool:
         if name not in self.df.columns:
             raise ValueError(f"no column {name}")
         return isinstance(self.df.schema[name].dataType, NumericType)
 
+    def keys_of(self, term) -> dict[str, Column]:
+        """The factors and interactions whose levels a term needs, by name."""
+        if isinstance(term, Call):
+            if term.name in ("leg", "basis"):
+                return {}
+            if term.name == "overlay":
+                return {str(a): F.col(str(a)).cast("string") for a in term.args}
+            some = term.args[:1] if term.name in ("rrc", "redmm", "atc", "atr", "csc", "csr") else term.args
+            return {k: v for a in some for k, v in self.keys_of(a).items()}
+        names = [p.name for p in self.parts(term) if isinstance(p, Name) and p.name in self.df.columns and not self._is_numeric(p.name)]
+        return {str(term): _joined(names)} if names else {}
+
+    def find_levels(self, keys: dict[str, Column]) -> None:
+        """The dictionaries of all terms in one job; each is bounded, so the sum is."""
+        if not keys:
+            return
+        names = list(keys)
+        most = len(names) * (MAX_ORDER + 1)
+        cells = self.df.select(F.inline(F.array(*(F.struct(F.lit(i).alias("t"), keys[n].alias("k")) for i, n in enumerate(names)))))
+        found = cells.filter("k is not null").distinct().limit(most).collect()
+        for i, n in enumerate(names):
+            own = sorted(r["k"] for r in found if r["t"] == i)
+            if len(own) > MAX_ORDER or len(found) == most:
+                over = n if len(own) > MAX_ORDER else " or ".join(names)
+                raise ValueError(f"{over} has over {MAX_ORDER} levels; their cross-products would not fit the driver")
+            self.known[n] = own
+
     def _levels(self, key: Column, what: str) -> list[str]:
+        if what in self.known:
+            return list(self.known[what])
         found = [r[0] for r in self.df.select(key.alias("k")).filter("k is not null").distinct().limit(MAX_ORDER + 1).collect()]
         if len(found) > MAX_ORDER:
             raise ValueError(f"{what} has over {MAX_ORDER} levels; their cross-products would not fit the driver")
@@ -101,6 +155,10 @@ class _Encoder:
     def parts(self, term) -> list:
         return list(term.parts) if isinstance(term, Interaction) else [term]
 
+    def _static(self, values: list[Column] | None) -> None:
+        """Notes the values of the coefficients that are made now; one factor ends the list."""
+        self.plain = None if values is None or self.plain is None else self.plain + values
+
     def columns(self, term, drop_first: bool = False, extra: list[str] | None = None, weights: Callable | None = None) -> tuple[Column, list[str]]:
         """(entries, names) of a main effect: a factor, covariate, interaction, overlay(...) or leg(...)."""
         if isinstance(term, Call) and term.name == "overlay":
@@ -108,6 +166,7 @@ class _Encoder:
             keys = [F.col(f).cast("string") for f in factors]
             levels = sorted({x for k, f in zip(keys, factors, strict=True) for x in self._levels(k, f)} | set(extra or ()))
             found = [self._lookup(k, {x: [(i, 1.0)] for i, x in enumerate(levels)}) for k in keys]
+            self._static(None)
             return F.concat(*found), levels
         if isinstance(term, Call) and term.name == "leg":
             self.numeric = True
@@ -118,6 +177,7 @@ class _Encoder:
             tag = f"_l{self.made}_"
             made = legendre(self.df, x, n)
             self.df = made.withColumnsRenamed({f"leg{k}": f"{tag}{k}" for k in range(n + 1)})
+            self._static([F.col(f"{tag}{k}") for k in range(n + 1)])
             return F.array(*(F.struct(F.lit(k).alias("i"), F.col(f"{tag}{k}").alias("v")) for k in range(n + 1))), [f"leg{k}" for k in range(n + 1)]
         if isinstance(term, Call) and term.name == "basis":  # an array column, one coefficient for each place
             self.numeric = True
@@ -127,12 +187,14 @@ class _Encoder:
             width = self.df.agg(F.max(F.size(name))).first()[0] or 0
             if width > MAX_ORDER:
                 raise ValueError(f"{name} has over {MAX_ORDER} columns")
+            self._static([F.coalesce(F.get(F.col(name), F.lit(k)).cast("double"), F.lit(0.0)) for k in range(width)])
             return F.transform(F.col(name).cast("array<double>"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))), [f"{name}{k + 1}" for k in range(width)]
         if isinstance(term, Call) and term.name in ("rrc", "redmm"):
             self.numeric = True
             x, loads = str(term.args[0]), self.covariances[str(term.args[1])]
             levels, gamma = loads
             names = [f"PC{j + 1}" for j in range(gamma.shape[1])]
+            self._static(None)
             missing = set(self._levels(F.col(x).cast("string"), x)) - set(levels)
             if missing:
                 raise ValueError(f"{term}: no loadings for {sorted(missing)[:3]}")
@@ -147,8 +209,10 @@ class _Encoder:
             else:
                 names.append(part.name)
         if not names:
+            self._static([value])
             return F.array(F.struct(F.lit(0).alias("i"), value.alias("v"))), [str(term)]
-        key = F.when(F.forall(F.array(*(F.col(n).cast("string") for n in names)), lambda x: x.isNotNull()), F.concat_ws(":", *(F.col(n).cast("string") for n in names)))
+        self._static(None)
+        key = _joined(names)
         levels = sorted(set(self._levels(key, str(term))) | set(extra or ()))
         if drop_first:
             levels = levels[1:]
@@ -194,12 +258,16 @@ def _structure(encoder: _Encoder, call: Call) -> tuple[Column, list[str], str]:
 def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, random: tuple, residual: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None) -> Design:
     """The design of a one-response model. ``kernels``: name -> (row, col, value) covariance; ``covariances``: name -> (levels, loadings) or a constraint matrix."""
     encoder = _Encoder(df, covariances or {})
+    level = F.col(residual).cast("string") if residual else F.lit("units")
+    wanted = {k: v for t in (*fixed, *random) for k, v in encoder.keys_of(t).items()}
+    encoder.find_levels(wanted | ({"the residual": level} if residual else {}))
     at, entries = 0, []
     blocks: list[Block] = []
     terms: list[RandomTerm] = []
     if intercept:
         blocks.append(Block("(Intercept)", 0, ["(Intercept)"]))
         entries.append(F.array(F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("v"))))
+        encoder._static([F.lit(1.0)])
         at = 1
     contrast = intercept
     for t in fixed:
@@ -240,6 +308,7 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
                 width = q * (len(labels) if cells is not main_cells else 1)
                 labels = [f"{a}:{b}" if cells is not main_cells else a for a in levels for b in (labels if cells is not main_cells else [""])]
                 cells = _product(inner_cells, cells, width)
+                encoder._static(None)
                 kind = one if kind == "i" else "u" if "u" in (kind, one) else kind
         if kernel_levels is not None and list(main_names) != list(kernel_levels):
             raise ValueError(f"levels of {main} that the kernel {gu} lacks: {sorted(set(main_names) - set(kernel_levels))[:3]}")
@@ -266,33 +335,111 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
         at += len(names)
     if at > MAX_ORDER:
         raise ValueError(f"{at} coefficients; over {MAX_ORDER} their cross-products would not fit the driver")
-    level = F.col(residual).cast("string") if residual else F.lit("units")
     rows = encoder.df.withColumns({"_entries": F.concat(*entries) if entries else F.array().cast(ENTRY), "_y": F.col(response).cast("double"), "_w": F.col(weights).cast("double") if weights else F.lit(1.0), "_level": level})
-    levels = sorted(r[0] for r in rows.select("_level").distinct().limit(MAX_ORDER + 1).collect())
-    return Design(rows, blocks, terms, levels, encoder.numeric)
+    levels = encoder.known["the residual"] if residual else ["units"]
+    if 8 * len(levels) * (at + 1) ** 2 > DRIVER_BYTES:
+        raise ValueError(f"{len(levels)} residual levels of {at} coefficients; their cross-products would not fit the driver")
+    return Design(rows, blocks, terms, levels, encoder.numeric, encoder.plain)
+
+
+def _partial(c: int):
+    """Cross-products of what a task reads, by residual level: dense where that is small, by pairs of entries elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense_: dict[str, np.ndarray] = {}
+        sparse: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        counts: dict[str, np.ndarray] = {}
+
+        def add(level: str, row: np.ndarray, i: np.ndarray, v: np.ndarray, w: np.ndarray, n: int) -> None:
+            if c < DENSE:
+                x = np.zeros((n, c + 1))
+                np.add.at(x, (row, i), v)
+                total = dense_.setdefault(level, np.zeros((c + 1, c + 1)))
+                total += (x * w[:, None]).T @ x
+                return
+            order = np.argsort(row, kind="stable")
+            row, i, v = row[order], i[order], v[order]
+            sizes = np.bincount(row, minlength=n)
+            begin = np.cumsum(sizes) - sizes
+            left = np.repeat(np.arange(len(row)), sizes[row])  # every entry meets every entry of its record
+            right = np.repeat(begin[row] - (np.cumsum(sizes[row]) - sizes[row]), sizes[row]) + np.arange(len(left))
+            up = i[left] <= i[right]
+            left, right = left[up], right[up]
+            keys, where = np.unique(i[left].astype(np.int64) * (c + 1) + i[right], return_inverse=True)
+            held = sparse.setdefault(level, [])
+            held.append((keys, np.bincount(where, v[left] * v[right] * w[row[left]])))
+            if sum(len(k) for k, _ in held) > 4_000_000:
+                sparse[level] = [merged(held)]
+
+        def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(where, np.concatenate([v for _, v in held]))
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, 4096):
+                batch = whole.slice(k, 4096)
+                entries = batch.column(0)
+                at = entries.offsets.to_numpy()
+                i = entries.values.field("i").to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+                v = entries.values.field("v").to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+                row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+                y, w = (batch.column(n).to_numpy(zero_copy_only=False) for n in (1, 2))
+                codes = batch.column(3).dictionary_encode()
+                level_of = codes.indices.to_numpy()
+                for one, level in enumerate(codes.dictionary.to_pylist()):
+                    own = np.flatnonzero(level_of == one)
+                    new = np.full(batch.num_rows, -1)
+                    new[own] = np.arange(len(own))
+                    here = new[row] >= 0
+                    add(level, np.concatenate((new[row[here]], np.arange(len(own)))), np.concatenate((i[here], np.full(len(own), c))), np.concatenate((v[here], y[own])), w[own], len(own))
+                    counts[level] = counts.get(level, np.zeros(2)) + (len(own), np.log(w[own]).sum())
+        for level, (n, lw) in counts.items():
+            if level in dense_:
+                i, j = np.nonzero(np.triu(dense_[level]))
+                v = dense_[level][i, j]
+            else:
+                keys, v = merged(sparse[level])
+                i, j = keys // (c + 1), keys % (c + 1)
+            i, j, v = np.append(i, (-1, -2)), np.append(j, (-1, -2)), np.append(v, (n, lw))
+            for k in range(0, len(i), 100_000):
+                part = slice(k, k + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([level] * len(i[part])), pa.array(i[part], pa.int32()), pa.array(j[part], pa.int32()), pa.array(v[part], pa.float64())], names=["_level", "i", "j", "v"])
+
+    return run
 
 
 def gram_of(design: Design) -> Gram:
-    """All cross-products in one grouped sum."""
+    """All cross-products by one grouped sum."""
     c = design.width
-    rows = design.rows.filter("_y is not null").select("_entries", "_y", "_w", "_level")
+    plain = getattr(design, "plain", None)
+    out = Gram({x: np.zeros((c + 1, c + 1)) for x in design.levels}, dict.fromkeys(design.levels, 0), dict.fromkeys(design.levels, 0.0))
     w, y = F.col("_w"), F.col("_y")
+    if plain is not None and len(plain) == c <= PLAIN:
+        values = [*plain, y]
+        pairs = [(i, j) for j in range(c + 1) for i in range(j + 1)]
+        found = design.rows.filter("_y is not null").groupBy("_level").agg(F.count("*").alias("n"), F.sum(F.log("_w")).alias("lw"), *(F.sum(w * values[i] * values[j]).alias(f"s{i}_{j}") for i, j in pairs)).collect()
+        for r in found:
+            out.records[r["_level"]], out.log_weights[r["_level"]] = int(r["n"]), float(r["lw"] or 0.0)
+            for i, j in pairs:
+                out.sums[r["_level"]][i, j] = out.sums[r["_level"]][j, i] = r[f"s{i}_{j}"]
+        return out
+    rows = design.rows.filter("_y is not null").select("_entries", "_y", "_w", "_level")
     if design.numeric:
-        cells = rows.select("_entries", "_level", F.lit(1).cast("long").alias("n"), w.alias("s"), (w * y).alias("sy"), (w * y * y).alias("syy"), F.log("_w").alias("lw"))
+        cells = rows.mapInArrow(_partial(c), "_level string, i int, j int, v double")
     else:
         cells = rows.groupBy("_entries", "_level").agg(F.count("*").alias("n"), F.sum(w).alias("s"), F.sum(w * y).alias("sy"), F.sum(w * y * y).alias("syy"), F.sum(F.log("_w")).alias("lw"))
-    own = F.flatten(F.transform("_entries", lambda a: F.transform(F.filter("_entries", lambda b: b["i"] >= a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (F.col("s") * a["v"] * b["v"]).alias("v")))))
-    right = F.transform("_entries", lambda a: F.struct(a["i"].alias("i"), F.lit(c).alias("j"), (F.col("sy") * a["v"]).alias("v")))
-    corner = F.array(F.struct(F.lit(c).alias("i"), F.lit(c).alias("j"), F.col("syy").alias("v")), F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("n").cast("double").alias("v")), F.struct(F.lit(-2).alias("i"), F.lit(-2).alias("j"), F.col("lw").alias("v")))
-    found = cells.select("_level", F.inline(F.concat(own, right, corner))).groupBy("_level", "i", "j").agg(F.sum("v").alias("v")).collect()
-    out = Gram({x: np.zeros((c + 1, c + 1)) for x in design.levels}, dict.fromkeys(design.levels, 0), dict.fromkeys(design.levels, 0.0))
-    for r in found:
-        if r["i"] == -1:
-            out.records[r["_level"]] = int(r["v"])
-        elif r["i"] == -2:
-            out.log_weights[r["_level"]] = float(r["v"] or 0.0)
-        else:
-            out.sums[r["_level"]][r["i"], r["j"]] = out.sums[r["_level"]][r["j"], r["i"]] = r["v"]
+        own = F.flatten(F.transform("_entries", lambda a: F.transform(F.filter("_entries", lambda b: b["i"] >= a["i"]), lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (F.col("s") * a["v"] * b["v"]).alias("v")))))
+        right = F.transform("_entries", lambda a: F.struct(a["i"].alias("i"), F.lit(c).alias("j"), (F.col("sy") * a["v"]).alias("v")))
+        corner = F.array(F.struct(F.lit(c).alias("i"), F.lit(c).alias("j"), F.col("syy").alias("v")), F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("n").cast("double").alias("v")), F.struct(F.lit(-2).alias("i"), F.lit(-2).alias("j"), F.col("lw").alias("v")))
+        cells = cells.select("_level", F.inline(F.concat(own, right, corner)))
+    found = cells.groupBy("_level", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+    i, j, v = (found.column(x).to_numpy() for x in ("i", "j", "v"))
+    level_of = np.array(found.column("_level").to_pylist(), dtype=object)
+    for level in design.levels:
+        own = level_of == level
+        cell = own & (i >= 0)
+        out.sums[level][i[cell], j[cell]] = v[cell]
+        out.sums[level][j[cell], i[cell]] = v[cell]
+        out.records[level] = int(v[own & (i == -1)].sum())
+        out.log_weights[level] = float(np.nan_to_num(v[own & (i == -2)]).sum())
     return out
-
-

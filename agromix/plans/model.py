@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -11,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agromix.functions.numeric import chi2_sf, f_sf
+from agromix.operators.matrices import MAX_ORDER
 from agromix.operators.records import na_policy
-from agromix.plans.design import Design, Gram, build_design, gram_of
+from agromix.plans.design import Design, Gram, build_design, gram_of, split_level
 from agromix.plans.formula import Call, Interaction, Name, parse_formula, parse_terms
 from agromix.plans.multitrait import MultiFit, fit_traits
-from agromix.plans.reml import Fit, fit_reml
+from agromix.plans.reml import Fit, fit_reml, psd_factor, scaled_columns
 
 __all__ = ["Model", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
 
@@ -52,10 +54,25 @@ class Model:
         return out
 
     def summary(self) -> DataFrame:
-        """Variance components with standard errors and their ratio."""
+        """Variance components with standard errors, their ratio, how each is constrained, and whether the fit has converged."""
         se = np.sqrt(np.abs(np.diag(self.covariance_of_components())))
-        rows = [(n, v, float(s), float(v / s) if s > 0 else None) for (n, v), s in zip(self.components(), se, strict=True)]
-        return self.spark.createDataFrame(rows, "component string, var_comp double, var_comp_se double, z_ratio double")
+        rows = [(n, v, float(s), float(v / s) if s > 0 else None, c, self.fit.converged) for (n, v), s, c in zip(self.components(), se, self.constraints(), strict=True)]
+        return self.spark.createDataFrame(rows, "component string, var_comp double, var_comp_se double, z_ratio double, constraint string, converged boolean")
+
+    def constraints(self) -> list[str]:
+        """Of every variance parameter: positive, unconstrained, fixed or, where the likelihood ends there, boundary."""
+        free, out = set(self.fit.parameters), []
+        for k, (t, theta) in enumerate(zip(self.design.random, self.fit.theta, strict=True)):
+            for j in range(len(theta)):
+                for i in range(j + 1):
+                    edge = t.label in self.fit.boundary
+                    out.append("boundary" if edge else "fixed" if ("theta", k, i, j) not in free else "positive" if i == j else "unconstrained")
+        return out + ["boundary" if f"residual.{x}" in self.fit.boundary else "positive" if ("residual", x) in free else "fixed" for x in self.fit.residual]
+
+    def __repr__(self) -> str:
+        rows = [f"  {n:<40} {v:14.6g}  {c}" for (n, v), c in zip(self.components(), self.constraints(), strict=True)]
+        state = "converged" if self.fit.converged else "NOT converged"
+        return "\n".join([f"Mixed model of {self.response}: logLik {self.fit.loglik:.6g}, {state} after {self.fit.iterations} iterations", *rows])
 
     def criteria(self) -> dict[str, float]:
         """logLik, AIC and BIC; these count the fixed coefficients only, as REML likelihoods of equal fixed parts compare."""
@@ -109,7 +126,9 @@ class Model:
         random = all(b in self.design.random for b in own)
         dictionary: dict[str, list[str]] = {}
         for f in factors:
-            single = [r[0] for r in self.design.rows.select(F.col(f).cast("string")).filter(F.col(f).isNotNull()).distinct().limit(3001).collect()]
+            single = [r[0] for r in self.design.rows.select(F.col(f).cast("string")).filter(F.col(f).isNotNull()).distinct().limit(MAX_ORDER + 1).collect()]
+            if len(single) > MAX_ORDER:
+                raise ValueError(f"{f} has over {MAX_ORDER} levels to predict")
             dictionary[f] = sorted(single)
         combos = [()]
         for f in factors:
@@ -135,7 +154,7 @@ class Model:
 
     @staticmethod
     def _agrees(block, name: str, level: dict[str, str]) -> bool:
-        parts = name.split(":")
+        parts = split_level(name) if len(block.variables) > 1 else [name]
         if len(parts) != len(block.variables):
             return parts[-1] in level.values()
         return all(level.get(v, x) == x for v, x in zip(block.variables, parts, strict=True))
@@ -164,10 +183,11 @@ class Model:
         n_fixed = sum(b.size for b in self.design.fixed)
         random = []
         for t, theta in zip(self.design.random, self.fit.theta, strict=True):
-            if theta[0, 0] > 0:
-                at = slice(t.start, t.start + t.size)
-                total[at, at] += np.kron(np.linalg.inv(theta), np.eye(len(t.main)) if t.kernel_inverse is None else t.kernel_inverse)
-                random += range(t.start, t.start + t.size)
+            at, factor = slice(t.start, t.start + t.size), psd_factor(theta)
+            total[:, at] = scaled_columns(total[:, at], factor, len(t.main))
+            total[at] = scaled_columns(total[at].T, factor, len(t.main)).T
+            total[at, at] += np.kron(np.eye(len(theta)), np.eye(len(t.main)) if t.kernel_inverse is None else t.kernel_inverse)
+            random += range(t.start, t.start + t.size)
         own = [*self.fit.kept, len(total) - 1]
         assert all(k < n_fixed for k in self.fit.kept)
         top = total[np.ix_(own, own)]
@@ -209,11 +229,16 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
 
     for t in (*formula.terms, *terms):
         names(t)
+    if level:
+        used.add(level)
     covariates = [c for c in df.columns if c in used]
     rows = na_policy(df, [formula.responses[0]], covariates, na_y, na_x)
     design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, terms, level, weights, kernels, covariances)
     gram = gram_of(design)
-    return Model(df.sparkSession, formula.responses[0], design, gram, fit_reml(design, gram, theta, codes, residual, fixed_residual, iterations, em_only=em_only))
+    fit = fit_reml(design, gram, theta, codes, residual, fixed_residual, iterations, em_only=em_only)
+    if not fit.converged:
+        warnings.warn(f"the fit of {fixed} has not converged in {fit.iterations} iterations", stacklevel=2)
+    return Model(df.sparkSession, formula.responses[0], design, gram, fit)
 
 
 def mmer(df: DataFrame, fixed: str, random: str | None = None, stacked: bool = False, **options):

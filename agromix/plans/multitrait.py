@@ -2,11 +2,12 @@
 
 Records with all traits share one design W, so the mixed-model equations are inv(S) (x) W'W plus inv(T) (x) inv(A) for
 each random effect, and only W'W, W'Y and Y'Y are needed: one grouped sum over the records however many traits there
-are. REML by average information (Gilmour et al. 1995, Jensen et al. 1997) with step halving and an EM safeguard.
+are. REML by damped Newton steps on lower factors of the covariances, as in reml.py, so singular ones are no special case.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from agromix.operators.records import na_policy
 from agromix.plans.design import Design, build_design, gram_of
 from agromix.plans.formula import parse_formula, parse_terms
-from agromix.plans.reml import independent_columns
+from agromix.plans.reml import Chart, ascend, independent_columns
 
 __all__ = ["MultiFit", "fit_traits"]
 
@@ -35,14 +36,14 @@ class MultiFit:
     solution: np.ndarray
 
     def summary(self) -> DataFrame:
-        """(term, trait1, trait2, covariance, correlation) of every random effect and the residual."""
+        """(term, trait1, trait2, covariance, correlation, converged) of every random effect and the residual."""
         rows = []
         for label, m in [*((t.label, m) for t, m in zip(self.design.random, self.theta, strict=True)), ("units", self.residual)]:
             for j, b in enumerate(self.traits):
                 for i, a in enumerate(self.traits[: j + 1]):
                     scale = float(np.sqrt(m[i, i] * m[j, j]))
-                    rows.append((label, a, b, float(m[i, j]), float(m[i, j]) / scale if scale > 0 else None))
-        return self.spark.createDataFrame(rows, "term string, trait1 string, trait2 string, covariance double, correlation double")
+                    rows.append((label, a, b, float(m[i, j]), float(m[i, j]) / scale if scale > 0 else None, self.converged))
+        return self.spark.createDataFrame(rows, "term string, trait1 string, trait2 string, covariance double, correlation double, converged boolean")
 
     def effects(self) -> DataFrame:
         """(term, level, trait, value): fixed coefficients and predicted random effects."""
@@ -63,7 +64,7 @@ def _sums(df: DataFrame, design: Design, traits: Sequence[str]) -> tuple[np.ndar
     return total[:c, :c], total[:c, c : c + len(traits)], total[c : c + len(traits), c : c + len(traits)], sum(gram.records.values())
 
 
-def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: dict | None = None, iterations: int = 200, tol: float = 1e-9) -> MultiFit:
+def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: dict | None = None, iterations: int = 200, tol: float = 1e-8) -> MultiFit:
     """cbind(y1, y2, ..) ~ fixed; every random term gets an unstructured covariance of the traits. Records lacking a trait are left out."""
     formula = parse_formula(fixed)
     traits, t = list(formula.responses), len(formula.responses)
@@ -78,95 +79,115 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
     blocks = [slice(len(kept) + r.start - n_fixed, len(kept) + r.start - n_fixed + r.size) for r in design.random]
     fixed_ss = wy[: len(kept)].T @ np.linalg.solve(ww[: len(kept), : len(kept)], wy[: len(kept)]) if len(kept) else 0
     vy = (yy - fixed_ss) / max(n - len(kept), 1)
-    theta, residual = [0.2 * np.diag(np.diag(vy)) for _ in blocks], 0.6 * vy + 0.2 * np.diag(np.diag(vy))
-
-    def solve(theta_: list[np.ndarray], s: np.ndarray) -> dict | None:
+    free = np.where(np.eye(t, dtype=bool), 1, 2)
+    charts = [Chart(0.2 * np.diag(np.diag(vy)), free) for _ in blocks] + [Chart(0.6 * vy + 0.2 * np.diag(np.diag(vy)), free)]
+    kernels_ = [None if r.kernel_inverse is None else np.linalg.inv(r.kernel_inverse) for r in design.random]
+
+    def solve(factors: list[np.ndarray]) -> dict | None:
+        """The equations for all traits, trait outermost, in effects free of scale."""
+        spread = np.diag(factors[-1])
+        if np.abs(spread).min() < 1e-7 * np.sqrt(np.diag(vy)).max():  # the residual covariance must stay regular
+            return None
+        si = np.linalg.inv(factors[-1] @ factors[-1].T)
+        m = np.kron(si, ww).reshape(t, c, t, c)
+        left, logdet = m.copy(), n * 2 * np.log(np.abs(spread)).sum()
+        for at, f in zip(blocks, factors, strict=False):
+            left[:, :, :, at] = np.einsum("icjk,jl->iclk", left[:, :, :, at], f)
+        for at, f, r in zip(blocks, factors, design.random, strict=False):
+            left[:, at] = np.einsum("ikjc,il->lkjc", left[:, at], f)
+            for i in range(t):
+                left[i, at, i, at] += np.eye(r.size) if r.kernel_inverse is None else r.kernel_inverse
+            logdet += t * r.kernel_logdet
+        flat = left.reshape(t * c, t * c)
         try:
-            logdet = n * 2 * np.log(np.diag(np.linalg.cholesky(s))).sum()
-            si = np.linalg.inv(s)
-            m = np.kron(si, ww)
-            for at, th, r in zip(blocks, theta_, design.random, strict=True):
-                q = r.size
-                logdet += q * 2 * np.log(np.diag(np.linalg.cholesky(th))).sum() + t * r.kernel_logdet
-                grown, a = np.linalg.inv(th), np.eye(q) if r.kernel_inverse is None else r.kernel_inverse
-                for i in range(t):
-                    for j in range(t):
-                        m[i * c + at.start : i * c + at.stop, j * c + at.start : j * c + at.stop] += grown[i, j] * a
-            logdet += 2 * np.log(np.diag(np.linalg.cholesky(m))).sum()
+            logdet += 2 * np.log(np.diag(np.linalg.cholesky((flat + flat.T) / 2))).sum()
         except np.linalg.LinAlgError:
             return None
-        ci = np.linalg.inv(m)
+        ci = np.linalg.inv(flat).reshape(t, c, t, c)
+        for at, f in zip(blocks, factors, strict=False):
+            ci[:, :, :, at] = np.einsum("iclk,jl->icjk", ci[:, :, :, at], f)
+        for at, f in zip(blocks, factors, strict=False):
+            ci[:, at] = np.einsum("lkjc,il->ikjc", ci[:, at], f)
         rhs = (wy @ si).T.ravel()
-        b = ci @ rhs
-        coef = b.reshape(t, c).T
-        ypy = float(np.sum(si * yy) - rhs @ b)
+        flat = ci.reshape(t * c, t * c)
+        coef = (flat @ rhs).reshape(t, c).T
+        loglik = -0.5 * (logdet + float(np.sum(si * yy) - rhs @ (flat @ rhs)))
         ee = yy - coef.T @ wy - wy.T @ coef + coef.T @ ww @ coef
-        return {"ci": ci.reshape(t, c, t, c), "b": coef, "loglik": -0.5 * (logdet + ypy), "ee": ee, "si": si, "flat": ci}
-
-    pairs = [(i, j) for j in range(t) for i in range(j + 1)]
-    unit = [np.array([[float((a, b) in ((i, j), (j, i))) for b in range(t)] for a in range(t)]) for i, j in pairs]
+        return {"ci": ci, "flat": flat, "m": m.reshape(t * c, t * c), "b": coef, "loglik": loglik, "ee": ee, "si": si} if np.isfinite(loglik) else None
 
-    def moments(state: dict) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """For each effect U'inv(A)U and the traces with C^-1; for the residual the traces with W'W."""
-        out = []
-        for at, r in zip(blocks, design.random, strict=True):
-            a = np.eye(r.size) if r.kernel_inverse is None else r.kernel_inverse
-            u = state["b"][at]
-            out.append((u.T @ a @ u, np.einsum("ikjl,kl->ij", state["ci"][:, at][:, :, :, at], a)))
-        return out, np.einsum("ikjl,kl->ij", state["ci"], ww)
-
-    state, converged, cycle = solve(theta, residual), False, 0
+    state, converged, cycle = solve([x.value for x in charts]), False, 0
     if state is None:
         raise ValueError("the starting covariances are not positive definite")
+    scale = np.concatenate([[np.sqrt(vy[i, i]) for i, _ in x.places] for x in charts])
     while cycle < iterations:
         cycle += 1
-        found, trace = moments(state)
-        si, q_columns, score = state["si"], [], []
-        residual_cross = wy - ww @ state["b"]  # W'E
-        for (uau, tr), at, th, r in zip(found, blocks, theta, design.random, strict=True):
-            inverse = np.linalg.inv(th)
-            for dot in unit:
-                both = inverse @ dot @ inverse
-                score.append(-0.5 * (r.size * np.trace(inverse @ dot) - np.sum(both * tr) - np.sum(both * uau)))
-                d = np.zeros((c, t))
-                d[at] = state["b"][at] @ inverse @ dot
-                q_columns.append(("w", d, ww @ d @ si))
-        for dot in unit:
-            both = si @ dot @ si
-            score.append(-0.5 * (n * np.trace(si @ dot) - np.sum(both * trace) - np.sum(both * state["ee"])))
-            q_columns.append(("e", dot, residual_cross @ both))
-        k = len(q_columns)
-        info = np.zeros((k, k))
-        for a in range(k):
-            for b in range(a, k):
-                (ka, da, wa), (kb, db, wb) = q_columns[a], q_columns[b]
-                if ka == kb == "w":
-                    inner = float(np.sum(da * wb))
-                elif ka == kb == "e":
+        si, gap = state["si"], wy - ww @ state["b"]  # W'E
+        slopes, pulls = [], []
+        for at, kernel in zip(blocks, kernels_, strict=True):
+            g = (gap @ si)[at]
+            pulls.append(g if kernel is None else kernel @ g)
+            own = np.concatenate([np.arange(i * c + at.start, i * c + at.stop) for i in range(t)])
+            q = at.stop - at.start
+            zpz = (state["m"][np.ix_(own, own)] - state["m"][own] @ (state["flat"] @ state["m"][:, own])).reshape(t, q, t, q)
+            slopes.append(0.5 * (g.T @ pulls[-1] - np.einsum("ikjl,kl->ij", zpz, np.eye(q) if kernel is None else kernel)))
+        trace = np.einsum("ikjl,kl->ij", state["ci"], ww)
+        slopes.append(-0.5 * (n * si - si @ (trace + state["ee"]) @ si))
+        columns, slope = [], []
+        for k, chart in enumerate(charts):
+            for dot in chart.directions():
+                slope.append(float(np.sum(slopes[k] * dot)))
+                if k < len(blocks):
+                    d = np.zeros((c, t))
+                    d[blocks[k]] = pulls[k] @ dot
+                    columns.append(("w", d, ww @ d @ si))
+                else:
+                    columns.append(("e", dot, gap @ si @ dot @ si))
+        size_ = len(columns)
+        info = np.zeros((size_, size_))
+        right = np.array([w.T.ravel() for _, _, w in columns])
+        taken = right @ state["flat"] @ right.T
+        for a in range(size_):
+            for b in range(a, size_):
+                (ka, da, wa), (kb, db, wb) = columns[a], columns[b]
+                if ka == kb == "e":
                     inner = float(np.sum((si @ da @ si @ db @ si) * state["ee"]))
                 else:
                     inner = float(np.sum(da * wb)) if ka == "w" else float(np.sum(db * wa))
-                info[a, b] = info[b, a] = 0.5 * (inner - wa.T.ravel() @ state["flat"] @ wb.T.ravel())
-        step = np.linalg.lstsq(info, np.array(score), rcond=None)[0]
-        size, better = 1.0, None
-        while size > 1e-3 and better is None:
-            moved = [sum(size * x * u for x, u in zip(step[i : i + len(unit)], unit, strict=True)) for i in range(0, k, len(unit))]
-            candidate = [th + m for th, m in zip(theta, moved[:-1], strict=True)], residual + moved[-1]
-            after = solve(*candidate)
-            if after is not None and after["loglik"] >= state["loglik"]:
-                better = (*candidate, after)
-            size /= 2
-        if better is None:
-            candidate = [(uau + tr) / r.size for (uau, tr), r in zip(found, design.random, strict=True)], (state["ee"] + trace) / n
-            after = solve(*candidate)
-            if after is None:
+                info[a, b] = info[b, a] = 0.5 * (inner - taken[a, b])
+        at = 0
+        for k, chart in enumerate(charts):
+            width = len(chart.places)
+            info[at : at + width, at : at + width] += chart.bend(slopes[k])
+            at += width
+        step = ascend(np.array(slope), info, scale)
+        longest, found = float(np.abs(step).max()), None
+        size = min(1.0, 3.0 / longest) if longest > 3 else 1.0
+        while size > 1e-9:
+            move, at, values = size * step * scale, 0, []
+            for chart in charts:
+                values.append(chart.moved(move[at : at + len(chart.places)]))
+                at += len(chart.places)
+            candidate = solve(values)
+            if candidate is not None and candidate["loglik"] >= state["loglik"] - 1e-13 * (1 + abs(state["loglik"])):
+                found = values, candidate
                 break
-            better = (*candidate, after)
-        change = better[2]["loglik"] - state["loglik"]
-        theta, residual, state = better
-        if abs(change) < tol * (1 + abs(state["loglik"])):
+            size /= 4
+        if found is None:  # no step goes up: at the top but for rounding, or stuck
+            converged = float(np.array(slope) * scale @ step) < 1e-6
+            break
+        for chart, value in zip(charts, found[0], strict=True):
+            chart.value = value
+        state = found[1]
+        if longest < tol:
             converged = True
             break
+    if not converged:
+        warnings.warn(f"the fit of {fixed} has not converged in {cycle} iterations", stacklevel=2)
+    theta, residual = [x.covariance(x.value) for x in charts[:-1]], charts[-1].covariance(charts[-1].value)
+    for th in theta:
+        small = np.diag(th) < 1e-12 * np.diag(vy)
+        th[small] = 0.0
+        th[:, small] = 0.0
     solution = np.zeros((design.width, t))
     solution[use] = state["b"]
     return MultiFit(df.sparkSession, traits, design, theta, residual, state["loglik"], converged, cycle, solution)

@@ -1,5 +1,7 @@
 """Closed forms, equivalent models, and invariances."""
 
+import warnings
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +182,44 @@ def test_fdr_against_a_direct_computation(spark):
     for r in got.collect():
         assert r["p_adjusted"] == pytest.approx(expected[r["i"]])
     assert ranking.fdr_threshold(got, "p").first()["threshold"] is not None
+
+
+def test_levels_that_hold_colons(spark):
+    rows = spark.createDataFrame([("a:b", "c", 1.0), ("a:b", "c", 3.0), ("a", "b:c", 10.0), ("a", "b:c", 12.0), ("x\\", "y", 5.0), ("x\\", "y", 5.5)], "f string, g string, y double")
+    model = mmec(rows, "y ~ 0 + f:g")
+    got = {r["level"]: r["predicted"] for r in model.predict("f:g").collect()}
+    assert {k: got[k] for k in ("a\\:b:c", "a:b\\:c", "x\\\\:y")} == pytest.approx({"a\\:b:c": 2.0, "a:b\\:c": 11.0, "x\\\\:y": 5.25})
+    assert sorted(r["estimate"] for r in model.blues().collect()) == pytest.approx([2.0, 5.25, 11.0])
+
+
+def test_residual_levels_are_checked(spark):
+    rows = spark.createDataFrame([(float(i % 7), None if i == 3 else "ab"[i % 2]) for i in range(30)], "y double, g string")
+    assert sum(mmec(rows, "y ~ 1", None, "~ vsc(dsc(g), isc(units))").gram.records.values()) == 29
+
+
+def test_perfect_fit_ends_at_the_floor(spark):
+    rows = spark.createDataFrame([(float(2 * i + 1), float(i), f"g{i % 5}") for i in range(40)], "y double, x double, g string")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        fit = mmec(rows, "y ~ x", "~ g").fit
+    assert "residual.units" in fit.boundary or fit.residual["units"] < 1e-9
+    assert np.isfinite(fit.loglik)
+
+
+def test_cross_products_by_blocks_equal_plain_sums(spark, monkeypatch):
+    from agromix.plans import design
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(float(rng.normal()), float(rng.normal()), f"g{rng.integers(6)}", "ab"[int(rng.integers(2))], float(rng.uniform(0.5, 2))) for _ in range(300)], "y double, x double, g string, l string, w double")
+    fit = lambda: mmec(rows, "y ~ x", "~ g + g:x", "~ vsc(dsc(l), isc(units))", weights="w").gram
+    one = fit()
+    monkeypatch.setattr(design, "DENSE", 0)
+    other = fit()
+    for level in ("a", "b"):
+        assert np.allclose(one.sums[level], other.sums[level]) and one.records[level] == other.records[level]
+    plain = mmec(rows, "y ~ x", weights="w").gram
+    monkeypatch.setattr(design, "PLAIN", 0)
+    assert np.allclose(plain.sums["units"], mmec(rows, "y ~ x", weights="w").gram.sums["units"])
+    total = sum(one.sums.values())
+    keep = [0, 1, len(total) - 1]
+    assert np.allclose(total[np.ix_(keep, keep)], plain.sums["units"])
