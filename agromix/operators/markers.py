@@ -82,7 +82,11 @@ def build_hybrids(first: DataFrame, second: DataFrame, crosses: DataFrame | None
 
     a, b = coded(first, "Var1"), coded(second, "Var2")
     if crosses is None:
-        rows = a.join(b, "marker").withColumn("hybrid", F.concat_ws(separator, F.col("Var1"), F.col("Var2")))
+        # of a cross and its reverse, possible where a line is in both sets, the one with the smaller line first stays
+        twice = first.select(F.col("id").alias("l")).distinct().intersect(second.select(F.col("id").alias("l")).distinct()).withColumn("both", F.lit(True))
+        known = lambda df, tag: df.join(twice.select(F.col("l").alias(tag), F.col("both").alias(f"in_{tag}")), tag, "left")
+        rows = known(a, "Var1").join(known(b, "Var2"), "marker").filter("in_Var1 is null or in_Var2 is null or Var1 <= Var2")
+        rows = rows.withColumn("hybrid", F.concat_ws(separator, F.col("Var1"), F.col("Var2")))
     else:
         rows = crosses.select("Var1", "Var2", "hybrid").join(a, "Var1").join(b, ["Var2", "marker"])
     return rows.select("hybrid", "marker", ((F.col("x_Var1") + F.col("x_Var2")) / 2).alias("additive"), (0.5 * (1 - F.col("x_Var1") * F.col("x_Var2"))).alias("dominance"))

@@ -24,7 +24,7 @@ from pyspark.sql.types import NumericType
 from agromix.operators.matrices import MAX_ORDER, dense
 from agromix.plans.formula import Call, Interaction, Name
 
-__all__ = ["Design", "Gram", "RandomTerm", "build_design", "gram_of", "split_level"]
+__all__ = ["Design", "Gram", "RandomTerm", "build_design", "gram_of", "join_levels", "split_level"]
 
 #: Bytes of cross-products on the driver; covariates that are summed as plain columns; widest dense block of a task.
 DRIVER_BYTES, PLAIN, DENSE = 4 << 30, 16, 512
@@ -91,6 +91,11 @@ def _joined(names: list[str]) -> Column:
     return F.when(F.forall(F.array(*keys), lambda x: x.isNotNull()), F.concat_ws(":", *escaped))
 
 
+def join_levels(levels: list[str] | tuple[str, ...]) -> str:
+    """The name of an interaction's level."""
+    return ":".join(re.sub(r"([:\\])", r"\\\1", x) for x in levels) if len(levels) > 1 else levels[0]
+
+
 def split_level(name: str) -> list[str]:
     """The levels that the name of an interaction's level joins."""
     return [re.sub(r"\\(.)", r"\1", x) for x in re.findall(r"(?:[^:\\]|\\.)+|(?<=:)(?=:|$)|^(?=:)", name)]
@@ -334,7 +339,7 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
         entries.append(_shift(cells, at))
         at += len(names)
     if at > MAX_ORDER:
-        raise ValueError(f"{at} coefficients; over {MAX_ORDER} their cross-products would not fit the driver")
+        raise ValueError(f"{at} coefficients; over {MAX_ORDER} their cross-products would not fit the driver; absorbed() takes one effect of any number of levels")
     rows = encoder.df.withColumns({"_entries": F.concat(*entries) if entries else F.array().cast(ENTRY), "_y": F.col(response).cast("double"), "_w": F.col(weights).cast("double") if weights else F.lit(1.0), "_level": level})
     levels = encoder.known["the residual"] if residual else ["units"]
     if 8 * len(levels) * (at + 1) ** 2 > DRIVER_BYTES:

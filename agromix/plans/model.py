@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from agromix.functions.numeric import chi2_sf, f_sf
 from agromix.operators.matrices import MAX_ORDER
 from agromix.operators.records import na_policy
-from agromix.plans.design import Design, Gram, build_design, gram_of, split_level
+from agromix.plans.absorb import AbsorbedModel, fit_absorbed
+from agromix.plans.design import Design, Gram, build_design, gram_of, join_levels, split_level
 from agromix.plans.formula import Call, Interaction, Name, parse_formula, parse_terms
 from agromix.plans.multitrait import MultiFit, fit_traits
 from agromix.plans.reml import Fit, fit_reml, psd_factor, scaled_columns
 
-__all__ = ["Model", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
+__all__ = ["Model", "absorbed", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
 
 
 @dataclass
@@ -112,18 +113,37 @@ class Model:
 
     # predictions
 
-    def predict(self, target: str, include: Sequence[str] = (), average: Sequence[str] = ()) -> DataFrame:
-        """Marginal means of ``target`` (a factor or an interaction a:b): (level, predicted, std_error).
+    def dtable(self, target: str, include: Sequence[str] = (), average: Sequence[str] = ()) -> dict[str, tuple[bool, bool]]:
+        """What predict() does with each term: (include, average).
 
-        Of every term, columns whose factors the target names get 1 where their levels agree; ``include`` forces that and
-        ``average`` spreads 1 evenly over the (agreeing) columns. The intercept is always in. By default the target's own
-        terms are included, and if the target is a random effect, fixed terms without it are averaged.
+        The target's own terms are included; those that hold further factors are averaged over them as well, and if the
+        target is a random effect, fixed terms without it are averaged. ``include`` and ``average`` add to that.
         """
-        factors = target.split(":")
-        own = [b for b in (*self.design.fixed, *self.design.random) if set(b.variables) & set(factors)]
+        factors = set(target.split(":"))
+        blocks = [b for b in (*self.design.fixed, *self.design.random) if b.label != "(Intercept)"]
+        own = [b for b in blocks if set(b.variables) & factors]
         if not own:
             raise ValueError(f"no term holds {target}")
+        unknown = {*include, *average} - {b.label for b in blocks}
+        if unknown:
+            raise ValueError(f"no term {sorted(unknown)[0]}")
         random = all(b in self.design.random for b in own)
+        out = {}
+        for b in blocks:
+            included = b.label in include or b in own
+            averaged = b.label in average or (included and not set(b.variables) <= factors) or (random and b in self.design.fixed and b not in own)
+            out[b.label] = (included, averaged)
+        return out
+
+    def predict(self, target: str, include: Sequence[str] = (), average: Sequence[str] = (), dtable: dict[str, tuple[bool, bool]] | None = None) -> DataFrame:
+        """Marginal means of ``target`` (a factor or an interaction a:b): (level, predicted, std_error).
+
+        ``dtable`` (by default dtable()'s) says of every term whether it is included and averaged. Included: 1 in the
+        columns whose factors agree with the target's level. Both: 1 spread evenly over those. Averaged only: 1 spread
+        evenly over all levels, a level that contrasts leave out among them. Neither: 0. The intercept is always in.
+        """
+        factors = target.split(":")
+        rules = self.dtable(target, include, average) if dtable is None else dtable
         dictionary: dict[str, list[str]] = {}
         for f in factors:
             single = [r[0] for r in self.design.rows.select(F.col(f).cast("string")).filter(F.col(f).isNotNull()).distinct().limit(MAX_ORDER + 1).collect()]
@@ -133,24 +153,25 @@ class Model:
         combos = [()]
         for f in factors:
             combos = [(*c, x) for c in combos for x in dictionary[f]]
-        rows, d = [], np.zeros((len(combos), self.design.width))
-        for r, combo in enumerate(combos):
-            level = dict(zip(factors, combo, strict=True))
-            for block in (*self.design.fixed, *self.design.random):
-                if block.label == "(Intercept)":
-                    d[r, block.start] = 1
-                    continue
-                included = block.label in include or block in own
-                averaged = block.label in average or (random and block in self.design.fixed and block not in own) or (included and not set(block.variables) <= set(factors))
-                if not included and not averaged:
-                    continue
+        d, contrast = np.zeros((len(combos), self.design.width)), self.design.fixed and self.design.fixed[0].label == "(Intercept)"
+        for block in (*self.design.fixed, *self.design.random):
+            if block.label == "(Intercept)":
+                d[:, block.start] = 1
+                continue
+            included, averaged = rules.get(block.label, (False, False))
+            dropped = 1 if contrast and block in self.design.fixed and len(block.variables) == 1 else 0
+            for r, combo in enumerate(combos) if included or averaged else ():
+                level = dict(zip(factors, combo, strict=True))
                 matching = [k for k, name in enumerate(block.names) if not included or self._agrees(block, name, level)]
-                for k in matching:
-                    d[r, block.start + k] = 1 / max(len(matching) if included else block.size + (1 if self.design.fixed[0].label == "(Intercept)" and block in self.design.fixed else 0), 1) if averaged else 1
-            rows.append(":".join(combo))
+                spread = (len(matching) if included else block.size + dropped) if averaged else 1
+                d[r, [block.start + k for k in matching]] = 1 / max(spread, 1)
+        return self.predict_rows([join_levels(c) for c in combos], d)
+
+    def predict_rows(self, names: Sequence[str], d: np.ndarray) -> DataFrame:
+        """Given rows of weights on all coefficients: (level, predicted, std_error)."""
         value = d @ self.fit.solution
-        se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, self.fit.c_inverse, d), 0))
-        return self.spark.createDataFrame([(x, float(v), float(s)) for x, v, s in zip(rows, value, se, strict=True)], "level string, predicted double, std_error double")
+        se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, self.fit.c_inverse, d, optimize=True), 0))
+        return self.spark.createDataFrame([(x, float(v), float(s)) for x, v, s in zip(names, value, se, strict=True)], "level string, predicted double, std_error double")
 
     @staticmethod
     def _agrees(block, name: str, level: dict[str, str]) -> bool:
@@ -241,6 +262,16 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
     return Model(df.sparkSession, formula.responses[0], design, gram, fit)
 
 
+def absorbed(df: DataFrame, fixed: str, term: str, weights: str | None = None, variances: tuple[float, float] | None = None, na_y: str = "exclude", na_x: str = "exclude") -> AbsorbedModel:
+    """y = Xb + Zu + e with one random effect ``term`` of any number of levels; ``variances`` (of u, of e) holds these."""
+    formula = parse_formula(fixed)
+    if len(formula.responses) != 1 or term not in df.columns:
+        raise ValueError("absorption takes one response and a column of levels")
+    covariates = [c for c in df.columns if any(c in str(t).split(":") for t in formula.terms)]
+    rows = na_policy(df, [formula.responses[0]], [*covariates, term], na_y, na_x)
+    return fit_absorbed(build_design(rows, formula.responses[0], formula.terms, formula.intercept, (), None, weights), term, variances)
+
+
 def mmer(df: DataFrame, fixed: str, random: str | None = None, stacked: bool = False, **options):
     """Several responses, cbind(y1, y2) ~ ...; with one response this is mmec().
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agromix.operators import kernels, markers, matrices, ranking, records, scan
-from agromix.plans.model import lrt, mmec, mmer, two_stage, vpredict
+from agromix.plans.model import absorbed, lrt, mmec, mmer, two_stage, vpredict
 
 
 @pytest.fixture(scope="module")
@@ -223,3 +223,43 @@ def test_cross_products_by_blocks_equal_plain_sums(spark, monkeypatch):
     total = sum(one.sums.values())
     keep = [0, 1, len(total) - 1]
     assert np.allclose(total[np.ix_(keep, keep)], plain.sums["units"])
+
+
+def test_absorbed_effect_equals_the_whole_equations(spark, trial):
+    whole = mmec(trial, "y ~ env + x", "~ g", weights="w")
+    one = absorbed(trial, "y ~ env + x", "g", weights="w")
+    assert (one.su, one.se) == pytest.approx(tuple(v for _, v in whole.components()), rel=1e-5)
+    assert one.loglik == pytest.approx(whole.fit.loglik - sum(t.kernel_logdet for t in whole.design.random), rel=1e-6)
+    a = {r["level"]: r for r in whole.blups().collect()}
+    for r in one.blups().collect():
+        assert (r["blup"], r["pev"], r["reliability"]) == pytest.approx((a[r["level"]]["blup"], a[r["level"]]["pev"], a[r["level"]]["reliability"]), rel=1e-4, abs=1e-7)
+    assert [(r["estimate"], r["std_error"]) for r in one.blues().collect()] == [pytest.approx((r["estimate"], r["std_error"]), rel=1e-5) for r in whole.blues().collect()]
+    many = spark.range(40_000).select((F.col("id") % 8000).cast("string").alias("g"), (F.hash(F.col("id") % 8000) % 100 / 50.0 + F.hash("id") % 100 / 100.0).alias("y"))
+    found = absorbed(many, "y ~ 1", "g")
+    assert found.su > 0.5 and found.blups().count() == 8000
+    noise = many.select("g", (F.hash("g") * 0 + F.monotonically_increasing_id() % 2).cast("double").alias("y"))
+    assert absorbed(noise.withColumn("y", F.col("y") - 0.5 * F.lit(1)), "y ~ 1", "g").su >= 0
+
+
+def test_predictions_of_main_effects_with_interaction(trial):
+    """V*N and V+N+V:N are one model; cell means and their averages follow from either."""
+    rows = trial.filter("rep < 1").withColumn("h", F.when(F.col("x") > 0, "p").otherwise("n"))
+    one, other = mmec(rows, "y ~ env*h"), mmec(rows, "y ~ env + h + env:h")
+    for target, more in (("env:h", {}), ("env", {"average": ["h"]}), ("h", {"average": ["env"]})):
+        a, b = ({r["level"]: (r["predicted"], r["std_error"]) for r in m.predict(target, **more).collect()} for m in (one, other))
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    cells = {(r["env"], r["h"]): r["m"] for r in rows.groupBy("env", "h").agg(F.avg("y").alias("m")).collect()}
+    assert {r["level"]: r["predicted"] for r in other.predict("env:h").collect()} == pytest.approx({f"{e}:{h}": m for (e, h), m in cells.items()})
+    means = {e: np.mean([m for (f, _), m in cells.items() if f == e]) for e, _ in cells}
+    assert {r["level"]: r["predicted"] for r in other.predict("env", average=["h"]).collect()} == pytest.approx(means)
+    assert other.dtable("env", average=["h"]) == {"env": (True, False), "h": (False, True), "env:h": (True, True)}
+    custom = other.predict("env", dtable={"env": (True, False)}).collect()
+    assert len(custom) == len(means)
+
+
+def test_hybrids_of_overlapping_sets_come_once(spark):
+    rows = spark.createDataFrame([(x, m, v) for x, v in zip("abc", (1, -1, 1)) for m in ("m1",)] + [("a", "m2", -1), ("b", "m2", 1), ("c", "m2", 1)], "id string, marker string, dosage int")
+    got = sorted({r["hybrid"] for r in markers.build_hybrids(rows, rows).collect()})
+    assert got == ["a:a", "a:b", "a:c", "b:b", "b:c", "c:c"]
+    part = markers.build_hybrids(rows.filter("id <> 'a'"), rows.filter("id <> 'c'"))
+    assert sorted({r["hybrid"] for r in part.collect()}) == ["b:a", "b:b", "c:a", "c:b"]
