@@ -91,11 +91,14 @@ def e_matrix(markers: DataFrame, id_col: str = "id", marker: str = "marker", dos
 
 
 def h_matrix(a: DataFrame, g: DataFrame, tau: float = 1.0, omega: float = 1.0, tol: float = 1e-6) -> DataFrame:
-    """Single-step relationships of pedigree (a) and genotyped individuals (g); those in g but not in a are refused."""
+    """Single-step relationships of pedigree (a) and genotyped individuals (g); those in g alone enter the pedigree as unrelated founders."""
     names, full = dense(a)
     genotyped, g22 = dense(g)
-    if set(genotyped) - set(names):
-        raise ValueError("genotyped individuals without pedigree")
+    founders = sorted(set(genotyped) - set(names))
+    if len(names) + len(founders) > MAX_ORDER:
+        raise ValueError(f"a kernel of order over {MAX_ORDER} is not built")
+    full = np.block([[full, np.zeros((len(names), len(founders)))], [np.zeros((len(founders), len(names))), np.eye(len(founders))]])
+    names = names + founders
     two = [names.index(x) for x in genotyped]
     one = [i for i in range(len(names)) if i not in set(two)]
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["MAX_ORDER", "dense", "from_dense", "hadamard", "inverse_triplet", "nearest_pd", "trace", "triplet_to_matrix"]
+__all__ = ["MAX_ORDER", "dense", "from_dense", "hadamard", "inverse_triplet", "is_diagonal", "is_square", "nearest_pd", "trace", "triplet_to_matrix"]
 
 #: Largest order of a matrix that may come to the driver.
 MAX_ORDER = 3000
@@ -24,6 +26,18 @@ def trace(matrix: DataFrame) -> DataFrame:
     return matrix.filter("row = col").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("trace"))
 
 
+def is_square(matrix: DataFrame) -> DataFrame:
+    """Whether rows and columns have the same levels: one row (is_square)."""
+    rows, cols = matrix.select(F.col("row").alias("l")).distinct(), matrix.select(F.col("col").alias("l")).distinct()
+    apart = rows.join(cols, "l", "left_anti").unionAll(cols.join(rows, "l", "left_anti"))
+    return apart.agg((F.count("*") == 0).alias("is_square"))
+
+
+def is_diagonal(matrix: DataFrame, tol: float = 1e-8) -> DataFrame:
+    """Whether no cell off the diagonal exceeds ``tol`` in absolute value: one row (is_diagonal)."""
+    return matrix.agg(F.coalesce(F.max(F.when((F.col("row") != F.col("col")) & (F.abs("value") > tol), 1)), F.lit(0)).alias("off")).select((F.col("off") == 0).alias("is_diagonal"))
+
+
 def hadamard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cellwise product of two matrices."""
     return a.join(b.withColumnRenamed("value", "_other"), ["row", "col"]).select("row", "col", (F.col("value") * F.col("_other")).alias("value"))
@@ -36,10 +50,11 @@ def dense(matrix: DataFrame, levels: Sequence[str] | None = None, most: int = MA
         levels = sorted(r["l"] for r in found)
     if len(levels) > most:
         raise ValueError(f"a matrix of order over {most} does not come to the driver")
-    at, out = {x: i for i, x in enumerate(levels)}, np.zeros((len(levels), len(levels)))
-    for r in matrix.select(F.col("row").cast("string"), F.col("col").cast("string"), "value").collect():
-        if r[0] in at and r[1] in at:
-            out[at[r[0]], at[r[1]]] = r[2]
+    out = np.zeros((len(levels), len(levels)))
+    cells = matrix.select(F.col("row").cast("string").alias("row"), F.col("col").cast("string").alias("col"), F.col("value").cast("double").alias("value")).toArrow()
+    places = [pc.index_in(cells.column(x).combine_chunks(), pa.array(list(levels), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False) for x in ("row", "col")]
+    known = (places[0] >= 0) & (places[1] >= 0)
+    out[places[0][known], places[1][known]] = cells.column("value").to_numpy()[known]
     return list(levels), out
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["bh_fdr", "fdr_threshold", "hit_clusters", "manhattan", "map_density", "neighbour_adjust", "peak_runs", "qtl_peaks", "storey_q", "top_similar"]
+__all__ = ["bh_fdr", "fdr_or_q", "fdr_threshold", "hit_clusters", "manhattan", "map_density", "neighbour_adjust", "peak_runs", "qtl_peaks", "storey_q", "top_similar"]
 
 
 def _p_values(df: DataFrame, p: str) -> Column:
@@ -48,14 +48,23 @@ def storey_q(df: DataFrame, p: str, lambdas: Sequence[float] = tuple(i / 20 for
     """bh_fdr() with q: adjusted p times the estimated share of true nulls.
 
     The shares over ``lambdas`` are one aggregate; a cubic fitted to them on the driver gives the estimate at the last.
+    Of fewer than five, the last share itself is the estimate.
     """
     rows = df.withColumn("_p", _p_values(df, p))
     shares = rows.agg(*(F.avg((F.col("_p") >= x).cast("double")) / (1 - x) for x in lambdas)).first()
-    fit = np.polyfit(lambdas, [x or 0.0 for x in shares], 3)
-    pi0 = float(min(1.0, max(1e-8, np.polyval(fit, lambdas[-1]))))
+    found = float(np.polyval(np.polyfit(lambdas, [x or 0.0 for x in shares], 3), lambdas[-1])) if len(lambdas) > 4 else float(shares[-1] or 0.0)
+    pi0 = min(1.0, max(1e-8, found))
     return bh_fdr(df, p).withColumn("q", F.col("p_adjusted") * pi0)
 
 
+def fdr_or_q(df: DataFrame, p: str, level: float = 0.05) -> DataFrame:
+    """bh_fdr(), or where no adjusted p is under ``level`` its share by storey_q(): column p_adjusted, and method of one value."""
+    adjusted = bh_fdr(df, p)
+    if adjusted.filter(F.col("p_adjusted") < level).limit(1).count():
+        return adjusted.withColumn("method", F.lit("BH"))
+    return storey_q(df, p).withColumn("p_adjusted", F.col("q")).withColumn("p_log10", -F.log10("p_adjusted")).drop("q").withColumn("method", F.lit("q"))
+
+
 def peak_runs(df: DataFrame, group: str, order: str, value: str, threshold: float) -> DataFrame:
     """Local maxima above ``threshold``; a run of equal values counts once, at its first row."""
     w = Window.partitionBy(group).orderBy(order)
@@ -65,10 +74,12 @@ def peak_runs(df: DataFrame, group: str, order: str, value: str, threshold: floa
     return around.filter(high & (F.col(value) > threshold)).drop("_prev", "_before", "_after")
 
 
-def qtl_peaks(df: DataFrame, chrom: str = "chr", pos: str = "pos", lod: str = "lod", distance: float = 10.0, most: int = 5, quantile: float = 0.95) -> DataFrame:
+def qtl_peaks(df: DataFrame, chrom: str = "chr", pos: str = "pos", lod: str = "lod", distance: float = 10.0, most: int = 5, quantile: float = 0.95, drop: float | None = None) -> DataFrame:
     """Per chromosome, greedily the highest score above the ``quantile``, then the next at least ``distance`` away, up to ``most``.
 
-    Only rows above the chromosome's quantile can be peaks; each round is one aggregate and one join.
+    Only rows above the chromosome's quantile can be peaks; each round is one aggregate and one join. With ``drop``, the
+    columns left and right are the nearest positions on either side whose score is lower than the peak's by more than
+    that, or the chromosome's ends.
     """
     floor = df.groupBy(chrom).agg(F.percentile(lod, quantile).alias("_floor"))
     left = df.join(floor, chrom).filter(F.col(lod) > F.col("_floor")).select(chrom, pos, lod)
@@ -78,7 +89,14 @@ def qtl_peaks(df: DataFrame, chrom: str = "chr", pos: str = "pos", lod: str = "l
         found = best.select(chrom, F.col("_pos").alias(pos), F.col("_lod").alias(lod), F.lit(k + 1).alias("peak"))
         out = found if out is None else out.unionAll(found)
         left = left.join(best, chrom).filter(F.abs(F.col(pos) - F.col("_pos")) > distance).select(chrom, pos, lod)
-    return out
+    if drop is None or out is None:
+        return out
+    peaks = out.select(chrom, F.col(pos).alias("_pos"), F.col(lod).alias("_lod"), "peak")
+    rows = df.select(chrom, pos, lod).join(F.broadcast(peaks), chrom)  # ``most`` rows a chromosome
+    low = F.col(lod) < F.col("_lod") - drop
+    side = lambda f, where, end: F.coalesce(f(F.when(low & where, F.col(pos))), end(pos))
+    ends = rows.groupBy(chrom, "peak", "_pos", "_lod").agg(side(F.max, F.col(pos) < F.col("_pos"), F.min).alias("left"), side(F.min, F.col(pos) > F.col("_pos"), F.max).alias("right"))
+    return ends.select(chrom, F.col("_pos").alias(pos), F.col("_lod").alias(lod), "peak", "left", "right")
 
 
 def hit_clusters(df: DataFrame, chrom: str, pos: str, score: str, threshold: float, gap: float) -> DataFrame:

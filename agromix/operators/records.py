@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-__all__ = ["align_levels", "bind_blocks", "diallel_vars", "impute", "level_table", "na_policy", "overlay", "prop_missing", "replace_values", "scale_trait", "stack_trait", "trait_covariance"]
+__all__ = ["align_levels", "bind_blocks", "diallel_vars", "impute", "level_pivot", "level_table", "median_of", "na_policy", "overlay", "prop_missing", "replace_values", "scale_trait", "stack_trait", "trait_covariance"]
 
 
 def _numeric(df: DataFrame, name: str) -> bool:
@@ -25,8 +25,30 @@ def fills(df: DataFrame, columns: Sequence[str], method: str = "median") -> dict
     """What stands in for nulls: exact median or mean of numeric columns, the first of the most common values of others."""
     if method not in ("median", "mean"):
         raise ValueError("method is median or mean")
-    made = {c: (F.median(F.col(c).cast("double")) if method == "median" else F.avg(F.col(c).cast("double"))) if _numeric(df, c) else F.mode(c, True) for c in columns}
-    return df.agg(*(v.alias(c) for c, v in made.items())).first().asDict() if columns else {}
+    if not columns:
+        return {}
+    numbers = [c for c in columns if _numeric(df, c)]
+    made = {c: F.avg(F.col(c).cast("double")) if method == "mean" else F.count(c) for c in numbers} | {c: F.mode(c, True) for c in columns if c not in numbers}
+    found = df.agg(*(v.alias(c) for c, v in made.items())).first().asDict()
+    if method == "median" and numbers:
+        found |= median_of(df, numbers, {c: found[c] for c in numbers})
+    return found
+
+
+def median_of(df: DataFrame, columns: Sequence[str], counts: dict[str, int], few: int = 10_000_000) -> dict[str, float | None]:
+    """Exact medians. Columns of over ``few`` values are first bracketed by approximate quantiles, so that only a few in ten thousand are ordered."""
+    small = [c for c in columns if counts[c] <= few]
+    out = df.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in small)).first().asDict() if small else {}
+    for c in (x for x in columns if x not in small):
+        x, n = F.col(c).cast("double"), counts[c]
+        low, high = df.agg(F.percentile_approx(x, [0.4995, 0.5005], 10_000).alias("b")).first()["b"]
+        below = df.filter(x < low).count()
+        inside = df.filter(x.between(low, high)).groupBy(x.alias("v")).agg(F.count("*").alias("k"))
+        ends = inside.withColumn("end", F.lit(below) + F.sum("k").over(Window.orderBy("v")))
+        middle = [(n + 1) // 2, n // 2 + 1]
+        picked = ends.agg(*(F.min(F.when(F.col("end") >= m, F.col("v"))).alias(f"m{i}") for i, m in enumerate(middle))).first()
+        out[c] = (picked[0] + picked[1]) / 2
+    return out
 
 
 def impute(df: DataFrame, columns: Sequence[str], method: str = "median") -> DataFrame:
@@ -97,8 +119,16 @@ def overlay(df: DataFrame, key: str, factors: Sequence[str], weights: Sequence[f
     return df.select(key, F.inline(cells)).filter("level is not null").groupBy(key, "level").agg(F.sum("value").alias("value"))
 
 
+def level_pivot(df: DataFrame, row: str, column: str, value: str, most: int = 3000) -> DataFrame:
+    """The wide form of level_table(): a row for each level of ``row``, a column for each of ``column`` (``most`` of them, checked)."""
+    levels = [r[0] for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(levels) > most:
+        raise ValueError(f"{column} has over {most} levels")
+    return df.withColumn("_c", F.col(column).cast("string")).groupBy(row).pivot("_c", sorted(levels)).agg(F.avg(value))
+
+
 def level_table(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """Mean of ``value`` in each cell of two factors, in long form; pivot() it for the wide table."""
+    """Mean of ``value`` in each cell of two factors, in long form; level_pivot() gives the wide table."""
     return df.groupBy(row, column).agg(F.avg(value).alias("mean"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agromix.functions.numeric import legendre, logspace
 from agromix.operators import kernels, markers, matrices, ranking, records, scan, spatial
 from agromix.plans import structures
-from agromix.plans.model import lrt, mmec, mmer, two_stage, vpredict
+from agromix.plans.model import absorbed, lrt, mmec, mmer, two_stage, vpredict
 from agromix.sources.tables import table
 from agromix.streaming.sums import moments
 
@@ -187,6 +187,44 @@ def e_matrix(spark, folder):
     return kernels.e_matrix(dosages(spark, folder))
 
 
+D_SQL = "d AS (SELECT s.id AS row, t.id AS col, sum((1 - abs(s.dosage) - s.het) * (1 - abs(t.dosage) - t.het)) / (SELECT sum((2 * p * (1 - p)) ** 2) FROM f) AS value FROM x s JOIN x t USING (marker) GROUP BY 1, 2)"
+
+
+@query(f"WITH {GOOD.format(maf=0.02)}, {A_SQL}, {D_SQL} SELECT row, col, round(a.value * d.value, 6) + 0.0 AS value FROM a JOIN d USING (row, col)")
+def e_matrix_additive_dominance(spark, folder):
+    return kernels.e_matrix(dosages(spark, folder), kind="A#D")
+
+
+@query(f"WITH {GOOD.format(maf=0.02)}, {D_SQL} SELECT row, col, round(value * value, 6) + 0.0 AS value FROM d")
+def e_matrix_dominance(spark, folder):
+    return kernels.e_matrix(dosages(spark, folder), kind="D#D")
+
+
+@query("SELECT true AS is_diagonal, true AS is_square")
+def matrix_shape(spark, folder):
+    """An identity of regions beside one of nations."""
+    one = lambda name, key: table(spark, folder, name).select((F.col(key) + 1).cast("long").alias("row"), (F.col(key) + 1).cast("long").alias("col"), F.lit(1.0).alias("value"))
+    bound = records.bind_blocks(one("region", "r_regionkey"), one("nation", "n_nationkey"), pad=0.0)
+    return matrices.is_diagonal(bound).crossJoin(matrices.is_square(bound))
+
+
+@query("SELECT l_suppkey, round(avg(l_extendedprice) FILTER (l_returnflag = 'A'), 4) AS \"A\", round(avg(l_extendedprice) FILTER (l_returnflag = 'N'), 4) AS \"N\", round(avg(l_extendedprice) FILTER (l_returnflag = 'R'), 4) AS \"R\" FROM lineitem GROUP BY 1", digits=4)
+def level_pivot(spark, folder):
+    return records.level_pivot(table(spark, folder, "lineitem"), "l_suppkey", "l_returnflag", "l_extendedprice")
+
+
+@query(f"WITH {HOLES} SELECT event_id, round(coalesce(y1, (SELECT avg(y1) FROM events_h)), 6) AS y1 FROM events_h")
+def impute_mean(spark, folder):
+    return records.impute(holes(spark, folder), ["y1"], method="mean").select("event_id", "y1")
+
+
+@query(f"WITH {BY_PLACE}, l AS (SELECT id, marker, CASE WHEN dosage > 0 THEN 1 ELSE -1 END AS x FROM m WHERE id <= 12) SELECT a.id || ':' || b.id AS hybrid, marker, CAST((a.x + b.x) / 2.0 AS DOUBLE) AS additive, CAST(0.5 * (1 - a.x * b.x) AS DOUBLE) AS dominance FROM l a JOIN l b USING (marker) WHERE a.id <= b.id")
+def hybrids_of_one_set(spark, folder):
+    """Every line with every line of the same set, each unordered pair once."""
+    lines = dosages(spark, folder).filter("id <= 12").withColumn("dosage", F.when(F.col("dosage") > 0, 1).otherwise(-1))
+    return markers.build_hybrids(lines, lines)
+
+
 LEVELS = "WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS k FROM nation), l AS (SELECT a.n_name AS row, b.n_name AS col, abs(a.k - b.k) AS lag FROM r a, r b) "
 
 
@@ -245,9 +283,9 @@ def positions(spark: SparkSession) -> DataFrame:
     return spark.range(1, 65).select(F.col("id").alias("Locus"), (F.col("id") % 4).alias("LG"), (F.col("id") * 1.5).alias("Position"))
 
 
-@query(f"WITH {BY_VECTOR}, {MAP}, c AS (SELECT a.lg AS \"LG\", a.marker AS marker1, b.marker AS marker2, CAST(abs(a.pos - b.pos) AS DOUBLE) AS d, corr(a.x, b.x) ** 2 AS r2 FROM v a JOIN v b ON a.id = b.id AND a.lg = b.lg AND a.pos <= b.pos GROUP BY ALL) SELECT \"LG\", marker1, marker2, d, round(r2, 6) AS r2 FROM c WHERE NOT (d = 0 AND r2 = 0)")
+@query(f"WITH {BY_VECTOR}, {MAP}, c AS (SELECT a.lg AS \"LG\", a.marker AS marker1, b.marker AS marker2, CAST(abs(a.pos - b.pos) AS DOUBLE) AS d, corr(a.x, b.x) ** 2 AS r2 FROM v a JOIN v b ON a.id = b.id AND a.lg = b.lg AND a.pos <= b.pos GROUP BY ALL) SELECT \"LG\", marker1, marker2, d, round(r2, 6) AS r2, round((0.254829592 * t - 0.284496736 * t ** 2 + 1.421413741 * t ** 3 - 1.453152027 * t ** 4 + 1.061405429 * t ** 5) * exp(-z * z), 6) + 0.0 AS p FROM (SELECT *, sqrt((SELECT count(DISTINCT id) FROM m) * r2 / 2) AS z, 1 / (1 + 0.3275911 * sqrt((SELECT count(DISTINCT id) FROM m) * r2 / 2)) AS t FROM c) WHERE NOT (d = 0 AND r2 = 0)")
 def ld_decay(spark, folder):
-    return markers.ld_decay(dosages(spark, folder, True), positions(spark)).drop("p")
+    return markers.ld_decay(dosages(spark, folder, True), positions(spark))
 
 
 @query(f"WITH {BY_VECTOR}, {MAP}, c AS (SELECT a.lg AS l1, b.lg AS l2, a.marker AS m1, b.marker AS m2, abs(corr(a.x, b.x)) AS r FROM v a JOIN v b ON a.id = b.id AND a.lg < b.lg GROUP BY ALL), e AS (SELECT l1 AS \"LG\", r FROM c UNION ALL SELECT l2, r FROM c) SELECT \"LG\", round(quantile_cont(r, 0.95) ** 2, 6) AS r2 FROM e GROUP BY 1")
@@ -255,22 +293,23 @@ def ld_unlinked(spark, folder):
     return markers.ld_unlinked(dosages(spark, folder, True), positions(spark))
 
 
-@query()
+@query("SELECT * FROM (VALUES (2, false, true), (64, true, true)) AS t(ne, every, share)")
 def allele_coverage(spark, folder):
-    """Seeded samples; no SQL twin, as the draw is a hash of Spark's."""
-    return markers.ne_marker(dosages(spark, folder), sizes=(10, 20, 30, 40, 50, 60))
+    """All 64 individuals hold every allele; of samples of two, the share lies between none and all."""
+    found = markers.ne_marker(dosages(spark, folder).filter("id <= 64"), sizes=(2, 64))
+    return found.select("ne", (F.col("allele_mean") == 1).alias("every"), F.col("allele_mean").between(0.01, 1).alias("share"))
 
 
-@query()
+@query(f"WITH {GOOD.format(maf=0)}, {A_SQL}, w AS (SELECT e.pos AS row, e.label AS col, avg(e.v) AS value FROM (SELECT vec_id, label, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) e GROUP BY 1, 2), t AS (SELECT row, col, CASE WHEN (row + col) % 7 <> 0 THEN value END AS value FROM w), k AS (SELECT a.row, o.col, a.value AS s, o.value AS seen, row_number() OVER (PARTITION BY a.row, o.col ORDER BY abs(a.value) DESC, a.col) AS k FROM a JOIN t o ON o.row = a.col AND o.value IS NOT NULL), e AS (SELECT row, col, avg(CASE WHEN s > 0 THEN seen END) AS estimate FROM k WHERE k <= 10 GROUP BY 1, 2), b AS (SELECT t.row, t.col, t.value, e.estimate FROM t LEFT JOIN e USING (row, col)), l AS (SELECT row, regr_slope(value, estimate) AS b, regr_intercept(value, estimate) AS a FROM b GROUP BY 1), g AS (SELECT avg(value) AS g FROM t) SELECT row, col, round(value, 6) + 0.0 AS value, round(coalesce(value, a + b * estimate, g), 6) + 0.0 AS imputed, round(coalesce(estimate, g), 6) + 0.0 AS estimate FROM b JOIN l USING (row), g")
 def two_way_imputation(spark, folder):
     """Means by vector group and place with every seventh cell missing, filled through the places' similarity."""
     wide = cells(spark, folder).groupBy(F.col("pos").alias("row"), F.col("label").alias("col")).agg(F.avg("v").alias("value")).withColumn("value", F.when((F.col("row") + F.col("col")) % 7 != 0, F.col("value")))
     return markers.two_way_imputation(wide, kernels.a_matrix(dosages(spark, folder)))
 
 
-@query(f"WITH {GOOD.format(maf=0)}, {A_SQL}, k AS (SELECT row, col, value, row_number() OVER (PARTITION BY row ORDER BY abs(value) DESC, col) AS k FROM a) SELECT row, col, round(value, 6) + 0.0 AS value, k FROM k WHERE k <= 1")
+@query(f"WITH {GOOD.format(maf=0)}, {A_SQL}, k AS (SELECT row, col, value, row_number() OVER (PARTITION BY row ORDER BY abs(value) DESC, col) AS k FROM a) SELECT row, col, round(value, 6) + 0.0 AS value, k FROM k WHERE k <= 5")
 def top_similar(spark, folder):
-    return ranking.top_similar(kernels.a_matrix(dosages(spark, folder)), 1)
+    return ranking.top_similar(kernels.a_matrix(dosages(spark, folder)), 5)
 
 
 # rankings and neighbours
@@ -288,9 +327,9 @@ def fdr_bh(spark, folder):
     return ranking.bh_fdr(tests(spark, folder), "p").select("o_orderkey", "p", "p_adjusted")
 
 
-@query()
+@query(f"WITH {P_SQL}, q2 AS (SELECT o_orderkey, p, p * (SELECT count(*) FROM t) / count(*) OVER (ORDER BY p) AS raw FROM t), pi AS (SELECT least(1.0, avg(CAST(p >= 0.5 AS INT)) / 0.5) AS pi0 FROM t) SELECT o_orderkey, round(least(1.0, min(raw) OVER (ORDER BY p DESC)) * pi0, 9) AS q FROM q2, pi", digits=9)
 def fdr_storey(spark, folder):
-    return ranking.storey_q(tests(spark, folder), "p").select("o_orderkey", "q")
+    return ranking.storey_q(tests(spark, folder), "p", lambdas=(0.5,)).select("o_orderkey", "q")
 
 
 @query(f"WITH {P_SQL}, e AS (SELECT o_orderstatus, max(o_orderkey) AS top FROM t GROUP BY 1), s AS (SELECT o_orderstatus, coalesce(sum(top) OVER (ORDER BY o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM e) SELECT o_orderstatus, o_orderkey, CAST(o_orderkey + start AS BIGINT) AS cumulative, round(-log10(p), 6) AS score FROM t JOIN s USING (o_orderstatus)")
@@ -303,9 +342,9 @@ def peak_runs(spark, folder):
     return ranking.peak_runs(table(spark, folder, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), "c_nationkey", "c_custkey", "c_acctbal", 5000)
 
 
-@query()
+@query("WITH f AS (SELECT c_nationkey, quantile_cont(c_acctbal, 0.95) AS floor FROM customer GROUP BY 1), h AS (SELECT c_nationkey, c_custkey, c_acctbal FROM customer JOIN f USING (c_nationkey) WHERE c_acctbal > floor), a AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM h), one AS (SELECT c_nationkey, c_custkey, c_acctbal, 1 AS peak FROM a WHERE k = 1), b AS (SELECT h.*, row_number() OVER (PARTITION BY h.c_nationkey ORDER BY h.c_acctbal DESC, h.c_custkey) AS k FROM h JOIN one ON h.c_nationkey = one.c_nationkey AND abs(h.c_custkey - one.c_custkey) > 50), p AS (SELECT * FROM one UNION ALL SELECT c_nationkey, c_custkey, c_acctbal, 2 FROM b WHERE k = 1) SELECT p.c_nationkey, p.c_custkey, p.c_acctbal, p.peak, coalesce(max(CASE WHEN c.c_custkey < p.c_custkey AND c.c_acctbal < p.c_acctbal - 500 THEN c.c_custkey END), min(c.c_custkey)) AS \"left\", coalesce(min(CASE WHEN c.c_custkey > p.c_custkey AND c.c_acctbal < p.c_acctbal - 500 THEN c.c_custkey END), max(c.c_custkey)) AS \"right\" FROM p JOIN customer c USING (c_nationkey) GROUP BY 1, 2, 3, 4")
 def qtl_peaks(spark, folder):
-    return ranking.qtl_peaks(table(spark, folder, "customer"), "c_nationkey", "c_custkey", "c_acctbal", distance=50, most=3)
+    return ranking.qtl_peaks(table(spark, folder, "customer"), "c_nationkey", "c_custkey", "c_acctbal", distance=50, most=2, drop=500)
 
 
 @query("WITH h AS (SELECT c_nationkey, c_custkey, c_acctbal, CASE WHEN c_custkey - lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) > 60 THEN 1 ELSE 0 END AS new FROM customer WHERE c_acctbal > 5000), g AS (SELECT *, sum(new) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS cluster FROM h) SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS c_custkey, max(c_acctbal) AS c_acctbal, count(*) AS n FROM g GROUP BY c_nationkey, cluster")
@@ -337,9 +376,9 @@ def log_sequence(spark, folder):
 # models
 
 
-@query("SELECT '(Intercept)' AS term, round(regr_intercept(l_extendedprice, l_quantity), 3) AS estimate FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem", digits=3)
+@query("WITH s AS (SELECT count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, avg(l_quantity) AS m FROM lineitem), e AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS mse FROM s) SELECT '(Intercept)' AS term, round(a, 3) AS estimate, round(sqrt(mse * (1.0 / n + m * m / sxx)), 3) AS std_error, round(a / sqrt(mse * (1.0 / n + m * m / sxx)), 3) AS t_value FROM e UNION ALL SELECT 'l_quantity', round(b, 3), round(sqrt(mse / sxx), 3), round(b / sqrt(mse / sxx), 3) FROM e", digits=3)
 def ols_blue(spark, folder):
-    return mmec(table(spark, folder, "lineitem").select("l_extendedprice", "l_quantity"), "l_extendedprice ~ l_quantity").blues().select("term", "estimate")
+    return mmec(table(spark, folder, "lineitem").select("l_extendedprice", "l_quantity"), "l_extendedprice ~ l_quantity").blues().select("term", "estimate", "std_error", "t_value")
 
 
 @query("WITH s AS (SELECT sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * x) AS wxx, sum(w * x * y) AS wxy FROM (SELECT 1 + l_tax AS w, l_quantity AS x, l_extendedprice AS y FROM lineitem)), b AS (SELECT (w * wxy - wx * wy) / (w * wxx - wx * wx) AS b, * FROM s) SELECT 'l_quantity' AS term, round(b, 3) AS estimate FROM b UNION ALL SELECT '(Intercept)', round((wy - b * wx) / w, 3) FROM b", digits=3)
@@ -348,14 +387,14 @@ def wls_blue(spark, folder):
     return mmec(rows, "l_extendedprice ~ l_quantity", weights="w").blues().select("term", "estimate")
 
 
-BALANCED = "WITH {long}, y AS (SELECT pos, {y} AS y FROM cells), g AS (SELECT pos, count(*) AS n, avg(y) AS m, var_samp(y) AS s FROM y GROUP BY 1), a AS (SELECT max(n) AS n, max(n) * var_samp(m) AS msa, avg(s) AS mse FROM g), t AS (SELECT var_samp(y) AS tot FROM y), v AS (SELECT CASE WHEN msa > mse THEN (msa - mse) / n ELSE 0 END AS su, CASE WHEN msa > mse THEN mse ELSE tot END AS se FROM a, t) "
+BALANCED = "WITH {long}, y AS (SELECT pos, {y} AS y FROM cells), g AS (SELECT pos, count(*) AS n, avg(y) AS m, var_samp(y) AS s FROM y GROUP BY 1), a AS (SELECT max(n) AS n, max(n) * var_samp(m) AS msa, avg(s) AS mse FROM g), t AS (SELECT var_samp(y) AS tot FROM y), v AS (SELECT CASE WHEN msa > mse THEN (msa - mse) / n ELSE 0 END AS su, CASE WHEN msa > mse THEN mse ELSE tot END AS se FROM a, t), k AS (SELECT count(*) AS k, max(n) AS n FROM g), i AS (SELECT su, se, CASE WHEN su > 0 THEN 2 * se * se / (k * (n - 1)) ELSE 2 * se * se / (k * n - 1) END AS vee, CASE WHEN su > 0 THEN 2 / (n * n) * ((se + n * su) ** 2 / (k - 1) + se * se / (k * (n - 1))) ELSE 0 END AS vuu, CASE WHEN su > 0 THEN -2 / n * se * se / (k * (n - 1)) ELSE 0 END AS vue FROM v, k) "
 
 
-@query(BALANCED.format(long=LONG, y="v + 0.01 * pos") + "SELECT 'place' AS component, round(su, 6) AS var_comp FROM v UNION ALL SELECT 'residual.units', round(se, 6) FROM v")
+@query(BALANCED.format(long=LONG, y="v + 0.01 * pos") + "SELECT 'place' AS component, round(su, 6) AS var_comp, round(sqrt(vuu), 6) AS var_comp_se, round(su / sqrt(vuu), 2) AS z_ratio, CASE WHEN su > 0 THEN 'positive' ELSE 'boundary' END AS \"constraint\", true AS converged FROM i UNION ALL SELECT 'residual.units', round(se, 6), round(sqrt(vee), 6), round(se / sqrt(vee), 2), 'positive', true FROM i")
 def reml_balanced(spark, folder):
     """Variance components of a balanced one-way layout: every vector's value at every place."""
     rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), (F.col("v") + 0.01 * F.col("pos")).alias("y"))
-    return mmec(rows, "y ~ 1", "~ place").summary().select("component", "var_comp")
+    return mmec(rows, "y ~ 1", "~ place").summary().withColumn("z_ratio", F.round("z_ratio", 2))
 
 
 @query(BALANCED.format(long=LONG, y="v - 0.5 * (vec_id % 2)") + "SELECT 'place' AS component, round(su, 5) + 0.0 AS var_comp FROM v UNION ALL SELECT 'residual.units', round(se, 5) FROM v", digits=5)
@@ -364,10 +403,10 @@ def reml_boundary(spark, folder):
     return mmec(rows, "y ~ 1", "~ place").summary().select("component", "var_comp")
 
 
-@query(BALANCED.format(long=LONG, y="v + 0.01 * pos") + "SELECT round(su / (su + se), 6) AS h2 FROM v")
+@query(BALANCED.format(long=LONG, y="v + 0.01 * pos") + "SELECT round(su / (su + se), 6) AS h2, round(sqrt(se * se * vuu + su * su * vee - 2 * su * se * vue) / (su + se) ** 2, 6) AS std_error FROM i")
 def h2_delta_method(spark, folder):
     rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), (F.col("v") + 0.01 * F.col("pos")).alias("y"))
-    return spark.createDataFrame([(vpredict(mmec(rows, "y ~ 1", "~ place"), "V1 / (V1 + V2)")[0],)], "h2 double")
+    return spark.createDataFrame([vpredict(mmec(rows, "y ~ 1", "~ place"), "V1 / (V1 + V2)")], "h2 double, std_error double")
 
 
 @query("SELECT 'residual.' || l_returnflag AS component, round(var_samp(l_quantity), 6) AS var_comp FROM lineitem GROUP BY l_returnflag")
@@ -389,9 +428,9 @@ def blup_fixed_vc(spark, folder):
     return known(spark, folder).blups().select("level", "blup", "pev", "reliability")
 
 
-@query(KNOWN + "SELECT level, round(mu + blup, 6) AS predicted FROM b")
+@query(KNOWN + ", w2 AS (SELECT level, w FROM w) SELECT level, round(mu + blup, 6) AS predicted, round(sqrt((SELECT vmu FROM mu) * (1 - 4.0 * w) ** 2 + 4.0 * (1 - 4.0 * w)), 6) AS std_error FROM b JOIN w2 USING (level)")
 def predict_random(spark, folder):
-    return known(spark, folder).predict("supplier").select("level", "predicted")
+    return known(spark, folder).predict("supplier")
 
 
 @query(KNOWN + "SELECT l_orderkey, CAST(l_suppkey AS VARCHAR) AS supplier, round(mu + blup, 5) AS fitted, round(l_quantity - mu - blup, 5) + 0.0 AS residual FROM lineitem JOIN b ON b.level = CAST(l_suppkey AS VARCHAR)", digits=5)
@@ -399,23 +438,48 @@ def fitted_and_residuals(spark, folder):
     return known(spark, folder).fitted().select("l_orderkey", "supplier", "fitted", "residual")
 
 
-@query("SELECT l_returnflag AS level, round(avg(l_quantity), 6) AS predicted FROM lineitem GROUP BY 1")
+@query("WITH g AS (SELECT l_returnflag AS level, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) * (count(*) - 1) AS ss FROM lineitem GROUP BY 1), t AS (SELECT sum(ss) / (sum(n) - count(*)) AS mse FROM g) SELECT level, round(m, 6) AS predicted, round(sqrt(mse / n), 6) AS std_error FROM g, t")
 def predict_fixed(spark, folder):
-    return mmec(table(spark, folder, "lineitem").select("l_quantity", "l_returnflag"), "l_quantity ~ l_returnflag").predict("l_returnflag").select("level", "predicted")
+    return mmec(table(spark, folder, "lineitem").select("l_quantity", "l_returnflag"), "l_quantity ~ l_returnflag").predict("l_returnflag")
+
+
+CELLS = "WITH c AS (SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n, avg(l_quantity) AS m, coalesce(var_samp(l_quantity), 0) * (count(*) - 1) AS ss FROM lineitem GROUP BY 1, 2), t AS (SELECT sum(ss) / (sum(n) - count(*)) AS mse FROM c) "
+
 
+@query(CELLS + "SELECT f || ':' || s AS level, round(m, 6) AS predicted, round(sqrt(mse / n), 6) AS std_error FROM c, t")
+def predict_interaction(spark, folder):
+    """Cell means from main effects and interaction: V*N is V + N + V:N."""
+    rows = table(spark, folder, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus")
+    return mmec(rows, "l_quantity ~ l_returnflag * l_linestatus").predict("l_returnflag:l_linestatus")
 
-@query("WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) * (count(*) - 1) AS ss FROM lineitem GROUP BY 1), t AS (SELECT avg(l_quantity) AS m FROM lineitem), f AS (SELECT sum(g.n * (g.m - t.m) ** 2) / (count(*) - 1) AS msa, sum(g.ss) / (sum(g.n) - count(*)) AS mse, count(*) - 1 AS df FROM g, t) SELECT 'l_returnflag' AS term, CAST(df AS INT) AS df, round(msa / mse, 6) AS f_value FROM f")
+
+@query(CELLS + "SELECT f AS level, round(avg(m), 6) AS predicted, round(sqrt(max(mse) * sum(1.0 / n)) / count(*), 6) AS std_error FROM c, t GROUP BY f")
+def predict_marginal(spark, folder):
+    """Means of one factor averaged evenly over the other, whatever the numbers of records."""
+    rows = table(spark, folder, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus")
+    model = mmec(rows, "l_quantity ~ l_returnflag + l_linestatus + l_returnflag:l_linestatus")
+    return model.predict("l_returnflag", dtable={"l_returnflag": (True, False), "l_linestatus": (False, True), "l_returnflag:l_linestatus": (True, True)})
+
+
+@query("WITH g AS (SELECT CAST(l_orderkey AS VARCHAR) AS level, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1), w AS (SELECT level, n, m, n / (200.0 + n * 4.0) AS w FROM g), mu AS (SELECT sum(w * m) / sum(w) AS mu, 1 / sum(w) AS vmu FROM w) SELECT level, round(4.0 * w * (m - mu), 6) + 0.0 AS blup, round(4.0 - 16.0 * w + 16.0 * w * w * vmu, 6) AS pev, round(1 - (4.0 - 16.0 * w + 16.0 * w * w * vmu) / 4.0, 6) AS reliability FROM w, mu")
+def blup_many_levels(spark, folder):
+    """An effect for every order: more levels than any matrix on the driver could have."""
+    return absorbed(table(spark, folder, "lineitem").select("l_quantity", "l_orderkey"), "l_quantity ~ 1", "l_orderkey", variances=(4.0, 200.0)).blups()
+
+
+@query("WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) * (count(*) - 1) AS ss FROM lineitem GROUP BY 1), t AS (SELECT avg(l_quantity) AS m FROM lineitem), f AS (SELECT sum(g.n * (g.m - t.m) ** 2) / (count(*) - 1) AS msa, sum(g.ss) / (sum(g.n) - count(*)) AS mse, count(*) - 1 AS df, sum(g.n) - count(*) AS rest FROM g, t) SELECT 'l_returnflag' AS term, CAST(df AS INT) AS df, round(df * msa / mse, 6) AS sum_sq, round(msa / mse, 6) AS f_value, round((1 + 2 * msa / mse / rest) ** (-rest / 2.0), 6) AS p_value FROM f")
 def anova_f(spark, folder):
+    """Three flags: F has two numerator degrees of freedom, whose tail is a power. Sums of squares are in units of the residual."""
     model = mmec(table(spark, folder, "lineitem").select("l_quantity", "l_returnflag"), "l_quantity ~ l_returnflag")
-    return model.anova().filter("term = 'l_returnflag'").select("term", "df", "f_value")
+    return model.anova().filter("term = 'l_returnflag'")
 
 
-@query("WITH n AS (SELECT e.label AS y, v AS x, pos FROM (SELECT vec_id, label, unnest(range(1, 65)) AS pos, CASE WHEN unnest(embedding)::DOUBLE > 0.05 THEN 1 WHEN unnest(embedding)::DOUBLE < -0.05 THEN -1 ELSE 0 END AS v FROM embeddings) e), s AS (SELECT CAST(pos AS VARCHAR) AS marker, regr_slope(y, x) AS effect, corr(y, x) ** 2 AS r2, count(*) AS n, avg(x + 1) / 2 AS p FROM n GROUP BY 1) SELECT marker, round(effect, 6) + 0.0 AS effect, round(r2 * (n - 2) / (1 - r2), 6) AS f_value FROM s WHERE least(p, 1 - p) > 0.05")
+@query("WITH n AS (SELECT e.label AS y, v AS x, pos FROM (SELECT vec_id, label, unnest(range(1, 65)) AS pos, CASE WHEN unnest(embedding)::DOUBLE > 0.05 THEN 1 WHEN unnest(embedding)::DOUBLE < -0.05 THEN -1 ELSE 0 END AS v FROM embeddings) e), s AS (SELECT CAST(pos AS VARCHAR) AS marker, regr_slope(y, x) AS effect, corr(y, x) ** 2 AS r2, count(*) AS n, avg(x + 1) / 2 AS p FROM n GROUP BY 1) SELECT marker, round(effect, 6) + 0.0 AS effect, round(abs(effect) / sqrt(r2 * (n - 2) / (1 - r2)), 6) AS std_error, round(r2 * (n - 2) / (1 - r2), 6) AS f_value FROM s WHERE least(p, 1 - p) > 0.05")
 def gwas_simple(spark, folder):
     """A scan with the genotype variance held at zero is a simple regression for each marker."""
     records_ = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("double").alias("y"))
     found = scan.gwas(records_, "y ~ 1", "~ id", dosages(spark, folder, True), "id", theta={"id": [[0.0]]}, codes={"id": [[3]]})
-    return found.select("marker", "effect", "f_value")
+    return found.select("marker", "effect", "std_error", "f_value")
 
 
 @query()
@@ -445,11 +509,11 @@ def two_traits(spark, folder):
     return mmer(rows, "cbind(c_acctbal, second) ~ 1", "~ nation").summary()
 
 
-@query()
+@query(BALANCED.format(long=LONG, y="v + 0.01 * pos") + ", s AS (SELECT k, k.n, su, se, (SELECT sum((n - 1) * s) FROM g) AS ssw, (SELECT sum(n * (m - (SELECT avg(m) FROM g)) ** 2) FROM g) AS ssa, (SELECT tot FROM t) AS tot FROM v, k), l AS (SELECT k * (n - 1) * ln(se) + k * ln(se + n * su) - ln(se + n * su) + ssw / se + ssa / (se + n * su) AS one, (k * n - 1) * ln(tot) + (k * n - 1) AS none FROM s) SELECT round(greatest(0, none - one), 4) AS ratio, 1 AS df FROM l", digits=4)
 def likelihood_ratio(spark, folder):
     rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), (F.col("v") + 0.01 * F.col("pos")).alias("y"))
     found = lrt(mmec(rows, "y ~ 1", "~ place"), mmec(rows, "y ~ 1"))
-    return spark.createDataFrame([(found["ratio"], found["df"], found["p_value"])], "ratio double, df int, p_value double")
+    return spark.createDataFrame([(found["ratio"], found["df"])], "ratio double, df int")
 
 
 @query()
@@ -459,9 +523,13 @@ def spatial_bases(spark, folder):
     return made.select("p_partkey", *(F.size(x).alias(x) for x in ("base", "fC", "fR", "fC_R", "C_fR", "fC_fR")), F.aggregate("fC", F.lit(0.0), lambda a, x: a + x * x).alias("fc_squares"))
 
 
-@query()
+@query("SELECT 144 AS cells, 12 AS ones, 144 AS within, 144 AS symmetric")
 def simulated_correlations(spark, folder):
-    return kernels.sim_ge_correlation(spark, 12, 3)
+    """Properties of a drawn matrix: order, unit diagonal, bounds, symmetry."""
+    drawn = kernels.sim_ge_correlation(spark, 12, 3)
+    other = drawn.select(F.col("col").alias("row"), F.col("row").alias("col"), F.col("value").alias("v"))
+    count = lambda x: F.sum(x.cast("int")).cast("int")
+    return drawn.join(other, ["row", "col"]).agg(F.count("*").cast("int").alias("cells"), count((F.col("row") == F.col("col")) & (F.col("value") == 1)).alias("ones"), count(F.abs("value") <= F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.98)).alias("within"), count(F.col("value") == F.col("v")).alias("symmetric"))
 
 
 @query()
