@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["HOT_SHARE", "apart", "bounded_batches", "hidden", "local_uri", "mapped", "materialise", "open_input", "open_output", "scratch", "skew_safe_lookup", "tasks_for", "text_of"]
+__all__ = ["HOT_SHARE", "apart", "bounded_batches", "hidden", "local_uri", "mapped", "materialise", "open_input", "open_output", "release", "scratch", "skew_safe_lookup", "tasks_for", "text_of"]
 
 #: A key counts as hot when it holds at least this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1024
@@ -50,7 +50,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: a lineage cut that survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Removes tables that materialise() made, once nothing reads them any more."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            _remove(path)
 
 
 def mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:

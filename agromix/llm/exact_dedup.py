@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import apart, hidden, mapped, materialise, skew_safe_lookup, text_of
+from agromix.llm.common import apart, hidden, mapped, materialise, release, skew_safe_lookup, text_of
 
 __all__ = ["RadixTrie", "classes", "exact_dedup"]
 
@@ -226,9 +226,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     total = rows.agg(F.sum(F.octet_length("text") + NODE)).first()[0] or 0
     # twice as many owners as would fill their budgets; a number of its own also keeps Spark from merging partitions
     owners = int(min(max(2 * total // budget + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), OWNERS))
-    todo, parts = mapped(rows, _merged(keep), OWNED).repartition(owners, "len", "sha"), []
+    todo, parts, tables = mapped(rows, _merged(keep), OWNED).repartition(owners, "len", "sha"), [], []
     while True:
         out = materialise(mapped(todo, _own(keep, budget), OWNED))
+        tables.append(out)
         parts.append(out.filter(~F.col("spilled")).select("sha", "len", "best", "n"))
         spilled = out.filter("spilled")
         if spilled.isEmpty():
@@ -237,7 +238,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     if len(parts) == 1:
         return parts[0]
     # a subtree may have gone away in two steps, with a text on either side
-    return materialise(reduce(DataFrame.unionAll, parts).groupBy("sha", "len").agg((F.max if keep == "max" else F.min)("best").alias("best"), F.sum("n").alias("n")))
+    whole = materialise(reduce(DataFrame.unionAll, parts).groupBy("sha", "len").agg((F.max if keep == "max" else F.min)("best").alias("best"), F.sum("n").alias("n")))
+    release(*tables)
+    return whole
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", budget: int = 96 << 20) -> DataFrame:

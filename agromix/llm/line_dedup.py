@@ -7,7 +7,8 @@ cool prefix), their first documents come from a map-side combined aggregate, and
 What comes back is a bitmap for each document in 64-bit words, of which only those with a dropped line are stored.
 
 Null text is one empty line. Rows with a null identifier are never dropped from and never make a line repeat. Rows that
-share an identifier are one document and are expected to share the text. An empty table gives an empty result.
+share an identifier are one document and are expected to share the text. Texts of any number of lines are split and put
+together in one row each; their lines travel as hashes. An empty table gives an empty result.
 """
 
 from __future__ import annotations

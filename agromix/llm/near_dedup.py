@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agromix.llm.common import mapped, materialise, skew_safe_lookup, text_of
+from agromix.llm.common import mapped, materialise, release, skew_safe_lookup, text_of
 
 __all__ = ["alignment", "components", "near_classes", "order_minhash", "shingles"]
 
@@ -182,7 +182,9 @@ def _aligned(edges: DataFrame, texts: DataFrame, held: int = 256) -> DataFrame:
     others = edges.select("x", "p", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt")).join(texts, F.col("x") == F.col("id")).select("p", "salt", "x", "text")
     pivots = edges.groupBy("p").agg(F.max(salts).alias("salts")).join(texts, F.col("p") == F.col("id")).select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("x"), "text")
     dealt = others.unionByName(pivots).repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("x").asc_nulls_first())
-    return materialise(mapped(dealt, _verify, "a long, b long"))
+    found = materialise(mapped(dealt, _verify, "a long, b long"))
+    release(edges)
+    return found
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +221,11 @@ def components(edges: DataFrame, n: int | None = None, few: int = 1 << 14) -> Da
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
         large = skew_safe_lookup(both.filter("v > u"), least, "u", "n", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large)
+        release(least)
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = skew_safe_lookup(large, least, "u", "n", "v").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = materialise(small.filter("u <> v").distinct())
+        last, now = now, materialise(small.filter("u <> v").distinct())
+        release(last, large, least)
         was, is_ = is_, state(now)
     return materialise(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select("v", "v").distinct()))
 
@@ -339,18 +343,25 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts_of = materialise(sketched.groupBy("sha").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     exploded = texts_of.select("rep", "size", F.explode("keys").alias("key"))
     sizes = exploded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "size")).alias("low")).filter("m > 1")
-    members = materialise(skew_safe_lookup(exploded, materialise(sizes), "key", "m", "rep").filter("m is not null"))
+    sizes = materialise(sizes)
+    members = materialise(skew_safe_lookup(exploded, sizes, "key", "m", "rep").filter("m is not null"))
+    release(sizes)
     texts = materialise(rows.join(members.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id"))
     near = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b)
     pivoted = lambda df, end: df.filter(F.col("rep") != F.col(f"{end}.rep")).filter(near(F.col("size"), F.col(f"{end}.size"))).select(F.col("rep").alias("x"), F.col(f"{end}.rep").alias("p"), "m")
     edges, labels = pivoted(members, "low"), None
     for round_ in range(rounds + 1):
-        labels = _joined(labels, _aligned(edges, texts))
+        found, last, before = _aligned(edges, texts), members, labels
+        labels = _joined(before, found)
         # only buckets that still hold two classes go on; each round draws two pivots of theirs by hash
-        members = materialise(members.select("key", "rep", "size").join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("cls", "rep").alias("cls")))
+        labelled = materialise(members.select("key", "rep", "size").join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("cls", "rep").alias("cls")))
+        release(found, last, before)
+        members = labelled
         drawn = F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), "cls", "rep", "size")
         open_ = members.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.min(drawn).alias("low"), F.max(drawn).alias("high")).filter("c0 <> c1").drop("c0", "c1")
-        members = materialise(skew_safe_lookup(members, materialise(open_), "key", "m", "rep").filter("m is not null"))
+        open_ = materialise(open_)
+        members = materialise(skew_safe_lookup(members, open_, "key", "m", "rep").filter("m is not null"))
+        release(labelled, open_)
         if members.isEmpty():
             break
         if round_ == rounds:
@@ -360,6 +371,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classed = texts_of.select("sha", "rep", "n").join(labels, "rep", "left").select("sha", "n", F.coalesce("cls", "rep").alias("cls"))
     totals = classed.groupBy("cls").agg(F.sum("n").alias("group_size"))
     classed = materialise(classed.join(totals, "cls").select("sha", "n", "cls", "group_size"))
+    release(texts_of, texts, members, labels)
     out = skew_safe_lookup(sketched.select("id", "sha"), classed, "sha", "n", "id")
     out = out.select("id", F.col("cls").alias("class_id"), "group_size", (F.col("id") == F.col("cls")).alias("kept"))
     none = rows.filter("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))

@@ -7,7 +7,9 @@ the fullest, and the last window is written as sequences whose lengths are power
 Every map task packs what it reads: no shuffle, and memory is bounded by the tokens held at a time.
 
 Null text counts as empty (its only identifier is 0). Rows are packed one by one, so rows that repeat an identifier or
-have a null one each get their pieces. An empty table gives no pieces. Other columns are not read.
+have a null one each get their pieces. Pieces of equal length are packed in the order they are read. Documents of any
+length are cut into windows as they come, so only a remainder is held. An empty table gives no pieces. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -24,36 +24,43 @@ __all__ = ["ORACLES", "QUERIES"]
 
 
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its group of equal texts; null counts as empty, the largest identifier stays."""
     found = exact_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep="max")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in flat files written from all of them; empty documents have none."""
     written = write_token_files(table(spark, folder, "documents"), end=SEPARATOR)
     counted = count_tokens(token_files(written), end=SEPARATOR)
     return counted.join(written, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "ordinal")
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices of every document; documents without one give no row."""
     return scan_licenses(table(spark, folder, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for every document, empty ones too; held-out rows never train."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = score_toxicity(docs, fit_toxicity(docs, table(spark, folder, "labels")))
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the lines that a smaller identifier holds; an empty text is one empty line."""
     found = line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every document; an empty one has a single identifier."""
     return pack(table(spark, folder, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """The two best segmentations of every document, and the best one decoded; an empty text has one without pieces."""
     docs = table(spark, folder, "documents")
     best, second = F.col("nbest")[0], F.get("nbest", F.lit(1))
     digest = lambda ids: F.xxhash64(ids)
@@ -62,15 +69,18 @@ def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near duplicates of every document; empty texts are one class."""
     return near_classes(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict for every document; an empty text has no words and fails the base rules."""
     found = quality_rules(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
     return found.select("doc_id", *BASE, "base_failed", "kept")
 
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """A record for every page, written and read back; a null page is an empty response."""
     index = write_warc(table(spark, folder, "pages"))
     found = read_warc(spark, index)
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -8,7 +8,7 @@ out is an ordered list; as a Spark expression it is CASE WHEN rule 1 THEN reject
 Null text has no words and one line without any. Rows without a label or with a null identifier do not train. With no
 labelled rows of both kinds the list is empty and only the base rules reject. Documents that repeat an identifier are
 judged each by its own text; a label given several times counts once (the smallest). Other columns pass through, those
-named like a result are replaced.
+named like a result are replaced. Long texts are counted whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
