@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log2
+from math import log, log2
 
 import numpy as np
 import pandas as pd
@@ -157,10 +157,11 @@ def _regress(rows: np.ndarray, target: np.ndarray, ridge: float = 0.2, rounds: i
     return beta
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, n_marks: int = 400, n_voters: int = 60, least: int = 8, least_ratio: float = 28.0) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bound: int = 20_000, n_marks: int = 400, n_voters: int = 60, least: int = 8, least_ratio: float = 12.0) -> ToxicityModel:
     """Fits on at most about ``bound`` labelled rows that are not held out (a hash of the identifier takes them).
 
-    ``least_ratio`` is the least likelihood ratio statistic of a mark: 28 comes by chance once in ten million marks.
+    A mark's likelihood ratio statistic must reach ``least_ratio`` and 2 log m, m being the number of marks that are tried:
+    by chance alone less than one of them would.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     total = known.count()
@@ -180,7 +181,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     n = float(toxic + clean)
     ratio = term(F.col("a"), both * (toxic / n)) + term(F.col("b"), both * (clean / n)) + term(toxic - F.col("a"), (n - both) * (toxic / n)) + term(clean - F.col("b"), (n - both) * (clean / n))
-    best = counted.withColumn("ratio", ratio).filter(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "mark").limit(4 * n_marks).collect()
+    counted = materialise(counted.withColumn("ratio", ratio))
+    best = counted.filter(F.col("ratio") >= max(least_ratio, 2 * log(max(counted.count(), 1)))).orderBy(F.desc("ratio"), "mark").limit(4 * n_marks).collect()
     chosen: list = []
     for r in best:  # of a word and its beginnings, or of nested beginnings, the one that tells most is taken
         stem = r["mark"].lstrip("^")
