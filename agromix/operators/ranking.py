@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["bh_fdr", "fdr_or_q", "fdr_threshold", "hit_clusters", "manhattan", "map_density", "neighbour_adjust", "peak_runs", "qtl_peaks", "storey_q", "top_similar"]
+__all__ = ["bh_fdr", "fdr_or_q", "fdr_threshold", "hit_clusters", "manhattan", "map_density", "neighbour_adjust", "peak_clusters", "peak_runs", "qtl_peaks", "storey_q", "top_similar"]
 
 
 def _p_values(df: DataFrame, p: str) -> Column:
@@ -108,6 +108,24 @@ def hit_clusters(df: DataFrame, chrom: str, pos: str, score: str, threshold: flo
     return best.drop("_cluster")
 
 
+def peak_clusters(df: DataFrame, chrom: str, pos: str, score: str, threshold: float, clusters: int, seed: int = 1) -> DataFrame:
+    """peak_runs() put into ``clusters`` k-means clusters of places along the genome, and the best peak of each: (chrom, pos, score, cluster, n)."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    peaks = peak_runs(df.select(chrom, pos, score), chrom, pos, score, threshold)
+    ends = df.groupBy(chrom).agg(F.max(pos).alias("_end"))
+    starts = ends.select(chrom, F.coalesce(F.sum("_end").over(Window.orderBy(chrom).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each chromosome
+    placed = peaks.join(F.broadcast(starts), chrom).withColumn("_x", array_to_vector(F.array((F.col(pos) + F.col("_start")).cast("double"))))
+    n = placed.select("_x").distinct().limit(clusters).count()
+    if n < 2:
+        found = placed.withColumn("cluster", F.lit(0))
+    else:
+        found = KMeans(k=n, featuresCol="_x", predictionCol="cluster", seed=seed).fit(placed).transform(placed)
+    best = found.groupBy("cluster").agg(F.max_by(F.struct(F.col(chrom), F.col(pos)), F.struct(F.col(score), -F.col(pos))).alias("b"), F.max(score).alias(score), F.count("*").alias("n"))
+    return best.select(F.col(f"b.{chrom}").alias(chrom), F.col(f"b.{pos}").alias(pos), score, "cluster", "n")
+
+
 def neighbour_adjust(df: DataFrame, trait: str, row: str, col: str, n_rows: int = 1, n_cols: int = 2, out: str = "nnx") -> DataFrame:
     """The trait less the mean of its neighbours: n_rows up and down the column, n_cols along the row; without any, the trait.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-__all__ = ["align_levels", "bind_blocks", "diallel_vars", "impute", "level_pivot", "level_table", "median_of", "na_policy", "overlay", "prop_missing", "replace_values", "scale_trait", "stack_trait", "trait_covariance"]
+__all__ = ["align_levels", "bind_blocks", "diallel_vars", "impute", "level_fill", "level_pivot", "level_table", "median_of", "na_policy", "overlay", "prop_missing", "replace_values", "scale_trait", "stack_trait", "trait_covariance"]
 
 
 def _numeric(df: DataFrame, name: str) -> bool:
@@ -119,6 +119,20 @@ def overlay(df: DataFrame, key: str, factors: Sequence[str], weights: Sequence[f
     return df.select(key, F.inline(cells)).filter("level is not null").groupBy(key, "level").agg(F.sum("value").alias("value"))
 
 
+def level_fill(df: DataFrame, row: str, column: str, value: str, similarity: DataFrame) -> DataFrame:
+    """level_table() over all pairs of levels, empty cells filled by the column's means of other rows, weighed by similarity (row, col, value).
+
+    Weights are the absolute similarities; cells without any related row stay null. (row, column, mean, filled)
+    """
+    cells = level_table(df, row, column, value)
+    columns = cells.select(column).distinct()
+    every = cells.select(row).distinct().crossJoin(F.broadcast(columns))  # the table itself has a row for each pair
+    related = similarity.filter("row <> col").select(F.col("row").alias(row), F.col("col").alias("_other"), F.col("value").alias("_s"))
+    weighed = related.join(cells.withColumnsRenamed({row: "_other", "mean": "_seen"}), "_other").groupBy(row, column).agg((F.sum(F.col("_s") * F.col("_seen")) / F.nullif(F.sum(F.abs("_s")), F.lit(0.0))).alias("_fill"))
+    made = every.join(cells, [row, column], "left").join(weighed, [row, column], "left")
+    return made.select(row, column, "mean", F.coalesce("mean", "_fill").alias("filled"))
+
+
 def level_pivot(df: DataFrame, row: str, column: str, value: str, most: int = 3000) -> DataFrame:
     """The wide form of level_table(): a row for each level of ``row``, a column for each of ``column`` (``most`` of them, checked)."""
     levels = [r[0] for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]

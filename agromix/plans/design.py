@@ -176,14 +176,17 @@ class _Encoder:
         if isinstance(term, Call) and term.name == "leg":
             self.numeric = True
             x, n = str(term.args[0]), int(term.args[1].value) if len(term.args) > 1 else 1
+            number = lambda k, d: float(getattr(term.named[k], "value", str(term.named[k]))) if k in term.named else d
+            truth = lambda k, d: str(term.named[k]).upper() in ("TRUE", "T", "1") if k in term.named else d
+            first = 0 if truth("intercept", True) else 1
             from agromix.functions.numeric import legendre
 
             self.made += 1
             tag = f"_l{self.made}_"
-            made = legendre(self.df, x, n)
-            self.df = made.withColumnsRenamed({f"leg{k}": f"{tag}{k}" for k in range(n + 1)})
-            self._static([F.col(f"{tag}{k}") for k in range(n + 1)])
-            return F.array(*(F.struct(F.lit(k).alias("i"), F.col(f"{tag}{k}").alias("v")) for k in range(n + 1))), [f"leg{k}" for k in range(n + 1)]
+            made = legendre(self.df, x, n, number("u", -1.0), number("v", 1.0), first == 0, truth("intercept1", False))
+            self.df = made.withColumnsRenamed({f"leg{k}": f"{tag}{k}" for k in range(first, n + 1)})
+            self._static([F.col(f"{tag}{k}") for k in range(first, n + 1)])
+            return F.array(*(F.struct(F.lit(k - first).alias("i"), F.col(f"{tag}{k}").alias("v")) for k in range(first, n + 1))), [f"leg{k}" for k in range(first, n + 1)]
         if isinstance(term, Call) and term.name == "basis":  # an array column, one coefficient for each place
             self.numeric = True
             name = str(term.args[0])
@@ -242,7 +245,7 @@ def _product(outer: Column, inner: Column, width: int) -> Column:
 
 
 def _structure(encoder: _Encoder, call: Call) -> tuple[Column, list[str], str]:
-    """(entries, levels, kind) of an inner structure."""
+    """(entries, levels, kind) of an inner structure. atc() drops the levels that it doesn't name; atr() keeps them, without variance."""
     kind = call.name.rstrip("rc") if call.name in STRUCTURES else None
     if kind is None:
         raise ValueError(f"{call.name} is not a covariance structure")
@@ -253,6 +256,8 @@ def _structure(encoder: _Encoder, call: Call) -> tuple[Column, list[str], str]:
         unknown = set(wanted) - set(levels)
         if unknown:
             raise ValueError(f"{call}: unknown levels {sorted(unknown)}")
+        if call.name == "atr":
+            return entries, levels, "d"
         places = {levels.index(x): k for k, x in enumerate(wanted)}
         moved = F.transform(F.filter(entries, lambda e: e["i"].isin(list(places))), lambda e: F.struct(F.element_at(F.create_map(*(F.lit(z) for kv in places.items() for z in kv)), e["i"]).alias("i"), e["v"].alias("v")))
         return moved, wanted, "d"
@@ -260,6 +265,20 @@ def _structure(encoder: _Encoder, call: Call) -> tuple[Column, list[str], str]:
     return entries, levels, {"is": "i", "ds": "d", "us": "u", "cs": "c"}[kind]
 
 
+def _kernel(encoder: _Encoder, main, kernel: DataFrame) -> tuple[list[str], np.ndarray]:
+    """A kernel on the driver. One of more than MAX_ORDER levels is cut to those of the records.
+
+    Levels without records don't change the likelihood; extended_blups() gives their effects.
+    """
+    names = kernel.select(F.col("row").cast("string").alias("l")).distinct()
+    if names.limit(MAX_ORDER + 1).count() <= MAX_ORDER:
+        return dense(kernel)
+    seen = sorted({x for what, key in encoder.keys_of(main).items() for x in encoder._levels(key, what)})
+    small = F.broadcast(kernel.sparkSession.createDataFrame([(x,) for x in seen], "l string"))  # MAX_ORDER levels at most
+    cut = kernel.join(small, F.col("row").cast("string") == F.col("l"), "left_semi").join(small, F.col("col").cast("string") == F.col("l"), "left_semi")
+    return dense(cut, seen)
+
+
 def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, random: tuple, residual: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None) -> Design:
     """The design of a one-response model. ``kernels``: name -> (row, col, value) covariance; ``covariances``: name -> (levels, loadings) or a constraint matrix."""
     encoder = _Encoder(df, covariances or {})
@@ -289,17 +308,17 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
             gu = str(t.named["Gu"]) if "Gu" in t.named else None
             main = _bare(main)
             found = [_structure(encoder, c) for c in inner]
-        elif isinstance(t, Call) and t.name == "covc":
-            if len(t.args) != 2:
-                raise ValueError("covc joins two effects")
+        elif isinstance(t, Call) and t.name in ("covc", "gvsr"):
+            if len(t.args) < 2 or (t.name == "covc" and len(t.args) != 2):
+                raise ValueError("covc joins two effects, gvsr two or more")
             main, found = t, []
         else:
             main, found = t, []
-        kernel_levels, kernel = dense(kernels[gu]) if gu else (None, None)
-        if isinstance(main, Call) and main.name == "covc":
+        kernel_levels, kernel = _kernel(encoder, main, kernels[gu]) if gu else (None, None)
+        if isinstance(main, Call) and main.name in ("covc", "gvsr"):
             sides = [_bare(x) for x in main.args]
-            gu = next((str(x.named["Gu"]) for x in main.args if isinstance(x, Call) and "Gu" in x.named), None)
-            kernel_levels, kernel = dense(kernels[gu]) if gu else (None, None)
+            gu = next((str(x.named["Gu"]) for x in (main, *main.args) if isinstance(x, Call) and "Gu" in x.named), None)
+            kernel_levels, kernel = _kernel(encoder, Call("overlay", tuple(sides)), kernels[gu]) if gu else (None, None)
             union = sorted({x for s in sides for x in encoder._levels(F.col(str(s)).cast("string"), str(s))} | set(kernel_levels or ()))
             parts = [encoder.columns(s, extra=union)[0] for s in sides]
             q, labels, kind = len(union), [str(s) for s in sides], "u"
@@ -318,7 +337,13 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
         if kernel_levels is not None and list(main_names) != list(kernel_levels):
             raise ValueError(f"levels of {main} that the kernel {gu} lacks: {sorted(set(main_names) - set(kernel_levels))[:3]}")
         size = len(labels)
-        if kind == "u":
+        guc = str(t.named["Guc"]) if isinstance(t, Call) and "Guc" in t.named else None
+        if guc:
+            codes = np.asarray((covariances or {})[guc], int)
+            if codes.shape != (size, size):
+                raise ValueError(f"{guc} is not {size} x {size}")
+            theta = np.where(codes > 0, 0.1, 0.0) + 0.05 * np.eye(size) * (np.diag(codes) > 0)
+        elif kind == "u":
             theta, codes = 0.1 * np.ones((size, size)) + 0.05 * np.eye(size), np.where(np.eye(size, dtype=bool), 1, 2)
         elif kind == "c":
             custom = (covariances or {})[str(next(c for c in t.args if isinstance(c, Call) and c.name in ("csc", "csr")).args[1])]
@@ -328,6 +353,10 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
             theta, codes = 0.15 * np.eye(size), np.eye(size, dtype=int)
         else:
             theta, codes = 0.15 * np.eye(size), np.eye(size, dtype=int)
+        only = next((c for c in getattr(t, "args", ()) if isinstance(c, Call) and c.name == "atr" and len(c.args) > 1), None)
+        if only is not None and len(found) == 1:
+            codes = np.diag([int(x in {str(a).strip("'\"") for a in only.args[1:]}) for x in labels])
+            theta = 0.15 * codes.astype(float)
         inverse, logdet = None, 0.0
         if kernel is not None:
             bend = 0.0 if np.linalg.eigvalsh(kernel)[0] > 1e-8 else 1e-6 * float(np.trace(kernel)) / len(kernel)

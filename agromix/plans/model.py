@@ -15,8 +15,8 @@ from agromix.functions.numeric import chi2_sf, f_sf
 from agromix.operators.matrices import MAX_ORDER
 from agromix.operators.records import na_policy
 from agromix.plans.absorb import AbsorbedModel, fit_absorbed
-from agromix.plans.design import Design, Gram, build_design, gram_of, join_levels, split_level
-from agromix.plans.formula import Call, Interaction, Name, parse_formula, parse_terms
+from agromix.plans.design import STRUCTURES, Design, Gram, build_design, gram_of, join_levels, split_level
+from agromix.plans.formula import Call, Formula, Interaction, Name, parse_formula, parse_terms
 from agromix.plans.multitrait import MultiFit, fit_traits
 from agromix.plans.reml import Fit, fit_reml, psd_factor, scaled_columns
 
@@ -100,6 +100,19 @@ class Model:
                     rows.append((t.label, inner, level, float(self.fit.solution[i]), pev, 1 - pev / v if v > 0 else None))
         return self.spark.createDataFrame(rows, "term string, inner string, level string, blup double, pev double, reliability double")
 
+    def extended_blups(self, term: str, kernel: DataFrame) -> DataFrame:
+        """(level, blup) of every level of a kernel of any order, from the effects of the levels in the model.
+
+        u of all = K(all, model) inv(K(model, model)) u(model): one join with a table as long as the model's levels.
+        """
+        t, theta = next((t, th) for t, th in zip(self.design.random, self.fit.theta, strict=True) if term in (t.label, *t.variables))
+        if len(theta) != 1 or t.kernel_inverse is None:
+            raise ValueError(f"{term} is no single effect with a kernel")
+        pull = t.kernel_inverse @ self.fit.solution[t.start : t.start + t.size]
+        small = self.spark.createDataFrame([(x, float(v)) for x, v in zip(t.main, pull, strict=True)], "_l string, _a double")
+        rows = kernel.join(F.broadcast(small), F.col("col").cast("string") == F.col("_l"))
+        return rows.groupBy(F.col("row").cast("string").alias("level")).agg(F.sum(F.col("value") * F.col("_a")).alias("blup"))
+
     def monitor(self) -> DataFrame:
         return self.spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(self.fit.monitor)], "iteration int, loglik double, largest_score double")
 
@@ -236,6 +249,12 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
     if formula.responses[0] not in df.columns:
         raise ValueError(f"no column {formula.responses[0]}")
     terms = parse_terms(random)[0] if random else ()
+    held = [t for t in terms if isinstance(t, Call) and str(t.named.get("isFixed", "")).upper() in ("TRUE", "T", "1")]
+    if held:  # vsc(.., isFixed=TRUE) states a fixed effect in the language of random ones
+        bare = lambda x: x.args[0] if isinstance(x, Call) and x.name in STRUCTURES else x
+        parts = [[bare(a) for a in t.args] for t in held]
+        formula = Formula(formula.responses, (*formula.terms, *(Interaction(tuple(p)) if len(p) > 1 else p[0] for p in parts)), formula.intercept)
+        terms = tuple(t for t in terms if t not in held)
     level = None
     for t in parse_terms(rcov)[0] if rcov else ():
         structured = [a for a in getattr(t, "args", ()) if isinstance(a, Call) and a.name in ("dsc", "dsr")]

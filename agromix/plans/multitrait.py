@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from agromix.operators.records import na_policy
 from agromix.plans.design import Design, build_design, gram_of
-from agromix.plans.formula import parse_formula, parse_terms
+from agromix.plans.formula import Call, parse_formula, parse_terms
 from agromix.plans.reml import Chart, ascend, independent_columns
 
 __all__ = ["MultiFit", "fit_traits"]
@@ -64,13 +64,21 @@ def _sums(df: DataFrame, design: Design, traits: Sequence[str]) -> tuple[np.ndar
     return total[:c, :c], total[:c, c : c + len(traits)], total[c : c + len(traits), c : c + len(traits)], sum(gram.records.values())
 
 
-def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: dict | None = None, iterations: int = 200, tol: float = 1e-8) -> MultiFit:
-    """cbind(y1, y2, ..) ~ fixed; every random term gets an unstructured covariance of the traits. Records lacking a trait are left out."""
+def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: dict | None = None, covariances: dict | None = None, residual: dict | None = None, iterations: int = 200, tol: float = 1e-8) -> MultiFit:
+    """cbind(y1, y2, ..) ~ fixed; every random term gets an unstructured covariance of the traits. Records lacking a trait are left out.
+
+    vsr(x, Gti=A, Gtc=C) starts a random term's covariance of traits at A (in units of the records) and constrains it by
+    the codes C; a fixed vsr(x, Gtc=F) holds for the traits that fcm() selects in F only. The names stand for matrices in
+    ``covariances``. ``residual`` may hold Gti and Gtc of the residual.
+    """
     formula = parse_formula(fixed)
     traits, t = list(formula.responses), len(formula.responses)
     terms = parse_terms(random)[0] if random else ()
     rows = na_policy(df, traits)
-    design = build_design(rows, traits[0], formula.terms, formula.intercept, terms, kernels=kernels)
+    named = lambda x, key: np.asarray(covariances[str(x.named[key])], float) if isinstance(x, Call) and key in x.named else None
+    selected = {str(x.args[-1]): np.asarray(named(x, "Gtc")).any(axis=1) for x in formula.terms if named(x, "Gtc") is not None}
+    fixed_terms = tuple(x.args[-1] if isinstance(x, Call) and x.name in ("vs", "vsr", "vsc") else x for x in formula.terms)
+    design = build_design(rows, traits[0], fixed_terms, formula.intercept, terms, kernels=kernels, covariances=covariances)
     ww, wy, yy, n = _sums(rows, design, traits)
     n_fixed = sum(b.size for b in design.fixed)
     kept = independent_columns(ww[:n_fixed, :n_fixed])
@@ -80,17 +88,28 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
     fixed_ss = wy[: len(kept)].T @ np.linalg.solve(ww[: len(kept), : len(kept)], wy[: len(kept)]) if len(kept) else 0
     vy = (yy - fixed_ss) / max(n - len(kept), 1)
     free = np.where(np.eye(t, dtype=bool), 1, 2)
-    charts = [Chart(0.2 * np.diag(np.diag(vy)), free) for _ in blocks] + [Chart(0.6 * vy + 0.2 * np.diag(np.diag(vy)), free)]
+
+    def chart(start: np.ndarray | None, codes: np.ndarray | None, default: np.ndarray) -> Chart:
+        codes = free if codes is None else np.asarray(codes, int)
+        return Chart(np.where(codes == 0, 0.0, default if start is None else start), codes)
+
+    charts = [chart(named(x, "Gti"), named(x, "Gtc"), 0.2 * np.diag(np.diag(vy))) for x in terms]
+    charts.append(chart((residual or {}).get("Gti"), (residual or {}).get("Gtc"), 0.6 * vy + 0.2 * np.diag(np.diag(vy))))
+    there = np.ones((t, c), bool)  # which coefficients which trait has
+    for b in design.fixed:
+        if b.label in selected:
+            there[np.ix_(~selected[b.label], np.isin(kept, np.arange(b.start, b.start + b.size)).nonzero()[0])] = False
+    there = there.ravel()
     kernels_ = [None if r.kernel_inverse is None else np.linalg.inv(r.kernel_inverse) for r in design.random]
 
     def solve(factors: list[np.ndarray]) -> dict | None:
         """The equations for all traits, trait outermost, in effects free of scale."""
-        spread = np.diag(factors[-1])
-        if np.abs(spread).min() < 1e-7 * np.sqrt(np.diag(vy)).max():  # the residual covariance must stay regular
+        s = factors[-1] @ factors[-1].T if factors[-1] is not None else np.zeros((t, t))
+        if any(f is None for f in factors) or np.linalg.eigvalsh(s / np.sqrt(np.outer(np.diag(vy), np.diag(vy))))[0] < 1e-13:  # the residual covariance must stay regular
             return None
-        si = np.linalg.inv(factors[-1] @ factors[-1].T)
+        si = np.linalg.inv(s)
         m = np.kron(si, ww).reshape(t, c, t, c)
-        left, logdet = m.copy(), n * 2 * np.log(np.abs(spread)).sum()
+        left, logdet = m.copy(), n * np.linalg.slogdet(s)[1]
         for at, f in zip(blocks, factors, strict=False):
             left[:, :, :, at] = np.einsum("icjk,jl->iclk", left[:, :, :, at], f)
         for at, f, r in zip(blocks, factors, design.random, strict=False):
@@ -100,10 +119,13 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
             logdet += t * r.kernel_logdet
         flat = left.reshape(t * c, t * c)
         try:
+            flat = flat[np.ix_(there, there)]
             logdet += 2 * np.log(np.diag(np.linalg.cholesky((flat + flat.T) / 2))).sum()
         except np.linalg.LinAlgError:
             return None
-        ci = np.linalg.inv(flat).reshape(t, c, t, c)
+        ci = np.zeros((t * c, t * c))
+        ci[np.ix_(there, there)] = np.linalg.inv(flat)
+        ci = ci.reshape(t, c, t, c)
         for at, f in zip(blocks, factors, strict=False):
             ci[:, :, :, at] = np.einsum("iclk,jl->icjk", ci[:, :, :, at], f)
         for at, f in zip(blocks, factors, strict=False):
@@ -115,10 +137,10 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
         ee = yy - coef.T @ wy - wy.T @ coef + coef.T @ ww @ coef
         return {"ci": ci, "flat": flat, "m": m.reshape(t * c, t * c), "b": coef, "loglik": loglik, "ee": ee, "si": si} if np.isfinite(loglik) else None
 
-    state, converged, cycle = solve([x.value for x in charts]), False, 0
+    state, converged, cycle = solve([x.factor(x.value) for x in charts]), False, 0
     if state is None:
         raise ValueError("the starting covariances are not positive definite")
-    scale = np.concatenate([[np.sqrt(vy[i, i]) for i, _ in x.places] for x in charts])
+    scale = np.array([np.sqrt(vy[i, i]) if x.kind == "factor" else np.sqrt(vy[i, i] * vy[j, j]) for x in charts for i, j in x.places])
     while cycle < iterations:
         cycle += 1
         si, gap = state["si"], wy - ww @ state["b"]  # W'E
@@ -167,7 +189,7 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
             for chart in charts:
                 values.append(chart.moved(move[at : at + len(chart.places)]))
                 at += len(chart.places)
-            candidate = solve(values)
+            candidate = solve([x.factor(v) for x, v in zip(charts, values, strict=True)])
             if candidate is not None and candidate["loglik"] >= state["loglik"] - 1e-13 * (1 + abs(state["loglik"])):
                 found = values, candidate
                 break

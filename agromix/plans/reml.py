@@ -79,11 +79,13 @@ class Chart:
             self.kind, self.places = "held", []
         elif free.all():
             self.kind, self.places = "factor", lower
-        elif free.diagonal().all() and not codes[off].any():
-            self.kind, self.places = "factor", [(i, i) for i in range(n)]
+        elif not codes[off].any():
+            self.kind, self.places = "factor", [(i, i) for i in range(n) if free[i, i]]
         else:
             self.kind, self.places = "entries", [(i, j) for i, j in lower if free[i, j]]
-        if self.kind == "factor":
+        if self.kind == "factor" and len(self.places) < n * (n + 1) // 2:
+            self.value = np.diag(np.sqrt(np.maximum(start.diagonal(), 0)))
+        elif self.kind == "factor":
             try:
                 self.value = np.linalg.cholesky(start)
             except np.linalg.LinAlgError:
@@ -99,10 +101,8 @@ class Chart:
             return value
         if self.kind == "held":
             return psd_factor(value)
-        try:
-            return np.linalg.cholesky(value)
-        except np.linalg.LinAlgError:
-            return None
+        values = np.linalg.eigvalsh(value)
+        return psd_factor(value) if values[0] >= -1e-12 * max(values[-1], 0) and values[-1] > 0 else None
 
     def directions(self) -> list[np.ndarray]:
         """What the covariance changes by as each parameter does."""

@@ -496,6 +496,32 @@ def two_stage_means(spark, folder):
     return two_stage(rows, "l_quantity", "l_suppkey", "l_returnflag").blues().select("level", "estimate")
 
 
+TRAITS = "WITH " + LONG + ", z AS (SELECT pos, v + 0.01 * pos AS a, v * v + 0.02 * ((pos * 7) % 64) AS b FROM cells), g AS (SELECT pos, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS eaa, covar_samp(a, b) AS eab, var_samp(b) AS ebb FROM z GROUP BY 1), s AS (SELECT max(n) AS n, max(n) * var_samp(ma) AS aa, max(n) * covar_samp(ma, mb) AS ab, max(n) * var_samp(mb) AS bb, avg(eaa) AS eaa, avg(eab) AS eab, avg(ebb) AS ebb FROM g) "
+
+
+@query(TRAITS + "SELECT 'place' AS term, 'a' AS trait1, 'a' AS trait2, round((aa - eaa) / n, 5) AS covariance FROM s UNION ALL SELECT 'place', 'a', 'b', round((ab - eab) / n, 5) FROM s UNION ALL SELECT 'place', 'b', 'b', round((bb - ebb) / n, 5) FROM s UNION ALL SELECT 'units', 'a', 'a', round(eaa, 5) FROM s UNION ALL SELECT 'units', 'a', 'b', round(eab, 5) + 0.0 FROM s UNION ALL SELECT 'units', 'b', 'b', round(ebb, 5) FROM s", digits=5)
+def two_traits_balanced(spark, folder):
+    """Covariances of two traits in a balanced layout: mean products between and within places."""
+    y = [(F.col("v") + 0.01 * F.col("pos")).alias("a"), (F.col("v") * F.col("v") + 0.02 * ((F.col("pos") * 7) % 64)).alias("b")]
+    rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), *y)
+    return mmer(rows, "cbind(a, b) ~ 1", "~ place").summary().select("term", "trait1", "trait2", "covariance")
+
+
+@query("WITH m AS (SELECT l_returnflag, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem GROUP BY 1), s AS (SELECT count(*) - count(DISTINCT l_returnflag) AS df, sum((l_quantity - a) ** 2) AS aa, sum((l_quantity - a) * (l_discount - b)) AS ab, sum((l_discount - b) ** 2) AS bb FROM lineitem JOIN m USING (l_returnflag)) SELECT 'units' AS term, 'l_quantity' AS trait1, 'l_quantity' AS trait2, round(aa / df, 5) AS covariance, 1.0::DOUBLE AS correlation, true AS converged FROM s UNION ALL SELECT 'units', 'l_quantity', 'l_discount', round(ab / df, 5) + 0.0, round(ab / sqrt(aa * bb), 5) + 0.0, true FROM s UNION ALL SELECT 'units', 'l_discount', 'l_discount', round(bb / df, 5), 1.0, true FROM s", digits=5)
+def trait_residuals(spark, folder):
+    """Residual covariances of two traits about the means of the flags."""
+    return mmer(table(spark, folder, "lineitem").select("l_quantity", "l_discount", "l_returnflag"), "cbind(l_quantity, l_discount) ~ l_returnflag").summary()
+
+
+@query("WITH r AS (SELECT l_suppkey % 10 AS a, l_partkey % 6 AS b, l_quantity AS y FROM lineitem WHERE (l_suppkey % 10 + l_partkey % 6) % 4 <> 0), c AS (SELECT a, b, avg(y) AS mean FROM r GROUP BY 1, 2), e AS (SELECT x.a, z.b FROM (SELECT DISTINCT a FROM c) x, (SELECT DISTINCT b FROM c) z), f AS (SELECT k.a, o.b, sum(o.mean / (1 + abs(k.a - o.a))) / sum(1.0 / (1 + abs(k.a - o.a))) AS fill FROM (SELECT DISTINCT a FROM c) k JOIN c o ON k.a <> o.a GROUP BY 1, 2) SELECT e.a, e.b, round(c.mean, 6) AS mean, round(coalesce(c.mean, f.fill), 6) AS filled FROM e LEFT JOIN c USING (a, b) LEFT JOIN f USING (a, b)")
+def level_fill(spark, folder):
+    """A table of means with empty cells, filled from other rows by their nearness."""
+    rows = table(spark, folder, "lineitem").select((F.col("l_suppkey") % 10).alias("a"), (F.col("l_partkey") % 6).alias("b"), "l_quantity").filter("(a + b) % 4 <> 0")
+    levels = spark.range(10)
+    near = levels.select(F.col("id").alias("row")).join(levels.select(F.col("id").alias("col"))).withColumn("value", 1 / (1 + F.abs(F.col("row") - F.col("col"))))
+    return records.level_fill(rows, "a", "b", "l_quantity", near)
+
+
 @query()
 def us_covariance(spark, folder):
     """Unstructured covariance of supplier effects between return flags."""
