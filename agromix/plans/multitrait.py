@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from agromix.operators.records import na_policy
 from agromix.plans.design import Design, build_design, gram_of
 from agromix.plans.formula import Call, parse_formula, parse_terms
-from agromix.plans.reml import Chart, ascend, independent_columns
+from agromix.plans.reml import Chart, ascend, from_free, independent_columns
 
 __all__ = ["MultiFit", "fit_traits"]
 
@@ -126,6 +126,11 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
         ci = np.zeros((t * c, t * c))
         ci[np.ix_(there, there)] = np.linalg.inv(flat)
         ci = ci.reshape(t, c, t, c)
+        scaled = (wy @ si).T.copy()  # right-hand sides, traits in rows
+        for at, f in zip(blocks, factors, strict=False):
+            scaled[:, at] = f.T @ scaled[:, at]
+        free = np.einsum("icjk,jk->ic", ci, scaled)
+        spreads = [np.einsum("ikjk->ij", ci[:, at][:, :, :, at]) if r.kernel_inverse is None else np.einsum("ikjl,kl->ij", ci[:, at][:, :, :, at], r.kernel_inverse) for at, r in zip(blocks, design.random, strict=True)]
         for at, f in zip(blocks, factors, strict=False):
             ci[:, :, :, at] = np.einsum("iclk,jl->icjk", ci[:, :, :, at], f)
         for at, f in zip(blocks, factors, strict=False):
@@ -135,9 +140,9 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
         coef = (flat @ rhs).reshape(t, c).T
         loglik = -0.5 * (logdet + float(np.sum(si * yy) - rhs @ (flat @ rhs)))
         ee = yy - coef.T @ wy - wy.T @ coef + coef.T @ ww @ coef
-        return {"ci": ci, "flat": flat, "m": m.reshape(t * c, t * c), "b": coef, "loglik": loglik, "ee": ee, "si": si} if np.isfinite(loglik) else None
+        return {"ci": ci, "flat": flat, "m": m.reshape(t * c, t * c), "b": coef, "loglik": loglik, "ee": ee, "si": si, "free": free, "spreads": spreads, "factors": factors} if np.isfinite(loglik) else None
 
-    state, converged, cycle = solve([x.factor(x.value) for x in charts]), False, 0
+    state, converged, cycle, quiet = solve([x.factor(x.value) for x in charts]), False, 0, 0
     if state is None:
         raise ValueError("the starting covariances are not positive definite")
     scale = np.array([np.sqrt(vy[i, i]) if x.kind == "factor" else np.sqrt(vy[i, i] * vy[j, j]) for x in charts for i, j in x.places])
@@ -145,7 +150,11 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
         cycle += 1
         si, gap = state["si"], wy - ww @ state["b"]  # W'E
         slopes, pulls = [], []
-        for at, kernel in zip(blocks, kernels_, strict=True):
+        for k, (at, kernel) in enumerate(zip(blocks, kernels_, strict=True)):
+            if (found := from_free(state["factors"][k], state["free"][:, at], state["spreads"][k], design.random[k].kernel_inverse)) is not None:
+                slopes.append(found[0])
+                pulls.append(found[1].T)
+                continue
             g = (gap @ si)[at]
             pulls.append(g if kernel is None else kernel @ g)
             own = np.concatenate([np.arange(i * c + at.start, i * c + at.stop) for i in range(t)])
@@ -183,24 +192,26 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
             at += width
         step = ascend(np.array(slope), info, scale)
         longest, found = float(np.abs(step).max()), None
-        size = min(1.0, 3.0 / longest) if longest > 3 else 1.0
+        size, gain = min(1.0, 3.0 / longest) if longest > 3 else 1.0, float(np.array(slope) * scale @ step)
+        slack = 1e-9 if longest < 1e-2 else 1e-13  # near the top, rounding hides what a step gains
         while size > 1e-9:
             move, at, values = size * step * scale, 0, []
             for chart in charts:
                 values.append(chart.moved(move[at : at + len(chart.places)]))
                 at += len(chart.places)
             candidate = solve([x.factor(v) for x, v in zip(charts, values, strict=True)])
-            if candidate is not None and candidate["loglik"] >= state["loglik"] - 1e-13 * (1 + abs(state["loglik"])):
+            if candidate is not None and candidate["loglik"] >= state["loglik"] - slack * (1 + abs(state["loglik"])):
                 found = values, candidate
                 break
             size /= 4
         if found is None:  # no step goes up: at the top but for rounding, or stuck
-            converged = float(np.array(slope) * scale @ step) < 1e-6
+            converged = gain < 1e-6
             break
         for chart, value in zip(charts, found[0], strict=True):
             chart.value = value
         state = found[1]
-        if longest < tol:
+        quiet = quiet + 1 if gain < 1e-13 * (1 + abs(state["loglik"])) else 0
+        if longest < tol or quiet == 3:
             converged = True
             break
     if not converged:

@@ -19,7 +19,7 @@ import numpy as np
 
 from agromix.plans.design import Design, Gram, RandomTerm
 
-__all__ = ["Chart", "Fit", "ascend", "fit_reml", "independent_columns", "psd_factor", "scaled_columns"]
+__all__ = ["Chart", "Fit", "ascend", "fit_reml", "from_free", "independent_columns", "psd_factor", "scaled_columns"]
 
 #: Residual variances stay above this share of the variance that the fixed effects leave.
 FLOOR = 1e-10
@@ -131,6 +131,20 @@ class Chart:
         return out
 
 
+def from_free(factor: np.ndarray, v: np.ndarray, spread: np.ndarray, kernel_inverse: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(slope, K Z'Py) of an effect from its scale-free form, or None where the records say too little of it for that.
+
+    Where records tell an effect well, Z'PZ is a small difference of large numbers, and this form keeps the digits; near
+    zero variance it is the other way round.
+    """
+    q = v.shape[1]
+    if (1 - np.diag(spread) / q).min() < 0.1:
+        return None
+    back = np.linalg.inv(factor.T)
+    inner = 0.5 * (v @ (v.T if kernel_inverse is None else kernel_inverse @ v.T) - q * np.eye(len(v)) + (spread + spread.T) / 2)
+    return back @ inner @ back.T, back @ v
+
+
 class _Equations:
     """The mixed-model equations of a design, solved at given parameters."""
 
@@ -163,6 +177,14 @@ class _Equations:
         except np.linalg.LinAlgError:
             return None
         c_inverse = np.linalg.inv(c)
+        rhs = m[:-1, -1].copy()
+        for t, at, f in zip(self.terms, self.places, factors, strict=True):
+            rhs[at] = scaled_columns(rhs[None, at], f, len(t.main))[0]
+        free, spreads = c_inverse @ rhs, []  # effects free of scale, and their traces with inv(K)
+        for t, at, f in zip(self.terms, self.places, factors, strict=True):
+            q, n = len(t.main), len(f)
+            own = c_inverse[at, at].reshape(n, q, n, q)
+            spreads.append(np.einsum("ikjk->ij", own) if t.kernel_inverse is None else np.einsum("ikjl,kl->ij", own, t.kernel_inverse))
         for t, at, f in zip(self.terms, self.places, factors, strict=True):  # back to u
             c_inverse[:, at] = scaled_columns(c_inverse[:, at], f.T, len(t.main))
         for t, at, f in zip(self.terms, self.places, factors, strict=True):
@@ -171,7 +193,7 @@ class _Equations:
         ypy = float(m[-1, -1] - m[:-1, -1] @ solution)
         log_r = sum(self.gram.records[x] * np.log(residual[x]) - self.gram.log_weights[x] for x in self.sums)
         loglik = -0.5 * (logdet + 2 * np.log(np.diag(chol)).sum() + log_r + ypy)
-        return {"m": m, "c_inverse": c_inverse, "solution": solution, "ypy": ypy, "loglik": float(loglik)} if np.isfinite(loglik) else None
+        return {"m": m, "c_inverse": c_inverse, "solution": solution, "ypy": ypy, "loglik": float(loglik), "free": free, "spreads": spreads, "factors": factors} if np.isfinite(loglik) else None
 
     def slopes(self, state: dict, residual: dict[str, float], wanted: list[int]) -> tuple[dict, dict, dict]:
         """Slopes of the likelihood: for effects a matrix over inner levels, and K Z'Py; for residual levels (slope, sum of squares)."""
@@ -180,6 +202,9 @@ class _Equations:
         for k in wanted:
             t, at, kernel = self.terms[k], self.places[k], self.kernels[k]
             q, n = len(t.main), t.size // len(t.main)
+            if (found := from_free(state["factors"][k], state["free"][at].reshape(n, q), state["spreads"][k], t.kernel_inverse)) is not None:
+                effects[k], pulls[k] = found
+                continue
             g = gap[at].reshape(n, q)
             pulled = g if kernel is None else g @ kernel
             left = ci @ m[:, at]
@@ -282,7 +307,7 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
     if state is None:
         raise ValueError("the starting covariances are not positive definite")
     scale = np.array([np.sqrt(vy) if charts[k].kind == "factor" else vy for k in wanted for _ in charts[k].places] + [1.0] * len(free_levels))
-    monitor, converged, cycle = [], False, 0
+    monitor, converged, cycle, quiet = [], False, 0, 0
     while cycle < iterations:
         cycle += 1
         if not len(scale):
@@ -320,6 +345,7 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
                 break
             continue
         longest = float(np.abs(step).max())
+        slack = 1e-9 if longest < 1e-2 else 1e-13  # near the top, rounding hides what a step gains
         found, size = None, min(1.0, 3.0 / longest) if longest > 3 else 1.0
         while size > 1e-9:
             move, at = size * step * scale, 0
@@ -331,7 +357,7 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
             left_new = left | {x: max(left[x] * float(np.exp(np.clip(s, -30, 30))), floor) for x, s in zip(free_levels, move[at:], strict=True)}
             factors = [c.factor(v) for c, v in zip(charts, values, strict=True)]
             candidate = eq.solve(factors, left_new) if all(f is not None for f in factors) else None
-            if candidate is not None and candidate["loglik"] >= state["loglik"] - 1e-13 * (1 + abs(state["loglik"])):
+            if candidate is not None and candidate["loglik"] >= state["loglik"] - slack * (1 + abs(state["loglik"])):
                 found = values, left_new, candidate
                 break
             size /= 4
@@ -342,7 +368,8 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
         for c, v in zip(charts, found[0], strict=True):
             c.value = v
         left, state = found[1], found[2]
-        if longest < tol:
+        quiet = quiet + 1 if gain < 1e-13 * (1 + abs(state["loglik"])) else 0
+        if longest < tol or quiet == 3:
             converged = True
             break
     now, boundary = [], []
