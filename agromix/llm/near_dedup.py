@@ -239,8 +239,12 @@ def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     moved = roots.filter("node <> root").select(F.col("node").alias("rep"), F.col("root").alias("cls"))
     if labels is None:
         return materialise(moved)
-    onward = labels.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("rep", F.coalesce("root", "cls").alias("cls"))
-    return materialise(onward.unionAll(moved))
+    held = labels.groupBy("cls").agg(F.count("*").alias("n"))
+    changed = materialise(roots.withColumnRenamed("node", "cls").join(held, "cls").select("cls", "root", "n"))
+    onward = skew_safe_lookup(labels, changed, "cls", "n", "rep").select("rep", F.coalesce("root", "cls").alias("cls"))
+    out = materialise(onward.unionAll(moved))
+    release(changed, roots)
+    return out
 
 
 def _block_edges(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
@@ -369,8 +373,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:
             edges = reduce(DataFrame.unionAll, [pivoted(members.filter(F.col("cls") != F.col(f"{end}.cls")), end) for end in ("low", "high")])
     classed = texts_of.select("sha", "rep", "n").join(labels, "rep", "left").select("sha", "n", F.coalesce("cls", "rep").alias("cls"))
-    totals = classed.groupBy("cls").agg(F.sum("n").alias("group_size"))
-    classed = materialise(classed.join(totals, "cls").select("sha", "n", "cls", "group_size"))
+    totals = materialise(classed.groupBy("cls").agg(F.sum("n").alias("group_size"), F.count("*").alias("m")))
+    classed = materialise(skew_safe_lookup(classed, totals, "cls", "m", "sha").select("sha", "n", "cls", "group_size"))
+    release(totals)
     release(texts_of, texts, members, labels)
     out = skew_safe_lookup(sketched.select("id", "sha"), classed, "sha", "n", "id")
     out = out.select("id", F.col("cls").alias("class_id"), "group_size", (F.col("id") == F.col("cls")).alias("kept"))
