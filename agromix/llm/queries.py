@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agromix.llm.bpe import decode_ids, encode_ids
 from agromix.llm.exact_dedup import exact_dedup
+from agromix.llm.lexical import rank
 from agromix.llm.licenses import scan_licenses
 from agromix.llm.line_dedup import line_dedup
+from agromix.llm.merkle import manifest
 from agromix.llm.near_dedup import near_classes
 from agromix.llm.packing import pack
 from agromix.llm.pieces import decode, encode_nbest
@@ -86,6 +89,24 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's identifiers and what they decode to; an empty text has none."""
+    found = decode_ids(encode_ids(table(spark, folder, "documents").select("doc_id", "text")))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty documents that score highest for each benchmark item, out of all."""
+    return rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's place in the manifest; leaves of identifiers whose CRC-32 is divisible by five are folded tampered."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest(table(spark, folder, "documents"), tampered).drop("proof_levels", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_counts": op2_token_counts,
@@ -97,8 +118,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_bpe": op11_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_merkle": op13_merkle,
 }
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -120,4 +147,15 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM documents),
+n AS (SELECT doc_id, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM n),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM n) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))))::BIGINT AS score
+           FROM asked JOIN tf USING (term) JOIN w USING (term), total GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
