@@ -5,7 +5,7 @@ ARITY nodes becomes one until a single node, the source's root, is left. The roo
 one in the same way.
 
 Positions come from one range partition of (source, identifier): a partition's rows count from what earlier ones hold of
-its first source. Rows go to aligned blocks of ARITY ** LEVELS neighbours, so that a source with a large share of the rows
+its first source. Rows go to aligned blocks of ARITY ** LEVELS (4096) neighbours, so that a source with a large share of the rows
 is many blocks. One task reduces a block to a node; nodes of blocks are leaves of the next tier, until each source has one
 and then all sources have one. Proofs go back down: a tier's blocks get the upper part of their proof as a row before their
 nodes, and a fractal traversal gives the lower part, one node after another. For each level of a block it keeps the
@@ -33,8 +33,8 @@ from agromix.llm.common import mapped, materialise
 __all__ = ["FIELDS", "block_root", "leaf_digest", "manifest", "tampered_text", "traverse"]
 
 ARITY = 16
+#: Levels of a block, unless told otherwise.
 LEVELS = 3
-BLOCK = ARITY**LEVELS
 #: What a leaf covers, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Runs of a source within a partition up to this many are broadcast; there is one for each partition and each source.
@@ -62,19 +62,19 @@ def _join_up(nodes: list[str]) -> list[str]:
     return [digest(*nodes[i : i + ARITY]) for i in range(0, len(nodes), ARITY)]
 
 
-def block_root(nodes: list[str], alone: bool) -> str:
-    """The node above a block: of LEVELS levels or, if the block is all there is, as soon as one node is left."""
-    for _ in range(LEVELS):
+def block_root(nodes: list[str], alone: bool, levels: int = LEVELS) -> str:
+    """The node above a block: of all levels or, if the block is all there is, as soon as one node is left."""
+    for _ in range(levels):
         if alone and len(nodes) == 1:
             break
         nodes = _join_up(nodes)
     return nodes[0]
 
 
-def _height(n: int, alone: bool) -> int:
+def _height(n: int, alone: bool, levels: int) -> int:
     """Levels above the leaves of a block of n."""
     height = 0
-    while height < LEVELS and not (alone and n == 1):
+    while height < levels and not (alone and n == 1):
         n, height = -(-n // ARITY), height + 1
     return height
 
@@ -104,13 +104,13 @@ class _Subtree:
                 (self.open[at + 1] if at + 1 < self.level else self.nodes).append(node)
 
 
-def traverse(leaves: list[str], alone: bool) -> Iterator[list[tuple[str, str]]]:
+def traverse(leaves: list[str], alone: bool, levels: int = LEVELS) -> Iterator[list[tuple[str, str]]]:
     """For each leaf of a block, its siblings by level: what stands left and right of its ancestor in the run.
 
     Level k's subtree spans ARITY ** (k + 1) leaves. While it is in use, each step feeds one leaf, a whole span ahead, to
     the next; at the end of the span that one is complete and takes its place.
     """
-    height = _height(len(leaves), alone)
+    height = _height(len(leaves), alone, levels)
     spans = [ARITY ** (k + 1) for k in range(height)]
     existing, desired = [_Subtree(k) for k in range(height)], [_Subtree(k) for k in range(height)]
     for tree, span in zip(existing, spans, strict=True):
@@ -159,15 +159,17 @@ def _numbered(leaves: DataFrame, order: list[Column]) -> DataFrame:
     return out if small else materialise(out)
 
 
-def _reduced(nodes: DataFrame) -> DataFrame:
+def _reduced(nodes: DataFrame, levels: int) -> DataFrame:
     """The next tier: a node for each block, at its own place among the blocks of its tree."""
 
+    size = ARITY**levels
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def closed() -> tuple:
             tree, block, n = key
-            return tree, block // BLOCK, block, -(-n // BLOCK), block_root(held, n <= BLOCK)
+            return tree, block // size, block, -(-n // size), block_root(held, n <= size, levels)
 
         out: list[tuple] = []
         for batch in batches:
@@ -190,11 +192,11 @@ def _reduced(nodes: DataFrame) -> DataFrame:
     return mapped(_in_blocks(nodes.select("tree", "block", "pos", "n", "node")), run, "tree string, block long, pos long, n long, node string")
 
 
-def _tiers(nodes: DataFrame) -> list[DataFrame]:
+def _tiers(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """All tiers of nodes from ``nodes`` to those that hold one block for each tree, each written to the shared folder."""
     tiers = [nodes]
-    while tiers[-1].filter(F.col("n") > BLOCK).limit(1).count():
-        tiers.append(materialise(_reduced(tiers[-1].filter(F.col("n") > BLOCK))))
+    while tiers[-1].filter(F.col("n") > ARITY**levels).limit(1).count():
+        tiers.append(materialise(_reduced(tiers[-1].filter(F.col("n") > ARITY**levels), levels)))
     return tiers
 
 
@@ -203,14 +205,14 @@ PATH = "array<struct<l:string,r:string>>"
 PATH_TYPE = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
 
 
-def _descended(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _descended(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """(tree, pos, path) of each node, where ``above`` has (tree, block, path, node) for each block."""
     rows = nodes.select("tree", "block", "pos", "n", "node", F.lit(None).cast(PATH).alias("path")).unionByName(above.select("tree", "block", F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("n"), F.lit("").alias("node"), "path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, held in _blocks(batches, ("pos", "n", "node")):
             upper, tree = head["path"], head["tree"]
-            paths = [[{"l": a, "r": b} for a, b in own] + upper for own in traverse([x[2] for x in held], held[0][1] <= BLOCK)]
+            paths = [[{"l": a, "r": b} for a, b in own] + upper for own in traverse([x[2] for x in held], held[0][1] <= ARITY**levels, levels)]
             for i in range(0, len(held), 256):
                 yield pa.RecordBatch.from_arrays([pa.array([tree] * len(paths[i : i + 256]), pa.string()), pa.array([x[0] for x in held[i : i + 256]], pa.int64()), pa.array(paths[i : i + 256], PATH_TYPE)], ["tree", "pos", "path"])
 
@@ -228,34 +230,34 @@ def _blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
                 if head and held:
                     yield head, held
                 path = batch.column("path")[i].as_py() or []
-                head, held = {"tree": tree[i], "block": block[i], "path": path} | {c: batch.column(c)[i].as_py() for c in batch.schema.names if c.startswith("top_")}, []
+                head, held = {"tree": tree[i], "block": block[i], "path": path} | {c: batch.column(c)[i].as_py() for c in batch.schema.names if c == "top_subroot"}, []
             else:
                 held.append(values[i])
     if head and held:
         yield head, held
 
 
-def _paths(tiers: list[DataFrame], above: DataFrame) -> DataFrame:
+def _paths(tiers: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """(tree, block, path) for each block of the lowest tier. ``above`` has (tree, path): the part over each tree's root."""
     last = above.select("tree", F.lit(0).cast("long").alias("block"), "path")
     for upper in reversed(tiers[1:]):
         # trees of one block in the tier below take no part in the upper tiers
         there = last.join(upper.select("tree", "block").distinct(), ["tree", "block"], "left_semi")
-        lower = materialise(_descended(upper, there).select("tree", F.col("pos").alias("block"), "path"))
+        lower = materialise(_descended(upper, there, levels).select("tree", F.col("pos").alias("block"), "path"))
         last = last.join(upper.select("tree").distinct(), "tree", "left_anti").unionByName(lower)
     return last
 
 
-def _tree_roots(tiers: list[DataFrame]) -> DataFrame:
+def _tree_roots(tiers: list[DataFrame], levels: int) -> DataFrame:
     """(tree, root) of each tree."""
     out = None
     for nodes in tiers:
-        one = _reduced(nodes.filter(F.col("n") <= BLOCK)).select("tree", F.col("node").alias("root"))
+        one = _reduced(nodes.filter(F.col("n") <= ARITY**levels), levels).select("tree", F.col("node").alias("root"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """(doc_id, source, leaf, subroot, root, proof_sha256, proof_levels, folded_root, verified) for each row of ``docs``.
 
     ``tampered``: which rows to fold with the leaf of the lower-cased text instead of their own.
@@ -266,19 +268,19 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     # rows that are equal in all of this are told apart by where they were read, so that no partition gathers them
     numbered = _numbered(leaves.withColumn("row", F.monotonically_increasing_id()), [F.col("doc_id").asc_nulls_first(), F.col("node"), F.col("row")]).drop("row")
     tree = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    numbered = numbered.withColumn("tree", tree).withColumn("block", F.expr(f"pos div {BLOCK}"))
-    tiers = _tiers(numbered.select("tree", "block", "pos", "n", "node"))
-    roots = materialise(_tree_roots(tiers))
+    numbered = numbered.withColumn("tree", tree).withColumn("block", F.expr(f"pos div {ARITY**levels}"))
+    tiers = _tiers(numbered.select("tree", "block", "pos", "n", "node"), levels)
+    roots = materialise(_tree_roots(tiers, levels))
     # the trees' roots are the leaves of the top one, null first ('-' precedes '=')
     tops = _numbered(roots.select(F.lit(None).cast("string").alias("source"), "tree", F.col("root").alias("node")), [F.col("tree")])
-    top = tops.select(F.lit("").alias("tree"), F.expr(f"pos div {BLOCK}").alias("block"), "pos", "n", "node")
-    top_tiers = _tiers(top)
-    found = _tree_roots(top_tiers).first()
+    top = tops.select(F.lit("").alias("tree"), F.expr(f"pos div {ARITY**levels}").alias("block"), "pos", "n", "node")
+    top_tiers = _tiers(top, levels)
+    found = _tree_roots(top_tiers, levels).first()
     spark = docs.sparkSession
     start = spark.createDataFrame([("", [])], f"tree string, path {PATH}")
-    over_top = _paths(top_tiers, start)
-    of_trees = materialise(_descended(top, over_top).withColumnRenamed("tree", "all").join(tops.select(F.col("tree"), F.col("pos"), F.col("node").alias("top_subroot")), "pos").select("tree", "path", "top_subroot"))
-    heads = _paths(tiers, of_trees.select("tree", "path")).join(of_trees.select("tree", "top_subroot"), "tree")
+    over_top = _paths(top_tiers, start, levels)
+    of_trees = materialise(_descended(top, over_top, levels).withColumnRenamed("tree", "all").join(tops.select(F.col("tree"), F.col("pos"), F.col("node").alias("top_subroot")), "pos").select("tree", "path", "top_subroot"))
+    heads = _paths(tiers, of_trees.select("tree", "path"), levels).join(of_trees.select("tree", "top_subroot"), "tree")
 
     rows = numbered.select("tree", "block", "pos", "n", "doc_id", "source", "node", "swapped", F.lit(None).cast(PATH).alias("path"), F.lit(None).cast("string").alias("top_subroot"))
     rows = rows.unionByName(heads.select("tree", "block", F.lit(-1).cast("long").alias("pos"), "path", "top_subroot"), allowMissingColumns=True)
@@ -291,7 +293,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
             upper = [(x["l"], x["r"]) for x in head["path"]]
             above = "".join(a + b for a, b in upper)
             out = []
-            for own, (doc, source, node, other, _) in zip(traverse([x[2] for x in held], held[0][4] <= BLOCK), held, strict=True):
+            for own, (doc, source, node, other, _) in zip(traverse([x[2] for x in held], held[0][4] <= ARITY**levels, levels), held, strict=True):
                 folded = _fold(_fold(other or node, own), upper)
                 out.append((doc, source, node, head["top_subroot"], of_all, digest(*(a + b for a, b in own), above), len(own) + len(upper), folded, folded == of_all))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)

@@ -158,4 +158,37 @@ scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20
            FROM asked JOIN tf USING (term) JOIN w USING (term), total GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
+    # runs of nodes are joined level by level until each tree has one; crc32 is written out, as there is no such function
+    "op13_merkle": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, *, translate(text, '{UPPER}', '{LOWER}') AS lowered FROM documents),
+h AS (SELECT row, doc_id, source,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head, text, lowered FROM d),
+l AS (SELECT row, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) AS other,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), lambda a, b:
+        list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)), xor(a, b)), 4294967295::UBIGINT), 4294967295::UBIGINT) % 5 = 0 AS swapped FROM h),
+up(tree, level, pos, node) AS (
+  SELECT coalesce('=' || source, '-'), 0, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1, leaf FROM l
+  UNION ALL
+  SELECT tree, any_value(level) + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM up) WHERE n > 1 GROUP BY tree, pos // 16),
+subroots AS (SELECT tree, arg_max(node, level) AS node, max(level) AS height FROM up GROUP BY tree),
+over(level, pos, node) AS (
+  SELECT 0, row_number() OVER (ORDER BY tree) - 1, node FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM over) WHERE n > 1 GROUP BY pos // 16),
+sides AS (SELECT tree, level, pos, node, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(node, '') OVER (r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+          FROM (SELECT tree, level, pos, node FROM up UNION ALL SELECT '', level, pos, node FROM over) WINDOW r AS (PARTITION BY tree, level, pos // 16 ORDER BY pos)),
+top AS (SELECT max(level) AS height, arg_max(node, level) AS root FROM over),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, coalesce('=' || source, '-') AS tree FROM l),
+placed AS (SELECT n.*, s.node AS subroot, s.height, row_number_of.pos AS place FROM numbered n JOIN subroots s USING (tree) JOIN (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS pos FROM subroots) row_number_of USING (tree)),
+fold(row, step, node, proof) AS (
+  SELECT row, 0, CASE WHEN swapped THEN other ELSE leaf END, '' FROM placed
+  UNION ALL
+  SELECT f.row, f.step + 1, sha256(x.l || f.node || x.r), f.proof || x.l || x.r
+  FROM fold f JOIN placed p USING (row), top t, sides x
+  WHERE f.step < p.height + t.height
+    AND x.tree = CASE WHEN f.step < p.height THEN p.tree ELSE '' END AND x.level = CASE WHEN f.step < p.height THEN f.step ELSE f.step - p.height END
+    AND x.pos = CASE WHEN f.step < p.height THEN p.at // (16 ** f.step)::BIGINT ELSE p.place // (16 ** (f.step - p.height))::BIGINT END)
+SELECT p.doc_id, p.leaf, p.subroot, t.root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = t.root AS verified
+FROM placed p JOIN fold f USING (row), top t WHERE f.step = p.height + t.height""",
 }

@@ -287,10 +287,8 @@ def test_manifest_over_several_tiers(spark):
     assert got == Counter(manifest_by_hand(rows, lambda i: i % 2 == 0))
 
 
-def test_manifest_with_small_blocks(docs, rows, monkeypatch):
-    monkeypatch.setattr(merkle, "LEVELS", 1)
-    monkeypatch.setattr(merkle, "BLOCK", merkle.ARITY)
-    got = Counter(tuple(r[c] for c in COLUMNS) for r in manifest(docs).collect())
+def test_manifest_with_small_blocks(docs, rows):
+    got = Counter(tuple(r[c] for c in COLUMNS) for r in manifest(docs, levels=1).collect())
     assert got == Counter(manifest_by_hand([r[:5] for r in rows], lambda _: False))
 
 
