@@ -44,6 +44,7 @@ TOGETHER = 1 << 21
 #: Blanks at which a text may be cut before it is split into words: no other white space touches them.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 TOUCHING = re.compile(r"\s\s|\s\Z")
+LATIN_END = "\u0370"  # which characters before it are letters has not changed since old versions of Unicode
 #: The splitting pattern of byte-level BPE, for texts of ASCII characters alone (fixed by the models).
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
@@ -214,9 +215,9 @@ class PrefixBPE:
             self.known[at], self.known_key[at] = out[miss[first]], key[miss[first]]
         return out
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """The identifiers of each word (what the library splits a text into)."""
-        out: list[np.ndarray | None] = [None] * len(words)
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The identifiers of each word (what the library splits a text into), as little-endian 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
         order = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=lambda i: -len(words[i]))
         at = 0
         while at < len(order):
@@ -225,9 +226,12 @@ class PrefixBPE:
             for i, ids in zip(part, self._together([words[i] for i in part]), strict=True):
                 out[i] = ids
             at += n
-        return [self._alone(w) if x is None else x for w, x in zip(words, out, strict=True)]
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self._alone(w)
+        return out
 
-    def _together(self, words: list[bytes]) -> list[np.ndarray]:
+    def _together(self, words: list[bytes]) -> list[bytes]:
         """Words from the longest to the shortest, a position of all at a time."""
         lengths = np.array([len(w) for w in words])
         width = int(lengths[0])
@@ -254,12 +258,13 @@ class PrefixBPE:
             at[active] -= self.length[token]
             active = active[at[active] > 0]
         if not found:
-            return [np.zeros(0, np.int32)] * len(words)
+            return [b""] * len(words)
         word, token = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.argsort(word[::-1], kind="stable")
-        return np.split(token[::-1][by], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
+        flat, ends = token[::-1][by].astype("<i4").tobytes(), (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _alone(self, word: bytes) -> np.ndarray:
+    def _alone(self, word: bytes) -> bytes:
         """The same for one long word, without arrays that are as wide as it is long."""
         if self.scalar is None:
             self.scalar = ({int(k): i + 1 for i, k in enumerate(self.step_key[:-1])}, self.fail.tolist(), self.longest.tolist(), self.shorter.tolist(), self.length.tolist(), {})
@@ -284,7 +289,7 @@ class PrefixBPE:
         while at:
             out.append(last[at])
             at -= length[last[at]]
-        return np.array(out[::-1], np.int32)
+        return np.array(out[::-1], "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The identifiers of each text."""
@@ -296,37 +301,38 @@ class PrefixBPE:
                 at = m.end()
             parts.append((i, text[at:]))
         cut = [x if isinstance(x, int) else x.split(" ") if not TOUCHING.search(x) else CUT.split(x) for _, x in parts]
-        firsts = self._looked_up({x[0] for x in cut if not isinstance(x, int)}, self.first_memo, "")
-        rests = self._looked_up({w for x in cut if not isinstance(x, int) for w in x[1:]}, self.memo, " ")
+        firsts, rests = set(), set()
+        for x in cut:
+            if not isinstance(x, int):
+                firsts.add(x[0])
+                rests.update(x[1:])
+        over = self._learn(firsts, self.first_memo, ""), self._learn(rests, self.memo, " ")
         out: list[list[bytes]] = [[] for _ in texts]
         for (i, _), x in zip(parts, cut, strict=True):
             if isinstance(x, int):
                 out[i].append(np.int32(x).tobytes())
             else:
-                out[i].append(firsts[x[0]])
-                out[i] += map(rests.__getitem__, x[1:])
+                out[i].append(self.first_memo[x[0]])
+                out[i] += map(self.memo.__getitem__, x[1:])
+        for memo, some in zip((self.first_memo, self.memo), over, strict=True):
+            for w in some:
+                del memo[w]
         return [np.frombuffer(b"".join(x), "<i4") for x in out]
 
-    def _looked_up(self, wanted: set[str], memo: dict[str, bytes], blank: str) -> dict[str, bytes]:
-        """Identifiers of pieces with ``blank`` before each; those that the memo lacks are encoded together."""
-        missing = [w for w in wanted if w not in memo]
-        if not missing:
-            return memo
+    def _learn(self, wanted: set[str], memo: dict[str, bytes], blank: str) -> list[str]:
+        """Puts the pieces, with ``blank`` before each, into the memo; returns those that it has no room for in the long run."""
+        missing = list(wanted - memo.keys())
         split = [self._split(blank + w) for w in missing]
         distinct = {w: i for i, w in enumerate(dict.fromkeys(w for x in split for w in x))}
-        ids = [x.astype("<i4").tobytes() for x in self.words(list(distinct))]
-        found = {w: b"".join(ids[distinct[x]] for x in s) for w, s in zip(missing, split, strict=True)}
-        if len(memo) + len(found) <= MEMO:
-            memo.update(found)
-            return memo
-        keep = {w: x for w, x in found.items() if len(w) < 32}
-        out = found | {w: memo[w] for w in wanted if w in memo}
-        if len(memo) < MEMO:
-            memo.update(list(keep.items())[: MEMO - len(memo)])
-        return out
+        ids = self.words(list(distinct))
+        room = max(MEMO - len(memo), 0)
+        memo.update((w, ids[distinct[s[0]]] if len(s) == 1 else b"".join([ids[distinct[x]] for x in s])) for w, s in zip(missing, split, strict=True))
+        return missing[room:]
 
     def _split(self, piece: str) -> list[bytes]:
-        """The words that merges stay within; the pattern's classes are plain ones where a piece is ASCII."""
+        """The words that merges stay within. A blank and Latin letters are one word; the pattern's classes are plain ones where a piece is ASCII."""
+        if piece[:1] == " " and piece[1:].isalpha() and max(piece) < LATIN_END:
+            return [piece.encode()]
         if piece.isascii():
             return [x.encode() for x in ASCII_WORDS.findall(piece)]
         return [t.translate(self.to_byte).encode("latin-1") for t, _ in self.split(piece)]

@@ -97,7 +97,7 @@ def test_pair_verdicts_equal_merging(model):
 def test_words_together_equal_words_alone(model):
     rng = random.Random(4)
     some = [bytes(rng.choice(b"abet h") for _ in range(rng.randrange(1, 40))) for _ in range(500)] + [b""]
-    assert [x.tolist() for x in model.words(some)] == [model._alone(w).tolist() for w in some]
+    assert model.words(some) == [model._alone(w) for w in some]
     model.memo.clear()
     assert [x.tolist() for x in model.encode(["the the thing"])] == [x.tolist() for x in model.encode(["the the thing"])]
 
