@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from agromix.operators.matrices import MAX_ORDER, dense, from_dense, hadamard
 
-__all__ = ["a_matrix", "ar1", "arma", "cs", "d_matrix", "e_matrix", "gram", "h_matrix", "sim_ge_correlation"]
+__all__ = ["a_matrix", "ar1", "arma", "centred_cells", "cs", "d_matrix", "e_matrix", "gram", "h_matrix", "sim_ge_correlation", "tiled_gram"]
 
 
 def _gram_of(order: int):
@@ -32,15 +32,93 @@ def _gram_of(order: int):
     return run
 
 
+#: Individuals of a tile and markers of a block, on average: bounds of what a task holds, whatever the input.
+TILE, BLOCK = 1024, 256
+
+
+def _tile_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of tiles as they come, sorted: first the names of both, then block after block of their markers."""
+    key, names, held, total, at = None, {}, {}, None, None
+
+    def multiplied() -> None:
+        nonlocal total, held
+        if held:  # an individual without cells in this block adds nothing
+            width = 1 + max(int(q.max()) for _, q, _ in held.values())
+            side = {}
+            for s, (p, q, v) in held.items():
+                side[s] = np.zeros((len(names[s]), width))
+                side[s][p, q] = v
+            if key[0] == key[1]:
+                total += side[0] @ side[0].T
+            elif len(side) == 2:
+                total += side[0] @ side[1].T
+            held = {}
+
+    def emitted() -> Iterator[pa.RecordBatch]:
+        multiplied()
+        step = max(1, 65_536 // max(total.shape[1], 1))
+        for k in range(0, total.shape[0], step):
+            part = total[k : k + step]
+            row, col = names[0].take(np.repeat(np.arange(k, k + len(part)), part.shape[1])), names[max(names)].take(np.tile(np.arange(part.shape[1]), len(part)))
+            yield pa.RecordBatch.from_arrays([row, col, pa.array(part.ravel())], names=["row", "col", "value"])
+            if key[0] != key[1]:
+                yield pa.RecordBatch.from_arrays([col, row, pa.array(part.ravel())], names=["row", "col", "value"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            one, two, block, s = (batch.column(c)[k].as_py() for c in ("i", "j", "block", "side"))
+            if (one, two) != key:
+                if key:
+                    yield from emitted()
+                key, names, held, total, at = (one, two), {}, {}, None, None
+            if block < 0:
+                names[s] = batch.column("names")[k].values
+                continue
+            if block != at:
+                if total is None:
+                    total = np.zeros((len(names[0]), len(names[max(names)])))
+                multiplied()
+                at = block
+            c = batch.column("c")[k].values
+            held[s] = tuple(c.field(x).to_numpy(zero_copy_only=False) for x in ("p", "q", "v"))
+    if key:
+        if total is None:
+            total = np.zeros((len(names[0]), len(names[max(names)])))
+        yield from emitted()
+
+
+def tiled_gram(cells: DataFrame, id_col: str, marker: str, value: str, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """gram() of any order, by tiles of the matrix; the result stays distributed.
+
+    Individuals are dealt by hash to tiles, markers to blocks. Each tile's cells of a block travel as one row to every pair
+    that the tile is in, so as often as there are tiles. The pairs are the tasks: one streams through its blocks and holds
+    the product of two tiles and one block of each. Cells that are absent count as 0.
+    """
+    kind = dict(cells.dtypes)[id_col]
+    counts = cells.agg(F.countDistinct(id_col), F.countDistinct(marker)).first()
+    tiles, blocks = -(-(counts[0] or 1) // tile), -(-(counts[1] or 1) // block)
+    place = lambda name, n, of, at: cells.select(name).filter(F.col(name).isNotNull()).distinct().withColumn(of, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(at, F.row_number().over(Window.partitionBy(of).orderBy(name)) - 1)
+    ids, columns = place(id_col, tiles, "_t", "_p"), place(marker, blocks, "_b", "_q")
+    rows = cells.join(ids, id_col).join(columns, marker)
+    packed = rows.groupBy("_t", "_b").agg(F.collect_list(F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"), F.col(value).cast("double").alias("v"))).alias("c"))
+    named = ids.groupBy("_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.col(id_col).cast("string").alias("n")))), lambda x: x["n"]).alias("names"))
+    every = named.select("_t", F.lit(-1).alias("block"), "names", F.lit(None).cast("array<struct<p:int,q:int,v:double>>").alias("c")).unionByName(packed.select("_t", F.col("_b").alias("block"), F.lit(None).cast("array<string>").alias("names"), "c"))
+    # in pairs (i, j) with i <= j a tile is the row of those from itself on, and the column of those before it
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda k: F.struct(F.least("_t", k).alias("i"), F.greatest("_t", k).alias("j"), F.when(F.col("_t") <= k, 0).otherwise(1).alias("side")))
+    sent = every.select(F.inline(pairs), "block", "names", "c")
+    made = sent.repartition("i", "j").sortWithinPartitions("i", "j", "block", "side").mapInArrow(_tile_products, "row string, col string, value double")
+    return made.select(F.col("row").cast(kind).alias("row"), F.col("col").cast(kind).alias("col"), "value")
+
+
 def gram(cells: DataFrame, id_col: str, marker: str, value: str) -> DataFrame:
     """W W' over markers from long cells: (row, col, value).
 
-    Each marker's cells meet in one row, as wide as there are individuals (MAX_ORDER at most, checked). Tasks sum
-    outer products of blocks of markers; only these sums, one matrix a task, are shuffled.
+    Each marker's cells meet in one row, as wide as there are individuals. Tasks sum outer products of blocks of markers;
+    only these sums, one matrix a task, are shuffled. Over MAX_ORDER individuals it is done by tiles.
     """
     levels = [r[0] for r in cells.select(id_col).distinct().orderBy(id_col).limit(MAX_ORDER + 1).collect()]
     if len(levels) > MAX_ORDER:
-        raise ValueError(f"a kernel of order over {MAX_ORDER} is not built")
+        return tiled_gram(cells, id_col, marker, value)
     spark = cells.sparkSession
     index = spark.createDataFrame(list(enumerate(levels)), f"i int, `{id_col}` {dict(cells.dtypes)[id_col]}")
     rows = cells.join(F.broadcast(index), id_col).groupBy(marker).agg(F.collect_list(F.struct("i", F.col(value).cast("double").alias("v"))).alias("c"))
@@ -66,6 +144,11 @@ def _scaled(cells: DataFrame, value: Column, by: Column, id_col: str, marker: st
     return made.crossJoin(F.broadcast(scale)).select("row", "col", (F.col("value") / F.col("scale")).alias("value"))  # one row
 
 
+def centred_cells(markers: DataFrame, id_col: str = "id", marker: str = "marker", dosage: str = "dosage", min_maf: float = 0.0, ploidy: int = 2) -> DataFrame:
+    """Cells with frequency p and w, the centred dosage that additive relationships are products of."""
+    return _centred(markers, id_col, marker, dosage, min_maf, ploidy).withColumn("w", F.col("x") + ploidy / 2 - ploidy * F.col("p"))
+
+
 def a_matrix(markers: DataFrame, id_col: str = "id", marker: str = "marker", dosage: str = "dosage", min_maf: float = 0.0, ploidy: int = 2) -> DataFrame:
     """Additive relationships (VanRaden 2008) from dosages -ploidy/2..ploidy/2."""
     cells = _centred(markers, id_col, marker, dosage, min_maf, ploidy)

@@ -35,6 +35,8 @@ class AbsorbedModel:
     kept: np.ndarray
     solution: np.ndarray
     covariance: np.ndarray
+    #: The effect is a fixed one (variance without end): its levels are among the estimates.
+    as_fixed: bool = False
 
     def summary(self) -> DataFrame:
         rows = [(self.term, self.su, self.constraint, True), ("residual.units", self.se, "fixed" if self.constraint == "fixed" else "positive", True)]
@@ -44,7 +46,42 @@ class AbsorbedModel:
         names = [(b.label, x) for b in self.design.fixed for x in b.names]
         error = np.sqrt(np.diag(self.covariance))
         rows = [(*names[i], float(self.solution[i]), float(e), float(self.solution[i] / e)) for i, e in zip(self.kept, error, strict=True)]
-        return self.levels.sparkSession.createDataFrame(rows, "term string, level string, estimate double, std_error double, t_value double")
+        out = self.levels.sparkSession.createDataFrame(rows, "term string, level string, estimate double, std_error double, t_value double")
+        if not self.as_fixed:
+            return out
+        own = self.blups().select(F.lit(self.term).alias("term"), "level", F.col("blup").alias("estimate"), F.sqrt("pev").alias("std_error"))
+        return out.unionByName(own.withColumn("t_value", F.col("estimate") / F.col("std_error")))
+
+    def predict(self, target: str) -> DataFrame:
+        """(level, predicted, std_error) of every level: its effect and the fixed terms, each spread evenly over its levels.
+
+        The error is that of k'b + u: with V the covariance of b, it is k'Vk - 2 k'Vm / (n + r) beside the effect's own.
+        """
+        if target != self.term:
+            raise ValueError(f"no term holds {target}; an absorbed model predicts {self.term}")
+        contrast = bool(self.design.fixed) and self.design.fixed[0].label == "(Intercept)"
+        k = np.zeros(self.design.width)
+        for block in self.design.fixed:
+            first = block.label == "(Intercept)"
+            k[block.start : block.start + block.size] = 1 if first else 1 / (block.size + (1 if contrast and len(block.variables) == 1 else 0))
+        whole = np.zeros((self.design.width, self.design.width))
+        whole[np.ix_(self.kept, self.kept)] = self.covariance
+        pull = F.lit((whole @ k).tolist()) if len(k) else F.array().cast("array<double>")
+        ratio = self.se / self.su if self.su > 0 else float("inf")
+        mixed = F.aggregate("m", F.lit(0.0), lambda a, e: a + e["v"] * F.get(pull, e["i"])) / (F.col("n") + ratio)
+        rows = self.levels.select(F.col("level").alias("_level"), mixed.alias("_mixed"))
+        both = self.blups().join(rows, F.col("level") == F.col("_level"))
+        error = F.greatest(F.col("pev") + float(k @ whole @ k) - 2 * F.col("_mixed"), F.lit(0.0))
+        return both.select("level", (F.col("blup") + float(k @ self.solution)).alias("predicted"), F.sqrt(error).alias("std_error"))
+
+    def fitted(self) -> DataFrame:
+        """The records with fitted and residual: one join with the levels."""
+        b = F.lit(self.solution.tolist()) if len(self.solution) else F.array().cast("array<double>")
+        own = self.blups().select(F.col("level").alias("_own"), F.col("blup").alias("_u"))
+        rows = self.design.rows.join(own, F.col(self.term).cast("string") == F.col("_own"), "left")
+        value = F.aggregate("_entries", F.lit(0.0), lambda a, e: a + e["v"] * F.get(b, e["i"])) + F.coalesce("_u", F.lit(0.0))
+        made = rows.withColumn("fitted", value).withColumn("residual", F.col("_y") - F.col("fitted"))
+        return made.drop(*(c for c in made.columns if c.startswith("_")))
 
     def blups(self) -> DataFrame:
         """(level, blup, pev, reliability) of every level, computed where the levels are."""
@@ -75,7 +112,7 @@ def _by_level(design: Design, level: str) -> DataFrame:
 
 
 def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | None = None) -> AbsorbedModel:
-    """REML for a design of fixed effects and one more random effect, the levels of column ``level``; or, at given (su, se), its solutions."""
+    """REML for a design of fixed effects and one more random effect, the levels of column ``level``; or, at given (su, se), its solutions; an infinite su makes the effect a fixed one."""
     if design.random or len(design.levels) != 1:
         raise ValueError("absorption takes one random effect and one residual variance")
     if design.rows.filter(F.col(level).isNull() & F.col("_y").isNotNull()).limit(1).count():
@@ -107,10 +144,10 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
         inverse = np.linalg.inv(s[:p, :p]) if p else np.zeros((0, 0))
         beta = inverse @ s[:p, p]
         rest = float(s[p, p] - s[:p, p] @ beta)
-        value = (records - p) * np.log(rest) + (np.linalg.slogdet(s[:p, :p])[1] if p else 0.0) + (float(q @ np.log1p(n / ratio)) if np.isfinite(ratio) else 0.0)
+        value = (records - p) * np.log(rest) + (np.linalg.slogdet(s[:p, :p])[1] if p else 0.0) + (float(q @ np.log1p(n / ratio)) if 0 < ratio < np.inf else 0.0)
         change = np.tensordot(weight**2, b, 1)
         v = np.append(-beta, 1.0)
-        slope = (records - p) * float(v @ change @ v) / rest + float(np.sum(inverse * change[:p, :p])) - (float(q @ (n / (ratio * (ratio + n)))) if np.isfinite(ratio) else 0.0)
+        slope = (records - p) * float(v @ change @ v) / rest + float(np.sum(inverse * change[:p, :p])) - (float(q @ (n / (ratio * (ratio + n)))) if 0 < ratio < np.inf else 0.0)
         return value, slope, rest, beta, inverse
 
     if variances is not None:
@@ -134,4 +171,4 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
     scaled = -0.5 * (value - (records - p) * np.log(rest) + (records - p) * np.log(se) + rest / se - gram.log_weights["units"])
     solution = np.zeros(c)
     solution[kept] = beta
-    return AbsorbedModel(level, design, by_level, su, se, constraint, float(scaled), kept, solution, inverse * se)
+    return AbsorbedModel(level, design, by_level, su, se, constraint, float(scaled), kept, solution, inverse * se, bool(np.isinf(su)))

@@ -24,12 +24,18 @@ from pyspark.sql.types import NumericType
 from agromix.operators.matrices import MAX_ORDER, dense
 from agromix.plans.formula import Call, Interaction, Name
 
-__all__ = ["Design", "Gram", "RandomTerm", "build_design", "gram_of", "join_levels", "split_level"]
+__all__ = ["Design", "Gram", "RandomTerm", "TooManyLevels", "build_design", "gram_of", "join_levels", "joined_key", "split_level"]
 
 #: Bytes of cross-products on the driver; covariates that are summed as plain columns; widest dense block of a task.
 DRIVER_BYTES, PLAIN, DENSE = 4 << 30, 16, 512
 
 ENTRY = "array<struct<i:int,v:double>>"
+
+
+class TooManyLevels(ValueError):
+    """Coefficients whose cross-products would not fit the driver."""
+
+
 STRUCTURES = {"isc", "dsc", "usc", "csc", "atc", "isr", "dsr", "usr", "csr", "atr"}
 
 
@@ -82,7 +88,7 @@ class Gram:
     log_weights: dict[str, float]
 
 
-def _joined(names: list[str]) -> Column:
+def joined_key(names: list[str]) -> Column:
     """The level of an interaction, null where a factor is."""
     keys = [F.col(n).cast("string") for n in names]
     if len(keys) == 1:
@@ -124,7 +130,7 @@ class _Encoder:
             some = term.args[:1] if term.name in ("rrc", "redmm", "atc", "atr", "csc", "csr") else term.args
             return {k: v for a in some for k, v in self.keys_of(a).items()}
         names = [p.name for p in self.parts(term) if isinstance(p, Name) and p.name in self.df.columns and not self._is_numeric(p.name)]
-        return {str(term): _joined(names)} if names else {}
+        return {str(term): joined_key(names)} if names else {}
 
     def find_levels(self, keys: dict[str, Column]) -> None:
         """The dictionaries of all terms in one job; each is bounded, so the sum is."""
@@ -138,7 +144,7 @@ class _Encoder:
             own = sorted(r["k"] for r in found if r["t"] == i)
             if len(own) > MAX_ORDER or len(found) == most:
                 over = n if len(own) > MAX_ORDER else " or ".join(names)
-                raise ValueError(f"{over} has over {MAX_ORDER} levels; their cross-products would not fit the driver")
+                raise TooManyLevels(f"{over} has over {MAX_ORDER} levels; their cross-products would not fit the driver")
             self.known[n] = own
 
     def _levels(self, key: Column, what: str) -> list[str]:
@@ -146,7 +152,7 @@ class _Encoder:
             return list(self.known[what])
         found = [r[0] for r in self.df.select(key.alias("k")).filter("k is not null").distinct().limit(MAX_ORDER + 1).collect()]
         if len(found) > MAX_ORDER:
-            raise ValueError(f"{what} has over {MAX_ORDER} levels; their cross-products would not fit the driver")
+            raise TooManyLevels(f"{what} has over {MAX_ORDER} levels; their cross-products would not fit the driver")
         return sorted(found)
 
     def _lookup(self, key: Column, table: dict[str, list[tuple[int, float]]]) -> Column:
@@ -220,7 +226,7 @@ class _Encoder:
             self._static([value])
             return F.array(F.struct(F.lit(0).alias("i"), value.alias("v"))), [str(term)]
         self._static(None)
-        key = _joined(names)
+        key = joined_key(names)
         levels = sorted(set(self._levels(key, str(term))) | set(extra or ()))
         if drop_first:
             levels = levels[1:]
@@ -368,7 +374,7 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
         entries.append(_shift(cells, at))
         at += len(names)
     if at > MAX_ORDER:
-        raise ValueError(f"{at} coefficients; over {MAX_ORDER} their cross-products would not fit the driver; absorbed() takes one effect of any number of levels")
+        raise TooManyLevels(f"{at} coefficients; over {MAX_ORDER} their cross-products would not fit the driver")
     rows = encoder.df.withColumns({"_entries": F.concat(*entries) if entries else F.array().cast(ENTRY), "_y": F.col(response).cast("double"), "_w": F.col(weights).cast("double") if weights else F.lit(1.0), "_level": level})
     levels = encoder.known["the residual"] if residual else ["units"]
     if 8 * len(levels) * (at + 1) ** 2 > DRIVER_BYTES:

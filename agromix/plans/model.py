@@ -15,12 +15,13 @@ from agromix.functions.numeric import chi2_sf, f_sf
 from agromix.operators.matrices import MAX_ORDER
 from agromix.operators.records import na_policy
 from agromix.plans.absorb import AbsorbedModel, fit_absorbed
-from agromix.plans.design import STRUCTURES, Design, Gram, build_design, gram_of, join_levels, split_level
+from agromix.plans.design import STRUCTURES, Design, Gram, TooManyLevels, build_design, gram_of, join_levels, joined_key, split_level
 from agromix.plans.formula import Call, Formula, Interaction, Name, parse_formula, parse_terms
+from agromix.plans.large import LargeModel, fit_large
 from agromix.plans.multitrait import MultiFit, fit_traits
 from agromix.plans.reml import Fit, fit_reml, psd_factor, scaled_columns
 
-__all__ = ["Model", "absorbed", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
+__all__ = ["Model", "absorbed", "crossed", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
 
 
 @dataclass
@@ -241,8 +242,12 @@ class Model:
         return t.main, zpz, zpy, self.fit.ypy, sum(self.gram.records.values()) - len(self.fit.kept)
 
 
-def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None, theta: dict | None = None, codes: dict | None = None, residual: dict | None = None, fixed_residual: bool = False, na_y: str = "exclude", na_x: str = "exclude", iterations: int = 100, em_only: bool = False) -> Model:
-    """Fits y = Xb + sum Z u + e by REML. ``rcov``: "~ units" or "~ vsc(dsc(level), isc(units))"; ``kernels`` are covariances."""
+def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None, theta: dict | None = None, codes: dict | None = None, residual: dict | None = None, fixed_residual: bool = False, na_y: str = "exclude", na_x: str = "exclude", iterations: int = 100, em_only: bool = False) -> Model | AbsorbedModel | LargeModel:
+    """Fits y = Xb + sum Z u + e by REML. ``rcov``: "~ units" or "~ vsc(dsc(level), isc(units))"; ``kernels`` are covariances.
+
+    Random factors with more levels than a driver's matrix may have are absorbed (one) or solved for by conjugate
+    gradients (several); what comes back then has fewer methods.
+    """
     formula = parse_formula(fixed)
     if len(formula.responses) != 1:
         raise ValueError("one response; mmer() takes several")
@@ -273,7 +278,13 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
         used.add(level)
     covariates = [c for c in df.columns if c in used]
     rows = na_policy(df, [formula.responses[0]], covariates, na_y, na_x)
-    design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, terms, level, weights, kernels, covariances)
+    try:
+        design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, terms, level, weights, kernels, covariances)
+    except TooManyLevels:
+        parts = [_plain_factor(rows, t) for t in terms]
+        if level or em_only or not parts or not all(parts):
+            raise
+        return _beyond_driver(rows, formula, parts, weights, theta, codes, residual, fixed_residual)
     gram = gram_of(design)
     fit = fit_reml(design, gram, theta, codes, residual, fixed_residual, iterations, em_only=em_only)
     if not fit.converged:
@@ -281,6 +292,44 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
     return Model(df.sparkSession, formula.responses[0], design, gram, fit)
 
 
+def _plain_factor(df: DataFrame, term) -> list[str] | None:
+    """The columns of a random factor or an interaction of factors; None for any other term."""
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    names = [p.name for p in (term.parts if isinstance(term, Interaction) else (term,)) if isinstance(p, Name)]
+    kinds = dict(df.dtypes)
+    whole = len(names) == (len(term.parts) if isinstance(term, Interaction) else 1)
+    return names if whole and all(n in kinds and kinds[n] not in numeric and not kinds[n].startswith("decimal") for n in names) else None
+
+
+def _beyond_driver(rows: DataFrame, formula: Formula, parts: list[list[str]], weights: str | None, theta: dict | None, codes: dict | None, residual: dict | None, fixed_residual: bool) -> AbsorbedModel | LargeModel:
+    labels = [":".join(p) for p in parts]
+    held = [int(np.asarray((codes or {}).get(x, 1)).item()) == 3 for x in labels]
+    if any(held) != all(held) or any(held) != fixed_residual:
+        raise ValueError("beyond a driver's matrix, variances are held all or none")
+    given = {x: float(np.asarray(theta[x]).item()) for x in labels} if fixed_residual else None
+    if len(parts) > 1:
+        design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, (), None, weights)
+        return fit_large(design, parts, given, float(residual["units"]) if given else None)
+    if len(parts[0]) > 1:
+        rows = rows.withColumn(labels[0], joined_key(parts[0]))
+    design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, (), None, weights)
+    return fit_absorbed(design, labels[0], (given[labels[0]], float(residual["units"])) if given else None)
+
+
+def crossed(df: DataFrame, fixed: str, terms: Sequence[str], weights: str | None = None, variances: dict[str, float] | None = None, residual: float | None = None, na_y: str = "exclude", na_x: str = "exclude", **options) -> LargeModel:
+    """y = Xb + sum Z u + e with several random ``terms`` (columns, or interactions a:b) of any number of levels each.
+
+    ``variances`` by term with ``residual`` holds these. ``options`` go to fit_large(): probes, tol, rounds.
+    """
+    formula = parse_formula(fixed)
+    parts = [t.split(":") for t in terms]
+    if len(formula.responses) != 1 or any(c not in df.columns for p in parts for c in p):
+        raise ValueError("crossed effects take one response and columns of levels")
+    used = {c for c in df.columns if any(c in str(t).split(":") for t in formula.terms)} | {c for p in parts for c in p}
+    rows = na_policy(df, [formula.responses[0]], sorted(used), na_y, na_x)
+    return fit_large(build_design(rows, formula.responses[0], formula.terms, formula.intercept, (), None, weights), parts, variances, residual, **options)
+
+
 def absorbed(df: DataFrame, fixed: str, term: str, weights: str | None = None, variances: tuple[float, float] | None = None, na_y: str = "exclude", na_x: str = "exclude") -> AbsorbedModel:
     """y = Xb + Zu + e with one random effect ``term`` of any number of levels; ``variances`` (of u, of e) holds these."""
     formula = parse_formula(fixed)
@@ -315,7 +364,7 @@ def mmer_pairs(df: DataFrame, traits: Sequence[str], fixed: str = "1", random: s
     return {(a, b): mmer(df, f"cbind({a}, {b}) ~ {fixed}", random, **options) for i, a in enumerate(traits) for b in traits[i + 1 :]}
 
 
-def two_stage(df: DataFrame, value: str, entry: str, env: str, random: bool = False, **options) -> Model:
+def two_stage(df: DataFrame, value: str, entry: str, env: str, random: bool = False, **options) -> Model | AbsorbedModel:
     """Entry means by environment, then a model of these means weighted by n / residual variance of the environment.
 
     The first stage is two grouped sums; the second holds the residual at 1, so the weights are the precision.
@@ -325,6 +374,8 @@ def two_stage(df: DataFrame, value: str, entry: str, env: str, random: bool = Fa
     spread = cells.groupBy(env).agg((F.sum(F.col("_v") * (F.col("_n") - 1)) / F.sum(F.col("_n") - 1)).alias("_s2"))
     means = cells.join(spread, env).filter("_s2 > 0").select(F.col(env).cast("string").alias(env), F.col(entry).cast("string").alias(entry), F.col("_mean").alias("mean"), (F.col("_n") / F.col("_s2")).alias("weight"))
     fixed = f"mean ~ {env}" if random else f"mean ~ 0 + {entry}"
+    if not random and means.select(entry).distinct().limit(MAX_ORDER + 1).count() > MAX_ORDER:
+        return fit_absorbed(build_design(means, "mean", (), False, (), None, "weight"), entry, (math.inf, 1.0))
     return mmec(means, fixed, f"~ {entry}" if random else None, weights="weight", residual={"units": 1.0}, fixed_residual=True, **options)
 
 

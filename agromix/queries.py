@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agromix.functions.numeric import legendre, logspace
 from agromix.operators import kernels, markers, matrices, ranking, records, scan, spatial
 from agromix.plans import structures
-from agromix.plans.model import absorbed, lrt, mmec, mmer, two_stage, vpredict
+from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, two_stage, vpredict
 from agromix.sources.tables import table
 from agromix.streaming.sums import moments
 
@@ -172,6 +172,24 @@ def a_matrix(spark, folder):
     return kernels.a_matrix(dosages(spark, folder))
 
 
+ORDER_CALLS = "WITH c AS (SELECT o_orderkey // 4 AS id, (o_orderkey % 4) * 10 + k AS marker, (CAST(floor(o_totalprice * 100) AS BIGINT) // (3 ** k)::BIGINT) % 3 - 1 AS x FROM orders, range(10) t(k)), p AS (SELECT marker, avg(x + 1.0) / 2 AS p FROM c GROUP BY 1), w AS (SELECT id, marker, x + 1 - 2 * p AS w FROM c JOIN p USING (marker)), s AS (SELECT sum(2 * p * (1 - p)) AS s FROM p) "
+
+
+@query(ORDER_CALLS + ", g AS (SELECT a.marker AS m, b.marker AS k, sum(a.w * b.w) AS g FROM w a JOIN w b USING (id) GROUP BY 1, 2), t AS (SELECT marker, sum(w) AS t FROM w GROUP BY 1), r AS (SELECT id, sum(w * t) AS total, sum(w * w) AS own FROM w JOIN t USING (marker) GROUP BY 1), q AS (SELECT a.id, sum(a.w * b.w * g) AS q FROM w a JOIN w b USING (id) JOIN g ON g.m = a.marker AND g.k = b.marker GROUP BY 1), n AS (SELECT count(DISTINCT id) AS n FROM w) SELECT CAST(id AS BIGINT) AS id, n AS relatives, round(own / s, 6) AS own, round(total / s, 5) + 0.0 AS total, round(q / s / s, 5) AS squares FROM r JOIN q USING (id), s, n")
+def a_matrix_tiled(spark, folder):
+    """Relationships of all groups of four orders (3750 at a hundredth of the scale), by tiles: each one's row in sums.
+
+    The SQL has the same sums without the matrix: from totals and cross-products of the markers.
+    """
+    calls = table(spark, folder, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), ((F.col("o_orderkey") % 4) * 10).alias("m"), F.floor(F.col("o_totalprice") * 100).alias("x"))
+    markers_ = calls.select("id", (F.col("m") + F.col("k")).alias("marker"), (F.expr("x div cast(power(3, k) as bigint)") % 3 - 1).alias("dosage"))
+    cells_ = kernels.centred_cells(markers_)
+    scale = cells_.select("marker", "p").distinct().agg(F.sum(2 * F.col("p") * (1 - F.col("p")))).first()[0]
+    kernel = kernels.tiled_gram(cells_, "id", "marker", "w")
+    value = F.col("value") / scale
+    return kernel.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("relatives"), F.sum(F.when(F.col("row") == F.col("col"), value)).alias("own"), F.round(F.sum(value), 5).alias("total"), F.round(F.sum(value * value), 5).alias("squares"))
+
+
 @query(f"WITH {GOOD.format(maf=0)} SELECT s.id AS row, t.id AS col, round(sum((1 - abs(s.dosage) - s.het) * (1 - abs(t.dosage) - t.het)) / (SELECT sum((2 * p * (1 - p)) ** 2) FROM f), 6) + 0.0 AS value FROM x s JOIN x t USING (marker) GROUP BY 1, 2")
 def d_matrix_nishio(spark, folder):
     return kernels.d_matrix(dosages(spark, folder))
@@ -467,6 +485,37 @@ def blup_many_levels(spark, folder):
     return absorbed(table(spark, folder, "lineitem").select("l_quantity", "l_orderkey"), "l_quantity ~ 1", "l_orderkey", variances=(4.0, 200.0)).blups()
 
 
+BLOCKS = "WITH d AS (SELECT o_orderkey // 4 AS g, (o_orderkey // 2) % 2 AS i, o_orderkey % 2 AS j, o_totalprice / 1000 AS y FROM orders), b AS (SELECT g, avg(y) AS m FROM d GROUP BY 1), mu AS (SELECT avg(y) AS mu FROM d), r AS (SELECT g, i AS k, 'row' AS term, avg(y) AS m, 50.0 AS s FROM d GROUP BY 1, 2 UNION ALL SELECT g, j, 'col', avg(y), 20.0 FROM d GROUP BY 1, 2) "
+
+
+@query(BLOCKS + "SELECT term, CAST(2 * g + k AS VARCHAR) AS level, round(s * (2 / (2 * s + 900.0) * (r.m - b.m) + 2 / (2 * 50.0 + 2 * 20.0 + 900.0) * (b.m - mu)), 5) + 0.0 AS blup FROM r JOIN b USING (g), mu", digits=5)
+def blup_two_many_levels(spark, folder):
+    """Two crossed effects with a level for every other order each: rows and columns of complete blocks of two by two."""
+    half = lambda low, text: (F.floor(F.col("o_orderkey") / 4) * 2 + low).cast("long").cast("string").alias(text)
+    rows = table(spark, folder, "orders").select((F.col("o_totalprice") / 1000).alias("y"), half(F.floor(F.col("o_orderkey") / 2) % 2, "row"), half(F.col("o_orderkey") % 2, "col"))
+    return crossed(rows, "y ~ 1", ["row", "col"], variances={"row": 50.0, "col": 20.0}, residual=900.0).blups()
+
+
+TWO_WAY = "WITH d AS (SELECT o_orderkey % 50 AS a, o_orderkey // 50 AS b, o_totalprice / 10000 + 3 * ((o_orderkey % 50) * 37 % 23) + 2 * ((o_orderkey // 50) * 53 % 29) AS y FROM orders), m AS (SELECT avg(y) AS m, count(*) AS n, count(DISTINCT a) AS p, count(DISTINCT b) AS q FROM d), x AS (SELECT sum(k * (c - m) ** 2) AS ss FROM (SELECT avg(y) AS c, count(*) AS k FROM d GROUP BY a), m), z AS (SELECT sum(k * (c - m) ** 2) AS ss FROM (SELECT avg(y) AS c, count(*) AS k FROM d GROUP BY b), m), t AS (SELECT sum((y - m) ** 2) AS ss FROM d, m), e AS (SELECT (t.ss - x.ss - z.ss) / ((p - 1) * (q - 1)) AS mse, x.ss / (p - 1) AS msa, z.ss / (q - 1) AS msb, p, q FROM t, x, z, m) "
+
+
+@query(TWO_WAY + "SELECT 'a' AS component, round((msa - mse) / q, 6) AS anova, true AS within_3_percent, true AS converged FROM e UNION ALL SELECT 'b', round((msb - mse) / p, 6), true, true FROM e UNION ALL SELECT 'residual.units', round(mse, 6), true, true FROM e")
+def reml_two_many_levels(spark, folder):
+    """REML by conjugate gradients and random traces against the estimators from mean squares of a complete two-way layout."""
+    key = F.col("o_orderkey")
+    a, b = key % 50, F.floor(key / 50)
+    rows = table(spark, folder, "orders").select(a.cast("string").alias("a"), b.cast("string").alias("b"), (F.col("o_totalprice") / 10000 + 3 * (a * 37 % 23) + 2 * (b * 53 % 29)).alias("y"))
+    found = crossed(rows, "y ~ 1", ["a", "b"]).summary()
+    means = lambda c: rows.groupBy(c).agg(F.avg("y").alias("m"), F.count("*").alias("k")).agg(F.count("*").alias(f"n_{c}"), F.sum("k").alias("n"), F.sum(F.col("k") * F.col("m") ** 2).alias(f"s_{c}"))
+    total = rows.agg(F.var_samp("y").alias("v"), F.avg("y").alias("mean"))
+    one = means("a").join(means("b"), "n").join(total, F.lit(True))  # one row each
+    ss = lambda c: F.col(f"s_{c}") - F.col("n") * F.col("mean") ** 2
+    mse = (F.col("v") * (F.col("n") - 1) - ss("a") - ss("b")) / ((F.col("n_a") - 1) * (F.col("n_b") - 1))
+    by_hand = F.array(F.struct(F.lit("a").alias("component"), ((ss("a") / (F.col("n_a") - 1) - mse) / F.col("n_b")).alias("anova")), F.struct(F.lit("b").alias("component"), ((ss("b") / (F.col("n_b") - 1) - mse) / F.col("n_a")).alias("anova")), F.struct(F.lit("residual.units").alias("component"), mse.alias("anova")))
+    out = found.join(one.select(F.inline(by_hand)), "component")
+    return out.select("component", "anova", (F.abs(F.col("var_comp") / F.col("anova") - 1) < 0.03).alias("within_3_percent"), "converged")
+
+
 @query("WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) * (count(*) - 1) AS ss FROM lineitem GROUP BY 1), t AS (SELECT avg(l_quantity) AS m FROM lineitem), f AS (SELECT sum(g.n * (g.m - t.m) ** 2) / (count(*) - 1) AS msa, sum(g.ss) / (sum(g.n) - count(*)) AS mse, count(*) - 1 AS df, sum(g.n) - count(*) AS rest FROM g, t) SELECT 'l_returnflag' AS term, CAST(df AS INT) AS df, round(df * msa / mse, 6) AS sum_sq, round(msa / mse, 6) AS f_value, round((1 + 2 * msa / mse / rest) ** (-rest / 2.0), 6) AS p_value FROM f")
 def anova_f(spark, folder):
     """Three flags: F has two numerator degrees of freedom, whose tail is a power. Sums of squares are in units of the residual."""
