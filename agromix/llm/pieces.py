@@ -7,10 +7,9 @@ what it has gathered plus the best score of its open beginning. Paths leave the
 best and the next n - 1 are the next best.
 
 No piece holds a word's end before a blank, so the lattice falls apart at blanks and a text's n best combine those of its
-words. The distinct words of an Arrow batch are searched once each, for two paths, many words at a time: the trie of
-pieces is walked from all positions at once, scores go forward over all words of a length, and back from the end the path
-without loss comes off the queue first, then the deviation from it that loses least. A text's second best swaps the one
-word that loses least. Only for n over 2, the n - 1 words of a text that lose least are searched further with a queue.
+words. The distinct words of an Arrow batch that no earlier batch had are searched, each for all n paths: the trie of
+pieces is walked from all positions at once, scores go forward over all words of a length, and the words' queues are
+worked off together, an entry of each a round. A text's n best choose among the paths of the n - 1 words that lose least.
 
 The model's table is of BPE type: its scores are negative merge ranks, and the best path by them is often not what the
 model's merges give. encode_merged() returns the model's own encoding.
@@ -26,7 +25,6 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -42,6 +40,8 @@ __all__ = ["Pieces", "Segments", "decode", "encode_merged", "encode_nbest", "mod
 SPACE = "▁"
 #: Characters of words that are searched many at a time; cells of one such block; bytes of texts or ids worked on at once.
 LONG, CELLS, PART = 64, 100_000, 2 << 20
+#: Words whose paths a Python worker keeps.
+MEMO = 250_000
 
 
 def model_file() -> str:
@@ -60,16 +60,41 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)))
 
 
-@dataclass
 class Segments:
-    """Of distinct words: best score, what the second best loses (inf if there is none), both paths' ids and where they start."""
-
-    score: np.ndarray
-    loss: np.ndarray
-    ids: np.ndarray
-    at: np.ndarray
-    second: np.ndarray
-    second_at: np.ndarray
+    """The n best paths of words, kept from batch to batch: scores, and where in ``ids`` each path lies.
+
+    A row is a word, a column a rank; absent paths have a score of -inf. Words beyond MEMO are forgotten by forget().
+    """
+
+    def __init__(self, n: int):
+        self.n, self.rows, self.used = n, {}, 0
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.score, self.start, self.length = np.zeros((1 << 12, n)), np.zeros((1 << 12, n), np.int64), np.zeros((1 << 12, n), np.int64)
+
+    def add(self, words: list[str], score: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        """Paths of new words; ``ids`` has them by word and, within a word, by rank."""
+        first, end = len(self.rows), len(self.rows) + len(words)
+        while end > len(self.score):
+            self.score, self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.score, self.start, self.length))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.rows.update(zip(words, range(first, end), strict=True))
+        flat = length.ravel()
+        self.score[first:end], self.length[first:end] = score, length
+        self.start[first:end] = (self.used + np.cumsum(flat) - flat).reshape(length.shape)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def forget(self) -> None:
+        """Drops the words that came after the first MEMO; ids of the others stay where they are."""
+        if len(self.rows) > MEMO:
+            self.used = int(self.start[MEMO, 0])
+            for word in list(self.rows)[MEMO:]:
+                del self.rows[word]
+
+    def path(self, word: str, rank: int) -> list[int]:
+        row = self.rows[word]
+        return self.ids[self.start[row, rank] : self.start[row, rank] + self.length[row, rank]].tolist()
 
 
 class _Trie:
@@ -129,6 +154,8 @@ class Pieces:
         names = [(table.id_to_piece(i), i) for i in range(table.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for p, i in names if table.is_byte(i)}
         self.surface = [b"" if table.is_control(i) else bytes([int(p[3:5], 16)]) if table.is_byte(i) else p.replace(SPACE, " ").encode() for p, i in names]
+        self.known: dict[int, Segments] = {}
+        self.pops = 0  # entries that left the queues
         self.scored = [(p, i, table.get_score(i)) for p, i in names if not (table.is_byte(i) or table.is_control(i) or table.is_unknown(i) or table.is_unused(i))]
 
     @cached_property
@@ -201,74 +228,102 @@ class Pieces:
                 out.append((i, i + 1, ids, self.lost))
         return out
 
-    def _two(self, codes: np.ndarray) -> tuple:
-        """The two best paths of words of one length; codes: a row for each place, a column for each word.
+    def _nbest(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """The n best paths of words of one length; codes: a row for each place, a column for each word.
+
+        Gives the scores (words by ranks, -inf where there are no more paths) and, for each rank, ids by word and their
+        numbers. An id under zero is a character without a piece.
 
-        Gives the best scores, the losses, and for either path its ids and numbers of ids by word. An id under zero is a
-        character without a piece.
+        Forward scores are the exact value of each open beginning, so the queue of a word need not hold more than n
+        entries: each leads to a path of just its priority. All words' queues are rows of one array. An entry is an edge
+        with the tail behind it. In a round each word that owes paths takes its best entry off. If the edge starts the
+        word, the path is the next best; else the best edge before it comes in its place, at the same priority. The next
+        edge beside it comes into the queue, too.
         """
-        size, n = codes.shape
+        size, count = codes.shape
         flat, trie = codes.ravel(), self.trie
-        at, state = np.arange(size * n), np.zeros(size * n, np.int32)
+        at, state = np.arange(size * count), np.zeros(size * count, np.int32)
         scores, ids = [], []
         for length in range(1, size + 1):
-            here = int(np.searchsorted(at, (size - length + 1) * n))
-            state = trie.step(state[:here], flat[at[:here] + (length - 1) * n])
+            here = int(np.searchsorted(at, (size - length + 1) * count))
+            state = trie.step(state[:here], flat[at[:here] + (length - 1) * count])
             at, state = at[:here][state >= 0], state[state >= 0]
             if length > 1 and not len(at):
                 break
             end = trie.ids[state] >= 0
-            scores.append(np.full(size * n, -np.inf if length > 1 else self.lost))
-            ids.append(-1 - flat.astype(np.int32) if length == 1 else np.zeros(size * n, np.int32))
+            scores.append(np.full(size * count, -np.inf if length > 1 else self.lost))
+            ids.append(-1 - flat.astype(np.int32) if length == 1 else np.zeros(size * count, np.int32))
             scores[-1][at[end]], ids[-1][at[end]] = trie.scores[state[end]], trie.ids[state[end]]
-        most, ids = len(scores), np.stack(ids)
-        used = [(x.reshape(size, n) > -np.inf).any(axis=1) for x in scores]
-        best = np.zeros((size + 1, n))
-        taken, other = np.zeros((size + 1, n), np.int16), np.zeros((size + 1, n), np.int16)
-        runner = np.full((size + 1, n), -np.inf)
+        most, ids = len(scores), np.concatenate(ids)
+        used = [(x.reshape(size, count) > -np.inf).any(axis=1) for x in scores]
+        best, width = np.zeros((size + 1, count)), min(most, n)
+        # of each end, the edges that lead to it from the best down: their lengths, and their scores with the best before them
+        lengths, through = np.zeros((size + 1, count, width), np.int8), np.full((size + 1, count, width + 1), -np.inf)
         for end in range(1, size + 1):
-            top, next_ = np.full(n, -np.inf), np.full(n, -np.inf)
-            first, second = taken[end], other[end]
-            for length in range(min(end, most), 0, -1):
-                start = end - length
-                if not used[length - 1][start]:
-                    continue
-                found = best[start] + scores[length - 1][start * n : (start + 1) * n]
-                up, between = found > top, found > next_
-                second[...] = np.where(up, first, np.where(between, length, second))
-                next_ = np.where(up, top, np.where(between, found, next_))
-                first[up] = length
-                top = np.maximum(top, found)
-            best[end], runner[end] = top, next_
-        # back from the end: the path that loses nothing leaves the queue first; every other edge into it is a deviation
-        words = np.arange(n)
-        loss, turn = np.full(n, np.inf), np.zeros(n, np.int64)
-        place = np.full(n, size)
-        while place.any():
-            lost = np.where(place > 0, best[place, words] - runner[place, words], np.inf)
-            less = lost < loss
-            loss[less], turn[less] = lost[less], place[less]
-            place = place - taken[place, words]
-        paths = [self._walk(ids, taken, None, n, size), self._walk(ids, taken, (turn, other, loss), n, size)]
-        return best[size], loss, paths
+            some = [x for x in range(1, min(end, most) + 1) if used[x - 1][end - x]]
+            found = np.stack([best[end - x] + scores[x - 1][(end - x) * count : (end - x + 1) * count] for x in some], axis=1)
+            if len(some) > 1:
+                order = np.argsort(-found, axis=1, kind="stable")[:, :width]
+                found = np.take_along_axis(found, order, axis=1)
+                lengths[end, :, : order.shape[1]] = np.array(some, np.int8)[order]
+            else:
+                lengths[end, :, 0] = some[0]
+            through[end, :, : found.shape[1]] = found
+            best[end] = found[:, 0]
+        # entries: priority; place where the next edge ends, which edge that is, score and node of the tail after it
+        queue = np.full((count, n), -np.inf)
+        place, which, tail, after = np.zeros((count, n), np.int32), np.zeros((count, n), np.int8), np.zeros((count, n)), np.zeros((count, n), np.int64)
+        queue[:, 0], place[:, 0] = best[size], size
+        node_edge, node_after, made = [np.full(1, -1, np.int32)], [np.full(1, -1, np.int64)], 1  # node 0 is the end of all words
+        out, final, owed = np.full((count, n), -np.inf), np.full((count, n), -1, np.int64), np.full(count, n)
+        active = np.arange(count)
+        while len(active):
+            top = queue[active].argmax(axis=1)
+            value = queue[active, top]
+            some = value > -np.inf
+            if not some.all():
+                active, top, value = active[some], top[some], value[some]
+                if not len(active):
+                    break
+            self.pops += len(active)
+            spot, edge, score, node = place[active, top], which[active, top], tail[active, top], after[active, top]
+            length = lengths[spot, active, edge]
+            start = spot - length
+            nodes = made + np.arange(len(active))
+            node_edge.append(ids[(length.astype(np.int64) - 1) * (size * count) + start * count + active])
+            node_after.append(node)
+            made += len(active)
+            rest = value - best[start, active]
+            done = start == 0
+            ended = active[done]
+            out[ended, n - owed[ended]], final[ended, n - owed[ended]] = rest[done], nodes[done]
+            owed[ended] -= 1
+            # the entry gives way to the best edge before it; the next edge into its place is an entry of its own
+            queue[active, top], place[active, top], which[active, top] = np.where(done, -np.inf, value), start, 0
+            tail[active, top], after[active, top] = rest, nodes
+            beside = through[spot, active, edge + 1] + score
+            worst = queue[active].argmin(axis=1)
+            enter = beside > queue[active, worst]
+            word, slot = active[enter], worst[enter]
+            queue[word, slot], place[word, slot], which[word, slot] = beside[enter], spot[enter], edge[enter] + 1
+            tail[word, slot], after[word, slot] = score[enter], node[enter]
+            active = active[owed[active] > 0]
+        node_edge, node_after = np.concatenate(node_edge), np.concatenate(node_after)
+        return out, [self._walk(node_edge, node_after, final[:, r]) for r in range(n)]
 
     @staticmethod
-    def _walk(ids: np.ndarray, taken: np.ndarray, deviation: tuple | None, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (by word, in order) and their numbers, of the best path or of that with one deviation (none where the loss is infinite)."""
-        words, place, steps = np.arange(n), np.full(n, size), []
-        if deviation is not None:
-            turn, other, loss = deviation
-            place = np.where(np.isfinite(loss), place, 0)
-        while (place > 0).any():
-            length = taken[place, words]
-            if deviation is not None:
-                length = np.where(place == turn, other[place, words], length)
-            start = place - length
-            steps.append(np.where(place > 0, ids[np.maximum(length, 1) - 1, np.maximum(start, 0) * n + words], np.iinfo(np.int32).min))
-            place = np.where(place > 0, start, 0)
+    def _walk(edge: np.ndarray, after: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (by word, in order) and their numbers of the paths that end in ``node`` (-1: none)."""
+        steps = []
+        while True:
+            there = (node >= 0) & (after[node] >= 0)  # the root has no edge
+            if not there.any():
+                break
+            steps.append(np.where(there, edge[node], np.iinfo(np.int32).min))
+            node = np.where(there, after[node], -1)
         if not steps:
-            return np.empty(0, np.int32), np.zeros(n, np.int64)
-        table = np.stack(steps[::-1], axis=1)
+            return np.empty(0, np.int32), np.zeros(len(node), np.int64)
+        table = np.stack(steps, axis=1)
         there = table != np.iinfo(np.int32).min
         return table[there].astype(np.int32), there.sum(axis=1)
 
@@ -288,42 +343,38 @@ class Pieces:
         edges = _offsets(lengths)
         return out, np.diff(_offsets(width)[edges])
 
-    def segment(self, words: list[str]) -> Segments:
-        """The two best segmentations of distinct words, which begin with their blanks."""
-        n = len(words)
-        sizes = np.fromiter(map(len, words), np.int64, n)
+    def segments(self, n: int) -> Segments:
+        """The words that have been searched for n paths."""
+        return self.known.setdefault(n, Segments(n))
+
+    def segment(self, words: list[str], n: int) -> Segments:
+        """The n best segmentations of distinct words, which begin with their blanks; those that are known aren't searched again."""
+        found = self.segments(n)
+        words = [w for w in words if w not in found.rows]
+        if not words:
+            return found
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         starts = np.cumsum(sizes) - sizes
-        score, loss = np.zeros(n), np.full(n, np.inf)
-        parts: list[list] = [[], []]
-        order: list[np.ndarray] = []
         for size in np.unique(sizes).tolist():
             those = np.flatnonzero(sizes == size)
             if size > LONG:
                 for i in those.tolist():
-                    found = self.search(words[i].replace(" ", SPACE), 2)
-                    score[i] = found[0][0]
-                    loss[i] = found[0][0] - found[1][0] if len(found) > 1 else np.inf
-                    for part, path in zip(parts, [*(x for _, x in found), ()][:2], strict=True):
-                        part.append((np.array(path, np.int32), np.array([len(path)])))
-                order.append(those)
+                    paths = self.search(words[i].replace(" ", SPACE), n)
+                    more = n - len(paths)
+                    found.add([words[i]], np.array([[x for x, _ in paths] + [-np.inf] * more]), np.array([[len(x) for _, x in paths] + [0] * more]), np.array([k for _, x in paths for k in x], np.int32))
                 continue
             step = max(1, CELLS // size)
             for k in range(0, len(those), step):
                 some = those[k : k + step]
-                score[some], loss[some], paths = self._two(np.ascontiguousarray(codes[starts[some] + np.arange(size)[:, None]]))
-                for part, path in zip(parts, paths, strict=True):
-                    part.append(path)
-                order.append(some)
-        placed = np.concatenate(order) if order else np.empty(0, np.int64)
-        out = []
-        for part in parts:
-            ids = np.concatenate([x for x, _ in part]) if part else np.empty(0, np.int32)
-            ids, lengths = self._with_bytes(ids, np.concatenate([x for _, x in part]) if part else np.empty(0, np.int64))
-            by_word, begin = np.empty(n, np.int64), np.empty(n, np.int64)
-            by_word[placed], begin[placed] = lengths, np.cumsum(lengths) - lengths
-            out.append((gather(ids, begin, by_word), _offsets(by_word)))
-        return Segments(score, loss, *out[0], *out[1])
+                score, paths = self._nbest(np.ascontiguousarray(codes[starts[some] + np.arange(size)[:, None]]), n)
+                spelled = [self._with_bytes(*x) for x in paths]
+                length = np.stack([x for _, x in spelled], axis=1)
+                # from rank by rank to word by word
+                base = np.cumsum([0, *(len(x) for x, _ in spelled[:-1])])
+                begin = np.stack([b + np.cumsum(x) - x for b, (_, x) in zip(base, spelled, strict=True)], axis=1)
+                found.add([words[i] for i in some.tolist()], score, length, gather(np.concatenate([x for x, _ in spelled]), begin.ravel(), length.ravel()))
+        return found
 
     def encode(self, texts: pa.Array, n: int) -> pa.ListArray:
         """The n best segmentations of each text (fewer if there are no more), best first, as structs of score and ids."""
@@ -338,31 +389,49 @@ class Pieces:
         word_at = np.flatnonzero(begins)
         edges = np.append(word_at, len(data)).astype(np.int32)
         words = pa.Array.from_buffers(pa.string(), len(word_at), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
-        index, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
-        found = self.segment(distinct)
+        distinct = words.dictionary.to_pylist()
+        found = self.segment(distinct, n)
+        row = np.fromiter(map(found.rows.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
         first = np.searchsorted(word_at, text_at)  # of each text, its first word
         full = np.flatnonzero(np.diff(first) > 0)
         score = np.zeros(len(bodies))
-        losses = found.loss[index]
-        least = np.full(len(bodies), np.inf)
         if len(full):
-            score[full] = np.add.reduceat(found.score[index], first[full])
-            least[full] = np.minimum.reduceat(losses, first[full])
-        starts, lengths = found.at[index], np.diff(found.at)[index]
-        best = self._lists(found.ids, starts, lengths, first)
-        if n < 2:
-            return self._nested([np.ones(len(bodies), np.int64)], [score], [best])
-        if n > 2:
-            return self._more(n, index, distinct, first, found, score, losses)
-        pool, shift = np.concatenate((found.ids, found.second)), len(found.ids)
-        with_two = np.isfinite(least)
+            score[full] = np.add.reduceat(found.score[row, 0], first[full])
+        loss = found.score[row, 0] - found.score[row, 1] if n > 1 else np.zeros(len(row))
+        choices = [self._combined(found.score, row[a:b], loss[a:b], n) if n > 1 else [(0.0, ())] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         owner = np.repeat(np.arange(len(bodies)), np.diff(first))
-        hits = np.flatnonzero((losses == least[owner]) & with_two[owner]) if len(owner) else owner
-        texts_of, where = np.unique(owner[hits], return_index=True)
-        swapped = hits[where]  # the first word of the text that loses least
-        starts[swapped], lengths[swapped] = shift + found.second_at[index[swapped]], np.diff(found.second_at)[index[swapped]]
-        lengths[~with_two[owner]] = 0
-        return self._nested([np.ones(len(bodies), np.int64), with_two.astype(np.int64)], [score, score - np.where(with_two, least, 0.0)], [best, self._lists(pool, starts, lengths, first)])
+        there, scores, lists = [], [], []
+        for r in range(n):
+            has = np.array([len(c) > r for c in choices], bool)
+            rank = np.zeros(len(row), np.int64)
+            for a, c in zip(first.tolist(), choices, strict=False):
+                if len(c) > r:
+                    for i, k in c[r][1]:
+                        rank[a + i] = k
+            lengths = found.length[row, rank]
+            lengths[~has[owner]] = 0
+            there.append(has.astype(np.int64))
+            scores.append(score - np.array([c[r][0] if len(c) > r else 0.0 for c in choices]))
+            lists.append(self._lists(found.ids, found.start[row, rank], lengths, first))
+        found.forget()
+        return self._nested(there, scores, lists)
+
+    @staticmethod
+    def _combined(scores: np.ndarray, row: np.ndarray, loss: np.ndarray, n: int) -> list[tuple[float, tuple]]:
+        """The n best choices of a path for each word of a text: (what it loses, (word, rank) where it isn't the best).
+
+        A choice that is among the n best differs from the best in words among the n - 1 that lose least.
+        """
+        some = np.argpartition(loss, n - 2)[: n - 1] if len(loss) >= n else np.arange(len(loss))
+        some = some[np.lexsort((some, loss[some]))]
+        choices: list[tuple[float, tuple]] = [(0.0, ())]
+        for i in some.tolist():
+            lost = (scores[row[i], 0] - scores[row[i], 1:]).tolist()
+            if lost[0] == np.inf or (len(choices) == n and lost[0] >= choices[-1][0]):
+                break
+            more = [(own + x, (*swaps, (i, k + 1))) for own, swaps in choices for k, x in enumerate(lost) if x < np.inf]
+            choices = sorted(choices + more)[:n]
+        return choices
 
     @staticmethod
     def _lists(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> pa.ListArray:
@@ -377,29 +446,6 @@ class Pieces:
         inner = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)[order]), pa.concat_arrays(lists).take(pa.array(order))], names=["score", "ids"])
         return pa.ListArray.from_arrays(_offsets(ranks.sum(axis=1)).astype(np.int32), inner)
 
-    def _more(self, n: int, index: np.ndarray, distinct: list[str], first: np.ndarray, found: Segments, score: np.ndarray, losses: np.ndarray) -> pa.ListArray:
-        """As encode(), for n over 2, text by text."""
-        out, searched = [], {}
-        ids_of = [found.ids[a:b] for a, b in zip(found.at[:-1], found.at[1:], strict=True)]
-        for text in range(len(score)):
-            a, b = int(first[text]), int(first[text + 1])
-            turns = [i for i in np.argsort(losses[a:b], kind="stable")[: n - 1].tolist() if np.isfinite(losses[a + i])]
-            choices: list[tuple[float, tuple]] = [(0.0, ())]
-            for i in turns:
-                w = int(index[a + i])
-                if w not in searched:
-                    searched[w] = self.search(distinct[w].replace(" ", SPACE), n)
-                more = [(loss + searched[w][0][0] - s, (*swaps, (i, k)) if k else swaps) for loss, swaps in choices for k, (s, _) in enumerate(searched[w])]
-                choices = sorted(more)[:n]
-            rows = []
-            for loss, swaps in choices:
-                own = [ids_of[w] for w in index[a:b]]
-                for i, k in swaps:
-                    own[i] = np.array(searched[int(index[a + i])][k][1], np.int32)
-                rows.append({"score": float(score[text] - loss), "ids": np.concatenate(own) if own else np.empty(0, np.int32)})
-            out.append(rows)
-        return pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))])))
-
     def nbest(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of one text: (score, ids as 32-bit integers)."""
         return [(x["score"], array("i", x["ids"]).tobytes()) for x in self.encode(pa.array([text]), n)[0].as_py()]

@@ -63,11 +63,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    """The two best segmentations of every document, and the best one decoded; an empty text has one without pieces."""
+    """The five best segmentations of every document, and the best one decoded; an empty text has one without pieces."""
     docs = table(spark, folder, "documents")
     best, second = F.col("nbest")[0], F.get("nbest", F.lit(1))
     digest = lambda ids: F.xxhash64(ids)
-    rows = encode_nbest(docs).select("doc_id", F.size("nbest").alias("n_best"), F.size(best["ids"]).cast("long").alias("n_pieces"), best["score"].alias("score"), second["score"].alias("second_score"), digest(best["ids"]).alias("ids_hash"), digest(second["ids"]).alias("second_hash"), best["ids"].alias("ids"))
+    rows = encode_nbest(docs, 5).select("doc_id", F.size("nbest").alias("n_best"), F.size(best["ids"]).cast("long").alias("n_pieces"), best["score"].alias("score"), second["score"].alias("second_score"), F.element_at("nbest", -1)["score"].alias("last_score"), digest(best["ids"]).alias("ids_hash"), digest(second["ids"]).alias("second_hash"), digest(F.col("nbest")["ids"]).alias("all_hash"), best["ids"].alias("ids"))
     return decode(rows).withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
 
 

@@ -413,19 +413,33 @@ def test_piece_search_against_all_segmentations():
             assert pieces.text(np.frombuffer(ids, "<i4").tolist()) == text
 
 
-def test_pieces_of_many_words_equal_those_of_the_queue():
+def test_pieces_of_many_words_equal_those_of_the_queue(monkeypatch):
+    from agromix.llm import pieces as module
+
     pieces, rng = Pieces(model_file()), random.Random(4)
     names = [p for p, _, _ in pieces.scored if "▁" not in p]
-    found = sorted({" " * rng.randrange(1, 3) + "".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(400)} | {" ", "   ", " ☃𝔘é\n", " " + "abc" * 40, " \x00x"})
-    got = pieces.segment(found)
-    for i, word in enumerate(found):
-        expected = pieces.search(word.replace(" ", "▁"), 2)
-        assert got.score[i] == pytest.approx(expected[0][0]) and np.isfinite(got.loss[i]) == (len(expected) > 1)
-        for ids, at, k in ((got.ids, got.at, 0), (got.second, got.second_at, 1)):
-            own = ids[at[i] : at[i + 1]].tolist()
-            assert pieces.text(own) == word[1:] if k < len(expected) else not own
-        if len(expected) > 1:
-            assert got.loss[i] == pytest.approx(expected[0][0] - expected[1][0])
+    found = sorted({" " * rng.randrange(1, 3) + "".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(400)} | {" ", "   ", " ☃𝔘é\n", " " + "abc" * 40, " \x00x", " aaaaaaaa"})
+    for n in (1, 2, 5):
+        got = pieces.segment(found, n)
+        for word in found:
+            expected = pieces.search(word.replace(" ", "▁"), n)
+            scores = got.score[got.rows[word]]
+            assert scores[: len(expected)] == pytest.approx([s for s, _ in expected]) and (scores[len(expected) :] == -np.inf).all()
+            paths = [tuple(got.path(word, k)) for k in range(len(expected))]
+            assert len(set(paths)) == len(paths) and all(pieces.text(p) == word[1:] for p in paths)
+            # equal scores may stand in any order, all others as in the queue
+            assert {p for p, s in zip(paths, scores, strict=False) if s > expected[-1][0] + 1e-9} == {p for s, p in expected if s > expected[-1][0] + 1e-9}
+    # every path of every word has left a queue piece by piece
+    pieces.known.clear()
+    pieces.pops = 0
+    short = [w for w in found if len(w) <= 64]
+    got = pieces.segment(short, 5)
+    several = [w for w in short if got.score[got.rows[w], 1] > -np.inf]
+    assert pieces.pops >= sum(6 for _ in several) and len(several) > 300
+    monkeypatch.setattr(module, "MEMO", 50)
+    before = [x["ids"] for x in pieces.encode(pa.array([" ".join(w.strip() for w in found)]), 5)[0].as_py()]
+    assert len(pieces.segments(5).rows) == 50
+    assert before == [x["ids"] for x in pieces.encode(pa.array([" ".join(w.strip() for w in found)]), 5)[0].as_py()]
 
 
 def test_pieces_and_the_library(docs, rows):
