@@ -39,9 +39,9 @@ __all__ = ["Pieces", "Segments", "decode", "encode_merged", "encode_nbest", "mod
 
 SPACE = "▁"
 #: Characters of words that are searched many at a time; cells of one such block; bytes of texts or ids worked on at once.
-LONG, CELLS, PART = 64, 100_000, 2 << 20
-#: Words whose paths a Python worker keeps.
-MEMO = 250_000
+LONG, CELLS, PART = 64, 100_000, 3 << 20
+#: Words whose paths a Python worker keeps in the long run; it holds up to twice as many.
+MEMO = 200_000
 
 
 def model_file() -> str:
@@ -63,13 +63,13 @@ def _offsets(lengths: np.ndarray) -> np.ndarray:
 class Segments:
     """The n best paths of words, kept from batch to batch: scores, and where in ``ids`` each path lies.
 
-    A row is a word, a column a rank; absent paths have a score of -inf. Words beyond MEMO are forgotten by forget().
+    A row is a word, a column a rank; absent paths have a score of -inf.
     """
 
     def __init__(self, n: int):
         self.n, self.rows, self.used = n, {}, 0
         self.ids = np.zeros(1 << 16, np.int32)
-        self.score, self.start, self.length = np.zeros((1 << 12, n)), np.zeros((1 << 12, n), np.int64), np.zeros((1 << 12, n), np.int64)
+        self.score, self.start, self.length = np.zeros((1 << 12, n)), np.zeros((1 << 12, n), np.int64), np.zeros((1 << 12, n), np.int32)
 
     def add(self, words: list[str], score: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
         """Paths of new words; ``ids`` has them by word and, within a word, by rank."""
@@ -86,8 +86,8 @@ class Segments:
         self.used += len(ids)
 
     def forget(self) -> None:
-        """Drops the words that came after the first MEMO; ids of the others stay where they are."""
-        if len(self.rows) > MEMO:
+        """Once there are over twice as many words as MEMO, drops those that came after the first MEMO; ids of the others stay where they are."""
+        if len(self.rows) > 2 * MEMO:
             self.used = int(self.start[MEMO, 0])
             for word in list(self.rows)[MEMO:]:
                 del self.rows[word]
@@ -272,42 +272,51 @@ class Pieces:
             best[end] = found[:, 0]
         # entries: priority; place where the next edge ends, which edge that is, score and node of the tail after it
         queue = np.full((count, n), -np.inf)
-        place, which, tail, after = np.zeros((count, n), np.int32), np.zeros((count, n), np.int8), np.zeros((count, n)), np.zeros((count, n), np.int64)
-        queue[:, 0], place[:, 0] = best[size], size
+        queue[:, 0] = best[size]
+        cells, row = queue.ravel(), through.shape[2]
+        place, which, tail, after = np.zeros(count * n, np.int64), np.zeros(count * n, np.int64), np.zeros(count * n), np.zeros(count * n, np.int64)
+        place[::n] = size
+        through, lengths, before = through.ravel(), lengths.ravel(), best.ravel()
         node_edge, node_after, made = [np.full(1, -1, np.int32)], [np.full(1, -1, np.int64)], 1  # node 0 is the end of all words
         out, final, owed = np.full((count, n), -np.inf), np.full((count, n), -1, np.int64), np.full(count, n)
         active = np.arange(count)
         while len(active):
-            top = queue[active].argmax(axis=1)
-            value = queue[active, top]
+            mine = queue.take(active, axis=0) if len(active) < count else queue
+            slot = active * n + mine.argmax(axis=1)
+            value = cells.take(slot)
             some = value > -np.inf
             if not some.all():
-                active, top, value = active[some], top[some], value[some]
+                active, slot, value = active[some], slot[some], value[some]
                 if not len(active):
                     break
             self.pops += len(active)
-            spot, edge, score, node = place[active, top], which[active, top], tail[active, top], after[active, top]
-            length = lengths[spot, active, edge]
+            spot, edge, score, node = place.take(slot), which.take(slot), tail.take(slot), after.take(slot)
+            at = spot * count + active
+            length = lengths.take(at * width + edge).astype(np.int64)
             start = spot - length
-            nodes = made + np.arange(len(active))
-            node_edge.append(ids[(length.astype(np.int64) - 1) * (size * count) + start * count + active])
+            nodes = np.arange(made, made + len(active))
+            node_edge.append(ids.take(((length - 1) * size + start) * count + active))
             node_after.append(node)
             made += len(active)
-            rest = value - best[start, active]
+            rest = value - before.take(start * count + active)
             done = start == 0
-            ended = active[done]
-            out[ended, n - owed[ended]], final[ended, n - owed[ended]] = rest[done], nodes[done]
-            owed[ended] -= 1
             # the entry gives way to the best edge before it; the next edge into its place is an entry of its own
-            queue[active, top], place[active, top], which[active, top] = np.where(done, -np.inf, value), start, 0
-            tail[active, top], after[active, top] = rest, nodes
-            beside = through[spot, active, edge + 1] + score
-            worst = queue[active].argmin(axis=1)
-            enter = beside > queue[active, worst]
-            word, slot = active[enter], worst[enter]
-            queue[word, slot], place[word, slot], which[word, slot] = beside[enter], spot[enter], edge[enter] + 1
-            tail[word, slot], after[word, slot] = score[enter], node[enter]
-            active = active[owed[active] > 0]
+            cells[slot] = np.where(done, -np.inf, value)
+            place[slot], which[slot], tail[slot], after[slot] = start, 0, rest, nodes
+            beside = through.take(at * row + edge + 1) + score
+            enter = np.flatnonzero(beside > -np.inf)
+            if len(enter):
+                word = active[enter]
+                worst = word * n + queue.take(word, axis=0).argmin(axis=1)
+                better = beside[enter] > cells.take(worst)
+                enter, worst = enter[better], worst[better]
+                cells[worst], place[worst], which[worst], tail[worst], after[worst] = beside[enter], spot[enter], edge[enter] + 1, score[enter], node[enter]
+            if done.any():
+                ended = active[done]
+                rank = n - owed[ended]
+                out[ended, rank], final[ended, rank] = rest[done], nodes[done]
+                owed[ended] -= 1
+                active = active[owed[active] > 0]
         node_edge, node_after = np.concatenate(node_edge), np.concatenate(node_after)
         return out, [self._walk(node_edge, node_after, final[:, r]) for r in range(n)]
 
@@ -399,20 +408,23 @@ class Pieces:
             score[full] = np.add.reduceat(found.score[row, 0], first[full])
         loss = found.score[row, 0] - found.score[row, 1] if n > 1 else np.zeros(len(row))
         choices = [self._combined(found.score, row[a:b], loss[a:b], n) if n > 1 else [(0.0, ())] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-        owner = np.repeat(np.arange(len(bodies)), np.diff(first))
+        count = np.fromiter(map(len, choices), np.int64, len(choices))
+        starts, lengths = found.start[row, 0].astype(np.int64), found.length[row, 0].astype(np.int64)
         there, scores, lists = [], [], []
         for r in range(n):
-            has = np.array([len(c) > r for c in choices], bool)
-            rank = np.zeros(len(row), np.int64)
-            for a, c in zip(first.tolist(), choices, strict=False):
-                if len(c) > r:
-                    for i, k in c[r][1]:
-                        rank[a + i] = k
-            lengths = found.length[row, rank]
-            lengths[~has[owner]] = 0
+            has = count > r
+            some = np.flatnonzero(has).tolist()
+            lost = np.zeros(len(bodies))
+            lost[has] = [choices[t][r][0] for t in some]
+            own, size = starts, lengths
+            if r:
+                swaps = [(a + i, k) for a, c in zip(first[:-1][has].tolist(), (choices[t][r][1] for t in some), strict=True) for i, k in c]
+                at, rank = (np.array(x, np.int64) for x in zip(*swaps, strict=True)) if swaps else (np.zeros(0, np.int64),) * 2
+                own, size = starts.copy(), np.where(np.repeat(has, np.diff(first)), lengths, 0)
+                own[at], size[at] = found.start[row[at], rank], found.length[row[at], rank]
             there.append(has.astype(np.int64))
-            scores.append(score - np.array([c[r][0] if len(c) > r else 0.0 for c in choices]))
-            lists.append(self._lists(found.ids, found.start[row, rank], lengths, first))
+            scores.append(score - lost)
+            lists.append(self._lists(found.ids, own, size, first))
         found.forget()
         return self._nested(there, scores, lists)
 
