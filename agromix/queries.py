@@ -539,6 +539,24 @@ def gwas_kinship(spark, folder):
     return scan.gwas(rows, "y ~ 1", "~ vsc(isc(id), Gu=K)", dosages(spark, folder), "id", kernels={"K": kernel})
 
 
+REFITS = "WITH " + BY_PLACE + ", z AS (SELECT pos, v + 0.02 * ((pos * 7) % 64) AS y FROM cells), g AS (SELECT pos AS id, count(*) AS r, avg(y) AS m, var_samp(y) AS v FROM z GROUP BY 1), f AS (SELECT avg(r) AS r, avg(v) AS mse, count(*) AS q FROM g), k AS (SELECT marker FROM m GROUP BY 1 HAVING least(avg(dosage + 1.0) / 2, 1 - avg(dosage + 1.0) / 2) > 0.05), s AS (SELECT marker, regr_slope(g.m, dosage) AS slope, regr_sxx(g.m, dosage) AS sxx, regr_syy(g.m, dosage) AS syy, regr_sxy(g.m, dosage) AS sxy FROM m JOIN k USING (marker) JOIN g USING (id) GROUP BY 1), e AS (SELECT *, r * (syy - sxy * sxy / sxx) / (q - 2) AS msb FROM s, f), x AS (SELECT *, CASE WHEN msb > mse THEN msb ELSE (msb * (q - 2) + mse * (r - 1) * q) / (r * q - 2) END AS ms FROM e) "
+
+
+@query(REFITS + "SELECT CAST(marker AS VARCHAR) AS marker, round(slope, 6) + 0.0 AS effect, round(sqrt(ms / r / sxx), 6) AS std_error, round(slope * slope * sxx * r / ms, 5) AS f_value FROM x", digits=6)
+def gwas_refits(spark, folder):
+    """Variances estimated anew with every marker; in this balanced layout mean squares give the same."""
+    rows = cells(spark, folder).select(F.col("pos").cast("string").alias("place"), (F.col("v") + 0.02 * ((F.col("pos") * 7) % 64)).alias("y"))
+    found = scan.gwas(rows, "y ~ 1", "~ place", dosages(spark, folder), "place", p3d=False)
+    return found.select("marker", "effect", "std_error", F.round("f_value", 5).alias("f_value"))
+
+
+@query()
+def gwas_components(spark, folder):
+    """A scan with two principal components of the kernel as covariates."""
+    rows = cells(spark, folder).select(F.col("pos").cast("string").alias("place"), (F.col("v") + 0.02 * ((F.col("pos") * 7) % 64)).alias("y"))
+    return scan.gwas(rows, "y ~ 1", "~ place", dosages(spark, folder), "place", n_pc=2)
+
+
 @query("WITH c AS (SELECT l_returnflag AS env, CAST(l_suppkey AS VARCHAR) AS level, count(*) AS n, avg(l_quantity) AS m, coalesce(var_samp(l_quantity), 0) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT env, sum(v * (n - 1)) / sum(n - 1) AS s2 FROM c GROUP BY 1) SELECT level, round(sum(n / s2 * m) / sum(n / s2), 6) AS estimate FROM c JOIN s USING (env) GROUP BY 1")
 def two_stage_means(spark, folder):
     rows = table(spark, folder, "lineitem").select("l_quantity", "l_suppkey", "l_returnflag")
