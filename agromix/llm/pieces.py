@@ -39,9 +39,9 @@ __all__ = ["Pieces", "Segments", "decode", "encode_merged", "encode_nbest", "mod
 
 SPACE = "▁"
 #: Characters of words that are searched many at a time; cells of one such block; bytes of texts or ids worked on at once.
-LONG, CELLS, PART = 64, 100_000, 3 << 20
-#: Words whose paths a Python worker keeps in the long run; it holds up to twice as many.
-MEMO = 200_000
+LONG, CELLS, PART = 64, 100_000, 3 << 19
+#: Words whose paths a Python worker keeps when it tidies up; it holds up to twice as many.
+MEMO = 120_000
 
 
 def model_file() -> str:
@@ -68,14 +68,14 @@ class Segments:
 
     def __init__(self, n: int):
         self.n, self.rows, self.used = n, {}, 0
-        self.ids = np.zeros(1 << 16, np.int32)
+        self.ids, self.again = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, bool)
         self.score, self.start, self.length = np.zeros((1 << 12, n)), np.zeros((1 << 12, n), np.int64), np.zeros((1 << 12, n), np.int32)
 
     def add(self, words: list[str], score: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
         """Paths of new words; ``ids`` has them by word and, within a word, by rank."""
         first, end = len(self.rows), len(self.rows) + len(words)
         while end > len(self.score):
-            self.score, self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.score, self.start, self.length))
+            self.score, self.start, self.length, self.again = (np.concatenate((x, np.zeros_like(x))) for x in (self.score, self.start, self.length, self.again))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.rows.update(zip(words, range(first, end), strict=True))
@@ -86,11 +86,19 @@ class Segments:
         self.used += len(ids)
 
     def forget(self) -> None:
-        """Once there are over twice as many words as MEMO, drops those that came after the first MEMO; ids of the others stay where they are."""
-        if len(self.rows) > 2 * MEMO:
-            self.used = int(self.start[MEMO, 0])
-            for word in list(self.rows)[MEMO:]:
-                del self.rows[word]
+        """Once there are over twice as many words as MEMO, keeps that many: those that came again, then the latest."""
+        count = len(self.rows)
+        if count <= 2 * MEMO:
+            return
+        again = np.flatnonzero(self.again[:count])[:MEMO]
+        late = np.flatnonzero(~self.again[:count])
+        keep = np.sort(np.concatenate((again, late[len(late) - (MEMO - len(again)) :])))
+        names, length = list(self.rows), self.length[keep].astype(np.int64)
+        ids = gather(self.ids, self.start[keep].ravel(), length.ravel())
+        kept, score = [names[i] for i in keep.tolist()], self.score[keep]
+        self.rows, self.used = {}, 0
+        self.again[:] = False
+        self.add(kept, score, length, ids)
 
     def path(self, word: str, rank: int) -> list[int]:
         row = self.rows[word]
@@ -399,8 +407,11 @@ class Pieces:
         edges = np.append(word_at, len(data)).astype(np.int32)
         words = pa.Array.from_buffers(pa.string(), len(word_at), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
         distinct = words.dictionary.to_pylist()
+        before = len(self.segments(n).rows)
         found = self.segment(distinct, n)
-        row = np.fromiter(map(found.rows.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        own = np.fromiter(map(found.rows.__getitem__, distinct), np.int64, len(distinct))
+        found.again[own[own < before]] = True
+        row = own[words.indices.to_numpy()]
         first = np.searchsorted(word_at, text_at)  # of each text, its first word
         full = np.flatnonzero(np.diff(first) > 0)
         score = np.zeros(len(bodies))
