@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from agromix.operators.matrices import MAX_ORDER, dense, from_dense, hadamard
 
-__all__ = ["a_matrix", "ar1", "arma", "centred_cells", "cs", "d_matrix", "e_matrix", "gram", "h_matrix", "sim_ge_correlation", "tiled_gram"]
+__all__ = ["a_matrix", "ar1", "arma", "centred_cells", "cs", "d_matrix", "dealt", "e_matrix", "gram", "h_matrix", "sim_ge_correlation", "tiled_gram"]
 
 
 def _gram_of(order: int):
@@ -87,6 +87,12 @@ def _tile_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from emitted()
 
 
+def dealt(cells: DataFrame, name: str, n: int, of: str, at: str) -> DataFrame:
+    """The distinct values of a column, dealt by hash to ``n`` sets (column ``of``), with their places in these (``at``)."""
+    sets = cells.select(name).filter(F.col(name).isNotNull()).distinct().withColumn(of, F.pmod(F.xxhash64(name), F.lit(n)).cast("int"))
+    return sets.withColumn(at, F.row_number().over(Window.partitionBy(of).orderBy(name)) - 1)
+
+
 def tiled_gram(cells: DataFrame, id_col: str, marker: str, value: str, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """gram() of any order, by tiles of the matrix; the result stays distributed.
 
@@ -97,8 +103,7 @@ def tiled_gram(cells: DataFrame, id_col: str, marker: str, value: str, tile: int
     kind = dict(cells.dtypes)[id_col]
     counts = cells.agg(F.countDistinct(id_col), F.countDistinct(marker)).first()
     tiles, blocks = -(-(counts[0] or 1) // tile), -(-(counts[1] or 1) // block)
-    place = lambda name, n, of, at: cells.select(name).filter(F.col(name).isNotNull()).distinct().withColumn(of, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(at, F.row_number().over(Window.partitionBy(of).orderBy(name)) - 1)
-    ids, columns = place(id_col, tiles, "_t", "_p"), place(marker, blocks, "_b", "_q")
+    ids, columns = dealt(cells, id_col, tiles, "_t", "_p"), dealt(cells, marker, blocks, "_b", "_q")
     rows = cells.join(ids, id_col).join(columns, marker)
     packed = rows.groupBy("_t", "_b").agg(F.collect_list(F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"), F.col(value).cast("double").alias("v"))).alias("c"))
     named = ids.groupBy("_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.col(id_col).cast("string").alias("n")))), lambda x: x["n"]).alias("names"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agromix.functions.numeric import legendre, logspace
-from agromix.operators import kernels, markers, matrices, ranking, records, scan, spatial
+from agromix.operators import kernels, lowrank, markers, matrices, ranking, records, scan, spatial
 from agromix.plans import structures
 from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, two_stage, vpredict
 from agromix.sources.tables import table
@@ -175,21 +175,43 @@ def a_matrix(spark, folder):
 ORDER_CALLS = "WITH c AS (SELECT o_orderkey // 4 AS id, (o_orderkey % 4) * 10 + k AS marker, (CAST(floor(o_totalprice * 100) AS BIGINT) // (3 ** k)::BIGINT) % 3 - 1 AS x FROM orders, range(10) t(k)), p AS (SELECT marker, avg(x + 1.0) / 2 AS p FROM c GROUP BY 1), w AS (SELECT id, marker, x + 1 - 2 * p AS w FROM c JOIN p USING (marker)), s AS (SELECT sum(2 * p * (1 - p)) AS s FROM p) "
 
 
+def order_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Centred dosages of groups of four orders at forty markers, digits of their prices."""
+    calls = table(spark, folder, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), ((F.col("o_orderkey") % 4) * 10).alias("m"), F.floor(F.col("o_totalprice") * 100).alias("x"))
+    markers_ = calls.select("id", (F.col("m") + F.col("k")).alias("marker"), (F.expr("x div cast(power(3, k) as bigint)") % 3 - 1).alias("dosage"))
+    return kernels.centred_cells(markers_)
+
+
 @query(ORDER_CALLS + ", g AS (SELECT a.marker AS m, b.marker AS k, sum(a.w * b.w) AS g FROM w a JOIN w b USING (id) GROUP BY 1, 2), t AS (SELECT marker, sum(w) AS t FROM w GROUP BY 1), r AS (SELECT id, sum(w * t) AS total, sum(w * w) AS own FROM w JOIN t USING (marker) GROUP BY 1), q AS (SELECT a.id, sum(a.w * b.w * g) AS q FROM w a JOIN w b USING (id) JOIN g ON g.m = a.marker AND g.k = b.marker GROUP BY 1), n AS (SELECT count(DISTINCT id) AS n FROM w) SELECT CAST(id AS BIGINT) AS id, n AS relatives, round(own / s, 6) AS own, round(total / s, 5) + 0.0 AS total, round(q / s / s, 5) AS squares FROM r JOIN q USING (id), s, n")
 def a_matrix_tiled(spark, folder):
     """Relationships of all groups of four orders (3750 at a hundredth of the scale), by tiles: each one's row in sums.
 
     The SQL has the same sums without the matrix: from totals and cross-products of the markers.
     """
-    calls = table(spark, folder, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), ((F.col("o_orderkey") % 4) * 10).alias("m"), F.floor(F.col("o_totalprice") * 100).alias("x"))
-    markers_ = calls.select("id", (F.col("m") + F.col("k")).alias("marker"), (F.expr("x div cast(power(3, k) as bigint)") % 3 - 1).alias("dosage"))
-    cells_ = kernels.centred_cells(markers_)
+    cells_ = order_cells(spark, folder)
     scale = cells_.select("marker", "p").distinct().agg(F.sum(2 * F.col("p") * (1 - F.col("p")))).first()[0]
     kernel = kernels.tiled_gram(cells_, "id", "marker", "w")
     value = F.col("value") / scale
     return kernel.groupBy(F.col("row").alias("id")).agg(F.count("*").alias("relatives"), F.sum(F.when(F.col("row") == F.col("col"), value)).alias("own"), F.round(F.sum(value), 5).alias("total"), F.round(F.sum(value * value), 5).alias("squares"))
 
 
+@query(ORDER_CALLS + ", g AS (SELECT a.marker AS m, b.marker AS k, sum(a.w * b.w) AS g FROM w a JOIN w b USING (id) GROUP BY 1, 2), n AS (SELECT count(DISTINCT id) AS n FROM w) SELECT n AS genotypes, round((SELECT sum(w * w) FROM w) / n, 6) AS squares, round(sum(g * g) / n / n, 6) AS fourth_powers, 1.0::DOUBLE AS share FROM g, n GROUP BY n")
+def genotype_spectrum(spark, folder):
+    """Singular values of the table of all groups of orders by random combinations: their sums of powers are the table's own."""
+    found = lowrank.genotype_factors(order_cells(spark, folder), rank=40)
+    s2 = found.singular**2
+    n = found.scores.agg(F.count("*").alias("genotypes"))
+    return n.select("genotypes", (F.lit(float(s2.sum())) / F.col("genotypes")).alias("squares"), (F.lit(float((s2**2).sum())) / F.col("genotypes") / F.col("genotypes")).alias("fourth_powers"), F.lit(round(found.share, 9)).alias("share"))
+
+
+@query()
+def gblup_many_genotypes(spark, folder):
+    """Breeding values of more genotypes, all with records, than a kernel on the driver may have (at a hundredth of the scale)."""
+    found = lowrank.genotype_factors(order_cells(spark, folder), rank=40, scale=20.0)
+    rows = table(spark, folder, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("id"), (F.col("o_totalprice") / 1000).alias("y"))
+    return lowrank.gblup(rows, "y ~ 1", found, "id", 300.0, 9000.0)[1]
+
+
 @query(f"WITH {GOOD.format(maf=0)} SELECT s.id AS row, t.id AS col, round(sum((1 - abs(s.dosage) - s.het) * (1 - abs(t.dosage) - t.het)) / (SELECT sum((2 * p * (1 - p)) ** 2) FROM f), 6) + 0.0 AS value FROM x s JOIN x t USING (marker) GROUP BY 1, 2")
 def d_matrix_nishio(spark, folder):
     return kernels.d_matrix(dosages(spark, folder))
