@@ -20,6 +20,7 @@ from agromix.plans.formula import Call, Formula, Interaction, Name, parse_formul
 from agromix.plans.large import LargeModel, fit_large
 from agromix.plans.multitrait import MultiFit, fit_traits
 from agromix.plans.reml import Fit, fit_reml, psd_factor, scaled_columns
+from agromix.plans.whiten import Weights, whitened_gram
 
 __all__ = ["Model", "absorbed", "crossed", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
 
@@ -242,11 +243,12 @@ class Model:
         return t.main, zpz, zpy, self.fit.ypy, sum(self.gram.records.values()) - len(self.fit.kept)
 
 
-def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None, theta: dict | None = None, codes: dict | None = None, residual: dict | None = None, fixed_residual: bool = False, na_y: str = "exclude", na_x: str = "exclude", iterations: int = 100, em_only: bool = False) -> Model | AbsorbedModel | LargeModel:
+def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None, theta: dict | None = None, codes: dict | None = None, residual: dict | None = None, fixed_residual: bool = False, na_y: str = "exclude", na_x: str = "exclude", iterations: int = 100, em_only: bool = False, weight_matrix: Weights | None = None) -> Model | AbsorbedModel | LargeModel:
     """Fits y = Xb + sum Z u + e by REML. ``rcov``: "~ units" or "~ vsc(dsc(level), isc(units))"; ``kernels`` are covariances.
 
     Random factors with more levels than a driver's matrix may have are absorbed (one) or solved for by conjugate
-    gradients (several); what comes back then has fewer methods.
+    gradients (several); what comes back then has fewer methods. ``weight_matrix`` (instead of ``weights``) takes residuals
+    that are correlated within groups of records.
     """
     formula = parse_formula(fixed)
     if len(formula.responses) != 1:
@@ -282,10 +284,12 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
         design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, terms, level, weights, kernels, covariances)
     except TooManyLevels:
         parts = [_plain_factor(rows, t) for t in terms]
-        if level or em_only or not parts or not all(parts):
+        if level or em_only or weight_matrix or not parts or not all(parts):
             raise
         return _beyond_driver(rows, formula, parts, weights, theta, codes, residual, fixed_residual)
-    gram = gram_of(design)
+    if weight_matrix and weights:
+        raise ValueError("a column of weights or weight matrices")
+    gram = whitened_gram(design, weight_matrix) if weight_matrix else gram_of(design)
     fit = fit_reml(design, gram, theta, codes, residual, fixed_residual, iterations, em_only=em_only)
     if not fit.converged:
         warnings.warn(f"the fit of {fixed} has not converged in {fit.iterations} iterations", stacklevel=2)

@@ -11,6 +11,7 @@ from agromix.functions.numeric import legendre, logspace
 from agromix.operators import kernels, lowrank, markers, matrices, ranking, records, scan, spatial
 from agromix.plans import structures
 from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, two_stage, vpredict
+from agromix.plans.whiten import ar1_weights
 from agromix.sources.tables import table
 from agromix.streaming.sums import moments
 
@@ -579,6 +580,17 @@ def gwas_components(spark, folder):
     return scan.gwas(rows, "y ~ 1", "~ place", dosages(spark, folder), "place", n_pc=2)
 
 
+AUTOREGRESSIVE = "WITH e AS (SELECT user_id, event_id, value AS y, CAST(event_id % 17 AS DOUBLE) AS x, lag(value) OVER w AS y1, lag(CAST(event_id % 17 AS DOUBLE)) OVER w AS x1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), d AS (SELECT CASE WHEN y1 IS NULL THEN x ELSE (x - 0.6 * x1) / sqrt(0.64) END AS x, CASE WHEN y1 IS NULL THEN y ELSE (y - 0.6 * y1) / sqrt(0.64) END AS y, CASE WHEN y1 IS NULL THEN 1.0 ELSE 0.4 / sqrt(0.64) END AS one FROM e), s AS (SELECT count(*) AS n, sum(one * one) AS cc, sum(one * x) AS cx, sum(x * x) AS xx, sum(one * y) AS cy, sum(x * y) AS xy, sum(y * y) AS yy FROM d), b AS (SELECT *, cc * xx - cx * cx AS det, (xx * cy - cx * xy) / (cc * xx - cx * cx) AS b0, (cc * xy - cx * cy) / (cc * xx - cx * cx) AS b1 FROM s), v AS (SELECT *, (yy - b0 * cy - b1 * xy) / (n - 2) AS s2 FROM b) "
+
+
+@query(AUTOREGRESSIVE + "SELECT '(Intercept)' AS term, round(b0, 6) AS estimate, round(sqrt(s2 * xx / det), 6) AS std_error FROM v UNION ALL SELECT 'x', round(b1, 6), round(sqrt(s2 * cc / det), 6) FROM v")
+def autoregressive_residuals(spark, folder):
+    """Residuals that follow a first-order autoregression within users: the weight matrix gives the regression of differences."""
+    rows = table(spark, folder, "events").select("user_id", "event_id", F.col("value").alias("y"), (F.col("event_id") % 17).cast("double").alias("x"))
+    model = mmec(rows, "y ~ x", weight_matrix=ar1_weights(rows, "user_id", "event_id", 0.6))
+    return model.blues().select("term", "estimate", "std_error")
+
+
 @query("WITH c AS (SELECT l_returnflag AS env, CAST(l_suppkey AS VARCHAR) AS level, count(*) AS n, avg(l_quantity) AS m, coalesce(var_samp(l_quantity), 0) AS v FROM lineitem GROUP BY 1, 2), s AS (SELECT env, sum(v * (n - 1)) / sum(n - 1) AS s2 FROM c GROUP BY 1) SELECT level, round(sum(n / s2 * m) / sum(n / s2), 6) AS estimate FROM c JOIN s USING (env) GROUP BY 1")
 def two_stage_means(spark, folder):
     rows = table(spark, folder, "lineitem").select("l_quantity", "l_suppkey", "l_returnflag")
