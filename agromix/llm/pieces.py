@@ -244,9 +244,9 @@ class Pieces:
 
         Forward scores are the exact value of each open beginning, so the queue of a word need not hold more than n
         entries: each leads to a path of just its priority. All words' queues are rows of one array. An entry is an edge
-        with the tail behind it. In a round each word that owes paths takes its best entry off. If the edge starts the
-        word, the path is the next best; else the best edge before it comes in its place, at the same priority. The next
-        edge beside it comes into the queue, too.
+        with the tail behind it. When one leaves, the next edge beside it comes into the queue. The best edge before it has
+        the same priority and so leaves next; it is worked on at once. An edge that starts the word ends the next best
+        path, and the word takes the best entry off its queue. In a round each word that owes paths has one entry.
         """
         size, count = codes.shape
         flat, trie = codes.ravel(), self.trie
@@ -280,37 +280,20 @@ class Pieces:
             best[end] = found[:, 0]
         # entries: priority; place where the next edge ends, which edge that is, score and node of the tail after it
         queue = np.full((count, n), -np.inf)
-        queue[:, 0] = best[size]
         cells, row = queue.ravel(), through.shape[2]
         place, which, tail, after = np.zeros(count * n, np.int64), np.zeros(count * n, np.int64), np.zeros(count * n), np.zeros(count * n, np.int64)
-        place[::n] = size
         through, lengths, before = through.ravel(), lengths.ravel(), best.ravel()
         node_edge, node_after, made = [np.full(1, -1, np.int32)], [np.full(1, -1, np.int64)], 1  # node 0 is the end of all words
         out, final, owed = np.full((count, n), -np.inf), np.full((count, n), -1, np.int64), np.full(count, n)
-        active = np.arange(count)
+        # the entry that each word works on, off its queue
+        active, spot, edge, score, node, value = np.arange(count), np.full(count, size), np.zeros(count, np.int64), np.zeros(count), np.zeros(count, np.int64), best[size].copy()
         while len(active):
-            mine = queue.take(active, axis=0) if len(active) < count else queue
-            slot = active * n + mine.argmax(axis=1)
-            value = cells.take(slot)
-            some = value > -np.inf
-            if not some.all():
-                active, slot, value = active[some], slot[some], value[some]
-                if not len(active):
-                    break
             self.pops += len(active)
-            spot, edge, score, node = place.take(slot), which.take(slot), tail.take(slot), after.take(slot)
             at = spot * count + active
             length = lengths.take(at * width + edge).astype(np.int64)
             start = spot - length
-            nodes = np.arange(made, made + len(active))
             node_edge.append(ids.take(((length - 1) * size + start) * count + active))
             node_after.append(node)
-            made += len(active)
-            rest = value - before.take(start * count + active)
-            done = start == 0
-            # the entry gives way to the best edge before it; the next edge into its place is an entry of its own
-            cells[slot] = np.where(done, -np.inf, value)
-            place[slot], which[slot], tail[slot], after[slot] = start, 0, rest, nodes
             beside = through.take(at * row + edge + 1) + score
             enter = np.flatnonzero(beside > -np.inf)
             if len(enter):
@@ -319,12 +302,23 @@ class Pieces:
                 better = beside[enter] > cells.take(worst)
                 enter, worst = enter[better], worst[better]
                 cells[worst], place[worst], which[worst], tail[worst], after[worst] = beside[enter], spot[enter], edge[enter] + 1, score[enter], node[enter]
-            if done.any():
+            # the best edge before this one has the same priority, so it's next
+            node = np.arange(made, made + len(active))
+            made += len(active)
+            spot, edge, score = start, np.zeros(len(active), np.int64), value - before.take(start * count + active)
+            done = np.flatnonzero(start == 0)
+            if len(done):
                 ended = active[done]
                 rank = n - owed[ended]
-                out[ended, rank], final[ended, rank] = rest[done], nodes[done]
+                out[ended, rank], final[ended, rank] = score[done], node[done]
                 owed[ended] -= 1
-                active = active[owed[active] > 0]
+                slot = ended * n + queue.take(ended, axis=0).argmax(axis=1)
+                value[done] = np.where(owed[ended] > 0, cells.take(slot), -np.inf)
+                spot[done], edge[done], score[done], node[done] = place.take(slot), which.take(slot), tail.take(slot), after.take(slot)
+                cells[slot] = -np.inf
+                go = value > -np.inf
+                if not go.all():
+                    active, spot, edge, score, node, value = (x[go] for x in (active, spot, edge, score, node, value))
         node_edge, node_after = np.concatenate(node_edge), np.concatenate(node_after)
         return out, [self._walk(node_edge, node_after, final[:, r]) for r in range(n)]
 
