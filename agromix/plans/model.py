@@ -18,7 +18,7 @@ from agromix.plans.absorb import AbsorbedModel, fit_absorbed
 from agromix.plans.design import STRUCTURES, Design, Gram, TooManyLevels, build_design, gram_of, join_levels, joined_key, split_level
 from agromix.plans.formula import Call, Formula, Interaction, Name, parse_formula, parse_terms
 from agromix.plans.large import LargeModel, fit_large
-from agromix.plans.multitrait import MultiFit, fit_traits
+from agromix.plans.multitrait import MultiFit, fit_pairs, fit_traits
 from agromix.plans.reml import Fit, fit_reml, psd_factor, scaled_columns
 from agromix.plans.whiten import Weights, whitened_gram
 
@@ -364,8 +364,8 @@ def mmer(df: DataFrame, fixed: str, random: str | None = None, stacked: bool = F
 
 
 def mmer_pairs(df: DataFrame, traits: Sequence[str], fixed: str = "1", random: str | None = None, **options) -> dict[tuple[str, str], MultiFit]:
-    """All two-trait models."""
-    return {(a, b): mmer(df, f"cbind({a}, {b}) ~ {fixed}", random, **options) for i, a in enumerate(traits) for b in traits[i + 1 :]}
+    """All two-trait models, after one pass over the records (fit_pairs()); merged_pairs() joins their covariances."""
+    return fit_pairs(df, traits, fixed, random, **options)
 
 
 def two_stage(df: DataFrame, value: str, entry: str, env: str, random: bool = False, **options) -> Model | AbsorbedModel:

@@ -7,20 +7,24 @@ are. REML by damped Newton steps on lower factors of the covariances, as in reml
 
 from __future__ import annotations
 
+import pickle
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agromix.operators.matrices import nearest_pd
 from agromix.operators.records import na_policy
 from agromix.plans.design import Design, build_design, gram_of
 from agromix.plans.formula import Call, parse_formula, parse_terms
 from agromix.plans.reml import Chart, ascend, from_free, independent_columns
 
-__all__ = ["MultiFit", "fit_traits"]
+__all__ = ["MultiFit", "fit_pairs", "fit_traits", "merged_pairs"]
 
 
 @dataclass
@@ -79,7 +83,19 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
     selected = {str(x.args[-1]): np.asarray(named(x, "Gtc")).any(axis=1) for x in formula.terms if named(x, "Gtc") is not None}
     fixed_terms = tuple(x.args[-1] if isinstance(x, Call) and x.name in ("vs", "vsr", "vsc") else x for x in formula.terms)
     design = build_design(rows, traits[0], fixed_terms, formula.intercept, terms, kernels=kernels, covariances=covariances)
-    ww, wy, yy, n = _sums(rows, design, traits)
+    starts = [(named(x, "Gti"), named(x, "Gtc")) for x in terms] + [((residual or {}).get("Gti"), (residual or {}).get("Gtc"))]
+    found = _maximise(design, *_sums(rows, design, traits), starts, selected, iterations, tol)
+    if not found[3]:
+        warnings.warn(f"the fit of {fixed} has not converged in {found[4]} iterations", stacklevel=2)
+    return MultiFit(df.sparkSession, traits, design, *found)
+
+
+def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, starts: list[tuple], selected: dict[str, np.ndarray], iterations: int, tol: float) -> tuple:
+    """(covariances of the random effects, of the residual, log-likelihood, converged, iterations, solution) from the sums alone.
+
+    Of the design only its blocks are used; ``starts``: start and codes of each random effect and the residual.
+    """
+    t = len(yy)
     n_fixed = sum(b.size for b in design.fixed)
     kept = independent_columns(ww[:n_fixed, :n_fixed])
     use = np.concatenate([kept, np.arange(n_fixed, design.width)]).astype(int)
@@ -93,8 +109,8 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
         codes = free if codes is None else np.asarray(codes, int)
         return Chart(np.where(codes == 0, 0.0, default if start is None else start), codes)
 
-    charts = [chart(named(x, "Gti"), named(x, "Gtc"), 0.2 * np.diag(np.diag(vy))) for x in terms]
-    charts.append(chart((residual or {}).get("Gti"), (residual or {}).get("Gtc"), 0.6 * vy + 0.2 * np.diag(np.diag(vy))))
+    charts = [chart(*x, 0.2 * np.diag(np.diag(vy))) for x in starts[:-1]]
+    charts.append(chart(*starts[-1], 0.6 * vy + 0.2 * np.diag(np.diag(vy))))
     there = np.ones((t, c), bool)  # which coefficients which trait has
     for b in design.fixed:
         if b.label in selected:
@@ -214,8 +230,6 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
         if longest < tol or quiet == 3:
             converged = True
             break
-    if not converged:
-        warnings.warn(f"the fit of {fixed} has not converged in {cycle} iterations", stacklevel=2)
     theta, residual = [x.covariance(x.value) for x in charts[:-1]], charts[-1].covariance(charts[-1].value)
     for th in theta:
         small = np.diag(th) < 1e-12 * np.diag(vy)
@@ -223,4 +237,73 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
         th[:, small] = 0.0
     solution = np.zeros((design.width, t))
     solution[use] = state["b"]
-    return MultiFit(df.sparkSession, traits, design, theta, residual, state["loglik"], converged, cycle, solution)
+    return theta, residual, state["loglik"], converged, cycle, solution
+
+
+def fit_pairs(df: DataFrame, traits: Sequence[str], fixed: str = "1", random: str | None = None, kernels: dict | None = None, covariances: dict | None = None, iterations: int = 200, tol: float = 1e-8) -> dict[tuple[str, str], MultiFit]:
+    """All two-trait models, each from the records that have both, after one pass over the records.
+
+    Records are told apart by which traits they have; of each such pattern the cross-products of the design and all traits
+    are kept, and a pair adds up those of the patterns that have both. The fits are Spark tasks that slice these sums,
+    which are broadcast (256 MB at most, checked).
+    """
+    traits = list(traits)
+    if len(set(traits)) < max(len(traits), 2):
+        raise ValueError("two or more different traits")
+    fixed_terms, intercept = parse_terms(fixed)
+    terms = parse_terms(random)[0] if random else ()
+    there = [F.col(t).isNotNull() for t in traits]
+    rows = df.filter(sum((x.cast("int") for x in there), F.lit(0)) >= 2).withColumn("_pattern", F.concat(*(F.when(x, "1").otherwise("0") for x in there)))
+    design = build_design(rows.withColumn("_zero", F.lit(0.0)), "_zero", fixed_terms, intercept, terms, "_pattern", kernels=kernels, covariances=covariances)
+    c, k = design.width, len(traits)
+    if 8 * len(design.levels) * (c + k + 1) ** 2 > 256 << 20:
+        raise ValueError(f"{len(design.levels)} patterns of {c + k} columns; their cross-products are too large to broadcast")
+    ys = [F.struct(F.lit(c + i).cast("int").alias("i"), F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias("v")) for i, t in enumerate(traits)]
+    wide = design.rows.withColumn("_entries", F.concat("_entries", F.array(*ys)))
+    gram = gram_of(type("Grown", (), {"width": c + k, "rows": wide, "numeric": True, "levels": design.levels})())
+    spark, blocks = df.sparkSession, SimpleNamespace(fixed=design.fixed, random=design.random, width=c)
+    shared = spark.sparkContext.broadcast((gram.sums, gram.records, blocks))
+    at = [(i, j) for i in range(k) for j in range(i + 1, k)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, records, own = shared.value
+        for batch in batches:
+            for i, j in zip(batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                use = [p for p in sums if p[i] == p[j] == "1"]
+                total, n = sum((sums[p] for p in use), np.zeros((c + k + 1, c + k + 1))), sum(records[p] for p in use)
+                y = [c + i, c + j]
+                found = _maximise(own, total[:c, :c], total[:c][:, y], total[np.ix_(y, y)], n, [(None, None)] * (len(own.random) + 1), {}, iterations, tol)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([pickle.dumps(found)], pa.binary())], names=["i", "j", "fit"])
+
+    pairs = spark.createDataFrame(at, "i int, j int").repartition(len(at), "i", "j")
+    out = {}
+    for r in pairs.mapInArrow(run, "i int, j int, fit binary").collect():
+        found = pickle.loads(r["fit"])
+        if not found[3]:
+            warnings.warn(f"the fit of {traits[r['i']]} and {traits[r['j']]} has not converged in {found[4]} iterations", stacklevel=2)
+        out[traits[r["i"]], traits[r["j"]]] = MultiFit(spark, [traits[r["i"]], traits[r["j"]]], design, *found)
+    return {(traits[i], traits[j]): out[traits[i], traits[j]] for i, j in at}
+
+
+def merged_pairs(fits: dict[tuple[str, str], MultiFit]) -> DataFrame:
+    """(term, trait1, trait2, covariance) of all traits from the models of pairs, as one positive matrix for each term.
+
+    A trait's variance is the mean over its pairs; the nearest positive definite matrix is taken where these don't fit together.
+    """
+    traits = list(dict.fromkeys(x for pair in fits for x in pair))
+    one = next(iter(fits.values()))
+    labels, rows = [*(t.label for t in one.design.random), "units"], []
+    for n, label in enumerate(labels):
+        m, seen = np.zeros((len(traits), len(traits))), np.zeros(len(traits))
+        for (a, b), fit in fits.items():
+            v, i, j = (fit.theta[n] if n < len(fit.theta) else fit.residual), traits.index(a), traits.index(b)
+            m[i, j] = m[j, i] = v[0, 1]
+            m[i, i] += v[0, 0]
+            m[j, j] += v[1, 1]
+            seen[[i, j]] += 1
+        m[np.diag_indices(len(traits))] /= np.maximum(seen, 1)
+        scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+        if np.linalg.eigvalsh(m / np.outer(scale, scale))[0] <= 0:
+            m = nearest_pd(m / np.outer(scale, scale)) * np.outer(scale, scale)
+        rows += [(label, a, b, float(m[i, j])) for j, b in enumerate(traits) for i, a in enumerate(traits[: j + 1])]
+    return one.spark.createDataFrame(rows, "term string, trait1 string, trait2 string, covariance double")

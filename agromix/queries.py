@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from agromix.functions.numeric import legendre, logspace
 from agromix.operators import kernels, lowrank, markers, matrices, ranking, records, scan, spatial
 from agromix.plans import structures
-from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, two_stage, vpredict
+from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, mmer_pairs, two_stage, vpredict
+from agromix.plans.multitrait import merged_pairs
 from agromix.plans.whiten import ar1_weights
 from agromix.sources.tables import table
 from agromix.streaming.sums import moments
@@ -241,12 +242,26 @@ def e_matrix_dominance(spark, folder):
     return kernels.e_matrix(dosages(spark, folder), kind="D#D")
 
 
-@query("SELECT true AS is_diagonal, true AS is_square")
+SHAPES = "WITH m AS (SELECT 'counts' AS matrix, CAST(l_returnflag AS VARCHAR) AS r, CAST(l_linestatus AS VARCHAR) AS c, count(*) AS v FROM lineitem GROUP BY 2, 3 UNION ALL SELECT 'flags', l_returnflag, l_returnflag, count(*) FROM lineitem GROUP BY 2, 3 UNION ALL SELECT 'regions', r_name, n_name, 1 FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'neighbours', CAST(a.n_nationkey AS VARCHAR), CAST(b.n_nationkey AS VARCHAR), a.n_nationkey + b.n_nationkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey) "
+
+
+@query(SHAPES + "SELECT matrix, coalesce(max(CASE WHEN r <> c AND abs(v) > 1e-8 THEN 1 END), 0) = 0 AS is_diagonal, (SELECT count(*) FROM ((SELECT r FROM m x WHERE x.matrix = m.matrix EXCEPT SELECT c FROM m x WHERE x.matrix = m.matrix) UNION ALL (SELECT c FROM m x WHERE x.matrix = m.matrix EXCEPT SELECT r FROM m x WHERE x.matrix = m.matrix))) = 0 AS is_square FROM m GROUP BY matrix")
 def matrix_shape(spark, folder):
-    """An identity of regions beside one of nations."""
-    one = lambda name, key: table(spark, folder, name).select((F.col(key) + 1).cast("long").alias("row"), (F.col(key) + 1).cast("long").alias("col"), F.lit(1.0).alias("value"))
-    bound = records.bind_blocks(one("region", "r_regionkey"), one("nation", "n_nationkey"), pad=0.0)
-    return matrices.is_diagonal(bound).crossJoin(matrices.is_square(bound))
+    """Four matrices of counts: one is diagonal and square, one square alone, two neither."""
+    items, nations, regions = (table(spark, folder, x) for x in ("lineitem", "nation", "region"))
+    cell = lambda df, r, c, v: df.select(F.col(r).cast("string").alias("row"), F.col(c).cast("string").alias("col"), v.cast("double").alias("value"))
+    a, b = nations.select("n_regionkey", F.col("n_nationkey").alias("k1")), nations.select("n_regionkey", F.col("n_nationkey").alias("k2"))
+    made = {
+        "counts": cell(items.groupBy("l_returnflag", "l_linestatus").count(), "l_returnflag", "l_linestatus", F.col("count")),
+        "flags": cell(items.groupBy("l_returnflag").count(), "l_returnflag", "l_returnflag", F.col("count")),
+        "regions": cell(nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")), "r_name", "n_name", F.lit(1)),
+        "neighbours": cell(a.join(b, "n_regionkey"), "k1", "k2", F.col("k1") + F.col("k2")),
+    }
+    out = None
+    for name, m in made.items():
+        one = matrices.is_diagonal(m).withColumn("matrix", F.lit(name)).join(matrices.is_square(m).withColumn("matrix", F.lit(name)), "matrix")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT l_suppkey, round(avg(l_extendedprice) FILTER (l_returnflag = 'A'), 4) AS \"A\", round(avg(l_extendedprice) FILTER (l_returnflag = 'N'), 4) AS \"N\", round(avg(l_extendedprice) FILTER (l_returnflag = 'R'), 4) AS \"R\" FROM lineitem GROUP BY 1", digits=4)
@@ -608,6 +623,17 @@ def two_traits_balanced(spark, folder):
     return mmer(rows, "cbind(a, b) ~ 1", "~ place").summary().select("term", "trait1", "trait2", "covariance")
 
 
+PAIRS = TRAITS.replace("AS b FROM cells)", "AS b, abs(v) + 0.03 * ((pos * 5) % 64) AS c FROM cells)").replace("avg(b) AS mb,", "avg(b) AS mb, avg(c) AS mc, covar_samp(a, c) AS eac, covar_samp(b, c) AS ebc,").replace("avg(ebb) AS ebb", "avg(ebb) AS ebb, max(n) * covar_samp(ma, mc) AS ac, max(n) * covar_samp(mb, mc) AS bc, avg(eac) AS eac, avg(ebc) AS ebc")
+
+
+@query(PAIRS + "SELECT 'place' AS term, 'a' AS trait1, 'b' AS trait2, round((ab - eab) / n, 5) + 0.0 AS covariance FROM s UNION ALL SELECT 'place', 'a', 'c', round((ac - eac) / n, 5) + 0.0 FROM s UNION ALL SELECT 'place', 'b', 'c', round((bc - ebc) / n, 5) + 0.0 FROM s UNION ALL SELECT 'units', 'a', 'b', round(eab, 5) + 0.0 FROM s UNION ALL SELECT 'units', 'a', 'c', round(eac, 5) + 0.0 FROM s UNION ALL SELECT 'units', 'b', 'c', round(ebc, 5) + 0.0 FROM s", digits=5)
+def trait_pairs(spark, folder):
+    """Covariances of all pairs of three traits, each pair's model a task, after one pass over the records."""
+    y = [(F.col("v") + 0.01 * F.col("pos")).alias("a"), (F.col("v") * F.col("v") + 0.02 * ((F.col("pos") * 7) % 64)).alias("b"), (F.abs("v") + 0.03 * ((F.col("pos") * 5) % 64)).alias("c")]
+    rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), *y)
+    return merged_pairs(mmer_pairs(rows, ["a", "b", "c"], "1", "~ place")).filter("trait1 <> trait2")
+
+
 @query("WITH m AS (SELECT l_returnflag, avg(l_quantity) AS a, avg(l_discount) AS b FROM lineitem GROUP BY 1), s AS (SELECT count(*) - count(DISTINCT l_returnflag) AS df, sum((l_quantity - a) ** 2) AS aa, sum((l_quantity - a) * (l_discount - b)) AS ab, sum((l_discount - b) ** 2) AS bb FROM lineitem JOIN m USING (l_returnflag)) SELECT 'units' AS term, 'l_quantity' AS trait1, 'l_quantity' AS trait2, round(aa / df, 5) AS covariance, 1.0::DOUBLE AS correlation, true AS converged FROM s UNION ALL SELECT 'units', 'l_quantity', 'l_discount', round(ab / df, 5) + 0.0, round(ab / sqrt(aa * bb), 5) + 0.0, true FROM s UNION ALL SELECT 'units', 'l_discount', 'l_discount', round(bb / df, 5), 1.0, true FROM s", digits=5)
 def trait_residuals(spark, folder):
     """Residual covariances of two traits about the means of the flags."""

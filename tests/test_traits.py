@@ -48,3 +48,26 @@ def test_one_trait_equals_the_univariate_fit(trial):
     a, b = fit_traits(trial, "cbind(y1) ~ 1", "~ g"), mmec(trial, "y1 ~ 1", "~ g")
     assert a.theta[0][0, 0] == pytest.approx(b.fit.theta[0][0, 0], rel=1e-4)
     assert a.residual[0, 0] == pytest.approx(b.fit.residual["units"], rel=1e-4)
+
+
+def test_pairs_from_one_pass_equal_models_of_their_own(spark, trial):
+    from pyspark.sql import functions as F
+
+    from agromix.plans.model import mmer_pairs
+    from agromix.plans.multitrait import fit_pairs, merged_pairs
+
+    rows = trial.select("*", (F.col("y1") - 0.5 * F.col("y2") + F.hash("g", "b") / 2.0e9).alias("y3"))
+    # records that lack a trait enter the pairs without it
+    rows = rows.withColumn("y3", F.when(F.col("b") != "b4", F.col("y3"))).withColumn("y1", F.when(F.pmod(F.hash("g", "b"), F.lit(9)) != 0, F.col("y1")))
+    found = mmer_pairs(rows, ["y1", "y2", "y3"], "b", "~ g")
+    assert list(found) == [("y1", "y2"), ("y1", "y3"), ("y2", "y3")]
+    for (a, b), fit in found.items():
+        own = fit_traits(rows, f"cbind({a}, {b}) ~ b", "~ g")
+        assert fit.converged and fit.loglik == pytest.approx(own.loglik, abs=1e-5)
+        assert np.allclose(fit.theta[0], own.theta[0], rtol=1e-3, atol=1e-4) and np.allclose(fit.residual, own.residual, rtol=1e-3, atol=1e-4)
+    joined = {(r["term"], r["trait1"], r["trait2"]): r["covariance"] for r in merged_pairs(found).collect()}
+    for term in ("g", "units"):
+        m = np.array([[joined[(term, *sorted((a, b)))] for b in ("y1", "y2", "y3")] for a in ("y1", "y2", "y3")])
+        assert np.linalg.eigvalsh(m)[0] > -1e-9 and m[0, 0] == pytest.approx((found["y1", "y2"].theta[0] if term == "g" else found["y1", "y2"].residual)[0, 0], rel=0.3)
+    with pytest.raises(ValueError, match="different traits"):
+        fit_pairs(rows, ["y1", "y1"])
