@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-__all__ = ["bh_fdr", "fdr_or_q", "fdr_threshold", "hit_clusters", "manhattan", "map_density", "neighbour_adjust", "peak_clusters", "peak_runs", "qtl_peaks", "storey_q", "top_similar"]
+__all__ = ["bh_fdr", "fdr_or_q", "fdr_threshold", "hit_clusters", "manhattan", "map_density", "neighbour_adjust", "peak_clusters", "peak_runs", "qtl_peaks", "stepwise", "storey_q", "top_similar"]
 
 
 def _p_values(df: DataFrame, p: str) -> Column:
@@ -92,7 +92,7 @@ def qtl_peaks(df: DataFrame, chrom: str = "chr", pos: str = "pos", lod: str = "l
     if drop is None or out is None:
         return out
     peaks = out.select(chrom, F.col(pos).alias("_pos"), F.col(lod).alias("_lod"), "peak")
-    rows = df.select(chrom, pos, lod).join(F.broadcast(peaks), chrom)  # ``most`` rows a chromosome
+    rows = df.select(chrom, pos, lod).join(peaks, chrom)  # ``most`` rows a chromosome
     low = F.col(lod) < F.col("_lod") - drop
     side = lambda f, where, end: F.coalesce(f(F.when(low & where, F.col(pos))), end(pos))
     ends = rows.groupBy(chrom, "peak", "_pos", "_lod").agg(side(F.max, F.col(pos) < F.col("_pos"), F.min).alias("left"), side(F.min, F.col(pos) > F.col("_pos"), F.max).alias("right"))
@@ -116,7 +116,7 @@ def peak_clusters(df: DataFrame, chrom: str, pos: str, score: str, threshold: fl
     peaks = peak_runs(df.select(chrom, pos, score), chrom, pos, score, threshold)
     ends = df.groupBy(chrom).agg(F.max(pos).alias("_end"))
     starts = ends.select(chrom, F.coalesce(F.sum("_end").over(Window.orderBy(chrom).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row for each chromosome
-    placed = peaks.join(F.broadcast(starts), chrom).withColumn("_x", array_to_vector(F.array((F.col(pos) + F.col("_start")).cast("double"))))
+    placed = peaks.join(starts, chrom).withColumn("_x", array_to_vector(F.array((F.col(pos) + F.col("_start")).cast("double"))))
     n = placed.select("_x").distinct().limit(clusters).count()
     if n < 2:
         found = placed.withColumn("cluster", F.lit(0))
@@ -126,6 +126,58 @@ def peak_clusters(df: DataFrame, chrom: str, pos: str, score: str, threshold: fl
     return best.select(F.col(f"b.{chrom}").alias(chrom), F.col(f"b.{pos}").alias(pos), score, "cluster", "n")
 
 
+def stepwise(df: DataFrame, response: str, candidates: Sequence[str], start: str = "full", fixed: Sequence[str] = ()) -> DataFrame:
+    """Linear regression on candidates, added and dropped one at a time while AIC falls: (step, action, variable, rss, aic).
+
+    The cross-products of all candidates are one grouped sum; each step sweeps them, so the records are read once. From the
+    ``full`` model or from ``none``; the intercept and ``fixed`` covariates stay. AIC is n log(rss / n) + 2 coefficients. Of equal
+    steps the first candidate's is taken. Records that lack any of the columns are left out; candidates that depend on
+    others don't come in.
+    """
+    from agromix.plans.design import build_design, gram_of
+    from agromix.plans.formula import Name
+
+    if start not in ("full", "none"):
+        raise ValueError("start from the full model or from none")
+    names = [*fixed, *candidates]
+    rows = df.dropna("any", subset=[response, *names]).select(F.col(response).cast("double").alias(response), *(F.col(x).cast("double").alias(x) for x in names))
+    gram = gram_of(build_design(rows, response, tuple(Name(x) for x in names), True, ()))
+    a, n = gram.sums["units"].copy(), gram.records["units"]
+    size, kept, variables = np.diag(a).copy(), 1 + len(fixed), range(1 + len(fixed), len(a) - 1)
+    inside = np.zeros(len(a), bool)
+
+    def sweep(k: int) -> None:
+        """Takes a variable into the model, or out of it again."""
+        nonlocal a
+        d, row, col = a[k, k], a[k].copy(), a[:, k].copy()
+        sign = -1.0 if inside[k] else 1.0
+        a = a - np.outer(col, row) / d
+        a[k], a[:, k], a[k, k] = sign * row / d, sign * col / d, -1 / d
+        inside[k] = not inside[k]
+
+    usable = lambda k: a[k, k] > 1e-9 * max(size[k], 1e-300)
+    for k in range(kept) if start == "none" else range(len(a) - 1):
+        if usable(k):
+            sweep(k)
+    criterion = lambda rss, p: float(n * np.log(max(rss, 1e-300) / n) + 2 * p)
+    now = criterion(a[-1, -1], int(inside.sum()))
+    path = [(0, "start", None, float(a[-1, -1]), now)]
+    while True:
+        best = None
+        for k in variables:
+            if inside[k] or usable(k):
+                rss = float(a[-1, -1] - a[k, -1] ** 2 / a[k, k])  # in the model a[k, k] is negative, so this rises
+                aic = criterion(rss, int(inside.sum()) + (-1 if inside[k] else 1))
+                if aic < now - 1e-9 * abs(now) and (best is None or aic < best[0] - 1e-9 * abs(now)):
+                    best = aic, k
+        if best is None:
+            return df.sparkSession.createDataFrame(path, "step int, action string, variable string, rss double, aic double")
+        now, k = best
+        action = "drop" if inside[k] else "add"
+        sweep(k)
+        path.append((len(path), action, names[k - 1], float(a[-1, -1]), now))
+
+
 def neighbour_adjust(df: DataFrame, trait: str, row: str, col: str, n_rows: int = 1, n_cols: int = 2, out: str = "nnx") -> DataFrame:
     """The trait less the mean of its neighbours: n_rows up and down the column, n_cols along the row; without any, the trait.
 
@@ -149,7 +201,7 @@ def manhattan(df: DataFrame, chrom: str, pos: str, p: str) -> DataFrame:
     ends = df.groupBy(chrom).agg(F.max(pos).alias("_end"))
     starts = ends.select(chrom, F.coalesce(F.sum("_end").over(Window.orderBy(chrom).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     raw = (df.agg(F.max(p)).first()[0] or 0) <= 1
-    return df.join(F.broadcast(starts), chrom).select(chrom, pos, (F.col(pos) + F.col("_start")).alias("cumulative"), (-F.log10(p) if raw else F.col(p)).alias("score"))
+    return df.join(starts, chrom).select(chrom, pos, (F.col(pos) + F.col("_start")).alias("cumulative"), (-F.log10(p) if raw else F.col(p)).alias("score"))
 
 
 def map_density(df: DataFrame, group: str = "LG", pos: str = "Position", bins: int = 20) -> DataFrame:

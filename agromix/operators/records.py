@@ -126,7 +126,7 @@ def level_fill(df: DataFrame, row: str, column: str, value: str, similarity: Dat
     """
     cells = level_table(df, row, column, value)
     columns = cells.select(column).distinct()
-    every = cells.select(row).distinct().crossJoin(F.broadcast(columns))  # the table itself has a row for each pair
+    every = cells.select(row).distinct().crossJoin(columns)  # the table itself has a row for each pair; Spark broadcasts the columns only if they are few
     related = similarity.filter("row <> col").select(F.col("row").alias(row), F.col("col").alias("_other"), F.col("value").alias("_s"))
     weighed = related.join(cells.withColumnsRenamed({row: "_other", "mean": "_seen"}), "_other").groupBy(row, column).agg((F.sum(F.col("_s") * F.col("_seen")) / F.nullif(F.sum(F.abs("_s")), F.lit(0.0))).alias("_fill"))
     made = every.join(cells, [row, column], "left").join(weighed, [row, column], "left")

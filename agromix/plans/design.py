@@ -24,7 +24,7 @@ from pyspark.sql.types import NumericType
 from agromix.operators.matrices import MAX_ORDER, dense
 from agromix.plans.formula import Call, Interaction, Name
 
-__all__ = ["Design", "Gram", "RandomTerm", "TooManyLevels", "build_design", "gram_of", "join_levels", "joined_key", "split_level"]
+__all__ = ["Design", "Gram", "RandomTerm", "TooManyLevels", "assembled", "build_design", "gram_cells", "gram_of", "join_levels", "joined_key", "split_level"]
 
 #: Bytes of cross-products on the driver; covariates that are summed as plain columns; widest dense block of a task.
 DRIVER_BYTES, PLAIN, DENSE = 4 << 30, 16, 512
@@ -463,6 +463,26 @@ def gram_of(design: Design) -> Gram:
             for i, j in pairs:
                 out.sums[r["_level"]][i, j] = out.sums[r["_level"]][j, i] = r[f"s{i}_{j}"]
         return out
+    found = gram_cells(design).toArrow()
+    i, j, v = (found.column(x).to_numpy() for x in ("i", "j", "v"))
+    level_of = np.array(found.column("_level").to_pylist(), dtype=object)
+    for level in design.levels:
+        own = level_of == level
+        out.sums[level], out.records[level], out.log_weights[level] = assembled(c, i[own], j[own], v[own])
+    return out
+
+
+def assembled(c: int, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, int, float]:
+    """(cross-products, records, sum of log weights) of one residual level from its cells."""
+    sums, cell = np.zeros((c + 1, c + 1)), i >= 0
+    sums[i[cell], j[cell]] = v[cell]
+    sums[j[cell], i[cell]] = v[cell]
+    return sums, int(v[i == -1].sum()), float(np.nan_to_num(v[i == -2]).sum())
+
+
+def gram_cells(design: Design) -> DataFrame:
+    """(_level, i, j, v): the cross-products by residual level as rows; -1 and -2 stand for the records and the sum of log weights."""
+    c, w, y = design.width, F.col("_w"), F.col("_y")
     rows = design.rows.filter("_y is not null").select("_entries", "_y", "_w", "_level")
     if design.numeric:
         cells = rows.mapInArrow(_partial(c), "_level string, i int, j int, v double")
@@ -472,14 +492,4 @@ def gram_of(design: Design) -> Gram:
         right = F.transform("_entries", lambda a: F.struct(a["i"].alias("i"), F.lit(c).alias("j"), (F.col("sy") * a["v"]).alias("v")))
         corner = F.array(F.struct(F.lit(c).alias("i"), F.lit(c).alias("j"), F.col("syy").alias("v")), F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col("n").cast("double").alias("v")), F.struct(F.lit(-2).alias("i"), F.lit(-2).alias("j"), F.col("lw").alias("v")))
         cells = cells.select("_level", F.inline(F.concat(own, right, corner)))
-    found = cells.groupBy("_level", "i", "j").agg(F.sum("v").alias("v")).toArrow()
-    i, j, v = (found.column(x).to_numpy() for x in ("i", "j", "v"))
-    level_of = np.array(found.column("_level").to_pylist(), dtype=object)
-    for level in design.levels:
-        own = level_of == level
-        cell = own & (i >= 0)
-        out.sums[level][i[cell], j[cell]] = v[cell]
-        out.sums[level][j[cell], i[cell]] = v[cell]
-        out.records[level] = int(v[own & (i == -1)].sum())
-        out.log_weights[level] = float(np.nan_to_num(v[own & (i == -2)]).sum())
-    return out
+    return cells.groupBy("_level", "i", "j").agg(F.sum("v").alias("v"))

@@ -6,8 +6,10 @@ import math
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,15 @@ from agromix.functions.numeric import chi2_sf, f_sf
 from agromix.operators.matrices import MAX_ORDER
 from agromix.operators.records import na_policy
 from agromix.plans.absorb import AbsorbedModel, fit_absorbed
-from agromix.plans.design import STRUCTURES, Design, Gram, TooManyLevels, build_design, gram_of, join_levels, joined_key, split_level
+from agromix.plans.design import STRUCTURES, Design, Gram, TooManyLevels, assembled, build_design, gram_cells, gram_of, join_levels, joined_key, split_level
 from agromix.plans.formula import Call, Formula, Interaction, Name, parse_formula, parse_terms
 from agromix.plans.large import LargeModel, fit_large
 from agromix.plans.multitrait import MultiFit, fit_pairs, fit_traits
 from agromix.plans.reml import Fit, fit_reml, psd_factor, scaled_columns
 from agromix.plans.whiten import Weights, whitened_gram
+from agromix.sources.scratch import written
 
-__all__ = ["Model", "absorbed", "crossed", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "vpredict", "wald_test"]
+__all__ = ["Model", "absorbed", "crossed", "lrt", "mmec", "mmer", "mmer_pairs", "two_stage", "two_stage_models", "vpredict", "wald_test"]
 
 
 @dataclass
@@ -368,6 +371,44 @@ def mmer_pairs(df: DataFrame, traits: Sequence[str], fixed: str = "1", random: s
     return fit_pairs(df, traits, fixed, random, **options)
 
 
+def two_stage_models(df: DataFrame, value: str, entry: str, env: str, first: str | None = None, random: bool = False, **options) -> Model:
+    """A mixed model for each environment, then one of all entries' estimates with their whole covariances as weights.
+
+    The first stage is value ~ 0 + entry with the random terms ``first`` ("~ block"); its cross-products are summed by
+    environment and each environment's fit is a task of its own, from these alone. The second stage is estimate ~ 0 +
+    entry, or ~ env with random entries, whitened by the inverse covariance of each environment's estimates and with the
+    residual held at 1. Entries that an environment can't tell apart are left out there.
+    """
+    terms = parse_terms(first)[0] if first else ()
+    rows = na_policy(df, [value], [entry, env])
+    design = build_design(rows, value, (Name(entry),), False, terms, env)
+    if any(len(t.inner) > 1 for t in design.random):
+        raise ValueError("the first stage takes random effects of one variance each")
+    c, names = design.width, design.fixed[0].names
+    light = SimpleNamespace(fixed=design.fixed, random=design.random, levels=["units"], width=c)
+    shape = pa.schema([("env", pa.string()), ("row", pa.string()), ("col", pa.string()), ("mean", pa.float64()), ("weight", pa.float64())])
+
+    def fit(cells: pa.Table) -> pa.Table:
+        if not cells.num_rows:
+            return shape.empty_table()
+        where = cells.column("_level")[0].as_py()
+        sums, records, logs = assembled(c, *(cells.column(x).to_numpy() for x in ("i", "j", "v")))
+        found = fit_reml(light, Gram({"units": sums}, {"units": records}, {"units": logs}))
+        kept = [k for k in found.kept if k < len(names)]
+        weight = np.linalg.inv(found.c_inverse[np.ix_(kept, kept)])
+        weight = (weight + weight.T) / 2
+        own = [names[k] for k in kept]
+        out = [(where, x, x, float(found.solution[k]), None) for x, k in zip(own, kept, strict=True)]
+        out += [(where, a, b, None, float(weight[i, j])) for i, a in enumerate(own) for j, b in enumerate(own)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), shape.types, strict=True)], schema=shape)
+
+    stage = written(gram_cells(design).groupBy("_level").applyInArrow(fit, "env string, row string, col string, mean double, weight double"))
+    means = stage.filter("mean is not null").select(F.col("env").alias(env), F.col("row").alias(entry), "mean")
+    cells = stage.filter("weight is not null").select(F.col("env").alias("group"), "row", "col", F.col("weight").alias("value"))
+    fixed = f"mean ~ {env}" if random else f"mean ~ 0 + {entry}"
+    return mmec(means, fixed, f"~ {entry}" if random else None, residual={"units": 1.0}, fixed_residual=True, weight_matrix=Weights(cells, env, entry), **options)
+
+
 def two_stage(df: DataFrame, value: str, entry: str, env: str, random: bool = False, **options) -> Model | AbsorbedModel:
     """Entry means by environment, then a model of these means weighted by n / residual variance of the environment.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agromix.functions.numeric import legendre, logspace
 from agromix.operators import kernels, lowrank, markers, matrices, ranking, records, scan, spatial
 from agromix.plans import structures
-from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, mmer_pairs, two_stage, vpredict
+from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, mmer_pairs, two_stage, two_stage_models, vpredict
 from agromix.plans.multitrait import merged_pairs
 from agromix.plans.whiten import ar1_weights
 from agromix.sources.tables import table
@@ -408,6 +408,16 @@ def hit_clusters(spark, folder):
     return ranking.hit_clusters(table(spark, folder, "customer"), "c_nationkey", "c_custkey", "c_acctbal", 5000, 60)
 
 
+STEPS = "WITH s AS (SELECT count(*) AS n, regr_syy(l_quantity, l_tax) AS yy, regr_sxx(l_quantity, l_tax) AS aa, regr_sxx(l_quantity, l_discount) AS bb, regr_sxy(l_quantity, l_tax) AS ay, regr_sxy(l_quantity, l_discount) AS yb, regr_sxy(l_discount, l_tax) AS ab FROM lineitem), r AS (SELECT n, yy AS r0, yy - ay * ay / aa AS ra, yy - yb * yb / bb AS rb, yy - (ay * ay * bb - 2 * ay * yb * ab + yb * yb * aa) / (aa * bb - ab * ab) AS rab FROM s), x AS (SELECT *, n * ln(r0 / n) + 2 AS x0, n * ln(ra / n) + 4 AS xa, n * ln(rb / n) + 4 AS xb, n * ln(rab / n) + 6 AS xab FROM r) "
+
+
+@query(STEPS + "SELECT 0 AS step, 'start' AS action, NULL AS variable, round(rab, 3) AS rss, round(xab, 6) AS aic FROM x UNION ALL SELECT 1, 'drop', CASE WHEN xb <= xa THEN 'l_tax' ELSE 'l_discount' END, round(CASE WHEN xb <= xa THEN rb ELSE ra END, 3), round(least(xa, xb), 6) FROM x WHERE least(xa, xb) < xab UNION ALL SELECT 2, 'drop', CASE WHEN xb <= xa THEN 'l_discount' ELSE 'l_tax' END, round(r0, 3), round(x0, 6) FROM x WHERE least(xa, xb) < xab AND x0 < least(xa, xb)")
+def stepwise_selection(spark, folder):
+    """Two candidates, each dropped if AIC falls, from sums of one scan."""
+    out = ranking.stepwise(table(spark, folder, "lineitem"), "l_quantity", ["l_tax", "l_discount"])
+    return out.withColumn("rss", F.round("rss", 3))
+
+
 @query("WITH g AS (SELECT p_partkey, p_partkey // 50 AS r, p_partkey % 50 AS c, p_retailprice AS y FROM part), n AS (SELECT a.p_partkey, avg(b.y) AS mean FROM g a JOIN g b ON (a.c = b.c AND abs(a.r - b.r) = 1) OR (a.r = b.r AND abs(a.c - b.c) BETWEEN 1 AND 2) GROUP BY 1) SELECT p_partkey, round(y - coalesce(mean, 0), 4) + 0.0 AS nnx FROM g LEFT JOIN n USING (p_partkey)", digits=4)
 def neighbours(spark, folder):
     grid = table(spark, folder, "part").select("p_partkey", F.floor(F.col("p_partkey") / 50).alias("r"), (F.col("p_partkey") % 50).alias("c"), "p_retailprice")
@@ -612,6 +622,18 @@ def two_stage_means(spark, folder):
     return two_stage(rows, "l_quantity", "l_suppkey", "l_returnflag").blues().select("level", "estimate")
 
 
+TRIALS = "WITH d AS (SELECT o_orderkey // 150 AS env, o_orderkey % 10 AS entry, (o_orderkey // 10) % 15 AS block, o_totalprice / 1000 + 20 * ((o_orderkey // 10) % 15 * 7 % 5) AS y FROM orders), m AS (SELECT env, entry, avg(y) AS m FROM d GROUP BY 1, 2), b AS (SELECT env, block, avg(y) AS m FROM d GROUP BY 1, 2), g AS (SELECT env, avg(y) AS m, sum((y - (SELECT avg(y) FROM d x WHERE x.env = d.env)) ** 2) AS total FROM d GROUP BY 1), t AS (SELECT g.env, g.m, g.total, (SELECT 15 * sum((m.m - g.m) ** 2) FROM m WHERE m.env = g.env) AS ssa, (SELECT 10 * sum((b.m - g.m) ** 2) FROM b WHERE b.env = g.env) AS ssb FROM g), v AS (SELECT env, m, ssb / 14 AS msb, (total - ssa - ssb) / 126 AS mse, (total - ssa) / 140 AS pooled FROM t), c AS (SELECT env, m, CASE WHEN msb > mse THEN mse ELSE pooled END / 15 AS own, CASE WHEN msb > mse THEN msb ELSE pooled END / 15 AS level FROM v) "
+
+
+@query(TRIALS + "SELECT CAST(entry AS VARCHAR) AS level, round(sum((m.m - c.m) / own) / sum(1 / own) + sum(c.m / level) / sum(1 / level), 5) AS estimate FROM m JOIN c USING (env) GROUP BY entry", digits=5)
+def two_stage_blocks(spark, folder):
+    """Trials in complete blocks, a mixed model each; their estimates joined with the covariance that shared blocks give them."""
+    key = F.col("o_orderkey")
+    block = F.floor(key / 10) % 15
+    rows = table(spark, folder, "orders").select(F.floor(key / 150).cast("string").alias("env"), (key % 10).cast("string").alias("entry"), block.cast("string").alias("block"), (F.col("o_totalprice") / 1000 + 20 * (block * 7 % 5)).alias("y"))
+    return two_stage_models(rows, "y", "entry", "env", "~ block").blues().select("level", "estimate")
+
+
 TRAITS = "WITH " + LONG + ", z AS (SELECT pos, v + 0.01 * pos AS a, v * v + 0.02 * ((pos * 7) % 64) AS b FROM cells), g AS (SELECT pos, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS eaa, covar_samp(a, b) AS eab, var_samp(b) AS ebb FROM z GROUP BY 1), s AS (SELECT max(n) AS n, max(n) * var_samp(ma) AS aa, max(n) * covar_samp(ma, mb) AS ab, max(n) * var_samp(mb) AS bb, avg(eaa) AS eaa, avg(eab) AS eab, avg(ebb) AS ebb FROM g) "
 
 
@@ -656,6 +678,18 @@ def us_covariance(spark, folder):
     return mmec(rows, "l_extendedprice ~ l_returnflag", "~ vsc(usc(l_returnflag), isc(g))").summary().select("component", "var_comp", "constraint", "converged")
 
 
+HALVES = "WITH " + LONG + ", z AS (SELECT pos, vec_id % 2 AS half, v + 0.02 * ((pos * 7) % 64) + (vec_id % 2) * 0.01 * ((pos * 11) % 64) AS y FROM cells), g AS (SELECT pos, half, count(*) AS n, avg(y) AS m, var_samp(y) AS v FROM z GROUP BY 1, 2), w AS (SELECT pos, max(CASE WHEN half = 0 THEN m END) AS a, max(CASE WHEN half = 1 THEN m END) AS b FROM g GROUP BY 1), e AS (SELECT avg(n) AS n, avg(v) AS mse FROM g), t AS (SELECT var_samp(a) AS aa, covar_samp(a, b) AS ab, var_samp(b) AS bb FROM w) "
+
+
+@query(HALVES + "SELECT '0:0' AS component, round(aa - mse / n, 5) AS var_comp, true AS converged FROM t, e UNION ALL SELECT '0:1', round(ab, 5), true FROM t UNION ALL SELECT '1:1', round(bb - mse / n, 5), true FROM t, e UNION ALL SELECT 'units', round(mse, 5), true FROM e", digits=5)
+def us_covariance_balanced(spark, folder):
+    """Unstructured covariance of places between the halves of the vectors, in a balanced layout: mean products between places."""
+    half = F.col("vec_id") % 2
+    rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), half.cast("string").alias("half"), (F.col("v") + 0.02 * ((F.col("pos") * 7) % 64) + half * 0.01 * ((F.col("pos") * 11) % 64)).alias("y"))
+    found = mmec(rows, "y ~ half", "~ vsc(usc(half), isc(place))").summary()
+    return found.select(F.substring_index("component", ".", -1).alias("component"), "var_comp", "converged")
+
+
 @query()
 def two_traits(spark, folder):
     rows = table(spark, folder, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 1000).cast("double").alias("second"), F.col("c_nationkey").cast("string").alias("nation"))
