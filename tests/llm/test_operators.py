@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -22,7 +23,7 @@ from agromix.llm.pieces import Pieces, decode, encode_merged, encode_nbest, mode
 from agromix.llm.rules import base_statistics, quality_rules
 from agromix.llm.token_counts import count_tokens, dealt_blocks, token_files, write_token_files
 from agromix.llm.tokens import SEPARATOR, encode_bytes, rank_file
-from agromix.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from agromix.llm.toxicity import LabelModel, fit_label_model, fit_toxicity, held_out, score_toxicity
 from agromix.llm.warc import parse_record, read_warc, record_bytes, write_warc
 
 SCHEMA = "doc_id long, text string, lang string, kept string, ID string, _row string, key string, score string"
@@ -370,6 +371,90 @@ def test_toxicity(spark):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
+def planted_votes(rng, n, rates, prior, labelled):
+    """Votes of independent voters by class, the true class, and a label on some rows that is wrong in one of thirty."""
+    truth = rng.random(n) < prior
+    cast = rng.random((n, len(rates))) < np.where(truth[:, None], [t for t, _ in rates], [c for _, c in rates])
+    label = np.where(rng.random(n) < labelled, (truth ^ (rng.random(n) < 1 / 30)).astype(float), np.nan)
+    return truth, cast.astype(float), label
+
+
+def vote_rows(spark, cast, label):
+    rows = [(list(map(int, np.flatnonzero(v))), None if np.isnan(y) else int(y), 1) for v, y in zip(cast, label)]
+    return spark.createDataFrame(rows, "voters array<int>, label int, n long")
+
+
+def log_likelihood(model, cast, label):
+    """Of votes and labels, row by row and voter by voter, both classes written out."""
+    total = 0.0
+    for v, y in zip(cast, label):
+        of = []
+        for prior, shares, right in ((model.prior, model.on_toxic, 1.0), (1 - model.prior, model.on_clean, 0.0)):
+            p = prior
+            for vote, share in zip(v, shares):
+                p *= share if vote else 1 - share
+            of.append(p * (1 if np.isnan(y) else model.trust if y == right else 1 - model.trust))
+        total += math.log(sum(of))
+    return total
+
+
+def test_label_model_recovers_planted_voters(spark):
+    rates = [(0.6, 0.02), (0.4, 0.01), (0.5, 0.05), (0.3, 0.02), (0.03, 0.4)]
+    truth, cast, label = planted_votes(np.random.default_rng(5), 4000, rates, 0.2, 0.2)
+    for_toxic = np.array([True] * 4 + [False])
+    start = LabelModel(0.4, np.array([0.4] * 4 + [0.1]), np.array([0.1] * 4 + [0.4]), np.eye(5))
+    rows = vote_rows(spark, cast, label)
+    model = fit_label_model(rows, start, for_toxic, rounds=30)
+    assert abs(model.prior - 0.2) < 0.02
+    assert np.abs(model.on_toxic - [t for t, _ in rates]).max() < 0.05 and np.abs(model.on_clean - [c for _, c in rates]).max() < 0.02
+    assert np.array_equal(model.overlap, np.eye(5))  # independent voters share nothing
+    # every step of expectation maximisation raises the likelihood; the posterior is Bayes' rule
+    steps = [log_likelihood(m, cast, label) for m in (start, fit_label_model(rows, start, for_toxic, rounds=1), fit_label_model(rows, start, for_toxic, rounds=3), model)]
+    assert all(b > a - 0.5 for a, b in zip(steps, steps[1:])) and steps[-1] > steps[0] + 50  # but for the half votes that smooth the shares
+    for v in cast[:50]:
+        a = model.prior * np.prod(np.where(v > 0, model.on_toxic, 1 - model.on_toxic))
+        b = (1 - model.prior) * np.prod(np.where(v > 0, model.on_clean, 1 - model.on_clean))
+        assert abs(1 / (1 + np.exp(-model.odds(v[None])[0])) - a / (a + b)) < 1e-9
+    told = ~np.isnan(label)
+    found = model.calibrated(cast[told], label[told])
+    assert abs(found.trust - 29 / 30) < 0.02 and abs(found.slope - 1) < 0.5
+    # voters that are sure overrule a wrong label, and the model is nearer to the truth than the labels
+    assert ((found.posterior(cast[told], label[told]) > 0.5) == truth[told]).mean() > (label[told] == truth[told]).mean()
+
+
+def test_label_model_lets_copies_of_a_voter_count_once(spark):
+    rates = [(0.5, 0.05), (0.5, 0.05), (0.5, 0.05)]
+    truth, cast, label = planted_votes(np.random.default_rng(6), 4000, rates, 0.3, 0.3)
+    cast = np.column_stack([cast, cast[:, :1], cast[:, :1], cast[:, :1]])  # one voter four times
+    start = LabelModel(0.3, np.full(6, 0.4), np.full(6, 0.1), np.eye(6))
+    model = fit_label_model(vote_rows(spark, cast, label), start, np.full(6, True))
+    same = model.overlap[np.ix_([0, 3, 4, 5], [0, 3, 4, 5])]
+    assert same.min() > 0.95 and model.overlap[1, 2] < 0.15
+    gains = model.odds(np.array([[1, 0, 0, 1, 1, 1], [0, 1, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0]], float))
+    assert abs((gains[0] - gains[2]) - (gains[1] - gains[2])) < 1.0
+
+
+def test_toxicity_learns_from_texts_without_labels(spark):
+    """Voters vote on texts that nobody labelled; ties, repeats, nulls and very long texts score as their words say."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        words = [rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(rng.randrange(20, 60))]
+        if i % 4 == 0:
+            for bad in rng.sample(["grobian", "scoundrel", "wretch", "lout"], rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words)), bad)
+        rows.append((i, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, rows[0][1]), (903, "alpha beta " * 60_000), (904, "scoundrel wretch grobian lout " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(900) if i % 3], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels)
+    assert len(model.voters) >= 4 and model.label_model.trust > 0.9
+    got = {r["doc_id"]: r for r in score_toxicity(docs, model).collect()}
+    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(900))
+    assert got[0]["score"] == got[902]["score"] and got[900]["score"] == got[901]["score"] < 0.5
+    assert got[903]["predicted"] == 0 and got[904]["predicted"] == 1
+
+
 def test_toxicity_never_reads_held_out_labels(spark):
     rows = spark.createDataFrame([(i, words(random.Random(i), 30)) for i in range(300)], "doc_id long, text string")
     known = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
