@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from agromix.operators.matrices import MAX_ORDER, dense, from_dense, hadamard
 
-__all__ = ["a_matrix", "ar1", "arma", "centred_cells", "cs", "d_matrix", "dealt", "e_matrix", "gram", "h_matrix", "sim_ge_correlation", "tiled_gram"]
+__all__ = ["a_matrix", "ar1", "arma", "centred_cells", "cs", "d_matrix", "dealt", "e_matrix", "gram", "h_inverse", "h_matrix", "pedigree_inverse", "sim_ge_correlation", "tiled_gram"]
 
 
 def _gram_of(order: int):
@@ -178,37 +178,116 @@ def e_matrix(markers: DataFrame, id_col: str = "id", marker: str = "marker", dos
     return hadamard(make[kind[0]](), make[kind[2]]())
 
 
+def _inverse(m: np.ndarray, tol: float) -> np.ndarray:
+    for bend in (0, tol, 10 * tol, 100 * tol):
+        try:
+            np.linalg.cholesky(m + bend * np.eye(len(m)))
+            return np.linalg.inv(m + bend * np.eye(len(m)))
+        except np.linalg.LinAlgError:
+            continue
+    raise ValueError("matrix is singular")
+
+
+def _named(matrix: DataFrame) -> DataFrame:
+    return matrix.select(F.col("row").cast("string").alias("row"), F.col("col").cast("string").alias("col"), F.col("value").cast("double").alias("value"))
+
+
+def _genotyped(a: DataFrame, g: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, DataFrame]:
+    """Names and matrix of the genotyped (as many as come to the driver), their pedigree block, founders on its diagonal, and places of the names."""
+    names, g22 = dense(g)
+    index = a.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, j int")
+    one, two = (F.broadcast(index.select(F.col("_name").alias(x), F.col("j").alias(f"_{x}"))) for x in ("row", "col"))
+    found, a22 = set(), np.zeros_like(g22)
+    for r in a.join(one, "row").join(two, "col").select("_row", "_col", "value").collect():  # at most as many cells as g has
+        a22[r["_row"], r["_col"]] = r["value"]
+        found.add(r["_row"])
+    for i in set(range(len(names))) - found:
+        a22[i, i] = 1.0
+    return names, g22, a22, index
+
+
+def _projected(loads: np.ndarray):
+    """Rows (row, j, v), sparse vectors of genotyped relatives, times a matrix: cells (row, k, value)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, 65_536 // max(loads.shape[1], 1))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                rows = np.zeros((part.num_rows, len(loads)))
+                for i in range(part.num_rows):
+                    rows[i, part.column(1)[i].values.to_numpy(zero_copy_only=False)] = part.column(2)[i].values.to_numpy(zero_copy_only=False)
+                made = rows @ loads
+                i, k = np.nonzero(made)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(k, pa.int32()), pa.array(made[i, k])], names=["row", "k", "value"])
+
+    return run
+
+
 def h_matrix(a: DataFrame, g: DataFrame, tau: float = 1.0, omega: float = 1.0, tol: float = 1e-6) -> DataFrame:
-    """Single-step relationships of pedigree (a) and genotyped individuals (g); those in g alone enter the pedigree as unrelated founders."""
-    names, full = dense(a)
-    genotyped, g22 = dense(g)
-    founders = sorted(set(genotyped) - set(names))
-    if len(names) + len(founders) > MAX_ORDER:
-        raise ValueError(f"a kernel of order over {MAX_ORDER} is not built")
-    full = np.block([[full, np.zeros((len(names), len(founders)))], [np.zeros((len(founders), len(names))), np.eye(len(founders))]])
-    names = names + founders
-    two = [names.index(x) for x in genotyped]
-    one = [i for i in range(len(names)) if i not in set(two)]
-
-    def inverse(m: np.ndarray) -> np.ndarray:
-        for bend in (0, tol, 10 * tol, 100 * tol):
-            try:
-                np.linalg.cholesky(m + bend * np.eye(len(m)))
-                return np.linalg.inv(m + bend * np.eye(len(m)))
-            except np.linalg.LinAlgError:
-                continue
-        raise ValueError("matrix is singular")
-
-    a22 = full[np.ix_(two, two)]
-    a22i = inverse(a22)
-    delta = inverse(tau * inverse(g22) + (1 - omega) * a22i) - a22
-    spread = full[np.ix_(one, two)] @ a22i
-    out = full.copy()
-    out[np.ix_(two, two)] += delta
-    out[np.ix_(one, two)] += spread @ delta
-    out[np.ix_(two, one)] += delta @ spread.T
-    out[np.ix_(one, one)] += spread @ delta @ spread.T
-    return from_dense(a.sparkSession, names, out)
+    """Single-step relationships of pedigree (a) and genotyped individuals (g); those in g alone enter the pedigree as unrelated founders.
+
+    H = A + A[., 2] M A[2, .], where M is as wide as there are genotyped individuals and comes from their two blocks on the
+    driver (MAX_ORDER at most, checked). The pedigree may have any number of individuals: each row's genotyped relatives are
+    multiplied by a root of M where they are, and the products of these are summed as kernels are, by tiles if need be.
+    Cells that are absent in ``a`` or in the result are 0.
+    """
+    a = _named(a)
+    names, g22, a22, index = _genotyped(a, g)
+    a22i = _inverse(a22, tol)
+    delta = _inverse(tau * _inverse(g22, tol) + (1 - omega) * a22i, tol) - a22
+    s, u = np.linalg.eigh(a22i @ (delta + delta.T) @ a22i / 2)
+    kept = np.abs(s) > 1e-12 * max(np.abs(s).max(), 1e-300)
+    founders = index.join(a.select(F.col("row").alias("_name")).distinct(), "_name", "left_anti")
+    own = founders.select(F.col("_name").alias("row"), F.col("_name").alias("col"), F.lit(1.0).alias("value"))
+    full = a.unionByName(own)
+    sides = full.join(F.broadcast(index), F.col("col") == F.col("_name")).groupBy("row").agg(F.collect_list(F.struct("j", "value")).alias("c"))  # as wide as g at most
+    out = full
+    for sign in (1.0, -1.0):
+        these = kept & (s * sign > 0)
+        if these.any():
+            loads = u[:, these] * np.sqrt(np.abs(s[these]))
+            cells = sides.select("row", "c.j", "c.value").mapInArrow(_projected(loads), "row string, k int, value double")
+            out = out.unionByName(gram(cells, "row", "k", "value").withColumn("value", sign * F.col("value")))
+    return out.groupBy("row", "col").agg(F.sum("value").alias("value"))
+
+
+def pedigree_inverse(pedigree: DataFrame, id_col: str = "id", sire: str = "sire", dam: str = "dam", inbreeding: str | None = None) -> DataFrame:
+    """The inverse of the additive relationships of a pedigree as sparse cells (row, col, value), by Henderson's rules.
+
+    Every individual adds a few cells of itself and its known parents, which one sum merges; nothing is inverted and any
+    number of individuals will do. Unknown parents are null; parents without a row of their own are founders. Without a
+    column of inbreeding coefficients none is inbred. An individual given twice counts once (the larger parents).
+    """
+    name = lambda c: F.col(c).cast("string")
+    rate = F.col(inbreeding).cast("double") if inbreeding else F.lit(0.0)
+    own = pedigree.filter(F.col(id_col).isNotNull()).select(name(id_col).alias("i"), F.struct(name(sire).alias("s"), name(dam).alias("d"), rate.alias("f")).alias("p")).groupBy("i").agg(F.max("p").alias("p")).select("i", "p.*")
+    parents = own.select(F.explode(F.array("s", "d")).alias("i")).filter("i IS NOT NULL").distinct().join(own.select("i"), "i", "left_anti")
+    every = own.unionByName(parents.select("i", F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("d"), F.lit(0.0).alias("f")))
+    left = F.lit(1.0)
+    if inbreeding:
+        rates = own.select("i", "f")
+        for side in ("s", "d"):
+            every = every.join(rates.select(F.col("i").alias(side), F.col("f").alias(f"_f{side}")), side, "left")
+            left = left - F.when(F.col(side).isNotNull(), 0.25 * (1 + F.coalesce(f"_f{side}", F.lit(0.0)))).otherwise(0.0)
+    else:
+        left = left - 0.25 * (F.col("s").isNotNull().cast("int") + F.col("d").isNotNull().cast("int"))
+    terms = F.filter(F.array(F.struct(F.col("i").alias("n"), F.lit(1.0).alias("w")), *(F.struct(F.col(x).alias("n"), F.lit(-0.5).alias("w")) for x in ("s", "d"))), lambda x: x["n"].isNotNull())
+    cells = every.select(terms.alias("t"), (1 / left).alias("v")).select(F.explode("t").alias("a"), "t", "v").select("a", F.explode("t").alias("b"), "v")
+    return cells.select(F.col("a.n").alias("row"), F.col("b.n").alias("col"), (F.col("a.w") * F.col("b.w") * F.col("v")).alias("value")).groupBy("row", "col").agg(F.sum("value").alias("value"))
+
+
+def h_inverse(a_inverse: DataFrame, a22: DataFrame, g: DataFrame, tau: float = 1.0, omega: float = 1.0, tol: float = 1e-6) -> DataFrame:
+    """The inverse of h_matrix() as sparse cells: a pedigree's inverse, and on the genotyped block tau G^-1 - omega A22^-1.
+
+    ``a22`` holds the relationships of the genotyped by pedigree (more cells do no harm); only that block is inverted.
+    """
+    a22, found = _named(a22), _named(a_inverse)
+    names, g22, block, index = _genotyped(a22, g)
+    change = tau * _inverse(g22, tol) - omega * _inverse(block, tol)
+    new = from_dense(a22.sparkSession, names, change)
+    founders = index.join(found.select(F.col("row").alias("_name")).distinct(), "_name", "left_anti").select(F.col("_name").alias("row"), F.col("_name").alias("col"), F.lit(1.0).alias("value"))
+    return found.unionByName(founders).unionByName(new).groupBy("row", "col").agg(F.sum("value").alias("value"))
 
 
 def _lagged(levels: DataFrame, column: str, value) -> DataFrame:

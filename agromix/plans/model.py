@@ -246,12 +246,13 @@ class Model:
         return t.main, zpz, zpy, self.fit.ypy, sum(self.gram.records.values()) - len(self.fit.kept)
 
 
-def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None, theta: dict | None = None, codes: dict | None = None, residual: dict | None = None, fixed_residual: bool = False, na_y: str = "exclude", na_x: str = "exclude", iterations: int = 100, em_only: bool = False, weight_matrix: Weights | None = None) -> Model | AbsorbedModel | LargeModel:
+def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None, theta: dict | None = None, codes: dict | None = None, residual: dict | None = None, fixed_residual: bool = False, na_y: str = "exclude", na_x: str = "exclude", iterations: int = 100, em_only: bool = False, weight_matrix: Weights | None = None, ties: Sequence[dict[str, float]] = ()) -> Model | AbsorbedModel | LargeModel:
     """Fits y = Xb + sum Z u + e by REML. ``rcov``: "~ units" or "~ vsc(dsc(level), isc(units))"; ``kernels`` are covariances.
 
     Random factors with more levels than a driver's matrix may have are absorbed (one) or solved for by conjugate
     gradients (several); what comes back then has fewer methods. ``weight_matrix`` (instead of ``weights``) takes residuals
-    that are correlated within groups of records.
+    that are correlated within groups of records. ``ties`` is a list of {component: multiple}: variances, named as in the
+    summary, that are these multiples of one parameter.
     """
     formula = parse_formula(fixed)
     if len(formula.responses) != 1:
@@ -287,13 +288,13 @@ def mmec(df: DataFrame, fixed: str, random: str | None = None, rcov: str | None
         design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, terms, level, weights, kernels, covariances)
     except TooManyLevels:
         parts = [_plain_factor(rows, t) for t in terms]
-        if level or em_only or weight_matrix or not parts or not all(parts):
+        if level or em_only or weight_matrix or ties or not parts or not all(parts):
             raise
         return _beyond_driver(rows, formula, parts, weights, theta, codes, residual, fixed_residual)
     if weight_matrix and weights:
         raise ValueError("a column of weights or weight matrices")
     gram = whitened_gram(design, weight_matrix) if weight_matrix else gram_of(design)
-    fit = fit_reml(design, gram, theta, codes, residual, fixed_residual, iterations, em_only=em_only)
+    fit = fit_reml(design, gram, theta, codes, residual, fixed_residual, iterations, em_only=em_only, ties=ties)
     if not fit.converged:
         warnings.warn(f"the fit of {fixed} has not converged in {fit.iterations} iterations", stacklevel=2)
     return Model(df.sparkSession, formula.responses[0], design, gram, fit)
@@ -426,7 +427,7 @@ def two_stage(df: DataFrame, value: str, entry: str, env: str, random: bool = Fa
 
 def lrt(full: Model, reduced: Model) -> dict[str, float]:
     """Likelihood-ratio test; degrees of freedom are the difference in estimated variance parameters and fixed coefficients."""
-    size = lambda m: len(m.fit.kept) + sum(int(((t.codes > 0) & (t.codes < 3))[np.triu_indices(len(t.codes))].sum()) for t in m.design.random) + len(m.fit.residual)
+    size = lambda m: len(m.fit.kept) + sum(int(((t.codes > 0) & (t.codes < 3))[np.triu_indices(len(t.codes))].sum()) for t in m.design.random) + len(m.fit.residual) - m.fit.shared
     df, ratio = size(full) - size(reduced), max(0.0, 2 * (full.fit.loglik - reduced.fit.loglik))
     return {"ratio": ratio, "df": df, "p_value": chi2_sf(ratio, df) if df > 0 else 1.0}
 

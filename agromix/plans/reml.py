@@ -13,6 +13,7 @@ Covariances with entries held at values or at zero have no free factor; these st
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +44,7 @@ class Fit:
     score: np.ndarray
     monitor: list[tuple[float, float]] = field(default_factory=list)
     boundary: list[str] = field(default_factory=list)
+    shared: int = 0
 
 
 def independent_columns(a: np.ndarray, tol: float = 1e-9) -> np.ndarray:
@@ -276,9 +278,40 @@ def ascend(slope: np.ndarray, curvature: np.ndarray, scale: np.ndarray) -> np.nd
     return vectors @ ((vectors.T @ (g / size)) / values) / size
 
 
-def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = None, codes: dict[str, np.ndarray] | None = None, residual: dict[str, float] | None = None, fixed_residual: bool = False, iterations: int = 100, tol: float = 1e-8, em_only: bool = False) -> Fit:
+def _name(term: RandomTerm, i: int) -> str:
+    """What summaries call the variance of an effect's inner level."""
+    return term.label if len(term.theta) == 1 else f"{term.label}.{term.inner[i]}:{term.inner[i]}"
+
+
+def _shared(groups: Sequence[dict[str, float]], names: list[str], multiples: dict) -> np.ndarray:
+    """The map from free parameters to all of them, where those of a group are fixed multiples of one.
+
+    Variances of effects are stepped by their roots, so the roots' ratios stay; residual ones by their logarithms.
+    """
+    column, roots = list(range(len(names))), np.ones(len(names))
+    for group in groups:
+        at = []
+        for name, c in group.items():
+            if name not in names or not c > 0:
+                raise ValueError(f"{name} is no free variance that can be tied, or its multiple isn't positive")
+            at.append(names.index(name))
+        sides = {names[i].startswith("residual.") for i in at}
+        if len(sides) != 1 or len(at) < 2 or any(column[i] != i or column.count(i) > 1 for i in at):
+            raise ValueError("a tie holds two or more variances of effects, or of residuals, each in one tie")
+        for i, c in zip(at, group.values(), strict=True):
+            column[i], multiples[names[i]] = at[0], (names[at[0]], float(c) / float(group[names[at[0]]]))
+            if True not in sides:
+                roots[i] = np.sqrt(float(c) / float(group[names[at[0]]]))
+    tie = np.zeros((len(names), len(names)))
+    tie[np.arange(len(names)), column] = roots
+    return tie[:, sorted(set(column))]
+
+
+def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = None, codes: dict[str, np.ndarray] | None = None, residual: dict[str, float] | None = None, fixed_residual: bool = False, iterations: int = 100, tol: float = 1e-8, em_only: bool = False, ties: Sequence[dict[str, float]] = ()) -> Fit:
     """Estimates all parameters whose code is 1 (positive) or 2 (free); 0 leaves out, 3 keeps the start.
 
+    ``ties``: variances, by the names of summaries, that are the given multiples of one common parameter.
+
     It has converged when a full step would move no parameter by more than ``tol`` of its scale, or when rounding of the
     likelihood hides any gain. ``iterations`` bounds the work; a fit that it ends says so (``converged``).
     """
@@ -302,11 +335,27 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
     eq = _Equations(gram, terms, kept)
     wanted = [k for k, c in enumerate(charts) if c.places]
     free_levels = [x for x in levels if x not in held]
+    multiples: dict = {}
+    tie = np.eye(sum(len(charts[k].places) for k in wanted) + len(free_levels))
+    if ties:
+        if em_only:
+            raise ValueError("ties are stepped by Newton's method alone")
+        diagonal = lambda k, i, j: i == j and charts[k].kind == "factor" and all(a == b for a, b in charts[k].places)
+        names = [_name(terms[k], i) if diagonal(k, i, j) else "" for k in wanted for i, j in charts[k].places] + [f"residual.{x}" for x in free_levels]
+        tie = _shared(ties, names, multiples)
+        at = {_name(terms[k], i): (k, i) for k in wanted for i, j in charts[k].places if diagonal(k, i, j)}
+        for name, (first, c) in multiples.items():
+            if name in at:
+                (k, i), (m, j) = at[name], at[first]
+                charts[k].value[i, i] = charts[m].value[j, j] * np.sqrt(c)
+            else:
+                left[name.removeprefix("residual.")] = left[first.removeprefix("residual.")] * c
     factors = [c.factor(c.value) for c in charts]
     state = eq.solve(factors, left) if all(f is not None for f in factors) else None
     if state is None:
         raise ValueError("the starting covariances are not positive definite")
     scale = np.array([np.sqrt(vy) if charts[k].kind == "factor" else vy for k in wanted for _ in charts[k].places] + [1.0] * len(free_levels))
+    scale = scale[[int(np.flatnonzero(c)[0]) for c in tie.T]]
     monitor, converged, cycle, quiet = [], False, 0, 0
     while cycle < iterations:
         cycle += 1
@@ -327,6 +376,8 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
         for i in range(at, len(along)):
             curve[i, i] -= slope[i]
         pinned = [at + i for i, x in enumerate(free_levels) if left[x] <= 1.01 * floor and slope[at + i] < 0]
+        slope, curve = tie.T @ slope, tie.T @ curve @ tie
+        pinned = [f for f, c in enumerate(tie.T) if set(np.flatnonzero(c)) <= set(pinned)]
         slope[pinned] = 0.0
         monitor.append((state["loglik"], float(np.abs(slope * scale).max())))
         step = ascend(slope, curve, scale)
@@ -348,7 +399,7 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
         slack = 1e-9 if longest < 1e-2 else 1e-13  # near the top, rounding hides what a step gains
         found, size = None, min(1.0, 3.0 / longest) if longest > 3 else 1.0
         while size > 1e-9:
-            move, at = size * step * scale, 0
+            move, at = tie @ (size * step * scale), 0
             values = [c.value for c in charts]
             for k in wanted:
                 n = len(charts[k].places)
@@ -401,7 +452,13 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
         along.append(("residual", x))
         score.append(by_level[x][0])
     info = eq.information(state, left, pulls, by_level, along) if along else np.zeros((0, 0))
+    if multiples and len(along):
+        called = [_name(terms[p[1]], p[2]) if p[0] == "theta" and p[2] == p[3] else f"residual.{p[1]}" if p[0] == "residual" else "" for p in parameters]
+        first = [multiples.get(n, (n, 1.0))[0] if n else i for i, n in enumerate(called)]
+        spread = np.array([[multiples.get(n, (n, 1.0))[1] if f == g else 0.0 for g in dict.fromkeys(first)] for n, f in zip(called, first, strict=True)])
+        # an information whose generalised inverse is the covariance of all, the tied ones moving together
+        info = np.linalg.pinv(spread @ np.linalg.pinv(spread.T @ info @ spread) @ spread.T)
     solution, inverse = np.zeros(design.width), np.zeros((design.width, design.width))
     solution[eq.columns] = state["solution"]
     inverse[np.ix_(eq.columns, eq.columns)] = state["c_inverse"]
-    return Fit(now, left, state["loglik"], converged, cycle, kept, solution, inverse, state["ypy"], parameters, info, np.array(score), monitor, boundary)
+    return Fit(now, left, state["loglik"], converged, cycle, kept, solution, inverse, state["ypy"], parameters, info, np.array(score), monitor, boundary, tie.shape[0] - tie.shape[1])

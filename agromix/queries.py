@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agromix.functions.numeric import legendre, logspace
@@ -242,6 +242,48 @@ def e_matrix_dominance(spark, folder):
     return kernels.e_matrix(dosages(spark, folder), kind="D#D")
 
 
+#: suppliers are half sibs, their nations the sires; a sire and its first offspring are genotyped, as places 1 to 50
+SIBS = "o AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS i, s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1 AS first FROM supplier), i AS (SELECT i, k, first, false AS sire, CASE WHEN first THEN 26 + k END AS place FROM o UNION ALL SELECT 'N' || CAST(n_nationkey AS VARCHAR), n_nationkey, true, true, n_nationkey + 1 FROM nation), ped AS (SELECT x.i AS row, y.i AS col, CASE WHEN x.i = y.i THEN 1.0::DOUBLE WHEN x.sire OR y.sire THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS value FROM i x JOIN i y USING (k)), gen AS (SELECT * FROM i WHERE place IS NOT NULL), a22i AS (SELECT x.i AS row, y.i AS col, CASE WHEN (SELECT count(*) FROM gen z WHERE z.k = x.k) = 1 THEN 1.0::DOUBLE WHEN x.i = y.i THEN 4.0::DOUBLE / 3 ELSE -2.0::DOUBLE / 3 END AS value FROM gen x JOIN gen y USING (k))"
+
+
+def sibs(spark, folder):
+    """Half sibs with their sire and place as the SQL has them: (i, sire, place)."""
+    rank = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    sire = lambda c: F.concat(F.lit("N"), F.col(c))
+    young = table(spark, folder, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey")).alias("i"), sire("s_nationkey").alias("sire"), F.when(rank == 1, 26 + F.col("s_nationkey")).cast("int").alias("place"))
+    old = table(spark, folder, "nation").select(sire("n_nationkey").alias("i"), F.lit(None).cast("string").alias("sire"), (F.col("n_nationkey") + 1).cast("int").alias("place"))
+    return young.unionByName(old)
+
+
+def sib_relationships(rows):
+    """The pedigree's relationships from within families."""
+    family = rows.select("i", F.coalesce("sire", "i").alias("k"), F.col("sire").isNull().alias("old"))
+    a, b = family.select(F.col("i").alias("row"), "k", F.col("old").alias("o1")), family.select(F.col("i").alias("col"), "k", F.col("old").alias("o2"))
+    return a.join(b, "k").select("row", "col", F.when(F.col("row") == F.col("col"), 1.0).when(F.col("o1") | F.col("o2"), 0.5).otherwise(0.25).alias("value"))
+
+
+def renamed(kernel, rows):
+    names = rows.filter("place IS NOT NULL").select(F.col("i"), F.col("place").cast("string").alias("p"))
+    one, two = names.select(F.col("i").alias("r"), F.col("p").alias("row")), names.select(F.col("i").alias("c"), F.col("p").alias("col"))
+    return kernel.select(F.col("row").cast("string").alias("row"), F.col("col").cast("string").alias("col"), "value").join(one, "row").join(two, "col").select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
+@query(f"WITH {GOOD.format(maf=0)}, {A_SQL}, {SIBS}, d AS (SELECT x.i AS row, y.i AS col, a.value - coalesce(p.value, 0) AS value FROM a JOIN gen x ON x.place = a.row JOIN gen y ON y.place = a.col LEFT JOIN ped p ON p.row = x.i AND p.col = y.i), w AS (SELECT p.row, b.col, sum(p.value * b.value) AS value FROM ped p JOIN a22i b ON p.col = b.row GROUP BY 1, 2), wd AS (SELECT w.row, d.col, sum(w.value * d.value) AS value FROM w JOIN d ON w.col = d.row GROUP BY 1, 2), c AS (SELECT wd.row, w.row AS col, sum(wd.value * w.value) AS value FROM wd JOIN w ON wd.col = w.col GROUP BY 1, 2 UNION ALL SELECT row, col, value FROM ped) SELECT row, col, round(sum(value), 6) + 0.0 AS value FROM c GROUP BY 1, 2")
+def single_step(spark, folder):
+    """Relationships of half sibs, where sires and their first offspring have markers."""
+    rows = sibs(spark, folder)
+    return kernels.h_matrix(sib_relationships(rows), renamed(kernels.a_matrix(dosages(spark, folder)), rows))
+
+
+@query(f"WITH {SIBS}, size AS (SELECT count(*) AS n FROM gen), c AS (SELECT i AS row, i AS col, CASE WHEN sire THEN 1.0::DOUBLE ELSE 4.0::DOUBLE / 3 END AS value FROM i UNION ALL SELECT x.i, y.i, -2.0::DOUBLE / 3 FROM i x JOIN i y ON x.k = y.k AND x.sire <> y.sire UNION ALL SELECT s.i, s.i, 1.0::DOUBLE / 3 FROM i s JOIN o USING (k) WHERE s.sire UNION ALL SELECT row, col, -value FROM a22i UNION ALL SELECT x.i, y.i, (CASE WHEN x.i = y.i THEN 1 ELSE 0 END - 0.3::DOUBLE / (1 + (n - 1) * 0.3::DOUBLE)) / 0.7::DOUBLE FROM gen x, gen y, size) SELECT row, col, round(sum(value), 6) + 0.0 AS value FROM c GROUP BY 1, 2")
+def single_step_inverse(spark, folder):
+    """The sparse inverse for those half sibs, the genotyped being equally related by their markers."""
+    rows = sibs(spark, folder)
+    of = rows.filter("place IS NOT NULL")
+    inverse = kernels.pedigree_inverse(rows.withColumn("dam", F.lit(None).cast("string")), "i")
+    return kernels.h_inverse(inverse, sib_relationships(of), kernels.cs(of, "i", 0.3))
+
+
 SHAPES = "WITH m AS (SELECT 'counts' AS matrix, CAST(l_returnflag AS VARCHAR) AS r, CAST(l_linestatus AS VARCHAR) AS c, count(*) AS v FROM lineitem GROUP BY 2, 3 UNION ALL SELECT 'flags', l_returnflag, l_returnflag, count(*) FROM lineitem GROUP BY 2, 3 UNION ALL SELECT 'regions', r_name, n_name, 1 FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'neighbours', CAST(a.n_nationkey AS VARCHAR), CAST(b.n_nationkey AS VARCHAR), a.n_nationkey + b.n_nationkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey) "
 
 

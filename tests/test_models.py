@@ -263,3 +263,37 @@ def test_hybrids_of_overlapping_sets_come_once(spark):
     assert got == ["a:a", "a:b", "a:c", "b:b", "b:c", "c:c"]
     part = markers.build_hybrids(rows.filter("id <> 'a'"), rows.filter("id <> 'c'"))
     assert sorted({r["hybrid"] for r in part.collect()}) == ["b:a", "b:b", "c:a", "c:b"]
+
+
+def test_tied_variances(trial):
+    """Ties over all environments are the plain interaction; other multiples lie at the maximum of the full likelihood."""
+    free = mmec(trial, "y ~ env + x", "~ vsc(dsc(env), isc(g))")
+    names = [n for n, _ in free.components() if not n.startswith("residual")]
+    diagonal = [n for n in names if len(set(n.rsplit(".", 1)[1].split(":"))) == 1]
+    assert len(diagonal) == 3
+    tied = mmec(trial, "y ~ env + x", "~ vsc(dsc(env), isc(g))", ties=[dict.fromkeys(diagonal, 1.0)])
+    plain = mmec(trial, "y ~ env + x", "~ env:g")
+    assert tied.fit.converged and tied.fit.loglik == pytest.approx(plain.fit.loglik, abs=1e-6)
+    assert values(tied)[diagonal[0]] == pytest.approx(values(plain)["env:g"], rel=1e-5) and lrt(free, tied)["df"] == 2
+    errors = {r["component"]: r["var_comp_se"] for r in tied.summary().collect()}
+    assert len({round(errors[n], 9) for n in diagonal}) == 1
+    assert errors[diagonal[0]] == pytest.approx({r["component"]: r["var_comp_se"] for r in plain.summary().collect()}["env:g"], rel=1e-4)
+    even = mmec(trial, "y ~ env + x", "~ g", "~ vsc(dsc(env), isc(units))", ties=[{"residual.e0": 2.0, "residual.e2": 2.0, "residual.e1": 2.0}])
+    assert values(even)["residual.e1"] == pytest.approx(values(mmec(trial, "y ~ env + x", "~ g"))["residual.units"], rel=1e-5)
+
+    model = mmec(trial, "y ~ env + x", "~ g + env:g", "~ vsc(dsc(env), isc(units))", ties=[{"g": 3.0, "env:g": 1.0}, {"residual.e0": 1.0, "residual.e2": 1.5}])
+    got = values(model)
+    assert model.fit.converged and got["g"] == pytest.approx(3 * got["env:g"]) and got["residual.e2"] == pytest.approx(1.5 * got["residual.e0"])
+    pdf = trial.toPandas()
+    x = np.column_stack([np.ones(len(pdf)), pdf.env == "e1", pdf.env == "e2", pdf.x]).astype(float)
+    z = np.array([[float(g == f"g{i:02d}") for i in range(20)] for g in pdf.g])
+    zz = np.array([[float(e == f"e{k}" and g == f"g{i:02d}") for k in range(3) for i in range(20)] for g, e in zip(pdf.g, pdf.env, strict=True)])
+    at = lambda s, r, o: dense_reml(pdf, x, [z, zz], [3 * s * np.eye(20), s * np.eye(60)], pdf.env.map({"e0": r, "e1": o, "e2": 1.5 * r}).to_numpy())
+    here = got["env:g"], got["residual.e0"], got["residual.e1"]
+    assert model.fit.loglik == pytest.approx(at(*here), abs=1e-6)
+    for k in range(3):
+        for factor in (0.98, 1.02):
+            assert at(*(v * (factor if i == k else 1) for i, v in enumerate(here))) < model.fit.loglik
+    for bad in ([{"g": 1.0, "residual.e0": 1.0}], [{"g": 1.0}], [{"g": 1.0, "nothing": 1.0}], [{"g": 1.0, "env:g": 0.0}]):
+        with pytest.raises(ValueError):
+            mmec(trial, "y ~ env", "~ g + env:g", ties=bad)
