@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agromix.sources.scratch import written
+
 __all__ = ["bh_fdr", "fdr_or_q", "fdr_threshold", "hit_clusters", "manhattan", "map_density", "neighbour_adjust", "peak_clusters", "peak_runs", "qtl_peaks", "stepwise", "storey_q", "top_similar"]
 
 
@@ -24,8 +26,8 @@ def bh_fdr(df: DataFrame, p: str) -> DataFrame:
     """
     rows = df.withColumn("_p", _p_values(df, p))
     values = rows.filter("_p is not null").groupBy("_p").agg(F.count("*").alias("_c"))
-    # 4096 ranges of -log10 p bound what is ordered in one place to the ranges' summaries
-    values = values.withColumn("_r", F.least(F.lit(4095), F.floor(-F.log10(F.greatest(F.col("_p"), F.lit(1e-300))) * 64)).cast("int"))
+    # ranges by sampled quantiles hold about as many values each; written once, so that all readers see the same ranges
+    values = written(values.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_p").withColumn("_r", -F.spark_partition_id()))
     inside = Window.partitionBy("_r").orderBy("_p")
     ranges = values.groupBy("_r").agg(F.sum("_c").alias("_n"))
     before = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)

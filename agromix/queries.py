@@ -732,6 +732,16 @@ def us_covariance_balanced(spark, folder):
     return found.select(F.substring_index("component", ".", -1).alias("component"), "var_comp", "converged")
 
 
+@query(HALVES + "SELECT h AS component, round((aa + bb) / 2 - mse / n, 5) AS var_comp, true AS converged FROM t, e, (VALUES ('0:0'), ('1:1')) AS v(h) UNION ALL SELECT 'units', round(mse, 5), true FROM e", digits=5)
+def tied_variances(spark, folder):
+    """Places have one variance in both halves of the vectors: two components, tied; in a balanced layout mean squares pooled."""
+    half = F.col("vec_id") % 2
+    rows = cells(spark, folder).select(F.concat(F.lit("P"), F.col("pos")).alias("place"), half.cast("string").alias("half"), (F.col("v") + 0.02 * ((F.col("pos") * 7) % 64) + half * 0.01 * ((F.col("pos") * 11) % 64)).alias("y"))
+    label = "vsc(dsc(half), isc(place))"
+    found = mmec(rows, "y ~ half", f"~ {label}", ties=[{f"{label}.0:0": 1.0, f"{label}.1:1": 1.0}]).summary()
+    return found.select(F.substring_index("component", ".", -1).alias("component"), "var_comp", "converged").filter("component <> '0:1'")
+
+
 @query()
 def two_traits(spark, folder):
     rows = table(spark, folder, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 1000).cast("double").alias("second"), F.col("c_nationkey").cast("string").alias("nation"))
