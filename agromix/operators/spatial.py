@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["Margin", "bspline_basis", "margin", "spatial_design", "spatial_terms", "tensor_bases", "tps"]
+__all__ = ["PARTS", "Margin", "bspline_basis", "margin", "margins", "spatial_design", "spatial_terms", "tensor_bases", "tps"]
 
 
 def bspline_basis(x: np.ndarray, low: float, high: float, segments: int, degree: int) -> np.ndarray:
@@ -85,15 +85,12 @@ def _evaluate(x: Margin, y: Margin, parts: list[str], at: int, nested: tuple[Mar
     return run
 
 
-def spatial_design(df: DataFrame, x_col: str, y_col: str, segments: tuple[int, int] | None = None, degree: tuple[int, int] = (3, 3), order: tuple[int, int] = (2, 2), nest: tuple[int, int] = (1, 1), method: str = "wood") -> DataFrame:
-    """``df`` with the bases as array columns base, fC, fR, fC_R, C_fR, fC_fR, evaluated in parallel.
+#: The fixed part and the five penalised ones of a tensor-spline surface.
+PARTS = ("base", "fC", "fR", "fC.R", "C.fR", "fC.fR")
 
-    Segments default to one less than the distinct values in each dimension. Only the range and count of the coordinates
-    come to the driver. Rows without coordinates are refused. ``nest`` divides the segments of the interaction fC_fR, and
-    ``method`` is that of tensor_bases().
-    """
-    if method not in ("wood", "lee"):
-        raise ValueError("method is wood or lee")
+
+def margins(df: DataFrame, x_col: str, y_col: str, segments: tuple[int, int] | None = None, degree: tuple[int, int] = (3, 3), order: tuple[int, int] = (2, 2), nest: tuple[int, int] = (1, 1)) -> tuple[Margin, Margin, tuple[Margin, Margin] | None]:
+    """The margins that spatial_design() evaluates, and the coarser ones of its last part if ``nest`` asks for them."""
     seen = df.agg(*(f(c) for c in (x_col, y_col) for f in (F.min, F.max, F.count_distinct)), F.max(F.col(x_col).isNull() | F.col(y_col).isNull())).first()
     if seen[6]:
         raise ValueError("rows without coordinates")
@@ -102,7 +99,20 @@ def spatial_design(df: DataFrame, x_col: str, y_col: str, segments: tuple[int, i
     nested = None
     if max(nest) > 1:
         nested = tuple(margin(m.low, m.high, max(1, m.segments // k), m.degree, m.order) for m, k in zip((x, y), nest, strict=True))
-    parts = ["base", "fC", "fR", "fC.R", "C.fR", "fC.fR"]
+    return x, y, nested
+
+
+def spatial_design(df: DataFrame, x_col: str, y_col: str, segments: tuple[int, int] | None = None, degree: tuple[int, int] = (3, 3), order: tuple[int, int] = (2, 2), nest: tuple[int, int] = (1, 1), method: str = "wood") -> DataFrame:
+    """``df`` with the bases as array columns base, fC, fR, fC_R, C_fR, fC_fR, evaluated in parallel.
+
+    Segments default to one less than the distinct values in each dimension. Only the range and count of the coordinates
+    come to the driver. Rows without coordinates are refused. ``nest`` divides the segments of the interaction fC_fR, and
+    ``method`` is that of tensor_bases().
+    """
+    if method not in ("wood", "lee"):
+        raise ValueError("method is wood or lee")
+    x, y, nested = margins(df, x_col, y_col, segments, degree, order, nest)
+    parts = list(PARTS)
     rows = df.withColumns({"_x": F.col(x_col).cast("double"), "_y": F.col(y_col).cast("double")})
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{p}` array<double>" for p in parts)])
     out = rows.mapInArrow(_evaluate(x, y, parts, len(df.columns), nested, method), schema)

@@ -12,6 +12,7 @@ from agromix.operators import kernels, lowrank, markers, matrices, ranking, reco
 from agromix.plans import structures
 from agromix.plans.model import absorbed, crossed, lrt, mmec, mmer, mmer_pairs, two_stage, two_stage_models, vpredict
 from agromix.plans.multitrait import merged_pairs
+from agromix.plans.smooth import sap
 from agromix.plans.whiten import ar1_weights
 from agromix.sources.tables import table
 from agromix.streaming.sums import moments
@@ -782,6 +783,16 @@ def spatial_model(spark, folder):
     return mmec(spatial.spatial_design(grid, "r", "c", (4, 4)), f"y ~ {base}", f"~ {random}").summary().select("component", "var_comp", "constraint", "converged")
 
 
+@query(digits=4)
+def overlapping_penalties(spark, folder):
+    """A planted surface over a grid of parts, found under noise: one variance for each direction, for odd and even parts."""
+    grid = table(spark, folder, "part").select("p_partkey", F.floor(F.col("p_partkey") / 50).alias("r"), (F.col("p_partkey") % 50).alias("c"), (F.floor(F.col("p_partkey") / 50) % 2).cast("string").alias("k"))
+    truth = F.sin(F.col("r") / 3) * F.cos(F.col("c") / 9) + F.col("r") * 0.05 + F.col("c") * 0.02
+    noise = F.pmod((F.col("r") * 50 + F.col("c")) * 7919, F.lit(1009)) / 1009 - 0.5
+    grid = grid.withColumn("truth", F.when(F.col("k") == "0", truth).otherwise(2 - truth)).withColumn("y", F.col("truth") + noise)
+    return sap(grid, "y", "c", "r", "SAP", at="k", segments=(6, 6)).fitted().select("p_partkey", "k", "truth", "fitted")
+
+
 @query()
 def reduced_rank_model(spark, folder):
     """Supplier groups by return flag: loadings of the flags from the table of means, then a factor model."""
