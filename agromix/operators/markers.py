@@ -138,11 +138,11 @@ def ne_marker(markers: DataFrame, sizes: Sequence[int] = tuple(range(10, 101, 10
 
     Markers beyond ``max_marker`` are left out by a seeded hash: sampling is what this operator does.
     """
-    chosen = markers.select("marker").distinct().orderBy(F.xxhash64("marker", F.lit(seed)), "marker").limit(max_marker)
+    chosen = markers.select("marker").distinct().orderBy(F.md5(F.concat_ws("/", "marker", F.lit(seed))), "marker").limit(max_marker)
     alleles = markers.join(chosen, "marker", "left_semi").select("id", "marker", F.explode(F.expr("case when dosage = 0 then array(0, 1) when dosage < 0 then array(0) when dosage > 0 then array(1) else array() end")).alias("allele"))
     total = alleles.select("marker", "allele").distinct().count()
     draws = markers.select("id").distinct().select("id", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("draw"))
-    order = Window.partitionBy("draw").orderBy(F.xxhash64("id", "draw", F.lit(seed)), "id")
+    order = Window.partitionBy("draw").orderBy(F.md5(F.concat_ws("/", "id", "draw", F.lit(seed))), "id")
     ranked = draws.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= max(sizes))
     first = alleles.join(ranked, "id").groupBy("draw", "marker", "allele").agg(F.min("k").alias("k"))
     held = [F.sum((F.col("k") <= n).cast("long")).alias(str(n)) for n in sizes]

@@ -392,11 +392,10 @@ def ld_unlinked(spark, folder):
     return markers.ld_unlinked(dosages(spark, folder, True), positions(spark))
 
 
-@query("SELECT * FROM (VALUES (2, false, true), (64, true, true)) AS t(ne, every, share)")
+@query(f"WITH {BY_PLACE}, c AS (SELECT DISTINCT marker FROM m), chosen AS (SELECT marker FROM c ORDER BY md5(CAST(marker AS VARCHAR) || '/1'), marker LIMIT 1000), al AS (SELECT id, marker, unnest(CASE WHEN dosage = 0 THEN [0, 1] WHEN dosage < 0 THEN [0] ELSE [1] END) AS allele FROM m JOIN chosen USING (marker)), t AS (SELECT count(*) AS total FROM (SELECT DISTINCT marker, allele FROM al)), d AS (SELECT id, draw, row_number() OVER (PARTITION BY draw ORDER BY md5(CAST(id AS VARCHAR) || '/' || CAST(draw AS VARCHAR) || '/1'), id) AS k FROM (SELECT DISTINCT id FROM m), (SELECT unnest(range(1, 6)) AS draw)), f AS (SELECT draw, marker, allele, min(k) AS k FROM al JOIN d USING (id) GROUP BY ALL), h AS (SELECT draw, ne, count(*) FILTER (k <= ne) / any_value(total) AS share FROM f, t, (VALUES (2), (8), (64)) AS v(ne) GROUP BY 1, 2) SELECT ne, round(avg(share), 6) AS allele_mean, round(stddev_samp(share), 6) AS allele_sd FROM h GROUP BY 1")
 def allele_coverage(spark, folder):
-    """All 64 individuals hold every allele; of samples of two, the share lies between none and all."""
-    found = markers.ne_marker(dosages(spark, folder).filter("id <= 64"), sizes=(2, 64))
-    return found.select("ne", (F.col("allele_mean") == 1).alias("every"), F.col("allele_mean").between(0.01, 1).alias("share"))
+    """Shares of all alleles that samples of two, eight and all 64 individuals hold, over five samples."""
+    return markers.ne_marker(dosages(spark, folder), sizes=(2, 8, 64))
 
 
 @query(f"WITH {GOOD.format(maf=0)}, {A_SQL}, w AS (SELECT e.pos AS row, e.label AS col, avg(e.v) AS value FROM (SELECT vec_id, label, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) e GROUP BY 1, 2), t AS (SELECT row, col, CASE WHEN (row + col) % 7 <> 0 THEN value END AS value FROM w), k AS (SELECT a.row, o.col, a.value AS s, o.value AS seen, row_number() OVER (PARTITION BY a.row, o.col ORDER BY abs(a.value) DESC, a.col) AS k FROM a JOIN t o ON o.row = a.col AND o.value IS NOT NULL), e AS (SELECT row, col, avg(CASE WHEN s > 0 THEN seen END) AS estimate FROM k WHERE k <= 10 GROUP BY 1, 2), b AS (SELECT t.row, t.col, t.value, e.estimate FROM t LEFT JOIN e USING (row, col)), l AS (SELECT row, regr_slope(value, estimate) AS b, regr_intercept(value, estimate) AS a FROM b GROUP BY 1), g AS (SELECT avg(value) AS g FROM t) SELECT row, col, round(value, 6) + 0.0 AS value, round(coalesce(value, a + b * estimate, g), 6) + 0.0 AS imputed, round(coalesce(estimate, g), 6) + 0.0 AS estimate FROM b JOIN l USING (row), g")
