@@ -183,6 +183,9 @@ class _Equations:
         for t, at, f in zip(self.terms, self.places, factors, strict=True):
             rhs[at] = scaled_columns(rhs[None, at], f, len(t.main))[0]
         free, spreads = c_inverse @ rhs, []  # effects free of scale, and their traces with inv(K)
+        free = free + c_inverse @ (rhs - c @ free)
+        # y'Py by a form in which errors of the effects are of second order: it is a small difference of large numbers
+        ypy = float(m[-1, -1] - rhs @ free - free @ (rhs - c @ free))
         for t, at, f in zip(self.terms, self.places, factors, strict=True):
             q, n = len(t.main), len(f)
             own = c_inverse[at, at].reshape(n, q, n, q)
@@ -191,8 +194,9 @@ class _Equations:
             c_inverse[:, at] = scaled_columns(c_inverse[:, at], f.T, len(t.main))
         for t, at, f in zip(self.terms, self.places, factors, strict=True):
             c_inverse[at] = scaled_columns(c_inverse[at].T, f.T, len(t.main)).T
-        solution = c_inverse @ m[:-1, -1]
-        ypy = float(m[-1, -1] - m[:-1, -1] @ solution)
+        solution = free.copy()
+        for t, at, f in zip(self.terms, self.places, factors, strict=True):
+            solution[at] = scaled_columns(free[None, at], f.T, len(t.main))[0]
         log_r = sum(self.gram.records[x] * np.log(residual[x]) - self.gram.log_weights[x] for x in self.sums)
         loglik = -0.5 * (logdet + 2 * np.log(np.diag(chol)).sum() + log_r + ypy)
         return {"m": m, "c_inverse": c_inverse, "solution": solution, "ypy": ypy, "loglik": float(loglik), "free": free, "spreads": spreads, "factors": factors} if np.isfinite(loglik) else None
@@ -397,6 +401,7 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
             continue
         longest = float(np.abs(step).max())
         slack = 1e-9 if longest < 1e-2 else 1e-13  # near the top, rounding hides what a step gains
+        blur = 4 * np.finfo(float).eps * state["m"][-1, -1]  # of y'Py, which is a difference from y'R^-1 y
         found, size = None, min(1.0, 3.0 / longest) if longest > 3 else 1.0
         while size > 1e-9:
             move, at = tie @ (size * step * scale), 0
@@ -408,7 +413,7 @@ def fit_reml(design: Design, gram: Gram, theta: dict[str, np.ndarray] | None = N
             left_new = left | {x: max(left[x] * float(np.exp(np.clip(s, -30, 30))), floor) for x, s in zip(free_levels, move[at:], strict=True)}
             factors = [c.factor(v) for c, v in zip(charts, values, strict=True)]
             candidate = eq.solve(factors, left_new) if all(f is not None for f in factors) else None
-            if candidate is not None and candidate["loglik"] >= state["loglik"] - slack * (1 + abs(state["loglik"])):
+            if candidate is not None and candidate["loglik"] >= state["loglik"] - slack * (1 + abs(state["loglik"])) - blur:
                 found = values, left_new, candidate
                 break
             size /= 4

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from agromix.operators import kernels, markers, matrices, ranking, records, scan
+from agromix.plans.design import Block, Design, Gram, RandomTerm
 from agromix.plans.model import absorbed, lrt, mmec, mmer, two_stage, vpredict
+from agromix.plans.reml import fit_reml
 
 
 @pytest.fixture(scope="module")
@@ -297,3 +299,23 @@ def test_tied_variances(trial):
     for bad in ([{"g": 1.0, "residual.e0": 1.0}], [{"g": 1.0}], [{"g": 1.0, "nothing": 1.0}], [{"g": 1.0, "env:g": 0.0}]):
         with pytest.raises(ValueError):
             mmec(trial, "y ~ env", "~ g + env:g", ties=bad)
+
+
+def test_many_records_with_a_large_mean_converge():
+    """Cross-products as of a million records of one variance in both halves: the likelihood's rounding must not end the fit early."""
+    q, n = 64, 6000
+    for seed, mean in ((6, 100.0), (8, 1000.0), (9, 0.0)):
+        rng, place, total = np.random.default_rng(seed), np.arange(q), np.zeros((2 * q + 3, 2 * q + 3))
+        means, spread = np.zeros((2, q)), np.zeros((2, q))
+        for h in range(2):
+            means[h] = mean + 0.02 * ((place + 1) * 7 % 64) + h * 0.01 * ((place + 1) * 11 % 64) + rng.normal(0, 0.125 / np.sqrt(n), q)
+            spread[h] = 0.125**2 * rng.chisquare(n - 1, q)
+            x = np.zeros((q, 2 * q + 3))  # a place's records alike, but for the spread of their values
+            x[place, 2 + h * q + place], x[:, 0], x[:, 1], x[:, -1] = 1, 1, h, means[h]
+            total += n * x.T @ x
+            total[-1, -1] += spread[h].sum()
+        term = RandomTerm("p", 2, [f"{a}:{b}" for a in "01" for b in place], ("place",), ["0", "1"], [str(b) for b in place], 0.15 * np.eye(2), np.eye(2, dtype=int))
+        design = Design(None, [Block("(Intercept)", 0, ["(Intercept)"]), Block("half", 1, ["1"])], [term], ["units"], False)
+        found = fit_reml(design, Gram({"units": total}, {"units": 2 * q * n}, {"units": 0.0}), ties=[{"p.0:0": 1.0, "p.1:1": 1.0}])
+        mse = spread.mean() / (n - 1)
+        assert found.converged and found.theta[0][0, 0] == pytest.approx(means.var(axis=1, ddof=1).mean() - mse / n, rel=1e-7) and found.residual["units"] == pytest.approx(mse, rel=1e-7)
