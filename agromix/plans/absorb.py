@@ -2,8 +2,8 @@
 
 For y = Xb + Zu + e with u ~ N(0, su I) and e ~ N(0, se / w), a level enters the equations of b only through its sum of
 weights n and its sums m = [X y]'w. At the ratio r = se / su, absorbing u leaves A - sum of m m' / (n + r). Levels with
-equal n share that factor, so one grouped sum of m m' by n serves every r: a fit is two Spark jobs, whatever the number
-of levels, and the likelihood's slope in r has its root found on the driver. Effects come back by one join with a
+equal n share that factor, so one grouped sum of m m' by n serves every r: a fit is a few Spark jobs, whatever the number
+of levels, and the likelihood's slope in r has its root found on the driver. A held r needs one sum over all levels. Effects come back by one join with a
 broadcast row of coefficients. Absorption as in Henderson (1975); the profile likelihood as in Patterson and Thompson (1971).
 """
 
@@ -14,9 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from agromix.plans.design import DRIVER_BYTES, Design, gram_of
+from agromix.plans.design import DRIVER_BYTES, ENTRY, PLAIN, Design, gram_of
 from agromix.plans.reml import independent_columns
+from agromix.sources.scratch import written
 
 __all__ = ["AbsorbedModel", "fit_absorbed"]
 
@@ -101,14 +103,32 @@ class AbsorbedModel:
 
 
 def _by_level(design: Design, level: str) -> DataFrame:
-    """(level, n, my, m: the entries of X'w by coefficient), a row for each level."""
-    rows = design.rows.filter("_y is not null").select(F.col(level).cast("string").alias("level"), "_entries", "_y", "_w").filter("level is not null")
-    cells = rows.select("level", F.inline(F.concat(
-        F.transform("_entries", lambda e: F.struct(e["i"].alias("i"), (e["v"] * F.col("_w")).alias("v"))),
-        F.array(F.struct(F.lit(-1).alias("i"), F.col("_w").alias("v")), F.struct(F.lit(-2).alias("i"), (F.col("_w") * F.col("_y")).alias("v"))))))
-    sums = cells.groupBy("level", "i").agg(F.sum("v").alias("v"))
+    """(level, n, my, m: the entries of X'w by coefficient), a row for each level.
+
+    A few covariates are plain sums in one aggregation; only designs of factors, or wider ones, are taken apart by entry.
+    """
+    whole = isinstance(design.rows.schema[level].dataType, IntegralType)  # these are grouped faster than their texts, and into the same levels
+    key = F.col(level) if whole else F.col(level).cast("string")
+    rows, w = design.rows.filter("_y is not null").withColumn("_own", key).filter("_own is not null"), F.col("_w")
+    name = F.col("_own").cast("string").alias("level")
+    if design.plain is not None and len(design.plain) == design.width <= PLAIN:
+        sums = rows.groupBy("_own").agg(F.sum(w).alias("n"), F.sum(w * F.col("_y")).alias("my"), *(F.sum(w * x).alias(f"_m{i}") for i, x in enumerate(design.plain)))
+        entries = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_m{i}").alias("v")) for i in range(design.width))).cast(ENTRY)
+        return sums.select(name, "n", "my", entries.alias("m"))
+    cells = rows.select("_own", F.inline(F.concat(
+        F.transform("_entries", lambda e: F.struct(e["i"].alias("i"), (e["v"] * w).alias("v"))),
+        F.array(F.struct(F.lit(-1).alias("i"), w.alias("v")), F.struct(F.lit(-2).alias("i"), (w * F.col("_y")).alias("v"))))))
+    sums = cells.groupBy("_own", "i").agg(F.sum("v").alias("v"))
     some = lambda at: F.sum(F.when(F.col("i") == at, F.col("v")))
-    return sums.groupBy("level").agg(some(-1).alias("n"), some(-2).alias("my"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "v"))).alias("m"))
+    return sums.groupBy("_own").agg(some(-1).alias("n"), some(-2).alias("my"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "v"))).alias("m")).select(name, "n", "my", "m")
+
+
+def _at_ratio(pairs: DataFrame, ratio: float, order: int) -> np.ndarray:
+    """The sum of m m' / (n + ratio) over all levels: what a held ratio needs, whatever the levels' sums of weights."""
+    out = np.zeros((order, order))
+    for r in pairs.groupBy("p.i", "p.j").agg(F.sum(F.col("p.v") / (F.col("n") + ratio)).alias("v")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
+    return out
 
 
 def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | None = None) -> AbsorbedModel:
@@ -121,9 +141,22 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
     a = gram.sums["units"]
     records = gram.records["units"]
     kept = independent_columns(a[:c, :c]) if c else np.array([], int)
-    by_level = _by_level(design, level)
+    by_level = written(_by_level(design, level))  # summed once: another run might add the weights in another order, to other sums
     entries = F.concat("m", F.array(F.struct(F.lit(c).alias("i"), F.col("my").alias("v"))))
     pairs = by_level.select("n", entries.alias("m")).select("n", F.explode(F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y["i"] >= x["i"]), lambda y: F.struct(x["i"].alias("i"), y["i"].alias("j"), (x["v"] * y["v"]).alias("v")))))).alias("p"))
+    own, p = np.append(kept, c), len(kept)
+    a = a[np.ix_(own, own)]
+    if variances is not None:
+        su, se = map(float, variances)
+        constraint, ratio = "fixed", se / su if su > 0 else np.inf
+        logs = float(by_level.agg(F.sum(F.log1p(F.col("n") / ratio))).first()[0] or 0.0) if 0 < ratio < np.inf else 0.0
+        left = _at_ratio(pairs, ratio, c + 1) if np.isfinite(ratio) else np.zeros((c + 1, c + 1))
+        s = a - left[np.ix_(own, own)]
+        inverse = np.linalg.inv(s[:p, :p]) if p else np.zeros((0, 0))
+        beta = inverse @ s[:p, p]
+        rest = float(s[p, p] - s[:p, p] @ beta)
+        value = (records - p) * np.log(se) + rest / se + (np.linalg.slogdet(s[:p, :p])[1] if p else 0.0) + logs
+        return _model(design, level, by_level, su, se, constraint, -0.5 * (value - gram.log_weights["units"]), kept, beta, inverse)
     sizes = by_level.groupBy("n").agg(F.count("*").alias("q"))
     most = max(1, DRIVER_BYTES // (8 * (c + 1) ** 2))
     counts = sizes.limit(most + 1).collect()
@@ -134,8 +167,7 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
     place, b = {x: i for i, x in enumerate(n)}, np.zeros((len(n), c + 1, c + 1))
     for r in pairs.groupBy("n", "p.i", "p.j").agg(F.sum("p.v").alias("v")).collect():
         b[place[r["n"]], r["i"], r["j"]] = b[place[r["n"]], r["j"], r["i"]] = r["v"]
-    own = np.append(kept, c)
-    a, b, p = a[np.ix_(own, own)], b[:, own][:, :, own], len(kept)
+    b = b[:, own][:, :, own]
 
     def at(ratio: float) -> tuple:
         """(-2 profile log-likelihood, its slope, sum of squares, coefficients, inverse) at se / su = ratio."""
@@ -150,25 +182,25 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
         slope = (records - p) * float(v @ change @ v) / rest + float(np.sum(inverse * change[:p, :p])) - (float(q @ (n / (ratio * (ratio + n)))) if 0 < ratio < np.inf else 0.0)
         return value, slope, rest, beta, inverse
 
-    if variances is not None:
-        su, se = map(float, variances)
-        constraint, ratio = "fixed", se / su if su > 0 else np.inf
+    grid = np.exp(np.linspace(-25, 25, 201))
+    values = [at(r)[0] for r in grid]
+    k = int(np.argmin(values))
+    if at(np.inf)[0] <= values[k] + 1e-12 * abs(values[k]):
+        ratio, constraint = np.inf, "boundary"
     else:
-        grid = np.exp(np.linspace(-25, 25, 201))
-        values = [at(r)[0] for r in grid]
-        k = int(np.argmin(values))
-        if at(np.inf)[0] <= values[k] + 1e-12 * abs(values[k]):
-            ratio, constraint = np.inf, "boundary"
-        else:
-            low, high, constraint = np.log(grid[max(k - 1, 0)]), np.log(grid[min(k + 1, 200)]), "positive"
-            for _ in range(200):  # the slope changes sign once between the neighbours of the best place
-                mid = (low + high) / 2
-                low, high = (low, mid) if at(np.exp(mid))[1] > 0 else (mid, high)
-            ratio = float(np.exp((low + high) / 2))
-        se = at(ratio)[2] / (records - p)
-        su = se / ratio if np.isfinite(ratio) else 0.0
+        low, high, constraint = np.log(grid[max(k - 1, 0)]), np.log(grid[min(k + 1, 200)]), "positive"
+        for _ in range(200):  # the slope changes sign once between the neighbours of the best place
+            mid = (low + high) / 2
+            low, high = (low, mid) if at(np.exp(mid))[1] > 0 else (mid, high)
+        ratio = float(np.exp((low + high) / 2))
+    se = at(ratio)[2] / (records - p)
+    su = se / ratio if np.isfinite(ratio) else 0.0
     value, _, rest, beta, inverse = at(ratio)
     scaled = -0.5 * (value - (records - p) * np.log(rest) + (records - p) * np.log(se) + rest / se - gram.log_weights["units"])
-    solution = np.zeros(c)
+    return _model(design, level, by_level, su, se, constraint, scaled, kept, beta, inverse)
+
+
+def _model(design: Design, level: str, by_level: DataFrame, su: float, se: float, constraint: str, loglik: float, kept: np.ndarray, beta: np.ndarray, inverse: np.ndarray) -> AbsorbedModel:
+    solution = np.zeros(design.width)
     solution[kept] = beta
-    return AbsorbedModel(level, design, by_level, su, se, constraint, float(scaled), kept, solution, inverse * se, bool(np.isinf(su)))
+    return AbsorbedModel(level, design, by_level, su, se, constraint, float(loglik), kept, solution, inverse * se, bool(np.isinf(su)))

@@ -1,10 +1,14 @@
 """Effects of any number of levels: conjugate gradients and absorption against dense fits."""
 
+import math
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from agromix.plans import design, model
-from agromix.plans.model import crossed, mmec, two_stage
+from agromix.plans import absorb, design, model
+from agromix.plans.model import absorbed, crossed, mmec, two_stage
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +90,22 @@ def test_mmec_beyond_a_drivers_matrix(trial, monkeypatch):
         mmec(trial, "y ~ x", "~ a + b", codes={"a": [[3]]}, theta={"a": [[1.0]]})
     with pytest.raises(ValueError, match="would not fit"):
         mmec(trial, "y ~ x", "~ vsc(usc(g), isc(a))")
+
+
+def test_an_absorbed_model_sums_its_levels_once(spark, monkeypatch):
+    """Weights whose sums depend on the order they are added in, which another run of the same aggregation may change."""
+    plan, calls, noise = absorb._by_level, [], F.udf(lambda: time.time_ns() % 1000 / 1000, "double").asNondeterministic()
+
+    def shifted(made, level):
+        calls.append(level)
+        return plan(made, level).withColumn("n", F.col("n") * (1 + (noise() - 0.5) * 1e-12))
+
+    rows = spark.createDataFrame([(f"g{i % 9}", float((i * 37) % 11), 0.1 * (1 + i % 7)) for i in range(90)], "g string, y double, w double")
+    means = {k: m / n for k, m, n in ((r["g"], r["m"], r["n"]) for r in rows.groupBy("g").agg(F.sum(F.col("y") * F.col("w")).alias("m"), F.sum("w").alias("n")).collect())}
+    want = mmec(rows, "y ~ 1", "~ g", weights="w").fit
+    monkeypatch.setattr(absorb, "_by_level", shifted)
+    fixed = absorb.fit_absorbed(design.build_design(rows, "y", (), False, (), None, "w"), "g", (math.inf, 1.0))
+    got = {r["level"]: r["estimate"] for r in fixed.blues().collect()}
+    assert calls and got.keys() == means.keys() and all(got[k] == pytest.approx(means[k]) for k in means)
+    found = absorbed(rows, "y ~ 1", "g", weights="w")
+    assert (found.su, found.se, found.loglik) == pytest.approx((float(want.theta[0][0, 0]), want.residual["units"], want.loglik), rel=1e-5, abs=1e-6)
