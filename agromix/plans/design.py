@@ -285,12 +285,15 @@ def _kernel(encoder: _Encoder, main, kernel: DataFrame) -> tuple[list[str], np.n
     return dense(cut, seen)
 
 
-def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, random: tuple, residual: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None) -> Design:
-    """The design of a one-response model. ``kernels``: name -> (row, col, value) covariance; ``covariances``: name -> (levels, loadings) or a constraint matrix."""
+def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, random: tuple, residual: str | None = None, weights: str | None = None, kernels: dict | None = None, covariances: dict | None = None, apart: bool = False) -> Design:
+    """The design of a one-response model. ``kernels``: name -> (row, col, value) covariance; ``covariances``: name -> (levels, loadings) or a constraint matrix.
+
+    ``apart``: the residual levels, any number of them, are only for gram_cells() and stay where they are; none is listed.
+    """
     encoder = _Encoder(df, covariances or {})
     level = F.col(residual).cast("string") if residual else F.lit("units")
     wanted = {k: v for t in (*fixed, *random) for k, v in encoder.keys_of(t).items()}
-    encoder.find_levels(wanted | ({"the residual": level} if residual else {}))
+    encoder.find_levels(wanted | ({"the residual": level} if residual and not apart else {}))
     at, entries = 0, []
     blocks: list[Block] = []
     terms: list[RandomTerm] = []
@@ -376,7 +379,7 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
     if at > MAX_ORDER:
         raise TooManyLevels(f"{at} coefficients; over {MAX_ORDER} their cross-products would not fit the driver")
     rows = encoder.df.withColumns({"_entries": F.concat(*entries) if entries else F.array().cast(ENTRY), "_y": F.col(response).cast("double"), "_w": F.col(weights).cast("double") if weights else F.lit(1.0), "_level": level})
-    levels = encoder.known["the residual"] if residual else ["units"]
+    levels = [] if apart else encoder.known["the residual"] if residual else ["units"]
     if 8 * len(levels) * (at + 1) ** 2 > DRIVER_BYTES:
         raise ValueError(f"{len(levels)} residual levels of {at} coefficients; their cross-products would not fit the driver")
     return Design(rows, blocks, terms, levels, encoder.numeric, encoder.plain)

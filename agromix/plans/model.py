@@ -376,13 +376,13 @@ def two_stage_models(df: DataFrame, value: str, entry: str, env: str, first: str
     """A mixed model for each environment, then one of all entries' estimates with their whole covariances as weights.
 
     The first stage is value ~ 0 + entry with the random terms ``first`` ("~ block"); its cross-products are summed by
-    environment and each environment's fit is a task of its own, from these alone. The second stage is estimate ~ 0 +
+    environment, of which there may be any number, and each one's fit is a task of its own, from these alone. The second stage is estimate ~ 0 +
     entry, or ~ env with random entries, whitened by the inverse covariance of each environment's estimates and with the
     residual held at 1. Entries that an environment can't tell apart are left out there.
     """
     terms = parse_terms(first)[0] if first else ()
     rows = na_policy(df, [value], [entry, env])
-    design = build_design(rows, value, (Name(entry),), False, terms, env)
+    design = build_design(rows, value, (Name(entry),), False, terms, env, apart=True)
     if any(len(t.inner) > 1 for t in design.random):
         raise ValueError("the first stage takes random effects of one variance each")
     c, names = design.width, design.fixed[0].names

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from agromix.plans import design
 from agromix.plans.model import mmec, two_stage_models
 
 
@@ -40,3 +41,13 @@ def test_entries_missing_from_an_environment_and_random_entries(trials):
     assert model.fit.converged and model.blups().count() == 8
     with pytest.raises(ValueError, match="one variance"):
         two_stage_models(some, "y", "entry", "env", "~ vsc(dsc(block), isc(entry))")
+
+
+def test_more_environments_than_a_dictionary_may_have(trials, monkeypatch):
+    """Environments are groups of records, not coefficients: their number has no bound."""
+    many = trials.selectExpr("env", "entry", "block", "y").unionByName(trials.selectExpr("concat(env, 'x')", "entry", "block", "2 * y + 1").toDF("env", "entry", "block", "y"))
+    many = many.unionByName(many.selectExpr("concat(env, 'z')", "entry", "block", "y - 3").toDF("env", "entry", "block", "y"))
+    want = {r["level"]: r["estimate"] for r in two_stage_models(many, "y", "entry", "env", "~ block").blues().collect()}
+    monkeypatch.setattr(design, "MAX_ORDER", 14)  # 13 coefficients, 16 environments
+    got = {r["level"]: r["estimate"] for r in two_stage_models(many, "y", "entry", "env", "~ block").blues().collect()}
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
