@@ -13,9 +13,21 @@ from pyspark.sql import functions as F
 from agromix.functions.numeric import log_beta_tail
 from agromix.operators.kernels import a_matrix
 from agromix.operators.matrices import MAX_ORDER, dense
+from agromix.plans.absorb import AbsorbedModel
 from agromix.plans.model import Model, mmec
 
-__all__ = ["gwas", "kinship_components", "scan_markers", "scan_refits"]
+__all__ = ["gwas", "kinship_components", "scan_absorbed", "scan_markers", "scan_refits"]
+
+
+def _tested(markers: pa.Array, t: np.ndarray, s: np.ndarray, good: np.ndarray, ypy: float, df: int) -> pa.RecordBatch:
+    """Effects and tests of markers from m'Pm and m'Py; null where not ``good``."""
+    beta = np.where(good, s / np.where(good, t, 1), np.nan)
+    rest = (ypy - np.where(good, s * beta, 0)) / (df - 1)
+    se = np.sqrt(np.where(good, rest / np.where(good, t, 1), np.nan))
+    f = np.where(good, (beta / se) ** 2, np.nan)
+    score = [None if not np.isfinite(x) else -log_beta_tail((df - 1) / 2, 0.5, (df - 1) / (df - 1 + x)) / math.log(10) for x in f]
+    nullable = lambda x: pa.array([None if not np.isfinite(v) else float(v) for v in x], pa.float64())
+    return pa.RecordBatch.from_arrays([markers, nullable(beta), nullable(se), nullable(f), pa.array(score, pa.float64())], names=["marker", "effect", "std_error", "f_value", "score"])
 
 
 def _scanner(shared, order: int):
@@ -27,14 +39,7 @@ def _scanner(shared, order: int):
             for k in range(n):
                 m[k, index[k].values.to_numpy(zero_copy_only=False)] = values[k].values.to_numpy(zero_copy_only=False)
             t, s = np.einsum("ij,jk,ik->i", m, zpz, m, optimize=True), m @ zpy
-            good = t > 1e-9 * max(float(np.trace(zpz)), 1e-300)
-            beta = np.where(good, s / np.where(good, t, 1), np.nan)
-            rest = (ypy - np.where(good, s * beta, 0)) / (df - 1)
-            se = np.sqrt(np.where(good, rest / np.where(good, t, 1), np.nan))
-            f = np.where(good, (beta / se) ** 2, np.nan)
-            score = [None if not np.isfinite(x) else -log_beta_tail((df - 1) / 2, 0.5, (df - 1) / (df - 1 + x)) / math.log(10) for x in f]
-            nullable = lambda x: pa.array([None if not np.isfinite(v) else float(v) for v in x], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), nullable(beta), nullable(se), nullable(f), pa.array(score, pa.float64())], names=["marker", "effect", "std_error", "f_value", "score"])
+            yield _tested(batch.column(0), t, s, t > 1e-9 * max(float(np.trace(zpz)), 1e-300), ypy, df)
 
     return run
 
@@ -48,6 +53,38 @@ def _dosages(markers: DataFrame, levels: list[str], min_maf: float, ploidy: int)
     return cells.join(stats, "marker").groupBy("marker").agg(F.collect_list(F.struct("i", F.coalesce("x", "mid").alias("v"))).alias("c")).select("marker", "c.i", "c.v")
 
 
+def scan_absorbed(model: AbsorbedModel, markers: DataFrame, min_maf: float = 0.05, ploidy: int = 2) -> DataFrame:
+    """scan_markers() for one plain effect of any number of genotypes, from a table with a row for each of these.
+
+    Without a kernel Z'V^-1 Z is diagonal, so a marker needs sums over its genotypes alone: of n x^2, of x y and of x by
+    fixed coefficient, each genotype weighted by r / (n + r) at the ratio r of the variances. These are one join and one
+    grouped sum; the coefficients' covariance travels with the tasks.
+    """
+    x, ratio = F.col("dosage").cast("double"), model.se / model.su if model.su > 0 else math.inf
+    weight = (F.lit(1.0) if math.isinf(ratio) else ratio / (F.col("n") + ratio)) / model.se
+    own = model.levels.select("level", *((F.col(c) * weight).alias(f"_{c}") for c in ("n", "my")), F.transform("m", lambda e: F.struct(e["i"].alias("i"), (e["v"] * weight).alias("v"))).alias("_m"))
+    cells = markers.select(F.col("id").cast("string").alias("level"), F.col("marker").cast("string").alias("marker"), x.alias("x")).join(own, "level")
+    stats = cells.groupBy("marker").agg(F.median("x").alias("mid"), (F.avg(F.col("x") + ploidy / 2) / ploidy).alias("p")).filter(F.least(F.col("p"), 1 - F.col("p")) > min_maf).select("marker", "mid")
+    dosed = cells.join(F.broadcast(stats) if stats.limit(MAX_ORDER + 1).count() <= MAX_ORDER else stats, "marker").withColumn("x", F.coalesce("x", "mid"))
+    part = lambda i, v: F.struct(F.lit(i).alias("i"), v.alias("v"))
+    parts = F.concat(F.array(part(-1, F.col("_n") * F.col("x") * F.col("x")), part(-2, F.col("_my") * F.col("x"))), F.transform("_m", lambda e: F.struct(e["i"].alias("i"), (e["v"] * F.col("x")).alias("v"))))
+    sums = dosed.select("marker", F.inline(parts)).groupBy("marker", "i").agg(F.sum("v").alias("v")).groupBy("marker").agg(F.collect_list(F.struct("i", "v")).alias("c"))
+    kept, covariance, solution, ypy, df = model.kept, model.covariance, model.solution[model.kept], model.ypy, model.records - len(model.kept)
+    width = model.design.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = np.zeros((batch.num_rows, width + 2))  # the last two places are those of -2 and -1
+            for k in range(batch.num_rows):
+                c = batch.column(1)[k].values
+                m[k, c.field("i").to_numpy(zero_copy_only=False)] = c.field("v").to_numpy(zero_copy_only=False)
+            a = m[:, kept]
+            t, s = m[:, -1] - np.einsum("ij,jk,ik->i", a, covariance, a, optimize=True), m[:, -2] - a @ solution
+            yield _tested(batch.column(0), t, s, t > 1e-9 * m[:, -1], ypy, df)
+
+    return sums.mapInArrow(run, "marker string, effect double, std_error double, f_value double, score double")
+
+
 def scan_markers(model: Model, term: str, markers: DataFrame, min_maf: float = 0.05, ploidy: int = 2) -> DataFrame:
     """(marker, effect, std_error, f_value, score = -log10 p) for each marker of (id, marker, dosage).
 
@@ -186,6 +223,8 @@ def kinship_components(kernel: DataFrame, n: int) -> DataFrame:
 def gwas(df: DataFrame, fixed: str, random: str, markers: DataFrame, term: str, n_pc: int = 0, min_maf: float = 0.05, p3d: bool = True, kernels: dict | None = None, id_col: str | None = None, **options) -> DataFrame:
     """A scan at the components of one REML fit (``p3d``) or refitted with each marker as a fixed covariate.
 
+    A plain effect of more genotypes than a driver's matrix may have is scanned where they are (scan_absorbed()).
+
     Refits of a model with one random effect are made in the tasks (scan_refits()); with more variances, or covariances,
     each is a whole fit of its own, for a few markers. ``n_pc`` adds that many principal components of the additive kernel as fixed covariates.
     """
@@ -195,6 +234,10 @@ def gwas(df: DataFrame, fixed: str, random: str, markers: DataFrame, term: str,
         df = df.join(F.broadcast(pcs), key)  # as wide as the kernel, which is bounded
         fixed = fixed + "".join(f" + pc{j + 1}" for j in range(n_pc))
     model = mmec(df, fixed, random, kernels=kernels, **options)
+    if isinstance(model, AbsorbedModel):
+        if not p3d or term != model.term:
+            raise ValueError(f"with over {MAX_ORDER} genotypes a scan keeps the variances of one effect, that of the genotypes")
+        return scan_absorbed(model, markers, min_maf)
     if p3d:
         return scan_markers(model, term, markers, min_maf)
     if len(model.design.random) == 1 and len(model.design.random[0].inner) == 1 and len(model.design.levels) == 1:

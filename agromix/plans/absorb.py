@@ -39,6 +39,9 @@ class AbsorbedModel:
     covariance: np.ndarray
     #: The effect is a fixed one (variance without end): its levels are among the estimates.
     as_fixed: bool = False
+    #: y'Py and the records, for scans.
+    ypy: float = 0.0
+    records: int = 0
 
     def summary(self) -> DataFrame:
         rows = [(self.term, self.su, self.constraint, True), ("residual.units", self.se, "fixed" if self.constraint == "fixed" else "positive", True)]
@@ -131,8 +134,11 @@ def _at_ratio(pairs: DataFrame, ratio: float, order: int) -> np.ndarray:
     return out
 
 
-def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | None = None) -> AbsorbedModel:
-    """REML for a design of fixed effects and one more random effect, the levels of column ``level``; or, at given (su, se), its solutions; an infinite su makes the effect a fixed one."""
+def fit_absorbed(design: Design, level: str, variances: tuple[float, float | None] | None = None) -> AbsorbedModel:
+    """REML for a design of fixed effects and one more random effect, the levels of column ``level``; or, at given (su, se), its solutions.
+
+    An infinite su makes the effect a fixed one; beside a su of 0, se may be None, and is estimated.
+    """
     if design.random or len(design.levels) != 1:
         raise ValueError("absorption takes one random effect and one residual variance")
     if design.rows.filter(F.col(level).isNull() & F.col("_y").isNotNull()).limit(1).count():
@@ -147,7 +153,9 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
     own, p = np.append(kept, c), len(kept)
     a = a[np.ix_(own, own)]
     if variances is not None:
-        su, se = map(float, variances)
+        su, se = variances
+        if se is None and su != 0:
+            raise ValueError("a residual variance is estimated beside no variance of the effect, or both are")
         constraint, ratio = "fixed", se / su if su > 0 else np.inf
         logs = float(by_level.agg(F.sum(F.log1p(F.col("n") / ratio))).first()[0] or 0.0) if 0 < ratio < np.inf else 0.0
         left = _at_ratio(pairs, ratio, c + 1) if np.isfinite(ratio) else np.zeros((c + 1, c + 1))
@@ -155,8 +163,9 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
         inverse = np.linalg.inv(s[:p, :p]) if p else np.zeros((0, 0))
         beta = inverse @ s[:p, p]
         rest = float(s[p, p] - s[:p, p] @ beta)
+        se = rest / (records - p) if se is None else float(se)
         value = (records - p) * np.log(se) + rest / se + (np.linalg.slogdet(s[:p, :p])[1] if p else 0.0) + logs
-        return _model(design, level, by_level, su, se, constraint, -0.5 * (value - gram.log_weights["units"]), kept, beta, inverse)
+        return _model(design, level, by_level, float(su), se, constraint, -0.5 * (value - gram.log_weights["units"]), kept, beta, inverse, rest / se, records)
     sizes = by_level.groupBy("n").agg(F.count("*").alias("q"))
     most = max(1, DRIVER_BYTES // (8 * (c + 1) ** 2))
     counts = sizes.limit(most + 1).collect()
@@ -197,10 +206,10 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float] | No
     su = se / ratio if np.isfinite(ratio) else 0.0
     value, _, rest, beta, inverse = at(ratio)
     scaled = -0.5 * (value - (records - p) * np.log(rest) + (records - p) * np.log(se) + rest / se - gram.log_weights["units"])
-    return _model(design, level, by_level, su, se, constraint, scaled, kept, beta, inverse)
+    return _model(design, level, by_level, su, se, constraint, scaled, kept, beta, inverse, rest / se, records)
 
 
-def _model(design: Design, level: str, by_level: DataFrame, su: float, se: float, constraint: str, loglik: float, kept: np.ndarray, beta: np.ndarray, inverse: np.ndarray) -> AbsorbedModel:
+def _model(design: Design, level: str, by_level: DataFrame, su: float, se: float, constraint: str, loglik: float, kept: np.ndarray, beta: np.ndarray, inverse: np.ndarray, ypy: float, records: int) -> AbsorbedModel:
     solution = np.zeros(design.width)
     solution[kept] = beta
-    return AbsorbedModel(level, design, by_level, su, se, constraint, float(loglik), kept, solution, inverse * se, bool(np.isinf(su)))
+    return AbsorbedModel(level, design, by_level, su, se, constraint, float(loglik), kept, solution, inverse * se, bool(np.isinf(su)), ypy, records)

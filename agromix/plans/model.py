@@ -312,7 +312,8 @@ def _plain_factor(df: DataFrame, term) -> list[str] | None:
 def _beyond_driver(rows: DataFrame, formula: Formula, parts: list[list[str]], weights: str | None, theta: dict | None, codes: dict | None, residual: dict | None, fixed_residual: bool) -> AbsorbedModel | LargeModel:
     labels = [":".join(p) for p in parts]
     held = [int(np.asarray((codes or {}).get(x, 1)).item()) == 3 for x in labels]
-    if any(held) != all(held) or any(held) != fixed_residual:
+    zero = len(parts) == 1 and held[0] and not fixed_residual and float(np.asarray((theta or {}).get(labels[0], 1.0)).item()) == 0.0
+    if (any(held) != all(held) or any(held) != fixed_residual) and not zero:
         raise ValueError("beyond a driver's matrix, variances are held all or none")
     given = {x: float(np.asarray(theta[x]).item()) for x in labels} if fixed_residual else None
     if len(parts) > 1:
@@ -321,7 +322,7 @@ def _beyond_driver(rows: DataFrame, formula: Formula, parts: list[list[str]], we
     if len(parts[0]) > 1:
         rows = rows.withColumn(labels[0], joined_key(parts[0]))
     design = build_design(rows, formula.responses[0], formula.terms, formula.intercept, (), None, weights)
-    return fit_absorbed(design, labels[0], (given[labels[0]], float(residual["units"])) if given else None)
+    return fit_absorbed(design, labels[0], (0.0, None) if zero else (given[labels[0]], float(residual["units"])) if given else None)
 
 
 def crossed(df: DataFrame, fixed: str, terms: Sequence[str], weights: str | None = None, variances: dict[str, float] | None = None, residual: float | None = None, na_y: str = "exclude", na_x: str = "exclude", **options) -> LargeModel:

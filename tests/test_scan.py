@@ -6,6 +6,7 @@ import pytest
 from agromix.operators.kernels import a_matrix
 from agromix.operators.matrices import from_dense
 from agromix.operators.scan import gwas, kinship_components, scan_refits
+from agromix.plans import design
 from agromix.plans.model import mmec
 
 
@@ -55,3 +56,15 @@ def test_components_are_covariates(population):
     want = {r["marker"]: r for r in gwas(rows.join(pcs, "line"), "y ~ x + pc1 + pc2", "~ line", dosed, "line").collect()}
     got = {r["marker"]: r for r in gwas(rows, "y ~ x", "~ line", dosed, "line", n_pc=2).collect()}
     assert set(got) == set(want) and all(got[k]["effect"] == pytest.approx(want[k]["effect"]) for k in want)
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_more_genotypes_than_a_matrix_may_have(population, monkeypatch, held):
+    """Summed by genotype the scan is the same, with no variance held and with one estimated; dosages are missing too."""
+    rows, markers, _, _ = population
+    some = markers.selectExpr("id", "marker", "CASE WHEN id IN ('g03', 'g11') AND marker = 'm2' THEN NULL ELSE dosage END AS dosage")
+    options = {"theta": {"line": [[0.0]]}, "codes": {"line": [[3]]}} if held else {}
+    want = {r["marker"]: r for r in gwas(rows, "y ~ x + block", "~ line", some, "line", **options).collect()}
+    monkeypatch.setattr(design, "MAX_ORDER", 12)
+    got = {r["marker"]: r for r in gwas(rows, "y ~ x + block", "~ line", some, "line", **options).collect()}
+    assert want.keys() == got.keys() and all(got[k][c] == pytest.approx(want[k][c], rel=1e-4) for k in want for c in ("effect", "std_error", "f_value", "score"))
