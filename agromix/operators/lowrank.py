@@ -67,6 +67,35 @@ def _mixed(seed: int, height: int, k: int):
     return run
 
 
+def _dense(batch: pa.RecordBatch, name: str, height: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of a batch with their cells of the only block as matrices, of 16 MB at most."""
+    step = max(1, (16 << 20) // (8 * height))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        c = part.column(name)
+        cells, sizes = c.flatten(), np.diff(c.offsets.to_numpy())
+        x = np.zeros((part.num_rows, height))
+        np.add.at(x, (np.repeat(np.arange(part.num_rows), sizes), cells.field("q").to_numpy(zero_copy_only=False)), cells.field("v").to_numpy(zero_copy_only=False))
+        yield part, x
+
+
+def _spanned(seed: int, height: int, k: int):
+    """Y'Y (kind 0) and W'Y (kind 1) of what a task reads, where all markers are one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yy, yw = np.zeros((k, k)), np.zeros((height, k))
+        for batch in batches:
+            for _, x in _dense(batch, "c", height):
+                y = x @ _random(seed, 0, height, k)
+                yy += y.T @ y
+                yw += x.T @ y
+        for number, m in enumerate((yy, yw)):
+            i, j = (x.ravel() for x in np.indices(m.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, number), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(m.ravel())], names=["kind", "i", "j", "v"])
+
+    return run
+
+
 def _by_marker(height: int, k: int):
     """Y'W: what a task has of each marker, given out when it holds several blocks."""
 
@@ -126,25 +155,33 @@ def genotype_factors(cells: DataFrame, id_col: str = "id", marker: str = "marker
     k = rank + oversample
     if rank > MAX_ORDER:
         raise ValueError(f"over {MAX_ORDER} factors do not fit the driver")
-    n_markers = cells.agg(F.countDistinct(marker)).first()[0]
+    names = written(cells.select(marker).filter(F.col(marker).isNotNull()).distinct())  # found once, as each look at the cells makes them anew
+    n_markers = names.count()
     blocks = -(-(n_markers or 1) // BLOCK)
-    columns = written(dealt(cells, marker, blocks, "_b", "_q"))
+    columns = written(dealt(names, marker, blocks, "_b", "_q"))
     height = (columns.agg(F.max("_q")).first()[0] or 0) + 1
     k = min(k, n_markers or 1)
     packed = cells.join(columns, marker).groupBy(F.col(id_col).alias("id"), F.col("_b").alias("block")).agg(F.collect_list(F.struct(F.col("_q").alias("q"), F.col(value).cast("double").alias("v"))).alias("c"))
     packed = written(packed)
     kind = packed.schema["id"].dataType.simpleString()
-    mixed = packed.select("id", "block", "c").mapInArrow(_mixed(seed, height, k), f"id {kind}, y array<double>")
-    y = written(mixed if blocks == 1 else _summed(mixed, ["id"], "y", k))
-    sums = packed.join(y, "id").select("block", "c", "y").mapInArrow(_by_marker(height, k), "block int, q int, b array<double>")
-    by_marker = written(_summed(sums, ["block", "q"], "b", k))
+    if blocks == 1:  # a genotype's cells are one row: its combinations are made again wherever they are needed, and nothing is joined
+        spans = packed.select("c").mapInArrow(_spanned(seed, height, k), "kind int, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+        kinds, i, j, v = (spans.column(x).to_numpy() for x in ("kind", "i", "j", "v"))
+        yy, yw = np.zeros((k, k)), np.zeros((height, k))
+        yy[i[kinds == 0], j[kinds == 0]], yw[i[kinds == 1], j[kinds == 1]] = v[kinds == 0], v[kinds == 1]
+        bb, y = yw.T @ yw, None
+    else:
+        mixed = packed.select("id", "block", "c").mapInArrow(_mixed(seed, height, k), f"id {kind}, y array<double>")
+        y = written(_summed(mixed, ["id"], "y", k))
+        sums = packed.join(y, "id").select("block", "c", "y").mapInArrow(_by_marker(height, k), "block int, q int, b array<double>")
+        yy, bb = _squares(y, "y", k), _squares(written(_summed(sums, ["block", "q"], "b", k)), "b", k)
     total = packed.select(F.explode("c").alias("x")).agg(F.sum(F.col("x.v") * F.col("x.v"))).first()[0] or 0.0
     if not total:
-        return Factors(y.select("id", F.array().cast("array<double>").alias("scores")), np.zeros(0), 1.0)
-    w, v = np.linalg.eigh(_squares(y, "y", k))
+        return Factors((packed if y is None else y).select("id", F.array().cast("array<double>").alias("scores")), np.zeros(0), 1.0)
+    w, v = np.linalg.eigh(yy)
     good = w > 1e-11 * w[-1]
     turn = v[:, good] / np.sqrt(w[good])  # Y turn has orthonormal columns
-    s2, p = np.linalg.eigh(turn.T @ _squares(by_marker, "b", k) @ turn)
+    s2, p = np.linalg.eigh(turn.T @ bb @ turn)
     order = [i for i in np.argsort(-s2)[:rank] if s2[i] > 1e-9 * s2[-1]]
     singular = np.sqrt(s2[order])
     to_scores = turn @ p[:, order] * (singular / np.sqrt(scale))
@@ -153,7 +190,17 @@ def genotype_factors(cells: DataFrame, id_col: str = "id", marker: str = "marker
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(_rows(batch, "y", k) @ to_scores)], names=["id", "scores"])
 
-    return Factors(written(y.mapInArrow(scored, f"id {kind}, scores array<double>")), singular, float((singular**2).sum() / total))
+    share = float((singular**2).sum() / total)
+    if y is not None:
+        return Factors(written(y.mapInArrow(scored, f"id {kind}, scores array<double>")), singular, share)
+    pull = _random(seed, 0, height, k) @ to_scores
+
+    def scored_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, x in _dense(batch, "c", height):
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(x @ pull)], names=["id", "scores"])
+
+    return Factors(packed.select("id", "c").mapInArrow(scored_cells, f"id {kind}, scores array<double>"), singular, share)
 
 
 def gblup(df: DataFrame, fixed: str, factors: Factors, id_col: str, variance: float | None = None, residual: float | None = None, **options) -> tuple[Model, DataFrame]:
