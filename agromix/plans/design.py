@@ -113,6 +113,7 @@ class _Encoder:
     def __init__(self, df: DataFrame, covariances: dict):
         self.df, self.covariances, self.made, self.numeric = df, covariances, 0, False
         self.known: dict[str, list[str]] = {}
+        self.widths: dict[str, int] = {}
         self.plain: list[Column] | None = []  # the value of each coefficient, as long as none is a factor's
 
     def _is_numeric(self, name: str) -> bool:
@@ -147,6 +148,23 @@ class _Encoder:
                 raise TooManyLevels(f"{over} has over {MAX_ORDER} levels; their cross-products would not fit the driver")
             self.known[n] = own
 
+    def find_widths(self, terms: tuple) -> None:
+        """The widths of all array columns that terms name as basis(), in one job."""
+        names: list[str] = []
+
+        def seek(x) -> None:
+            if isinstance(x, Call) and x.name == "basis" and str(x.args[0]) in self.df.columns:
+                names.append(str(x.args[0]))
+            for y in (*getattr(x, "args", ()), *getattr(x, "parts", ())):
+                seek(y)
+
+        for term in terms:
+            seek(term)
+        names = list(dict.fromkeys(names))
+        if names:
+            found = self.df.agg(*(F.max(F.size(n)) for n in names)).first()
+            self.widths = {n: w or 0 for n, w in zip(names, found, strict=True)}
+
     def _levels(self, key: Column, what: str) -> list[str]:
         if what in self.known:
             return list(self.known[what])
@@ -198,7 +216,7 @@ class _Encoder:
             name = str(term.args[0])
             if name not in self.df.columns:
                 raise ValueError(f"no column {name}")
-            width = self.df.agg(F.max(F.size(name))).first()[0] or 0
+            width = self.widths[name] if name in self.widths else self.df.agg(F.max(F.size(name))).first()[0] or 0
             if width > MAX_ORDER:
                 raise ValueError(f"{name} has over {MAX_ORDER} columns")
             self._static([F.coalesce(F.get(F.col(name), F.lit(k)).cast("double"), F.lit(0.0)) for k in range(width)])
@@ -294,6 +312,7 @@ def build_design(df: DataFrame, response: str, fixed: tuple, intercept: bool, ra
     level = F.col(residual).cast("string") if residual else F.lit("units")
     wanted = {k: v for t in (*fixed, *random) for k, v in encoder.keys_of(t).items()}
     encoder.find_levels(wanted | ({"the residual": level} if residual and not apart else {}))
+    encoder.find_widths((*fixed, *random))
     at, entries = 0, []
     blocks: list[Block] = []
     terms: list[RandomTerm] = []

@@ -72,3 +72,16 @@ def test_refusals(spark, field):
         sap(field.withColumn("c", F.when(F.col("r") > 3, F.col("c"))), "y", "c", "r")
     some = field.withColumn("y", F.when(F.col("r") != 7, F.col("y")))
     assert sap(some, "y", "c", "r", segments=(4, 4)).fitted().count() == 19 * 16
+
+
+def test_widths_of_all_bases_are_found_in_one_job(spark, monkeypatch):
+    """A pass over the records for each basis would make the design anew as many times."""
+    from agromix.plans import design
+    from agromix.plans.formula import parse_formula, parse_terms
+
+    rows = spark.createDataFrame([([1.0, 2.0], [3.0], [1.0, 0.0, 2.0], 1.0)], "a array<double>, b array<double>, c array<double>, y double")
+    passes, plain = [], type(rows).agg
+    monkeypatch.setattr(type(rows), "agg", lambda self, *x: passes.append(len(x)) or plain(self, *x))
+    formula = parse_formula("y ~ basis(a) + basis(b)")
+    made = design.build_design(rows, "y", formula.terms, formula.intercept, parse_terms("~ vsc(isc(basis(c)))")[0])
+    assert passes == [3] and [b.size for b in (*made.fixed, *made.random)] == [1, 2, 1, 3]
