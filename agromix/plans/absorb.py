@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -95,16 +95,28 @@ class AbsorbedModel:
         whole[np.ix_(self.kept, self.kept)] = self.covariance
         if self.su <= 0:
             return self.levels.select("level", F.lit(0.0).alias("blup"), F.lit(0.0).alias("pev"), F.lit(None).cast("double").alias("reliability"))
-        one = spark.createDataFrame([([float(x) for x in self.solution], [[float(x) for x in r] for r in whole])], "_b array<double>, _v array<array<double>>")
         ratio = self.se / self.su
+        if _few(self.design):  # plain arithmetic, which Spark compiles
+            m = [F.get("m", F.lit(i))["v"] for i in range(w)]
+            pull = sum((m[i] * float(self.solution[i]) for i in range(w)), F.lit(0.0))
+            spread = sum((m[i] * m[j] * float(whole[i, j]) for i in range(w) for j in range(w)), F.lit(0.0))
+            return self._effects(self.levels, pull, spread, ratio)
+        one = spark.createDataFrame([([float(x) for x in self.solution], [[float(x) for x in r] for r in whole])], "_b array<double>, _v array<array<double>>")
         pull = F.aggregate("m", F.lit(0.0), lambda a, e: a + e["v"] * F.get("_b", e["i"]))
         spread = F.aggregate("m", F.lit(0.0), lambda a, e: a + F.aggregate("m", F.lit(0.0), lambda c, d: c + e["v"] * d["v"] * F.get(F.get("_v", e["i"]), d["i"])))
-        rows = self.levels.crossJoin(F.broadcast(one))  # one row
+        return self._effects(self.levels.crossJoin(F.broadcast(one)), pull, spread, ratio)  # one row
+
+    def _effects(self, rows: DataFrame, pull: Column, spread: Column, ratio: float) -> DataFrame:
         pev = self.se / (F.col("n") + ratio) + spread / F.pow(F.col("n") + ratio, 2)
         made = rows.select("level", ((F.col("my") - pull) / (F.col("n") + ratio)).alias("blup"), pev.alias("pev"))
         return made.withColumn("reliability", 1 - F.col("pev") / self.su)
 
 
+def _few(design: Design) -> bool:
+    """Whether the coefficients are a few covariates: each level has all of them then, in order."""
+    return design.plain is not None and len(design.plain) == design.width <= PLAIN
+
+
 def _by_level(design: Design, level: str) -> DataFrame:
     """(level, n, my, m: the entries of X'w by coefficient), a row for each level.
 
@@ -114,7 +126,7 @@ def _by_level(design: Design, level: str) -> DataFrame:
     key = F.col(level) if whole else F.col(level).cast("string")
     rows, w = design.rows.filter("_y is not null").withColumn("_own", key).filter("_own is not null"), F.col("_w")
     name = F.col("_own").cast("string").alias("level")
-    if design.plain is not None and len(design.plain) == design.width <= PLAIN:
+    if _few(design):
         sums = rows.groupBy("_own").agg(F.sum(w).alias("n"), F.sum(w * F.col("_y")).alias("my"), *(F.sum(w * x).alias(f"_m{i}") for i, x in enumerate(design.plain)))
         entries = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"_m{i}").alias("v")) for i in range(design.width))).cast(ENTRY)
         return sums.select(name, "n", "my", entries.alias("m"))
@@ -126,12 +138,23 @@ def _by_level(design: Design, level: str) -> DataFrame:
     return sums.groupBy("_own").agg(some(-1).alias("n"), some(-2).alias("my"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "v"))).alias("m")).select(name, "n", "my", "m")
 
 
-def _at_ratio(pairs: DataFrame, ratio: float, order: int) -> np.ndarray:
-    """The sum of m m' / (n + ratio) over all levels: what a held ratio needs, whatever the levels' sums of weights."""
-    out = np.zeros((order, order))
-    for r in pairs.groupBy("p.i", "p.j").agg(F.sum(F.col("p.v") / (F.col("n") + ratio)).alias("v")).collect():
+def _at_ratio(by_level: DataFrame, pairs: DataFrame, ratio: float, order: int, few: bool) -> tuple[np.ndarray, float]:
+    """Sums over all levels of m m' / (n + ratio) and of log(1 + n / ratio): what a held ratio needs, whatever the levels' sums of weights.
+
+    Of a few covariates both are one aggregation of plain products; else m is taken apart by pairs of entries.
+    """
+    out, n = np.zeros((order, order)), F.col("n")
+    logs = F.sum(F.log1p(n / ratio)).alias("logs") if ratio > 0 else F.lit(None).cast("double").alias("logs")
+    if few:
+        m = [*(F.get("m", F.lit(i))["v"] for i in range(order - 1)), F.col("my")]
+        places = [(i, j) for j in range(order) for i in range(j + 1)]
+        found = by_level.agg(logs, *(F.sum(m[i] * m[j] / (n + ratio)).alias(f"s{i}_{j}") for i, j in places)).first()
+        for i, j in places:
+            out[i, j] = out[j, i] = found[f"s{i}_{j}"] or 0.0
+        return out, float(found["logs"] or 0.0)
+    for r in pairs.groupBy("p.i", "p.j").agg(F.sum(F.col("p.v") / (n + ratio)).alias("v")).collect():
         out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
-    return out
+    return out, float(by_level.agg(logs).first()[0] or 0.0)
 
 
 def fit_absorbed(design: Design, level: str, variances: tuple[float, float | None] | None = None) -> AbsorbedModel:
@@ -157,8 +180,7 @@ def fit_absorbed(design: Design, level: str, variances: tuple[float, float | Non
         if se is None and su != 0:
             raise ValueError("a residual variance is estimated beside no variance of the effect, or both are")
         constraint, ratio = "fixed", se / su if su > 0 else np.inf
-        logs = float(by_level.agg(F.sum(F.log1p(F.col("n") / ratio))).first()[0] or 0.0) if 0 < ratio < np.inf else 0.0
-        left = _at_ratio(pairs, ratio, c + 1) if np.isfinite(ratio) else np.zeros((c + 1, c + 1))
+        left, logs = _at_ratio(by_level, pairs, ratio, c + 1, _few(design)) if np.isfinite(ratio) else (np.zeros((c + 1, c + 1)), 0.0)
         s = a - left[np.ix_(own, own)]
         inverse = np.linalg.inv(s[:p, :p]) if p else np.zeros((0, 0))
         beta = inverse @ s[:p, p]

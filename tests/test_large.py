@@ -109,3 +109,21 @@ def test_an_absorbed_model_sums_its_levels_once(spark, monkeypatch):
     assert calls and got.keys() == means.keys() and all(got[k] == pytest.approx(means[k]) for k in means)
     found = absorbed(rows, "y ~ 1", "g", weights="w")
     assert (found.su, found.se, found.loglik) == pytest.approx((float(want.theta[0][0, 0]), want.residual["units"], want.loglik), rel=1e-5, abs=1e-6)
+
+
+def test_effects_of_a_few_covariates_are_plain_arithmetic(spark, monkeypatch):
+    """With an intercept and covariates nothing is taken apart by entry, and effects equal those of the general way."""
+    rng = np.random.default_rng(9)
+    rows = [(f"l{k % 37}", float(x), float(y)) for k, (x, y) in enumerate(rng.normal(size=(300, 2)))]
+    df = spark.createDataFrame(rows, "level string, x double, y double")
+    for held in ((2.0, 5.0), None):
+        model = absorbed(df, "y ~ x", "level", variances=held)
+        found = model.blups()
+        assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["level"]: r for r in found.collect()}
+        monkeypatch.setattr(absorb, "PLAIN", 0)
+        other = absorbed(df, "y ~ x", "level", variances=held)
+        want = {r["level"]: r for r in other.blups().collect()}
+        monkeypatch.undo()
+        assert model.loglik == pytest.approx(other.loglik) and got.keys() == want.keys()
+        assert all((got[k]["blup"], got[k]["pev"]) == pytest.approx((want[k]["blup"], want[k]["pev"]), abs=1e-9) for k in got)
