@@ -27,7 +27,6 @@ __all__ = ["Factors", "gblup", "genotype_factors"]
 
 #: Markers of a block, on average: what a row holds of a genotype, and the height of a task's random matrix.
 BLOCK = 2048
-CELL = "array<struct<q:int,v:double>>"
 
 
 @dataclass
@@ -60,36 +59,36 @@ def _mixed(seed: int, height: int, k: int):
         for batch in batches:
             out = np.zeros((batch.num_rows, k))
             for r, block in enumerate(batch.column("block").to_pylist()):
-                c = batch.column("c")[r].values
-                out[r] = c.field("v").to_numpy(zero_copy_only=False) @ _random(seed, block, height, k)[c.field("q").to_numpy(zero_copy_only=False)]
+                q, v = (batch.column(x)[r].values.to_numpy(zero_copy_only=False) for x in ("q", "v"))
+                out[r] = v @ _random(seed, block, height, k)[q]
             yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(out)], names=["id", "y"])
 
     return run
 
 
-def _dense(batch: pa.RecordBatch, name: str, height: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _dense(batch: pa.RecordBatch, height: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Parts of a batch with their cells of the only block as matrices, of 16 MB at most."""
     step = max(1, (16 << 20) // (8 * height))
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
-        c = part.column(name)
-        cells, sizes = c.flatten(), np.diff(c.offsets.to_numpy())
-        x = np.zeros((part.num_rows, height))
-        np.add.at(x, (np.repeat(np.arange(part.num_rows), sizes), cells.field("q").to_numpy(zero_copy_only=False)), cells.field("v").to_numpy(zero_copy_only=False))
-        yield part, x
+        q, v = part.column("q"), part.column("v")
+        place = np.repeat(np.arange(part.num_rows) * height, np.diff(q.offsets.to_numpy())) + q.flatten().to_numpy(zero_copy_only=False)
+        yield part, np.bincount(place, v.flatten().to_numpy(zero_copy_only=False), part.num_rows * height).reshape(part.num_rows, height)
 
 
 def _spanned(seed: int, height: int, k: int):
-    """Y'Y (kind 0) and W'Y (kind 1) of what a task reads, where all markers are one block."""
+    """Y'Y (kind 0), W'Y (kind 1) and the cells' sum of squares (kind 2) of what a task reads, where all markers are one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yy, yw = np.zeros((k, k)), np.zeros((height, k))
+        yy, yw, total = np.zeros((k, k)), np.zeros((height, k)), np.zeros((1, 1))
         for batch in batches:
-            for _, x in _dense(batch, "c", height):
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            total += v @ v
+            for _, x in _dense(batch, height):
                 y = x @ _random(seed, 0, height, k)
                 yy += y.T @ y
                 yw += x.T @ y
-        for number, m in enumerate((yy, yw)):
+        for number, m in enumerate((yy, yw, total)):
             i, j = (x.ravel() for x in np.indices(m.shape))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(m.size, number), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(m.ravel())], names=["kind", "i", "j", "v"])
 
@@ -111,12 +110,11 @@ def _by_marker(height: int, k: int):
         for batch in batches:
             y = _rows(batch, "y", k)
             for r, block in enumerate(batch.column("block").to_pylist()):
-                c = batch.column("c")[r].values
                 if block not in held:
                     if len(held) >= max(1, (64 << 20) // (8 * height * k)):
                         yield from given()
                     held[block] = np.zeros((height, k))
-                q, v = (c.field(x).to_numpy(zero_copy_only=False) for x in ("q", "v"))
+                q, v = (batch.column(x)[r].values.to_numpy(zero_copy_only=False) for x in ("q", "v"))
                 np.add.at(held[block], q, v[:, None] * y[r])
         yield from given()
 
@@ -162,20 +160,20 @@ def genotype_factors(cells: DataFrame, id_col: str = "id", marker: str = "marker
     height = (columns.agg(F.max("_q")).first()[0] or 0) + 1
     k = min(k, n_markers or 1)
     packed = cells.join(columns, marker).groupBy(F.col(id_col).alias("id"), F.col("_b").alias("block")).agg(F.collect_list(F.struct(F.col("_q").alias("q"), F.col(value).cast("double").alias("v"))).alias("c"))
-    packed = written(packed)
+    packed = written(packed.select("id", "block", "c.q", "c.v"))  # lists of numbers pass to the tasks faster than lists of pairs
     kind = packed.schema["id"].dataType.simpleString()
     if blocks == 1:  # a genotype's cells are one row: its combinations are made again wherever they are needed, and nothing is joined
-        spans = packed.select("c").mapInArrow(_spanned(seed, height, k), "kind int, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).toArrow()
+        spans = packed.select("q", "v").mapInArrow(_spanned(seed, height, k), "kind int, i int, j int, v double").groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).toArrow()
         kinds, i, j, v = (spans.column(x).to_numpy() for x in ("kind", "i", "j", "v"))
         yy, yw = np.zeros((k, k)), np.zeros((height, k))
         yy[i[kinds == 0], j[kinds == 0]], yw[i[kinds == 1], j[kinds == 1]] = v[kinds == 0], v[kinds == 1]
-        bb, y = yw.T @ yw, None
+        bb, y, total = yw.T @ yw, None, float(v[kinds == 2].sum())
     else:
-        mixed = packed.select("id", "block", "c").mapInArrow(_mixed(seed, height, k), f"id {kind}, y array<double>")
+        mixed = packed.select("id", "block", "q", "v").mapInArrow(_mixed(seed, height, k), f"id {kind}, y array<double>")
         y = written(_summed(mixed, ["id"], "y", k))
-        sums = packed.join(y, "id").select("block", "c", "y").mapInArrow(_by_marker(height, k), "block int, q int, b array<double>")
+        sums = packed.join(y, "id").select("block", "q", "v", "y").mapInArrow(_by_marker(height, k), "block int, q int, b array<double>")
         yy, bb = _squares(y, "y", k), _squares(written(_summed(sums, ["block", "q"], "b", k)), "b", k)
-    total = packed.select(F.explode("c").alias("x")).agg(F.sum(F.col("x.v") * F.col("x.v"))).first()[0] or 0.0
+        total = packed.select(F.explode("v").alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     if not total:
         return Factors((packed if y is None else y).select("id", F.array().cast("array<double>").alias("scores")), np.zeros(0), 1.0)
     w, v = np.linalg.eigh(yy)
@@ -197,10 +195,10 @@ def genotype_factors(cells: DataFrame, id_col: str = "id", marker: str = "marker
 
     def scored_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, x in _dense(batch, "c", height):
+            for part, x in _dense(batch, height):
                 yield pa.RecordBatch.from_arrays([part.column("id"), _lists(x @ pull)], names=["id", "scores"])
 
-    return Factors(packed.select("id", "c").mapInArrow(scored_cells, f"id {kind}, scores array<double>"), singular, share)
+    return Factors(packed.select("id", "q", "v").mapInArrow(scored_cells, f"id {kind}, scores array<double>"), singular, share)
 
 
 def gblup(df: DataFrame, fixed: str, factors: Factors, id_col: str, variance: float | None = None, residual: float | None = None, **options) -> tuple[Model, DataFrame]:
