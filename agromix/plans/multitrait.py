@@ -90,6 +90,30 @@ def fit_traits(df: DataFrame, fixed: str, random: str | None = None, kernels: di
     return MultiFit(df.sparkSession, traits, design, *found)
 
 
+def _told(ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, common: np.ndarray, use: np.ndarray, blocks: list[slice], random: list) -> tuple:
+    """W'W, W'Y and Y'Y of the columns ``use`` with ``common`` absorbed, the way back of their coefficients, log |X'X|.
+
+    Coefficients of a random effect are along the axes of its own part of W'W, in which they are independent with variance
+    one. What the records don't tell (a shift of all levels, the mean being fixed) is an axis of exact zeros then; in
+    levels it would be a difference of large numbers, of which rounding leaves nothing where there are many records.
+    """
+    level = np.linalg.solve(ww[np.ix_(common, common)], np.hstack([ww[np.ix_(common, use)], wy[common]]))
+    on, level = level[:, : len(use)], level[:, len(use) :]
+    yy = yy - wy[common].T @ level - level.T @ wy[common] + level.T @ ww[np.ix_(common, common)] @ level
+    whole, cross = ww[np.ix_(use, use)], ww[np.ix_(use, common)]
+    left, turn, zero = whole - cross @ on, np.eye(len(use)), np.zeros(len(use), bool)
+    for at, r in zip(blocks, random, strict=True):
+        root = np.eye(r.size) if r.kernel_inverse is None else np.linalg.cholesky(np.linalg.inv(r.kernel_inverse))
+        values, vectors = np.linalg.eigh(root.T @ left[at, at] @ root)
+        zero[at] = values <= 10 * r.size * np.finfo(float).eps * np.trace(root.T @ whole[at, at] @ root) / max(r.size, 1)
+        turn[at, at] = root @ vectors
+    made, right = turn.T @ left @ turn, turn.T @ (wy[use] - cross @ level)
+    for at in blocks:
+        made[at, at] = np.diag(np.diag(made[at, at]))
+    made[zero], made[:, zero], right[zero] = 0.0, 0.0, 0.0
+    return made, right, yy, lambda b: (level - on @ (turn @ b), turn @ b), np.linalg.slogdet(ww[np.ix_(common, common)])[1]
+
+
 def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, starts: list[tuple], selected: dict[str, np.ndarray], iterations: int, tol: float) -> tuple:
     """(covariances of the random effects, of the residual, log-likelihood, converged, iterations, solution) from the sums alone.
 
@@ -98,11 +122,23 @@ def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, st
     t = len(yy)
     n_fixed = sum(b.size for b in design.fixed)
     kept = independent_columns(ww[:n_fixed, :n_fixed])
-    use = np.concatenate([kept, np.arange(n_fixed, design.width)]).astype(int)
-    ww, wy, c = ww[np.ix_(use, use)], wy[use], len(use)
-    blocks = [slice(len(kept) + r.start - n_fixed, len(kept) + r.start - n_fixed + r.size) for r in design.random]
-    fixed_ss = wy[: len(kept)].T @ np.linalg.solve(ww[: len(kept), : len(kept)], wy[: len(kept)]) if len(kept) else 0
-    vy = (yy - fixed_ss) / max(n - len(kept), 1)
+    lacking = np.zeros((t, len(kept)), bool)  # which fixed coefficients which trait lacks
+    for b in design.fixed:
+        if b.label in selected:
+            lacking[np.ix_(~selected[b.label], np.isin(kept, np.arange(b.start, b.start + b.size)).nonzero()[0])] = True
+    common, own = kept[~lacking.any(axis=0)], kept[lacking.any(axis=0)]
+    use = np.concatenate([own, np.arange(n_fixed, design.width)]).astype(int)
+    c, blocks = len(use), [slice(len(own) + r.start - n_fixed, len(own) + r.start - n_fixed + r.size) for r in design.random]
+    ww, wy, yy, back, base_logdet = _told(ww, wy, yy, common, use, blocks, design.random)
+    n -= len(common)
+    vy = yy / max(n, 1)
+    # sums of squares are taken about all effects' least squares: the likelihood is a sum of positive parts then, not a
+    # small difference of large numbers, whose rounding would hide what a step gains
+    told, least = independent_columns(ww), np.zeros((c, t))
+    for _ in range(2):  # the second time for what rounding left
+        least[told] += np.linalg.solve(ww[np.ix_(told, told)], (wy - ww @ least)[told])
+    rest = wy - ww @ least  # rounding alone, but for columns that nearly depend on others
+    within = yy - wy.T @ least - least.T @ wy + least.T @ ww @ least
     free = np.where(np.eye(t, dtype=bool), 1, 2)
 
     def chart(start: np.ndarray | None, codes: np.ndarray | None, default: np.ndarray) -> Chart:
@@ -111,12 +147,7 @@ def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, st
 
     charts = [chart(*x, 0.2 * np.diag(np.diag(vy))) for x in starts[:-1]]
     charts.append(chart(*starts[-1], 0.6 * vy + 0.2 * np.diag(np.diag(vy))))
-    there = np.ones((t, c), bool)  # which coefficients which trait has
-    for b in design.fixed:
-        if b.label in selected:
-            there[np.ix_(~selected[b.label], np.isin(kept, np.arange(b.start, b.start + b.size)).nonzero()[0])] = False
-    there = there.ravel()
-    kernels_ = [None if r.kernel_inverse is None else np.linalg.inv(r.kernel_inverse) for r in design.random]
+    there = np.hstack([~lacking[:, lacking.any(axis=0)], np.ones((t, c - len(own)), bool)]).ravel()  # which coefficients which trait has
 
     def solve(factors: list[np.ndarray]) -> dict | None:
         """The equations for all traits, trait outermost, in effects free of scale."""
@@ -125,14 +156,13 @@ def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, st
             return None
         si = np.linalg.inv(s)
         m = np.kron(si, ww).reshape(t, c, t, c)
-        left, logdet = m.copy(), n * np.linalg.slogdet(s)[1]
+        left, logdet = m.copy(), n * np.linalg.slogdet(s)[1] + t * base_logdet
         for at, f in zip(blocks, factors, strict=False):
             left[:, :, :, at] = np.einsum("icjk,jl->iclk", left[:, :, :, at], f)
-        for at, f, r in zip(blocks, factors, design.random, strict=False):
+        for at, f in zip(blocks, factors, strict=False):
             left[:, at] = np.einsum("ikjc,il->lkjc", left[:, at], f)
             for i in range(t):
-                left[i, at, i, at] += np.eye(r.size) if r.kernel_inverse is None else r.kernel_inverse
-            logdet += t * r.kernel_logdet
+                left[i, at, i, at] += np.eye(at.stop - at.start)
         flat = left.reshape(t * c, t * c)
         try:
             flat = flat[np.ix_(there, there)]
@@ -146,17 +176,21 @@ def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, st
         for at, f in zip(blocks, factors, strict=False):
             scaled[:, at] = f.T @ scaled[:, at]
         free = np.einsum("icjk,jk->ic", ci, scaled)
-        spreads = [np.einsum("ikjk->ij", ci[:, at][:, :, :, at]) if r.kernel_inverse is None else np.einsum("ikjl,kl->ij", ci[:, at][:, :, :, at], r.kernel_inverse) for at, r in zip(blocks, design.random, strict=True)]
+        free += np.einsum("icjk,jk->ic", ci, np.where(there.reshape(t, c), scaled - np.einsum("icjk,jk->ic", left, free), 0.0))
+        spreads = [np.einsum("ikjk->ij", ci[:, at][:, :, :, at]) for at in blocks]
         for at, f in zip(blocks, factors, strict=False):
             ci[:, :, :, at] = np.einsum("iclk,jl->icjk", ci[:, :, :, at], f)
         for at, f in zip(blocks, factors, strict=False):
             ci[:, at] = np.einsum("lkjc,il->ikjc", ci[:, at], f)
-        rhs = (wy @ si).T.ravel()
         flat = ci.reshape(t * c, t * c)
-        coef = (flat @ rhs).reshape(t, c).T
-        loglik = -0.5 * (logdet + float(np.sum(si * yy) - rhs @ (flat @ rhs)))
-        ee = yy - coef.T @ wy - wy.T @ coef + coef.T @ ww @ coef
-        return {"ci": ci, "flat": flat, "m": m.reshape(t * c, t * c), "b": coef, "loglik": loglik, "ee": ee, "si": si, "free": free, "spreads": spreads, "factors": factors} if np.isfinite(loglik) else None
+        coef = free.T.copy()
+        for at, f in zip(blocks, factors, strict=False):
+            coef[at] = coef[at] @ f.T
+        off = least - coef
+        gap = ww @ off + rest  # W'E
+        ee = within + off.T @ gap + rest.T @ off
+        loglik = -0.5 * (logdet + float(np.sum(si * ee) + np.sum(free[:, len(own) :] ** 2)))
+        return {"ci": ci, "flat": flat, "m": m.reshape(t * c, t * c), "b": coef, "gap": gap, "loglik": loglik, "ee": ee, "si": si, "free": free, "spreads": spreads, "factors": factors} if np.isfinite(loglik) else None
 
     state, converged, cycle, quiet = solve([x.factor(x.value) for x in charts]), False, 0, 0
     if state is None:
@@ -164,19 +198,18 @@ def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, st
     scale = np.array([np.sqrt(vy[i, i]) if x.kind == "factor" else np.sqrt(vy[i, i] * vy[j, j]) for x in charts for i, j in x.places])
     while cycle < iterations:
         cycle += 1
-        si, gap = state["si"], wy - ww @ state["b"]  # W'E
+        si, gap = state["si"], state["gap"]
         slopes, pulls = [], []
-        for k, (at, kernel) in enumerate(zip(blocks, kernels_, strict=True)):
-            if (found := from_free(state["factors"][k], state["free"][:, at], state["spreads"][k], design.random[k].kernel_inverse)) is not None:
+        for k, at in enumerate(blocks):
+            if (found := from_free(state["factors"][k], state["free"][:, at], state["spreads"][k], None)) is not None:
                 slopes.append(found[0])
                 pulls.append(found[1].T)
                 continue
-            g = (gap @ si)[at]
-            pulls.append(g if kernel is None else kernel @ g)
-            own = np.concatenate([np.arange(i * c + at.start, i * c + at.stop) for i in range(t)])
+            pulls.append((gap @ si)[at])
+            places = np.concatenate([np.arange(i * c + at.start, i * c + at.stop) for i in range(t)])
             q = at.stop - at.start
-            zpz = (state["m"][np.ix_(own, own)] - state["m"][own] @ (state["flat"] @ state["m"][:, own])).reshape(t, q, t, q)
-            slopes.append(0.5 * (g.T @ pulls[-1] - np.einsum("ikjl,kl->ij", zpz, np.eye(q) if kernel is None else kernel)))
+            zpz = (state["m"][np.ix_(places, places)] - state["m"][places] @ (state["flat"] @ state["m"][:, places])).reshape(t, q, t, q)
+            slopes.append(0.5 * (pulls[-1].T @ pulls[-1] - np.einsum("ikjk->ij", zpz)))
         trace = np.einsum("ikjl,kl->ij", state["ci"], ww)
         slopes.append(-0.5 * (n * si - si @ (trace + state["ee"]) @ si))
         columns, slope = [], []
@@ -236,7 +269,7 @@ def _maximise(design, ww: np.ndarray, wy: np.ndarray, yy: np.ndarray, n: int, st
         th[small] = 0.0
         th[:, small] = 0.0
     solution = np.zeros((design.width, t))
-    solution[use] = state["b"]
+    solution[common], solution[use] = back(state["b"])
     return theta, residual, state["loglik"], converged, cycle, solution
 
 

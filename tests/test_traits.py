@@ -71,3 +71,25 @@ def test_pairs_from_one_pass_equal_models_of_their_own(spark, trial):
         assert np.linalg.eigvalsh(m)[0] > -1e-9 and m[0, 0] == pytest.approx((found["y1", "y2"].theta[0] if term == "g" else found["y1", "y2"].residual)[0, 0], rel=0.3)
     with pytest.raises(ValueError, match="different traits"):
         fit_pairs(rows, ["y1", "y1"])
+
+
+def test_many_records_of_two_traits_converge():
+    """Cross-products as of millions of records whose traits vary little within places: the closed form of a balanced layout, to all digits."""
+    from types import SimpleNamespace
+
+    from agromix.plans.design import Block, RandomTerm
+    from agromix.plans.multitrait import _maximise
+
+    q, place = 64, np.arange(1, 65)
+    term = RandomTerm("place", 1, [str(i) for i in place], ("place",), [""], [str(i) for i in place])
+    design = SimpleNamespace(fixed=[Block("(Intercept)", 0, ["(Intercept)"])], random=[term], width=1 + q)
+    for n in (2000, 120_000, 720_000):
+        rng = np.random.default_rng(n)
+        factor = np.diag([0.022, 0.075]) @ np.linalg.cholesky(np.array([[1, 0.9], [0.9, 1]]))
+        means = np.stack([0.02 * (place * 7 % 64), 0.03 * (place * 5 % 64)], 1) + rng.normal(size=(q, 2)) @ factor.T / np.sqrt(n)
+        x = np.hstack([np.ones((q, 1)), np.eye(q)])
+        ww, wy, yy = n * x.T @ x, n * x.T @ means, n * means.T @ means + q * (n - 1) * factor @ factor.T
+        theta, residual, _, converged, _, solution = _maximise(design, ww, wy, yy, q * n, [(None, None)] * 2, {}, 200, 1e-8)
+        assert converged and np.allclose(residual, factor @ factor.T, rtol=1e-9, atol=0)
+        assert np.allclose(theta[0], np.cov(means.T) - residual / n, rtol=1e-9, atol=0)
+        assert np.allclose(solution[0], means.mean(axis=0)) and np.allclose(solution[0] + solution[1:], means, atol=1e-3)
